@@ -13,8 +13,9 @@ per-frame product:
   identical coordinates joins as one row;
 * the best candidate per detection is ``min(struct(dist, slot, x, y))``,
   which aggregates partially before its shuffle;
-* unmatched detections are carried through the same aggregation with an
-  infinite sentinel distance, so no left join back onto the facts is needed.
+* the join is a left join; a detection without a candidate closer than
+  ``radius`` is carried through the aggregation as an infinite-distance
+  sentinel, so no second join back onto the facts is needed.
 
 A hot ``(frame, cell)`` key is split by AQE's skew-join handling (the query
 side is split, the candidate side replicated).
@@ -63,18 +64,18 @@ def match_next_frame(det: DataFrame, radius: float = 100.0, on_miss: str = "null
 
     dx = F.col("x") - F.col("nx")
     dy = F.col("y") - F.col("ny")
-    pairs = (query.join(cand, ["frame", "cx", "cy"])
-             .withColumn("dist", F.sqrt(dx * dx + dy * dy))
-             .where(F.col("dist") < F.lit(float(radius)))
+    dist = F.sqrt(dx * dx + dy * dy)
+    miss = F.struct(F.lit(float("inf")).alias("dist"), F.lit(None).cast("long").alias("nslot"),
+                    F.lit(None).cast("double").alias("nx"), F.lit(None).cast("double").alias("ny"))
+    # left join: a query row whose cell holds no candidate survives with
+    # NULLs and turns into the miss sentinel, so every detection reaches the
+    # aggregation and no join back onto the facts is needed
+    pairs = (query.join(cand, ["frame", "cx", "cy"], "left")
+             .withColumn("dist", dist)
              .select("frame", "slot", "x", "y",
-                     F.struct("dist", "nslot", "nx", "ny").alias("m")))
-
-    sentinel = pts.select("frame", "slot", "x", "y", F.struct(
-        F.lit(float("inf")).alias("dist"), F.lit(None).cast("long").alias("nslot"),
-        F.lit(None).cast("double").alias("nx"), F.lit(None).cast("double").alias("ny")).alias("m"))
-
-    best = (pairs.unionByName(sentinel)
-            .groupBy("frame", "slot", "x", "y").agg(F.min("m").alias("m"))
+                     F.when(F.col("dist") < F.lit(float(radius)),
+                            F.struct("dist", "nslot", "nx", "ny")).otherwise(miss).alias("m")))
+    best = (pairs.groupBy("frame", "slot", "x", "y").agg(F.min("m").alias("m"))
             .select("frame", "slot", "x", "y", "m.*"))
     hit = F.col("nslot").isNotNull()
     if on_miss == "drop":

@@ -213,3 +213,14 @@ select bin_x, bin_y,
 where v > 220""",
     "frame_names": "select event_id, lpad(right(cast(event_id as varchar), 7), 7, '0') name from events",
 }
+
+
+def _merge():
+    from trailframe.plans import cluster_queries
+
+    for mod in (cluster_queries,):
+        QUERIES.update(mod.QUERIES)
+        SQL.update(mod.SQL)
+
+
+_merge()
