@@ -216,9 +216,9 @@ where v > 220""",
 
 
 def _merge():
-    from trailframe.plans import cluster_queries, model_queries
+    from trailframe.plans import cluster_queries, io_queries, model_queries
 
-    for mod in (cluster_queries, model_queries):
+    for mod in (cluster_queries, model_queries, io_queries):
         QUERIES.update(mod.QUERIES)
         SQL.update(mod.SQL)
 
