@@ -5,9 +5,10 @@ f+1 strictly closer than ``radius`` (ties go to the lowest slot; several
 detections may pick the same partner).  It is a spatial equi-join, never a
 per-frame product:
 
-* frame f+1 is keyed by ``(frame, cell)`` with a square cell of side
-  ``radius``; every candidate closer than ``radius`` lies in one of the 3x3
-  cells around the query point, so the query side is exploded to 9 keys;
+* frame f+1 is keyed by ``(frame, cell)`` with a square cell (side
+  ``radius`` by default); every candidate closer than ``radius`` lies within
+  ``ceil(radius / side)`` cells of the query point's cell, so the query side
+  is exploded to those keys (3x3 at the default side);
 * exact copies of a point in frame f+1 are folded to their lowest slot
   before the join (a copy can never beat its lower-slot twin), so a pile of
   identical coordinates joins as one row;
@@ -23,6 +24,8 @@ side is split, the candidate side replicated).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,8 +58,10 @@ def match_next_frame(det: DataFrame, radius: float = 100.0, on_miss: str = "null
             .withColumn("cx", _cell("nx", side)).withColumn("cy", _cell("ny", side))
             .groupBy("frame", "cx", "cy", "nx", "ny").agg(F.min("nslot").alias("nslot")))
 
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                        for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    # a candidate closer than ``radius`` is at most ceil(radius / side) cells away
+    reach = max(1, math.ceil(float(radius) / side))
+    span = range(-reach, reach + 1)
+    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in span for dy in span])
     query = (pts.withColumn("o", F.explode(offsets))
              .select("frame", "slot", "x", "y",
                      (_cell("x", side) + F.col("o.dx")).alias("cx"),
