@@ -25,6 +25,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailframe.operators.indexing import dense_index, row_index
+from trailframe.session import ensure_checkpoint_dir
+
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def written(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
+    """Materialize a derived table once per application as Parquet under the
+    checkpoint folder and read it back.
+
+    The detection table is the central table every matching and grid query
+    starts from; deriving it (two numberings over the events) once and
+    scanning the written copy afterwards is what a pipeline does with its
+    upstream product, and it gives later plans a plain Parquet scan with
+    column pruning and statistics.
+    """
+    key = (spark.sparkContext.applicationId, name, sf_dir.rstrip("/"))
+    if key not in _WRITTEN:
+        import uuid
+
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/trailframe-tables/{name}-{uuid.uuid4().hex}"
+        build().write.mode("overwrite").parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +55,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(frame long, slot long, x double, y double)``, one row per event."""
+    """``(frame long, slot long, x double, y double)``, one row per event
+    (derived once per application, see :func:`written`)."""
+    return written(spark, "detections", sf_dir, lambda: derive_detections(spark, sf_dir))
+
+
+def derive_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detection table as a plan over ``events``."""
     ev = table(spark, sf_dir, "events").select(
         F.date_trunc("hour", "ts").alias("hour"), "event_id",
         F.col("user_id").cast("double").alias("x"), F.col("value").alias("y"))

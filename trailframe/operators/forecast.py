@@ -37,11 +37,13 @@ def forecast(agents: DataFrame, pair: ModelPair, n_steps: int, dt: float, speed:
 
     Each step predicts the new velocity from the OLD velocity pair (both
     models read the same input), then moves with the NEW velocity:
-    ``c += v_new * speed * dt``.
+    ``c += v_new * speed * dt``.  The starting table is checkpointed (the
+    union reads it once per step) and so is every ``checkpoint_every``-th
+    step, which bounds the plan; the steps in between are projections.
     """
     lx, ly = list(pair.models)[:2]
     cols = [*key, "cx", "cy", "vx", "vy"]
-    cur = agents.select(*cols)
+    cur = cut_lineage(agents.select(*cols))
     out = [cur.withColumn("step", F.lit(0))]
     for s in range(1, n_steps + 1):
         scored = pair.predict(cur.withColumnRenamed("vx", "x").withColumnRenamed("vy", "y"))

@@ -29,8 +29,13 @@ def _r4(c):
 
 
 def transitions(spark: SparkSession, sf: str) -> DataFrame:
-    det = fx.detections(spark, sf)
-    return matching.build_transitions(det, hops=2, gate_limit=GATE, mode="delta", on_miss="null")
+    """Training rows for the model queries, written once per application:
+    every fit reads them several times."""
+    def build():
+        det = fx.detections(spark, sf)
+        return matching.build_transitions(det, hops=2, gate_limit=GATE, mode="delta", on_miss="null")
+
+    return fx.written(spark, "transitions", sf, build)
 
 
 def split_key():
@@ -88,11 +93,10 @@ def q_l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_evaluate_linear(spark: SparkSession, sf: str) -> DataFrame:
-    tr = transitions(spark, sf).persist()
+    tr = transitions(spark, sf)
     train, test = RG.train_test_split(tr, 0.7, SPLIT_SEED, split_key())
     pair = RG.fit_pair("linear", train, ("x", "y"))
     res = RG.evaluate_pair(pair, test).first()
-    tr.unpersist()
     return spark.createDataFrame([(round(res["rmse_x"], 4), round(res["rmse_y"], 4))], "rmse_x double, rmse_y double")
 
 
