@@ -114,7 +114,24 @@ def q_forecast_paths(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("frame", "slot", "step", *[_r4(c) for c in ("cx", "cy", "vx", "vy")])
 
 
+def q_fit_mlp(spark: SparkSession, sf: str) -> DataFrame:
+    """M16 on the transitions: one net per label, test-row predictions."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from trailframe.operators import mlp
+
+    tr = transitions(spark, sf)
+    train, test = RG.train_test_split(tr, 0.7, SPLIT_SEED, split_key())
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        nets = list(pool.map(lambda lab: mlp.fit_mlp(train, ("x", "y"), lab, epochs=200, local_steps=20),
+                             ("next_x", "next_y")))
+    out = nets[0].transform(test, "pred_next_x")
+    out = nets[1].transform(out, "pred_next_y")
+    return out.select("frame", "slot", "next_x", "next_y", "pred_next_x", "pred_next_y")
+
+
 QUERIES = {
+    "fit_mlp": q_fit_mlp,
     "fit_linear": q_fit_linear,
     "fit_tree": q_fit_tree,
     "fit_gbt": q_fit_gbt,

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailframe.functions.scalar import frame_name
+from trailframe.session import ship_package
 
 FRAME_RE = r"(\d+)\.png$"
 
@@ -82,6 +83,7 @@ def _dark_pixels(threshold: float):
 def pixels(frames: DataFrame, threshold: float = 220.0) -> DataFrame:
     """S3 + P1-P3: ``(frame, x, y, v)`` of the pixels with inverted grey
     ``v > threshold`` (x = column, y = row)."""
+    ship_package(frames.sparkSession)
     cols = frames.select("frame", "height", "width", "nChannels", "data")
     return cols.mapInPandas(_dark_pixels(float(threshold)), PIXEL_SCHEMA)
 
