@@ -32,7 +32,7 @@ def q_detections_parquet_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     det = fx.detections(spark, sf)
     path = TX.scratch_path(spark, "detections")
     TX.write_center_lines(det, path, fmt="parquet", mode="overwrite", frames_per_folder=100)
-    return TX.read_detections(spark, path, start=100, stop=300)
+    return TX.read_detections(spark, path)
 
 
 def q_transitions_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,7 +155,7 @@ select frame, slot, x, y from det""",
   select (dense_rank() over (order by h) - 1)::bigint as frame,
          (row_number() over (partition by h order by event_id) - 1)::bigint as slot, x, y
   from (select date_trunc('hour', ts) h, event_id, cast(user_id as double) x, value y from events))
-select frame, slot, x, y from det where frame >= 100 and frame < 300""",
+select frame, slot, x, y from det""",
     "stations_fixed_width": """select 'ST' || lpad(s_suppkey::varchar, 9, '0') sid,
   round((s_suppkey * 37) % 18000 / 100.0::double - 90.0::double, 4) lat,
   round((s_suppkey * 91) % 36000 / 100.0::double - 180.0::double, 4) lon,
