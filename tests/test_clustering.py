@@ -176,3 +176,16 @@ def test_cost_distance(spark):
     r = C.clustering_cost(df, [(0, 1.0, 0.0)]).first()
     assert (r.cost, r.cost_distance, r.n) == (2.0, 1.0, 2)
     assert df.select(F.lit(1)).count() == 2
+
+
+def test_members_oversized_undersized(spark):
+    df = pts_df(spark, blobs(5))
+    a = C.assign_nearest(df, [(0, 0.0, 0.0), (1, 50.0, 0.0), (2, 0.0, 60.0)])
+    assert C.cluster_members(a, 1).count() == 25
+    sizes = a.groupBy("cid").agg(F.count("*").alias("n"))
+    mu, n = 25.0, 75
+    s = ((mu - 40) ** 2 + (mu - 25) ** 2 + (mu - 10) ** 2) / n
+    big = [r.cid for r in C.oversized(sizes, 0.1).collect()]
+    small = [r.cid for r in C.undersized(sizes, 0.1).collect()]
+    assert big == [c for c, k in ((0, 40), (1, 25), (2, 10)) if k > mu + s * 0.1]
+    assert small == [c for c, k in ((2, 10), (1, 25), (0, 40)) if k < mu - s * 0.1]

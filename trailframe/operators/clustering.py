@@ -145,6 +145,33 @@ def imbalance(assigned: DataFrame, cid: str = "cid", kind: str = "coded") -> Dat
                  val.alias("imbalance"), F.sum("n").alias("n_points"))
 
 
+def cluster_members(assigned: DataFrame, cid: int, col: str = "cid") -> DataFrame:
+    """The points of one cluster (an equality filter on the id)."""
+    return assigned.where(F.col(col) == F.lit(int(cid)))
+
+
+def _size_bounds(sizes: DataFrame, tolerance: float) -> DataFrame:
+    # k rows: the global windows below see the size table only
+    w = Window.partitionBy(F.lit(1))
+    mu = F.avg("n").over(w)
+    s = F.sum((mu - F.col("n")) * (mu - F.col("n"))).over(w) / F.sum("n").over(w)
+    return sizes.withColumn("mu", mu).withColumn("s", s).withColumn("_tol", F.lit(float(tolerance)))
+
+
+def oversized(sizes: DataFrame, tolerance: float) -> DataFrame:
+    """Clusters with ``n > mu + s*tolerance`` (s = the A7 imbalance),
+    largest first."""
+    b = _size_bounds(sizes, tolerance)
+    return (b.where(F.col("n") > F.col("mu") + F.col("s") * F.col("_tol"))
+            .orderBy(F.col("n").desc(), "cid").drop("_tol"))
+
+
+def undersized(sizes: DataFrame, tolerance: float) -> DataFrame:
+    """Clusters with ``n < mu - s*tolerance``, smallest first."""
+    b = _size_bounds(sizes, tolerance)
+    return b.where(F.col("n") < F.col("mu") - F.col("s") * F.col("_tol")).orderBy("n", "cid").drop("_tol")
+
+
 def clustering_cost(points: DataFrame, centers: Sequence[Center], x: str = "x", y: str = "y") -> DataFrame:
     """A10: ``(cost, cost_distance, n)``: sum of squared distances to the
     nearest centre and ``sqrt(cost / n)``."""
