@@ -14,9 +14,11 @@ per-frame product:
   identical coordinates joins as one row;
 * the best candidate per detection is ``min(struct(dist, slot, x, y))``,
   which aggregates partially before its shuffle;
-* the join is a left join; a detection without a candidate closer than
-  ``radius`` is carried through the aggregation as an infinite-distance
-  sentinel, so no second join back onto the facts is needed.
+* the join is a left join; pairs at or beyond ``radius`` are dropped before
+  the aggregation except those of the point's own cell, so a detection
+  without a close candidate reaches the aggregation as an
+  infinite-distance sentinel and no second join back onto the facts is
+  needed.
 
 A hot ``(frame, cell)`` key is split by AQE's skew-join handling (the query
 side is split, the candidate side replicated).
@@ -65,7 +67,8 @@ def match_next_frame(det: DataFrame, radius: float = 100.0, on_miss: str = "null
     query = (pts.withColumn("o", F.explode(offsets))
              .select("frame", "slot", "x", "y",
                      (_cell("x", side) + F.col("o.dx")).alias("cx"),
-                     (_cell("y", side) + F.col("o.dy")).alias("cy")))
+                     (_cell("y", side) + F.col("o.dy")).alias("cy"),
+                     ((F.col("o.dx") == 0) & (F.col("o.dy") == 0)).alias("home")))
 
     dx = F.col("x") - F.col("nx")
     dy = F.col("y") - F.col("ny")
@@ -75,8 +78,11 @@ def match_next_frame(det: DataFrame, radius: float = 100.0, on_miss: str = "null
     # left join: a query row whose cell holds no candidate survives with
     # NULLs and turns into the miss sentinel, so every detection reaches the
     # aggregation and no join back onto the facts is needed
+    # rows farther than the radius are dropped before the aggregation, except
+    # those of the point's own cell, which carry the miss when nothing is near
     pairs = (query.join(cand, ["frame", "cx", "cy"], "left")
              .withColumn("dist", dist)
+             .where((F.col("dist") < F.lit(float(radius))) | F.col("home"))
              .select("frame", "slot", "x", "y",
                      F.when(F.col("dist") < F.lit(float(radius)),
                             F.struct("dist", "nslot", "nx", "ny")).otherwise(miss).alias("m")))
