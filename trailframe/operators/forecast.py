@@ -2,9 +2,9 @@
 
 The reference moves each simulated agent on the driver, one model call per
 agent per tick.  Here a step is one projection over the whole agent table:
-both models score the current velocities, the new velocities move the
-agents, and the steps are unioned.  The plan grows with the number of steps,
-so the agent table is checkpointed every ``checkpoint_every`` steps.
+both models score the current velocities and the new velocities move the
+agents.  Every step is written to a step-partitioned table and the next
+step reads it back, so no plan grows with the number of steps.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from trailframe.functions.scalar import advance
 from trailframe.operators.regression import ModelPair
-from trailframe.session import cut_lineage
 
 
 def initial_agents(spark: SparkSession, n: int = 20, seed: int = 42) -> DataFrame:
@@ -32,28 +31,32 @@ def initial_agents(spark: SparkSession, n: int = 20, seed: int = 42) -> DataFram
 
 
 def forecast(agents: DataFrame, pair: ModelPair, n_steps: int, dt: float, speed: float = 3500.0,
-             key: tuple[str, ...] = ("agent",), checkpoint_every: int = 10) -> DataFrame:
+             key: tuple[str, ...] = ("agent",), out_path: str | None = None) -> DataFrame:
     """``(key..., step, cx, cy, vx, vy)`` for steps 0..n_steps.
 
     Each step predicts the new velocity from the OLD velocity pair (both
     models read the same input), then moves with the NEW velocity:
-    ``c += v_new * speed * dt``.  The starting table is checkpointed (the
-    union reads it once per step) and so is every ``checkpoint_every``-th
-    step, which bounds the plan; the steps in between are projections.
+    ``c += v_new * speed * dt``.
+
+    Every step is appended to a Parquet table partitioned by ``step`` (a
+    fresh folder under the checkpoint folder unless ``out_path`` is given)
+    and the next step reads the previous one back, pruned to its partition.
+    The plan of a step therefore never grows with the number of steps, a
+    lost executor only costs the current step, and the result is one scan.
     """
+    from trailframe.sources.text import scratch_path
+
+    spark = agents.sparkSession
+    out = out_path or scratch_path(spark, "forecast")
     lx, ly = list(pair.models)[:2]
     cols = [*key, "cx", "cy", "vx", "vy"]
-    cur = cut_lineage(agents.select(*cols))
-    out = [cur.withColumn("step", F.lit(0))]
+    agents.select(*cols).withColumn("step", F.lit(0)) \
+        .write.mode("overwrite").partitionBy("step").parquet(out)
     for s in range(1, n_steps + 1):
+        cur = spark.read.parquet(out).where(F.col("step") == F.lit(s - 1)).select(*cols)
         scored = pair.predict(cur.withColumnRenamed("vx", "x").withColumnRenamed("vy", "y"))
         nvx, nvy = F.col(f"pred_{lx}"), F.col(f"pred_{ly}")
-        cur = scored.select(*key, advance("cx", nvx, speed, dt).alias("cx"),
+        nxt = scored.select(*key, advance("cx", nvx, speed, dt).alias("cx"),
                             advance("cy", nvy, speed, dt).alias("cy"), nvx.alias("vx"), nvy.alias("vy"))
-        if checkpoint_every and s % checkpoint_every == 0:
-            cur = cut_lineage(cur)
-        out.append(cur.withColumn("step", F.lit(s)))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res.select(*key, "step", "cx", "cy", "vx", "vy")
+        nxt.withColumn("step", F.lit(s)).write.mode("append").partitionBy("step").parquet(out)
+    return spark.read.parquet(out).select(*key, F.col("step").cast("int").alias("step"), "cx", "cy", "vx", "vy")
