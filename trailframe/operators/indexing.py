@@ -38,9 +38,11 @@ def row_index(df: DataFrame, groups: Sequence[str], order: str, out: str,
     """
     groups = list(groups)
     d = df.withColumn(_B, F.floor(F.col(order) / F.lit(bucket_width)))
-    counts = d.groupBy(*groups, _B).agg(F.count(F.lit(1)).alias(_N))
-    offsets = _range_offsets(counts, groups)
     ranked = d.withColumn(_R, F.row_number().over(Window.partitionBy(*groups, _B).orderBy(order)))
+    # range sizes come from the ranked rows, which are already partitioned
+    # by (groups, range): no second shuffle of the facts
+    counts = ranked.groupBy(*groups, _B).agg(F.max(_R).alias(_N))
+    offsets = _range_offsets(counts, groups)
     return (ranked.join(offsets, [*groups, _B])
             .withColumn(out, (F.col(_OFF) + F.col(_R) - 1).cast("long"))
             .drop(_B, _R, _OFF))
