@@ -172,3 +172,30 @@ def test_detections_fixture_numbering(spark):
     assert agg.where("m != n - 1 or z != 0").count() == 0
     nf = det.select("frame").distinct().count()
     assert det.agg(F.max("frame")).first()[0] == nf - 1
+
+
+def test_three_hops_and_wide_features(spark):
+    from trailframe.operators import regression as RG
+
+    rows = [(f, 0, 1.0 + 0.1 * f, 2.0 + 0.05 * f) for f in range(10)]
+    rows += [(f, 1, 50.0 - 0.1 * f, 60.0) for f in range(10)]
+    det = spark.createDataFrame(rows, DET_SCHEMA)
+    tr = matching.build_transitions(det, hops=3, gate_limit=0.5, mode="delta", radius=5.0)
+    assert tr.columns == ["frame", "slot", "x1", "y1", "x2", "y2", "next_x", "next_y"]
+    r = tr.where("frame = 0 and slot = 0").first()
+    assert (r.x1, r.y1, r.x2, r.y2, r.next_x, r.next_y) == pytest.approx((0.1, 0.05, 0.1, 0.05, 0.1, 0.05))
+    pair = RG.fit_pair("linear", tr, ("x1", "y1", "x2", "y2"))
+    assert pair.predict(tr).count() == tr.count()
+
+
+def test_frame_numbering_ignores_session_time_zone(spark):
+    from conftest import SF_SMALL
+    from trailframe import fixtures as fx
+
+    base = fx.derive_detections(spark, SF_SMALL).orderBy("frame", "slot").collect()
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        other = fx.derive_detections(spark, SF_SMALL).orderBy("frame", "slot").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert base == other

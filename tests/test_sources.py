@@ -123,7 +123,8 @@ def test_station_clusters_job(spark, tmp_dir):
     p = os.path.join(tmp_dir, "st")
     TX.station_lines(src).write.text(p)
     out = jobs.station_clusters(spark, p, k=3, seed=1)
-    assert out.columns == ["lon", "lat", "prediction"] and out.count() == 40
+    assert out.columns == ["lon", "lat", "prediction", "r", "g", "b"] and out.count() == 40
+    assert {(r.r, r.g, r.b) for r in out.where("prediction = 0").collect()} == {(0, 0, 255)}
 
 
 def test_daily_dates(spark, tmp_dir):

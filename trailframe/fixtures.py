@@ -65,10 +65,12 @@ def derive_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select(
         F.date_trunc("hour", "ts").alias("hour"), "event_id",
         F.col("user_id").cast("double").alias("x"), F.col("value").alias("y"))
-    # hours are numbered through their epoch-hour number; ranges of 4096
+    # hours are numbered through their hour count since 1970 (day and hour
+    # fields, so the session time zone plays no part); ranges of 4096
     # hours (~170 days) are numbered per task
     frames = dense_index(ev, "hour", "frame",
-                         numeric=lambda h: F.floor(F.unix_micros(h.cast("timestamp")) / 3_600_000_000))
+                         numeric=lambda h: F.datediff(F.to_date(h), F.lit("1970-01-01").cast("date")) * 24
+                         + F.hour(h))
     slotted = row_index(ev, ["hour"], "event_id", "slot")
     return slotted.join(frames, "hour").select("frame", "slot", "x", "y")
 

@@ -91,10 +91,17 @@ def survey_segments(spark: SparkSession, path: str, cols: Sequence[str] = SURVEY
 
 
 def station_clusters(spark: SparkSession, path: str, k: int = 2000, seed: int = 1) -> DataFrame:
-    """Q7: fixed-width stations -> k-means on (lat, lon) -> ``(lon, lat, prediction)``."""
+    """Q7: fixed-width stations -> k-means on (lat, lon) ->
+    ``(lon, lat, prediction, r, g, b)``; the colour of a cluster id comes
+    from the three-stop ramp 0 -> blue, 1000 -> red, 2000 -> green (P13)."""
+    from trailframe.functions import scalar as S
+
     st = TX.read_stations(spark, path).where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     model = C.kmeans(st, k=k, seed=seed, cols=("lat", "lon"))
-    return C.cluster_assign(model, st, cols=("lat", "lon")).select("lon", "lat", "prediction")
+    out = C.cluster_assign(model, st, cols=("lat", "lon")).select("lon", "lat", "prediction")
+    packed = S.color_ramp("prediction", [(0.0, S.BLUE_ARGB), (1000.0, S.RED_ARGB), (2000.0, S.GREEN_ARGB)])
+    r, g, b = S.rgb_channels(packed)
+    return out.select("lon", "lat", "prediction", r.alias("r"), g.alias("g"), b.alias("b"))
 
 
 def balanced_clusters(points: DataFrame, k: int = 20, breakpoint: float = 2.0, tolerance: float = 1.0,
