@@ -268,10 +268,16 @@ def frame_initial_centers(points: DataFrame, k: int, seed: int, frame: str = "fr
             .select(frame, (F.col("_rn") - 1).cast("int").alias("cid"), "x", "y"))
 
 
-def frame_assign(points: DataFrame, centers: DataFrame, frame: str = "frame") -> DataFrame:
-    """J3 per frame: join each point to its frame's array of centres."""
+def frame_assign(points: DataFrame, centers: DataFrame, frame: str = "frame",
+                 broadcast_centers: bool = False) -> DataFrame:
+    """J3 per frame: join each point to its frame's array of centres.
+
+    ``broadcast_centers`` is set by callers that have checked the size of
+    the centre table (frames x k rows); otherwise the planner decides."""
     arr = centers.groupBy(frame).agg(F.collect_list(F.struct("cid", F.col("x").alias("cx"),
                                                              F.col("y").alias("cy"))).alias("_c"))
+    if broadcast_centers:
+        arr = F.broadcast(arr)
     xc, yc = F.col("x"), F.col("y")
     best = F.array_min(F.transform("_c", lambda c: F.struct(
         _d2(xc, yc, c["cx"], c["cy"]).alias("d2"), c["cid"].alias("cid"))))
@@ -280,8 +286,8 @@ def frame_assign(points: DataFrame, centers: DataFrame, frame: str = "frame") ->
 
 
 def frame_lloyd_step(points: DataFrame, centers: DataFrame, frame: str = "frame",
-                     on_empty: str = "keep") -> DataFrame:
-    a = frame_assign(points, centers, frame)
+                     on_empty: str = "keep", broadcast_centers: bool = False) -> DataFrame:
+    a = frame_assign(points, centers, frame, broadcast_centers)
     agg = a.groupBy(frame, "cid").agg(F.avg("x").alias("nx"), F.avg("y").alias("ny"))
     if on_empty == "drop":
         return agg.select(frame, "cid", F.col("nx").alias("x"), F.col("ny").alias("y"))
@@ -291,18 +297,22 @@ def frame_lloyd_step(points: DataFrame, centers: DataFrame, frame: str = "frame"
 
 def frame_kmeans(points: DataFrame, k: int = 20, passes: int = 20, seed: int = 7,
                  frame: str = "frame", key: str = "slot", on_empty: str = "keep",
-                 checkpoint_every: int = 1) -> DataFrame:
+                 checkpoint_every: int = 1, max_broadcast_centers: int = 2_000_000) -> DataFrame:
     """M7: one k-means per frame, all frames in one plan per pass.
 
     Returns ``(frame, cid, x, y)`` after ``passes`` Lloyd passes from
     hash-picked initial centres.  The centre table (k rows per frame) is
-    checkpointed every ``checkpoint_every`` passes.
+    checkpointed every ``checkpoint_every`` passes.  It is broadcast to the
+    points only when frames x k is at most ``max_broadcast_centers``
+    (counted once); a larger table is joined on ``frame`` by the planner.
     """
     pts = points.select(frame, key, "x", "y").persist()
     try:
+        n_frames = pts.select(frame).distinct().count()
+        small = n_frames * k <= max_broadcast_centers
         centers = frame_initial_centers(pts, k, seed, frame, key)
         for i in range(passes):
-            centers = frame_lloyd_step(pts, centers, frame, on_empty)
+            centers = frame_lloyd_step(pts, centers, frame, on_empty, broadcast_centers=small)
             if checkpoint_every and (i + 1) % checkpoint_every == 0:
                 centers = cut_lineage(centers)
         if passes == 0 or not checkpoint_every or passes % checkpoint_every:
