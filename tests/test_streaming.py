@@ -33,3 +33,20 @@ def test_stream_appends_each_frame_once(spark, tmp_dir):
     q.awaitTermination(120)
     got = sorted((r.frame, r.x, r.y) for r in TX.read_detections(spark, out).collect())
     assert got == first + [(3, 3.0, 3.0), (3, 8.0, 8.0)]
+
+
+def test_rerun_of_a_batch_is_idempotent(spark, tmp_dir):
+    from trailframe.operators import clustering as C  # noqa: F401
+
+    frames = os.path.join(tmp_dir, "frames")
+    os.makedirs(frames)
+    prefix = os.path.join(frames, "ants-")
+    _frame(prefix, 1, [(1, 1), (9, 8)])
+    out, ck = os.path.join(tmp_dir, "det"), os.path.join(tmp_dir, "ck")
+    q = extract_detections_stream(spark, frames, out, ck, k=2, passes=2, available_now=True)
+    q.awaitTermination(120)
+    # a second query with a fresh checkpoint replays batch 0 into the same folder
+    q = extract_detections_stream(spark, frames, out, os.path.join(tmp_dir, "ck2"), k=2, passes=2,
+                                  available_now=True)
+    q.awaitTermination(120)
+    assert TX.read_detections(spark, out).count() == 2

@@ -5,9 +5,9 @@ per frame to a file as frames are processed.  Here new frame files are
 picked up by a streaming ``image`` source; every micro-batch holds whole
 frames, so the batch job (dark pixels -> k-means per frame) runs on it
 unchanged inside ``foreachBatch`` and appends its detections to a Parquet
-table.  The checkpoint location records which files were processed, so a
-restarted query neither loses nor repeats frames, and a failed batch is
-re-run from the same files.
+table (one folder per micro-batch).  The checkpoint location records which
+files each batch took, so a restarted query neither loses nor repeats
+frames, and a batch re-run after a failure overwrites its own folder.
 """
 
 from __future__ import annotations
@@ -63,7 +63,11 @@ def extract_detections_stream(spark: SparkSession, frames_dir: str, out_path: st
         px = px.select("frame", "x", "y", F.monotonically_increasing_id().alias("pid"))
         centers = C.frame_kmeans(px, k=k, passes=passes, seed=seed, key="pid")
         det = centers.select("frame", F.col("cid").cast("long").alias("slot"), "x", "y")
-        TX.write_center_lines(det, out_path, fmt="parquet", mode="append")
+        # one folder per micro-batch, overwritten if the batch is re-run
+        # after a failure, so foreachBatch's at-least-once delivery still
+        # leaves each frame's detections exactly once
+        TX.write_center_lines(det, f"{out_path.rstrip('/')}/batch={int(batch_id)}", fmt="parquet",
+                              mode="overwrite")
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_location)
     if available_now:
