@@ -141,8 +141,8 @@ def test_forecast_matches_numpy_recursion(spark, trans):
     a0 = agents.toPandas()
     assert ((a0.cx >= 200) & (a0.cx < 400)).all() and ((a0.vx >= -1) & (a0.vx < 1)).all()
     assert (a0.cx == a0.cx.round()).all()
-    out = FC.forecast(agents, pair, n_steps=4, dt=0.01, speed=3500.0).toPandas()
-    assert len(out) == 20 * 5
+    out = FC.forecast(agents, pair, n_steps=4, dt=0.01, speed=3500.0, block=3).toPandas()
+    assert len(out) == 20 * 5 and sorted(out.step.unique()) == [0, 1, 2, 3, 4]
     mx, my = pair.models["next_x"], pair.models["next_y"]
     for _, ag in a0.iterrows():
         cx, cy, vx, vy = ag.cx, ag.cy, ag.vx, ag.vy

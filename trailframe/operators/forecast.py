@@ -3,8 +3,8 @@
 The reference moves each simulated agent on the driver, one model call per
 agent per tick.  Here a step is one projection over the whole agent table:
 both models score the current velocities and the new velocities move the
-agents.  Every step is written to a step-partitioned table and the next
-step reads it back, so no plan grows with the number of steps.
+agents.  Blocks of steps are chained projections written to a
+step-partitioned table; the next block reads the last step back.
 """
 
 from __future__ import annotations
@@ -31,32 +31,53 @@ def initial_agents(spark: SparkSession, n: int = 20, seed: int = 42) -> DataFram
 
 
 def forecast(agents: DataFrame, pair: ModelPair, n_steps: int, dt: float, speed: float = 3500.0,
-             key: tuple[str, ...] = ("agent",), out_path: str | None = None) -> DataFrame:
+             key: tuple[str, ...] = ("agent",), out_path: str | None = None, block: int = 10) -> DataFrame:
     """``(key..., step, cx, cy, vx, vy)`` for steps 0..n_steps.
 
     Each step predicts the new velocity from the OLD velocity pair (both
     models read the same input), then moves with the NEW velocity:
     ``c += v_new * speed * dt``.
 
-    Every step is appended to a Parquet table partitioned by ``step`` (a
-    fresh folder under the checkpoint folder unless ``out_path`` is given)
-    and the next step reads the previous one back, pruned to its partition.
-    The plan of a step therefore never grows with the number of steps, a
-    lost executor only costs the current step, and the result is one scan.
+    An agent's path depends on nothing but its own row, so ``block`` steps
+    are one chained projection (no shuffle): each step scores the previous
+    velocities and appends its state to a per-row trajectory array, which is
+    exploded into rows and appended to a Parquet table partitioned by
+    ``step`` (a fresh folder under the checkpoint folder unless
+    ``out_path`` is given).  The next block starts from the last step read
+    back from that table, so plans stay bounded and a lost executor costs at
+    most one block.
     """
     from trailframe.sources.text import scratch_path
 
+    if n_steps < 0 or block < 1:
+        raise ValueError("n_steps must be >= 0 and block >= 1")
     spark = agents.sparkSession
     out = out_path or scratch_path(spark, "forecast")
     lx, ly = list(pair.models)[:2]
-    cols = [*key, "cx", "cy", "vx", "vy"]
-    agents.select(*cols).withColumn("step", F.lit(0)) \
-        .write.mode("overwrite").partitionBy("step").parquet(out)
-    for s in range(1, n_steps + 1):
-        cur = spark.read.parquet(out).where(F.col("step") == F.lit(s - 1)).select(*cols)
-        scored = pair.predict(cur.withColumnRenamed("vx", "x").withColumnRenamed("vy", "y"))
-        nvx, nvy = F.col(f"pred_{lx}"), F.col(f"pred_{ly}")
-        nxt = scored.select(*key, advance("cx", nvx, speed, dt).alias("cx"),
-                            advance("cy", nvy, speed, dt).alias("cy"), nvx.alias("vx"), nvy.alias("vy"))
-        nxt.withColumn("step", F.lit(s)).write.mode("append").partitionBy("step").parquet(out)
-    return spark.read.parquet(out).select(*key, F.col("step").cast("int").alias("step"), "cx", "cy", "vx", "vy")
+    state = ["cx", "cy", "vx", "vy"]
+
+    def point(step):
+        return F.struct(F.lit(step).alias("step"), *[F.col(c).alias(c) for c in state])
+
+    cur = agents.select(*key, *state)
+    first = 0
+    mode = "overwrite"
+    while True:
+        last = min(first + block, n_steps)
+        df = cur.withColumn("_traj", F.array(point(first)) if first == 0 else
+                            F.array().cast(f"array<struct<step:int,{','.join(c + ':double' for c in state)}>>"))
+        for s in range(first + 1, last + 1):
+            scored = pair.predict(df.withColumn("x", F.col("vx")).withColumn("y", F.col("vy")))
+            nvx, nvy = F.col(f"pred_{lx}"), F.col(f"pred_{ly}")
+            df = scored.select(*key, advance("cx", nvx, speed, dt).alias("cx"),
+                               advance("cy", nvy, speed, dt).alias("cy"),
+                               nvx.alias("vx"), nvy.alias("vy"), "_traj")
+            df = df.withColumn("_traj", F.concat("_traj", F.array(point(s))))
+        rows = df.select(*key, F.explode("_traj").alias("_p")).select(*key, "_p.*")
+        rows.write.mode(mode).partitionBy("step").parquet(out)
+        mode = "append"
+        if last >= n_steps:
+            break
+        first = last
+        cur = spark.read.parquet(out).where(F.col("step") == F.lit(last)).select(*key, *state)
+    return spark.read.parquet(out).select(*key, F.col("step").cast("int").alias("step"), *state)

@@ -24,24 +24,7 @@ def _r(c, n=R6):
 
 # ---------------------------------------------------------------- SQL pieces
 
-DET = """det as (
-  select (dense_rank() over (order by h) - 1)::bigint as frame,
-         (row_number() over (partition by h order by event_id) - 1)::bigint as slot, x, y
-  from (select date_trunc('hour', ts) h, event_id, cast(user_id as double) x, value y from events))"""
-
-BEST = """bst as (
-  select a.frame, a.slot,
-         arg_min(b.slot, (sqrt((a.x-b.x)**2 + (a.y-b.y)**2), b.slot)) nslot,
-         min(sqrt((a.x-b.x)**2 + (a.y-b.y)**2)) dist
-  from det a join det b on b.frame = a.frame + 1
-  where sqrt((a.x-b.x)**2 + (a.y-b.y)**2) < 100 group by 1, 2)"""
-
-MATCHED = """mt as (
-  select d.frame, d.slot, d.x, d.y, m.nslot, b.x bx, b.y by_, m.dist
-  from det d left join bst m using (frame, slot)
-  left join det b on b.frame = d.frame + 1 and b.slot = m.nslot)"""
-
-NFRAMES = "(select max(frame) + 1 from det)"
+from trailframe.plans.sql_common import BEST, DET, MATCHED, NFRAMES, TRANSITIONS_POSITION  # noqa: E402
 
 GRID_CELLS = 720 * 480
 
@@ -155,11 +138,7 @@ SQL = {
     "detections": f"with {DET} select frame, slot, x, y from det",
     "match_next_frame": f"""with {DET}, {BEST}, {MATCHED}
 select frame, slot, nslot, coalesce(bx, 0.0) nx, coalesce(by_, 0.0) ny, round(dist, 6) dist from mt""",
-    "transitions": f"""with {DET}, {BEST}, {MATCHED},
-o as (select frame, slot, coalesce(bx, 0.0) nx, coalesce(by_, 0.0) ny from mt)
-select a.frame, a.slot, a.nx x, a.ny y, b.nx next_x, b.ny next_y
-from o a join o b on b.frame = a.frame + 1 and b.slot = a.slot
-where a.frame < {NFRAMES} - 5 and abs(b.nx - a.nx) <= 25 and abs(b.ny - a.ny) <= 25""",
+    "transitions": TRANSITIONS_POSITION,
     "transitions_delta": f"""with {DET}, {BEST}, {MATCHED}
 select a.frame, a.slot, round(a.bx - a.x, 6) x, round(a.by_ - a.y, 6) y,
        round(b.bx - b.x, 6) next_x, round(b.by_ - b.y, 6) next_y

@@ -168,10 +168,9 @@ select frame, slot, x, y from det""",
 
 
 def _transitions_sql() -> str:
-    from trailframe.plans.catalog import SQL as BASE
+    from trailframe.plans.sql_common import TRANSITIONS_POSITION
 
-    s = BASE["transitions"]
-    return s.replace("select a.frame, a.slot, a.nx x, a.ny y, b.nx next_x, b.ny next_y",
+    return TRANSITIONS_POSITION.replace("select a.frame, a.slot, a.nx x, a.ny y, b.nx next_x, b.ny next_y",
                      "select a.nx x, a.ny y, b.nx next_x")
 
 

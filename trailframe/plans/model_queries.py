@@ -17,7 +17,7 @@ from trailframe import fixtures as fx
 from trailframe.operators import forecast as FC
 from trailframe.operators import matching
 from trailframe.operators import regression as RG
-from trailframe.plans.catalog import BEST, DET, MATCHED, NFRAMES
+from trailframe.plans.sql_common import BEST, DET, MATCHED, NFRAMES
 
 SPLIT_SEED = 42
 GATE = 25.0
