@@ -30,6 +30,13 @@ def test_linear_matches_least_squares(spark, trans):
         assert list(m.coefficients) == pytest.approx(list(coef[1:]), abs=1e-8)
 
 
+def test_linear_expression_equals_model_transform(spark, trans):
+    pair = RG.fit_pair("linear", trans)
+    fast = pair.predict(trans).orderBy("frame", "slot").toPandas()
+    slow = pair.models["next_x"].transform(RG.assemble(trans, ["x", "y"])).orderBy("frame", "slot").toPandas()
+    assert (fast["pred_next_x"].to_numpy() == slow["pred_next_x"].to_numpy()).all()
+
+
 def test_predict_pair_reads_old_features_and_rmse(spark, trans):
     pair = RG.fit_pair("linear", trans)
     scored = pair.predict(trans).toPandas()

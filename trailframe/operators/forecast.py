@@ -41,11 +41,11 @@ def forecast(agents: DataFrame, pair: ModelPair, n_steps: int, dt: float, speed:
     An agent's path depends on nothing but its own row, so ``block`` steps
     are one chained projection (no shuffle): each step scores the previous
     velocities and appends its state to a per-row trajectory array, which is
-    exploded into rows and appended to a Parquet table partitioned by
-    ``step`` (a fresh folder under the checkpoint folder unless
+    exploded into rows and written to its own ``block=<first step>`` folder
+    of a Parquet table (a fresh folder under the checkpoint folder unless
     ``out_path`` is given).  The next block starts from the last step read
-    back from that table, so plans stay bounded and a lost executor costs at
-    most one block.
+    back from the previous block's folder, so plans stay bounded and a lost
+    executor costs at most one block.
     """
     from trailframe.sources.text import scratch_path
 
@@ -61,23 +61,54 @@ def forecast(agents: DataFrame, pair: ModelPair, n_steps: int, dt: float, speed:
 
     cur = agents.select(*key, *state)
     first = 0
-    mode = "overwrite"
+    linear = pair.kind == "linear" and len(pair.features) == 2
     while True:
         last = min(first + block, n_steps)
-        df = cur.withColumn("_traj", F.array(point(first)) if first == 0 else
-                            F.array().cast(f"array<struct<step:int,{','.join(c + ':double' for c in state)}>>"))
-        for s in range(first + 1, last + 1):
-            scored = pair.predict(df.withColumn("x", F.col("vx")).withColumn("y", F.col("vy")))
-            nvx, nvy = F.col(f"pred_{lx}"), F.col(f"pred_{ly}")
-            df = scored.select(*key, advance("cx", nvx, speed, dt).alias("cx"),
-                               advance("cy", nvy, speed, dt).alias("cy"),
-                               nvx.alias("vx"), nvy.alias("vy"), "_traj")
-            df = df.withColumn("_traj", F.concat("_traj", F.array(point(s))))
+        if linear:
+            traj = _linear_fold(pair, point(first), first, last, speed, dt)
+            if first > 0:
+                traj = F.slice(traj, 2, last - first)
+            df = cur.withColumn("_traj", traj)
+        else:
+            df = cur.withColumn("_traj", F.array(point(first)) if first == 0 else
+                                F.array().cast(f"array<struct<step:int,{','.join(c + ':double' for c in state)}>>"))
+            for s in range(first + 1, last + 1):
+                scored = pair.predict(df.withColumn("x", F.col("vx")).withColumn("y", F.col("vy")))
+                nvx, nvy = F.col(f"pred_{lx}"), F.col(f"pred_{ly}")
+                df = scored.select(*key, advance("cx", nvx, speed, dt).alias("cx"),
+                                   advance("cy", nvy, speed, dt).alias("cy"),
+                                   nvx.alias("vx"), nvy.alias("vy"), "_traj")
+                df = df.withColumn("_traj", F.concat("_traj", F.array(point(s))))
         rows = df.select(*key, F.explode("_traj").alias("_p")).select(*key, "_p.*")
-        rows.write.mode(mode).partitionBy("step").parquet(out)
-        mode = "append"
+        block_dir = f"{out}/block={first}"
+        rows.write.mode("overwrite").parquet(block_dir)
         if last >= n_steps:
             break
         first = last
-        cur = spark.read.parquet(out).where(F.col("step") == F.lit(last)).select(*key, *state)
+        cur = spark.read.parquet(block_dir).where(F.col("step") == F.lit(last)).select(*key, *state)
     return spark.read.parquet(out).select(*key, F.col("step").cast("int").alias("step"), *state)
+
+
+def _linear_fold(pair: ModelPair, start, first: int, last: int, speed: float, dt: float):
+    """Trajectory of steps ``first..last`` for a linear velocity model as a
+    per-row fold (``aggregate`` over the step numbers): each step reads only
+    the previous element, so the expression stays linear in the number of
+    steps (chained projections would inline every earlier step twice)."""
+    (lx, mx), (ly, my) = list(pair.models.items())[:2]
+
+    def lin(m, vx, vy):
+        c = [float(v) for v in m.coefficients]
+        return (F.lit(c[0]) * vx + F.lit(c[1]) * vy) + F.lit(float(m.intercept))
+
+    def step(acc, s):
+        p = F.element_at(acc, -1)
+        nvx, nvy = lin(mx, p["vx"], p["vy"]), lin(my, p["vx"], p["vy"])
+        nxt = F.struct(s.cast("int").alias("step"),
+                       (p["cx"] + nvx * F.lit(float(speed)) * F.lit(float(dt))).alias("cx"),
+                       (p["cy"] + nvy * F.lit(float(speed)) * F.lit(float(dt))).alias("cy"),
+                       nvx.alias("vx"), nvy.alias("vy"))
+        return F.concat(acc, F.array(nxt))
+
+    if last <= first:
+        return F.array(start)
+    return F.aggregate(F.sequence(F.lit(first + 1), F.lit(last)), F.array(start), step)

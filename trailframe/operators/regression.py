@@ -174,13 +174,25 @@ class ModelPair:
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Both predictions from the SAME input features (each model is
-        a projection; no shuffle)."""
+        a projection; no shuffle).  Gaussian / identity linear models are
+        scored with a column expression (``dot(coef, x) + intercept`` in the
+        estimator's own order of operations), so no feature vector is built;
+        other models go through their ``transform``."""
+        if self.kind == "linear" and "features" not in df.columns:
+            return df.withColumns({f"pred_{lab}": self._linear_expr(m) for lab, m in self.models.items()})
         out = df if "features" in df.columns else assemble(df, self.features)
         for m in self.models.values():
             out = m.transform(out)
         drop = [c for c in out.columns if (c == "features" or c.startswith("indexed_")) and c not in df.columns]
         return out.drop(*drop)
 
+    def _linear_expr(self, model):
+        dot = None
+        for f, c in zip(self.features, model.coefficients):
+            term = F.lit(float(c)) * F.col(f).cast("double")
+            dot = term if dot is None else dot + term
+        return dot + F.lit(float(model.intercept))
+
 
 def fit_pair(kind: str, train: DataFrame, features: Sequence[str] = ("x", "y"),
              labels: Sequence[str] = LABELS, seed: int = 42, parallel: bool = True, **kw) -> ModelPair:
