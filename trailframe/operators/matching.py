@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailframe.operators.indexing import row_index
+from trailframe.session import cut_lineage
 
 _MISS = ("origin", "zero_delta", "null", "drop")
 
@@ -175,6 +176,11 @@ def build_transitions(det: DataFrame, hops: int = 2, gate_limit: float = 0.5,
     if mode not in ("delta", "position"):
         raise ValueError("mode must be 'delta' or 'position'")
     matched = match_next_frame(det, radius=radius, on_miss=on_miss)
+    if hops > 1:
+        # the lookahead joins the matched table with itself; the frame filter
+        # is pushed into one side only, so without a cut the match would run
+        # once per side
+        matched = cut_lineage(matched)
     la = gate(lookahead(matched, hops=hops, chain=chain, det=det, tail_skip=tail_skip), hops, gate_limit)
     if on_miss == "null":
         la = la.where(F.col(f"nx{hops - 1}").isNotNull() & F.col(f"ny{hops - 1}").isNotNull())

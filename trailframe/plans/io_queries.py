@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailframe import fixtures as fx
-from trailframe.operators import clustering as C
 from trailframe.operators import matching
 from trailframe.plans import jobs
 from trailframe.sources import text as TX
