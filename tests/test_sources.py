@@ -76,7 +76,10 @@ def test_center_lines_parse_and_roundtrip(spark, tmp_dir):
     pq = os.path.join(tmp_dir, "det-pq")
     TX.write_center_lines(det, pq, fmt="parquet", frames_per_folder=2)
     assert sorted(os.listdir(pq))[:2] == ["_SUCCESS", "frame_block=0"] or "frame_block=0" in os.listdir(pq)
-    assert TX.read_detections(spark, pq, start=2).count() == 3
+    assert TX.read_detections(spark, pq, start=2, frames_per_folder=2).count() == 3
+    plan = TX.read_detections(spark, pq, start=2, stop=3, frames_per_folder=2)._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(frame_block" in plan and "PushedFilters: [IsNotNull(frame)" in plan
 
 
 def test_transitions_csv(spark, tmp_dir):

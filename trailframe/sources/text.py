@@ -113,14 +113,22 @@ def write_center_lines(det: DataFrame, path: str, fmt: str = "parquet", mode: st
         raise ValueError("fmt must be 'parquet' or 'text'")
 
 
-def read_detections(spark: SparkSession, path: str, start: int | None = None, stop: int | None = None) -> DataFrame:
-    """Parquet detections written by :func:`write_center_lines`; a frame
-    range prunes ``frame_block`` folders and row groups."""
+def read_detections(spark: SparkSession, path: str, start: int | None = None, stop: int | None = None,
+                    frames_per_folder: int = 1000) -> DataFrame:
+    """Parquet detections written by :func:`write_center_lines`.  A frame
+    range becomes a filter on ``frame`` (pushed to the row groups) and on
+    ``frame_block`` (``frames_per_folder`` as used by the writer), which
+    prunes whole folders before any file is opened."""
     df = spark.read.parquet(path)
+    blocked = "frame_block" in df.columns
     if start is not None:
         df = df.where(F.col("frame") >= F.lit(int(start)))
+        if blocked:
+            df = df.where(F.col("frame_block") >= F.lit(int(start) // int(frames_per_folder)))
     if stop is not None:
         df = df.where(F.col("frame") < F.lit(int(stop)))
+        if blocked:
+            df = df.where(F.col("frame_block") <= F.lit((int(stop) - 1) // int(frames_per_folder)))
     return df.select("frame", "slot", "x", "y")
 
 
