@@ -189,3 +189,13 @@ def test_members_oversized_undersized(spark):
     small = [r.cid for r in C.undersized(sizes, 0.1).collect()]
     assert big == [c for c, k in ((0, 40), (1, 25), (2, 10)) if k > mu + s * 0.1]
     assert small == [c for c, k in ((2, 10), (1, 25), (0, 40)) if k < mu - s * 0.1]
+
+
+def test_frame_kmeans_early_stop_gives_the_converged_centres(spark):
+    rows = [(f, s, float((s % 2) * 40 + s * 0.01), float((s % 2) * 40)) for f in range(3) for s in range(20)]
+    det = spark.createDataFrame(rows, "frame long, slot long, x double, y double")
+    full = sorted(C.frame_kmeans(det, k=2, passes=15, seed=7).collect())
+    early = sorted(C.frame_kmeans(det, k=2, passes=15, seed=7, tol=1e-9).collect())
+    assert [(r.frame, r.cid) for r in full] == [(r.frame, r.cid) for r in early]
+    for a, b in zip(full, early):
+        assert a.x == pytest.approx(b.x) and a.y == pytest.approx(b.y)

@@ -297,7 +297,8 @@ def frame_lloyd_step(points: DataFrame, centers: DataFrame, frame: str = "frame"
 
 def frame_kmeans(points: DataFrame, k: int = 20, passes: int = 20, seed: int = 7,
                  frame: str = "frame", key: str = "slot", on_empty: str = "keep",
-                 checkpoint_every: int = 1, max_broadcast_centers: int = 2_000_000) -> DataFrame:
+                 checkpoint_every: int = 1, max_broadcast_centers: int = 2_000_000,
+                 tol: float | None = None) -> DataFrame:
     """M7: one k-means per frame, all frames in one plan per pass.
 
     Returns ``(frame, cid, x, y)`` after ``passes`` Lloyd passes from
@@ -305,6 +306,9 @@ def frame_kmeans(points: DataFrame, k: int = 20, passes: int = 20, seed: int = 7
     checkpointed every ``checkpoint_every`` passes.  It is broadcast to the
     points only when frames x k is at most ``max_broadcast_centers``
     (counted once); a larger table is joined on ``frame`` by the planner.
+    With ``tol``, passes stop early once no centre of any frame moved more
+    than ``tol`` in x or y (one small aggregate over the centre table per
+    pass); without it exactly ``passes`` passes run.
     """
     pts = points.select(frame, key, "x", "y").persist()
     try:
@@ -312,9 +316,12 @@ def frame_kmeans(points: DataFrame, k: int = 20, passes: int = 20, seed: int = 7
         small = n_frames * k <= max_broadcast_centers
         centers = frame_initial_centers(pts, k, seed, frame, key)
         for i in range(passes):
+            old = centers
             centers = frame_lloyd_step(pts, centers, frame, on_empty, broadcast_centers=small)
             if checkpoint_every and (i + 1) % checkpoint_every == 0:
                 centers = cut_lineage(centers)
+            if tol is not None and _max_shift(old, centers, frame) <= tol:
+                break
         if passes == 0 or not checkpoint_every or passes % checkpoint_every:
             centers = cut_lineage(centers)
     finally:
@@ -322,6 +329,14 @@ def frame_kmeans(points: DataFrame, k: int = 20, passes: int = 20, seed: int = 7
     return centers
 
 
+def _max_shift(old: DataFrame, new: DataFrame, frame: str) -> float:
+    o = old.select(frame, "cid", F.col("x").alias("ox"), F.col("y").alias("oy"))
+    d = new.join(o, [frame, "cid"]).select(
+        F.greatest(F.abs(F.col("x") - F.col("ox")), F.abs(F.col("y") - F.col("oy"))).alias("d"))
+    m = d.agg(F.max("d")).first()[0]
+    return float(m) if m is not None else 0.0
+
+
 # ------------------------------------------------ similar-size k-means (M8)
 
 @dataclass

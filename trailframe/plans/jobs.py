@@ -17,16 +17,19 @@ from trailframe.sources import text as TX
 
 def extract_detections(spark: SparkSession, frames_path: str, out_path: str | None = None,
                        start: int | None = None, stop: int | None = None, k: int = 20,
-                       passes: int = 20, threshold: float = 220.0, seed: int = 7) -> DataFrame:
+                       passes: int = 20, threshold: float = 220.0, seed: int = 7,
+                       tol: float | None = None) -> DataFrame:
     """Q1: frames -> dark pixels -> k-means per frame -> detections.
 
     All frames are clustered together, one plan per Lloyd pass (the
-    reference runs a separate fit per frame from the driver).  Centre ids
-    become slots.  With ``out_path`` the detections are appended as Parquet.
+    reference runs a separate fit per frame from the driver): ``passes``
+    passes, or fewer with ``tol`` once no centre of any frame moves more
+    than ``tol`` (with many frames some frame is nearly always still moving,
+    so the check rarely pays).  Centre ids become slots.  With ``out_path`` the detections are appended as Parquet.
     """
     px = FR.pixels(FR.read_frames(spark, frames_path, start, stop), threshold)
     px = px.select("frame", "x", "y", F.monotonically_increasing_id().alias("pid"))
-    centers = C.frame_kmeans(px, k=k, passes=passes, seed=seed, key="pid")
+    centers = C.frame_kmeans(px, k=k, passes=passes, seed=seed, key="pid", tol=tol)
     det = centers.select("frame", F.col("cid").cast("long").alias("slot"), "x", "y")
     if out_path:
         TX.write_center_lines(det, out_path, fmt="parquet")
