@@ -199,3 +199,23 @@ def test_frame_numbering_ignores_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert base == other
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(pts=st.lists(st.tuples(st.integers(0, 3), st.integers(0, 40), st.integers(0, 40)), min_size=1, max_size=40),
+       radius=st.sampled_from([1.0, 5.0, 12.5, 30.0]), cell=st.sampled_from([None, 2.0, 7.0, 50.0]))
+def test_match_property_equals_brute_force(spark, pts, radius, cell):
+    slots = {}
+    rows = []
+    for f, x, y in pts:
+        s = slots.get(f, 0)
+        slots[f] = s + 1
+        rows.append((f, s, float(x) / 2, float(y) / 2))
+    det = spark.createDataFrame(rows, DET_SCHEMA)
+    got = {(r.frame, r.slot): r.nslot for r in matching.match_next_frame(det, radius, "null", cell).collect()}
+    want = brute_match(rows, radius)
+    assert got == {k: (None if w is None else w[1]) for k, w in want.items()}
