@@ -133,11 +133,13 @@ def test_tail_skip_follows_frame_count(spark):
     assert sorted(r.frame for r in la.collect()) == [0, 1, 2, 3, 4]
 
 
-def test_memory_features_equal_window_form(spark):
+@pytest.mark.parametrize("width", [1 << 16, 7, 2])
+def test_memory_features_equal_window_form(spark, width):
     rnd = random.Random(3)
     rows = [(rnd.randrange(4), i * 3 + rnd.randrange(2), rnd.random(), rnd.random()) for i in range(300)]
     df = spark.createDataFrame(rows, "track long, step long, x double, y double")
-    a = matching.memory_features(df, k=4).toPandas().sort_values(["track", "step"]).reset_index(drop=True)
+    a = matching.memory_features(df, k=4, bucket_width=width).toPandas().sort_values(["track", "step"]) \
+        .reset_index(drop=True)
     b = matching.memory_features_window(df, k=4).toPandas().sort_values(["track", "step"]).reset_index(drop=True)
     assert list(a.columns) == list(b.columns)
     assert a.equals(b)

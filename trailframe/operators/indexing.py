@@ -29,12 +29,13 @@ def _range_offsets(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 
 def row_index(df: DataFrame, groups: Sequence[str], order: str, out: str,
-              bucket_width: int = 1 << 16) -> DataFrame:
+              bucket_width: int = 1 << 16, keep_range: str | None = None) -> DataFrame:
     """0-based ``row_number`` within ``groups`` ordered by numeric ``order``.
 
     Rows with equal ``order`` inside a group are numbered in arbitrary order,
     exactly like ``row_number``.  ``bucket_width`` bounds the rows one task
-    numbers when ``order`` is a unique integer key.
+    numbers when ``order`` is a unique integer key.  ``keep_range`` names a
+    column that keeps the range id (rows stay partitioned by it).
     """
     groups = list(groups)
     d = df.withColumn(_B, F.floor(F.col(order) / F.lit(bucket_width)))
@@ -43,9 +44,11 @@ def row_index(df: DataFrame, groups: Sequence[str], order: str, out: str,
     # by (groups, range): no second shuffle of the facts
     counts = ranked.groupBy(*groups, _B).agg(F.max(_R).alias(_N))
     offsets = _range_offsets(counts, groups)
-    return (ranked.join(offsets, [*groups, _B])
-            .withColumn(out, (F.col(_OFF) + F.col(_R) - 1).cast("long"))
-            .drop(_B, _R, _OFF))
+    res = (ranked.join(offsets, [*groups, _B])
+           .withColumn(out, (F.col(_OFF) + F.col(_R) - 1).cast("long")))
+    if keep_range:
+        res = res.withColumnRenamed(_B, keep_range)
+    return res.drop(_B, _R, _OFF)
 
 
 def dense_index(df: DataFrame, key: str, out: str, bucket_width: int = 4096,

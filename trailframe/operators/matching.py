@@ -200,29 +200,45 @@ def build_transitions(det: DataFrame, hops: int = 2, gate_limit: float = 0.5,
 
 
 def memory_features(tracks: DataFrame, k: int = 4, cols=("x", "y"),
-                    track: str = "track", step: str = "step") -> DataFrame:
+                    track: str = "track", step: str = "step", bucket_width: int = 1 << 16) -> DataFrame:
     """For every step with k earlier steps on its track, the k earlier
     values of each column (``x1`` oldest .. ``xk`` newest) and the current
     values as labels ``next_<col>``.
 
-    No window over a whole track: steps are numbered per track with
-    :func:`row_index` (range-split), then each row is sent to the k+1 rows
-    whose memory it belongs to and regrouped on the unique key
-    ``(track, seq)``; every group has at most k+1 rows.
+    No window ever holds a whole track.  Steps are numbered with
+    :func:`row_index`, whose ranges of ``bucket_width`` steps are each one
+    window partition; ``lag`` inside that window gives every row whose k
+    predecessors lie in the same range.  Only the first k rows of a range
+    reach back across its start: they are completed by a small join against
+    the first and last k rows of every range (at most 2k rows per range).
+    The two parts are unioned, so the facts are shuffled once.
     """
-    seq = row_index(tracks.select(track, step, *cols), [track], step, "_seq")
-    lag = F.explode(F.sequence(F.lit(0), F.lit(k))).alias("_lag")
-    fanned = seq.select(track, step, "_seq", *cols, lag).withColumn("_at", F.col("_seq") + F.col("_lag"))
-    aggs = [F.max(F.when(F.col("_lag") == 0, F.col(step))).alias(step)]
-    for c in cols:
-        aggs.append(F.max(F.when(F.col("_lag") == 0, F.col(c))).alias(f"next_{c}"))
-        for i in range(1, k + 1):
-            aggs.append(F.max(F.when(F.col("_lag") == k + 1 - i, F.col(c))).alias(f"{c}{i}"))
-    aggs.append(F.count(F.lit(1)).alias("_n"))
-    grouped = fanned.groupBy(track, "_at").agg(*aggs)
-    feats = [f"{c}{i}" for i in range(1, k + 1) for c in cols]
-    return (grouped.where((F.col("_n") == k + 1) & F.col(step).isNotNull())
-            .select(track, step, *feats, *[f"next_{c}" for c in cols]))
+    cols = list(cols)
+    base = tracks.select(track, step, *cols)
+    d = row_index(base, [track], step, "_seq", bucket_width=bucket_width, keep_range="_rng")
+    part = Window.partitionBy(track, "_rng")
+    w = part.orderBy("_seq")
+    lag_name = {(c, i): f"_l_{c}_{i}" for c in cols for i in range(1, k + 1)}
+    d = (d.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(part))
+         .withColumns({n: F.lag(c, i).over(w) for (c, i), n in lag_name.items()}))
+
+    inner = d.where(F.col("_r") > k)
+    edge = F.col("_r") <= k
+    src = (d.where(edge | (F.col("_n") - F.col("_r") < k))
+           .select(track, F.col("_seq").alias("_src"), *[F.col(c).alias(f"_s_{c}") for c in cols]))
+    heads = (d.where(edge).select(track, step, "_seq", *cols)
+             .withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(k))))
+             .withColumn("_src", F.col("_seq") - F.col("_i")))
+    filled = (heads.join(src, [track, "_src"], "left")
+              .groupBy(track, step, "_seq", *cols)
+              .agg(*[F.max(F.when(F.col("_i") == i, F.col(f"_s_{c}"))).alias(n)
+                     for (c, i), n in lag_name.items()]))
+
+    keep = [track, step, "_seq", *cols, *lag_name.values()]
+    both = inner.select(*keep).unionByName(filled.select(*keep))
+    feats = [F.col(lag_name[(c, k + 1 - j)]).alias(f"{c}{j}") for j in range(1, k + 1) for c in cols]
+    return (both.where(F.col("_seq") >= k)
+            .select(track, step, *feats, *[F.col(c).alias(f"next_{c}") for c in cols]))
 
 
 def memory_features_window(tracks: DataFrame, k: int = 4, cols=("x", "y"),
