@@ -306,22 +306,21 @@ def frame_kmeans(points: DataFrame, k: int = 20, passes: int = 20, seed: int = 7
     checkpointed every ``checkpoint_every`` passes.  It is broadcast to the
     points only when frames x k is at most ``max_broadcast_centers``
     (counted once); a larger table is joined on ``frame`` by the planner.
-    With ``tol``, passes stop early once no centre of any frame moved more
-    than ``tol`` in x or y (one small aggregate over the centre table per
-    pass); without it exactly ``passes`` passes run.
+    With ``tol``, a frame stops once none of its centres moved more than
+    ``tol`` in x or y, and its points leave the later passes; without it
+    exactly ``passes`` passes run for every frame.
     """
     pts = points.select(frame, key, "x", "y").persist()
     try:
         n_frames = pts.select(frame).distinct().count()
         small = n_frames * k <= max_broadcast_centers
         centers = frame_initial_centers(pts, k, seed, frame, key)
+        if tol is not None:
+            return _frame_kmeans_freezing(pts, centers, passes, tol, frame, on_empty, small)
         for i in range(passes):
-            old = centers
             centers = frame_lloyd_step(pts, centers, frame, on_empty, broadcast_centers=small)
             if checkpoint_every and (i + 1) % checkpoint_every == 0:
                 centers = cut_lineage(centers)
-            if tol is not None and _max_shift(old, centers, frame) <= tol:
-                break
         if passes == 0 or not checkpoint_every or passes % checkpoint_every:
             centers = cut_lineage(centers)
     finally:
@@ -337,6 +336,32 @@ def _max_shift(old: DataFrame, new: DataFrame, frame: str) -> float:
     return float(m) if m is not None else 0.0
 
 
+def _frame_kmeans_freezing(pts: DataFrame, centers: DataFrame, passes: int, tol: float, frame: str,
+                           on_empty: str, small: bool) -> DataFrame:
+    """Per-frame convergence: a frame whose centres all moved at most
+    ``tol`` is frozen and its points drop out of later passes (the join
+    with the centre arrays keeps only moving frames)."""
+    active = cut_lineage(centers)
+    frozen = None
+    for _ in range(passes):
+        new = frame_lloyd_step(pts, active, frame, on_empty, broadcast_centers=small)
+        o = active.select(frame, "cid", F.col("x").alias("ox"), F.col("y").alias("oy"))
+        shift = (new.join(o, [frame, "cid"])
+                 .groupBy(frame)
+                 .agg(F.max(F.greatest(F.abs(F.col("x") - F.col("ox")),
+                                       F.abs(F.col("y") - F.col("oy")))).alias("_d")))
+        flagged = cut_lineage(new.join(shift, frame, "left")
+                              .withColumn("_done", F.coalesce(F.col("_d") <= F.lit(float(tol)), F.lit(True)))
+                              .drop("_d"))
+        done = flagged.where("_done").drop("_done")
+        frozen = done if frozen is None else frozen.unionByName(done)
+        active = flagged.where(~F.col("_done")).drop("_done")
+        if active.isEmpty():
+            break
+    out = active if frozen is None else frozen.unionByName(active)
+    return cut_lineage(out)
+
+
 # ------------------------------------------------ similar-size k-means (M8)
 
 @dataclass

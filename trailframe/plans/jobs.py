@@ -23,9 +23,10 @@ def extract_detections(spark: SparkSession, frames_path: str, out_path: str | No
 
     All frames are clustered together, one plan per Lloyd pass (the
     reference runs a separate fit per frame from the driver): ``passes``
-    passes, or fewer with ``tol`` once no centre of any frame moves more
-    than ``tol`` (with many frames some frame is nearly always still moving,
-    so the check rarely pays).  Centre ids become slots.  With ``out_path`` the detections are appended as Parquet.
+    passes, or with ``tol`` a frame whose centres moved at most ``tol`` is
+    frozen and leaves the later passes (pays off when passes are expensive;
+    on small inputs the extra per-pass bookkeeping costs more than it saves).
+    Centre ids become slots.  With ``out_path`` the detections are appended as Parquet.
     """
     px = FR.pixels(FR.read_frames(spark, frames_path, start, stop), threshold)
     px = px.select("frame", "x", "y", F.monotonically_increasing_id().alias("pid"))
