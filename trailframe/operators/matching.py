@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailframe.operators.indexing import row_index
@@ -104,7 +104,7 @@ def match_next_frame(det: DataFrame, radius: float = 100.0, on_miss: str = "null
                        F.when(hit, F.col("dist")).alias("dist"))
 
 
-def frame_count(det: DataFrame) -> "F.Column":
+def frame_count(det: DataFrame) -> Column:
     """Number of frames as a scalar subquery (frames are numbered from 0)."""
     return det.select((F.max("frame") + 1).alias("n")).scalar()
 
