@@ -5,9 +5,24 @@ those that SQL can express."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trailframe.llm import chat, packing, sentencepiece_codec, token_counts
-from trailframe.llm.common import prepare, table
+from trailframe.llm import (ann, chat, jaccard, langid, neardup, packing, quality, sentencepiece_codec, substring,
+                            token_counts)
+from trailframe.llm.common import crc_mod, prepare, table
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, quality.teaching(table(spark, sf_dir, "labels")))
+    return quality.score(docs, model).select(
+        "doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,12 +40,38 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_control_case(spark, table(spark, sf_dir, "conversations")))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(crc_mod("doc_id", 4) != 2))
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_sentencepiece, op5_chat_format, op8_packing)}
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.remove_repeats(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality, op2_near_duplicates, op3_token_counts, op4_sentencepiece, op5_chat_format, op6_language_id,
+    op7_ngram_jaccard, op8_packing, op9_nearest, op10_substring_dedup)}
 
 _ESC = chat.CONTROL_BODIES.replace("'", "''")
 SQL = {

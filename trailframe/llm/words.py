@@ -9,6 +9,7 @@ modulo 2**64 read off prefix sums, followed by a mixing step.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 P_BYTE = 0x9E3779B97F4A7C15
@@ -83,12 +84,13 @@ def windows(h: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return mix((total[size:] - total[:-size]) * inv[:n])
 
 
-def batches(texts: list, limit: int = 1 << 20):
-    """Slices of a list of texts (None: empty) of about ``limit`` bytes,
+def batches(texts, limit: int = 1 << 20):
+    """Slices of an Arrow text column (null: empty) of about ``limit`` bytes,
     as ``(first, [bytes])``; a longer text is a slice of its own."""
     first, part, size = 0, [], 0
-    for i, t in enumerate(texts):
-        b = t.encode() if t else b""
+    wide = pa.types.is_large_string(texts.type)
+    for i, t in enumerate(texts.cast(pa.large_binary() if wide else pa.binary()).to_pylist()):
+        b = t or b""
         if part and size + len(b) > limit:
             yield first, part
             first, part, size = i, [], 0
