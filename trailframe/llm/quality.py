@@ -2,19 +2,23 @@
 
 Two zstandard dictionaries are trained, one on good and one on bad labelled
 text.  A text is compressed with each, in blocks of ``BLOCK`` bytes that
-cover all of it; the difference of the two sizes per byte of text says which
-dictionary fits better, and a logistic curve fitted on labelled rows that
-the dictionaries have not seen turns it into a score.
+cover all of it.  The difference of the two sizes per byte of text says which
+dictionary fits better; a logistic curve of it, fitted on labelled rows that
+the dictionaries have not seen, is the score.  The curve also has the size
+per byte (how far a text compresses at all: mere repetition fits either
+dictionary equally well) and the logarithm of the length.  Its rows are
+weighted so that the classes have their true shares, which calibrates the
+score.
 
 Fitting uses at most about ``rows_per_class`` labelled rows of each class,
 chosen by a hash of the id, in one task; the two dictionaries and the curve
 (at most 2 x ``dict_bytes``, plus a few numbers) are broadcast.  Scoring is
 one pass over the scan without a shuffle.
 
-Cases: null and empty texts have difference 0, so their score is that of
-the curve at 0; repeated rows get equal scores; documents labelled both
+Cases: null and empty texts have difference, size and length 0, and the
+score of the curve there; repeated rows get equal scores; documents labelled both
 ways and null labels teach nothing; with no labelled row of one class every
-score is the share of good rows (0.5 without any); an empty table gives no
+score is near that class (0.5 without any); an empty table gives no
 rows; columns named like the new ones are replaced, others are kept.
 """
 
@@ -42,8 +46,8 @@ def blocks(data: bytes, size: int = BLOCK) -> list[bytes]:
 
 
 class Measure:
-    """Size difference per byte between the two dictionaries; positive where
-    the good one fits better."""
+    """Size difference per byte between the two dictionaries (positive where
+    the good one fits better), size per byte, logarithm of the length."""
 
     def __init__(self, good: bytes, bad: bytes, level: int = LEVEL):
         import zstandard as z
@@ -57,13 +61,15 @@ class Measure:
             held.precompute_compress(compression_params=par)
             self.by.append(z.ZstdCompressor(dict_data=held, compression_params=par).compress)
 
-    def __call__(self, text: str | None) -> float:
+    def __call__(self, text: str | None) -> tuple[float, float, float]:
         data = text.encode() if text else b""
         good, bad = self.by
-        diff = 0
+        size = diff = 0
         for b in blocks(data):
-            diff += len(bad(b)) - len(good(b))
-        return diff / (len(data) + 16)
+            n = len(good(b))
+            size += n
+            diff += len(bad(b)) - n
+        return diff / (len(data) + 16), size / (len(data) + 16), math.log(len(data) + 1)
 
 
 def train_dictionary(texts: list[str], size: int) -> bytes:
@@ -76,22 +82,24 @@ def train_dictionary(texts: list[str], size: int) -> bytes:
         return (b"\n".join(parts) or b"\n")[-size:]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of the logistic curve (Newton steps on the scaled
-    variable, a small ridge on the slope)."""
-    mu, sd = float(x.mean()), float(x.std()) or 1.0
-    a = np.stack(((x - mu) / sd, np.ones_like(x)), axis=1)
-    w = np.zeros(2)
-    reg = np.diag([ridge * len(x), 1e-9])
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4,
+             rounds: int = 60) -> list[float]:
+    """Coefficients and offset of the weighted logistic curve (Newton steps
+    on scaled variables, a small ridge)."""
+    mu, sd = x.mean(axis=0), x.std(axis=0)
+    sd = np.where(sd > 0, sd, 1.0)
+    a = np.column_stack(((x - mu) / sd, np.ones(len(x))))
+    w = np.zeros(a.shape[1])
+    reg = ridge * weight.sum() * np.eye(len(w))
+    reg[-1, -1] = 1e-9
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) + reg @ w
-        h = (a * (p * (1 - p))[:, None]).T @ a + reg + 1e-9 * np.eye(2)
-        step = np.linalg.solve(h, g)
+        h = (a * (weight * p * (1 - p))[:, None]).T @ a + reg
+        step = np.linalg.solve(h + 1e-9 * np.eye(len(w)), a.T @ (weight * (p - y)) + reg @ w)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / sd), float(w[1] - w[0] * mu / sd)
+    return [*(w[:-1] / sd).tolist(), float(w[-1] - (w[:-1] * mu / sd).sum())]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -118,24 +126,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         by = {c: [t for _, y, t in rows if y == c] for c in (0, 1)}
         fit_on = {c: [t for k, t in enumerate(v) if k % 4 < 3] for c, v in by.items()}
         test_on = {c: [t for k, t in enumerate(v) if k % 4 == 3] or v for c, v in by.items()}
+        good = bad = b""
         if not by[0] or not by[1]:
             p = 0.5 if not rows else float(len(by[1]) > 0) * 0.98 + 0.01
-            out = (b"", b"", 0.0, math.log(p / (1 - p)))
+            curve = [0.0, 0.0, 0.0, math.log(p / (1 - p))]
         else:
             good, bad = (train_dictionary(fit_on[c], dict_bytes) for c in (1, 0))
             m = Measure(good, bad, level)
             x = np.array([m(t) for c in (0, 1) for t in test_on[c]])
             y = np.array([float(c) for c in (0, 1) for _ in test_on[c]])
-            a, b = logistic(x, y)
-            out = (good, bad, a, b)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([out[0]], pa.binary()), pa.array([out[1]], pa.binary()),
-             pa.array([out[2]], pa.float64()), pa.array([out[3]], pa.float64())], names=["good", "bad", "a", "b"])
+            share = {c: n.get(c, 0) / len(test_on[c]) / sum(n.values()) * len(y) for c in (0, 1)}
+            curve = logistic(x, y, np.where(y == 1, share[1], share[0]))
+        yield pa.RecordBatch.from_arrays([pa.array([good], pa.binary()), pa.array([bad], pa.binary()),
+                                          pa.array([curve], pa.list_(pa.float64()))], names=["good", "bad", "curve"])
 
-    r = sample.mapInArrow(run, "good binary, bad binary, a double, b double").collect()
+    r = sample.mapInArrow(run, "good binary, bad binary, curve array<double>").collect()
     if not r:
-        return {"good": b"", "bad": b"", "a": 0.0, "b": 0.0, "level": level}
-    return {"good": bytes(r[0]["good"]), "bad": bytes(r[0]["bad"]), "a": r[0]["a"], "b": r[0]["b"], "level": level}
+        return {"good": b"", "bad": b"", "curve": [0.0] * 4, "level": level}
+    return {"good": bytes(r[0]["good"]), "bad": bytes(r[0]["bad"]), "curve": list(r[0]["curve"]), "level": level}
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text",
@@ -146,12 +154,13 @@ def score(docs: DataFrame, model: dict, text_col: str = "text",
 
     def make():
         m = shared.value
-        measure = Measure(m["good"], m["bad"], m["level"]) if m["good"] and m["bad"] else lambda t: 0.0
+        measure = Measure(m["good"], m["bad"], m["level"]) if m["good"] and m["bad"] else lambda t: (0.0, 0.0, 0.0)
+        *slope, offset = m["curve"]
 
         def run(texts):
             out = []
             for t in texts:
-                v = m["a"] * measure(t) + m["b"]
+                v = sum(c * x for c, x in zip(slope, measure(t))) + offset
                 out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, v)))))
             return [out, [int(s >= 0.5) for s in out]]
 
