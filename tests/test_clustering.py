@@ -1,5 +1,6 @@
 """J3, M5-M10, A4-A7, A10, L1, L2, E1 against numpy and hand-worked cases."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -39,12 +40,19 @@ def test_assign_nearest_matches_numpy_and_ties_to_low_id(spark):
     assert C.assign_nearest(tie, [(5, 1.0, 0.0), (2, -1.0, 0.0)]).first().cid == 2
 
 
-def test_many_centres_take_the_array_path(spark):
+def md5_key(seed, key):
+    return hashlib.md5(f"{seed}:{key}".encode()).hexdigest()
+
+
+def test_many_centres_as_list_and_as_table(spark):
     rnd = random.Random(1)
     pts = [(rnd.uniform(0, 100), rnd.uniform(0, 100)) for _ in range(300)]
-    cs = [(i, rnd.uniform(0, 100), rnd.uniform(0, 100)) for i in range(C.UNROLL_LIMIT + 20)]
+    cs = [(i, rnd.uniform(0, 100), rnd.uniform(0, 100)) for i in range(500)]
     got = [r.cid for r in C.assign_nearest(pts_df(spark, pts), cs).orderBy("id").collect()]
     assert got == np_assign(pts, cs)
+    table = spark.createDataFrame(cs, "cid int, x double, y double")
+    got = [r.cid for r in C.assign_nearest(pts_df(spark, pts), table).orderBy("id").collect()]
+    assert got == np_assign(pts, cs)
 
 
 def test_lloyd_cost_never_increases_and_converges(spark):
@@ -101,7 +109,7 @@ def test_sizes_imbalance_and_member(spark):
     pdf = a.toPandas()
     for c, i in m.items():
         mem = pdf[pdf.cid == c].id
-        want = min(mem, key=lambda v: ((v * 7919 + 11) % 104729, v))
+        want = min(mem, key=lambda v: (md5_key(11, v), v))
         assert i == want
 
 
@@ -112,6 +120,68 @@ def test_random_rows_stable_under_repartitioning(spark):
     assert a == b and len(a) == 5
 
 
+def test_sample_is_spread_over_all_ids(spark):
+    df = spark.range(10_000_000).withColumnRenamed("id", "id")
+    ids = np.array([r.id for r in C.random_rows(df, 1000, 7).collect()])
+    assert len(set(ids)) == 1000
+    deciles = np.histogram(ids, bins=10, range=(0, 10_000_000))[0]
+    assert deciles.min() >= 60 and deciles.max() <= 140
+
+
+def test_sample_keys_of_any_size(spark):
+    big = 2 ** 50
+    df = spark.createDataFrame([(big + i, float(i), 0.0) for i in range(20)] + [(2 ** 63 - 1, 1.0, 1.0)],
+                               "id long, x double, y double")
+    assert C.random_rows(df, 5, 7).count() == 5
+    a = C.assign_nearest(df, [(0, 0.0, 0.0), (1, 19.0, 0.0)])
+    assert C.random_member(a, 7).count() == 2
+
+
+def test_large_frame_is_cut_into_salts(spark):
+    rows = [(0 if s % 3 else 1, s, float(s % 7), float(s % 5)) for s in range(300)]
+    det = spark.createDataFrame(rows, "frame long, slot long, x double, y double")
+    a = {(r.frame, r.cid): (r.x, r.y) for r in C.frame_kmeans(det, k=3, passes=4, seed=7, rows_per_part=16).collect()}
+    b = {(r.frame, r.cid): (r.x, r.y) for r in C.frame_kmeans(det, k=3, passes=4, seed=7).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k] == pytest.approx(b[k])
+
+
+def test_frame_passes_do_not_move_points(spark):
+    det = spark.createDataFrame([(f, s, float(s), 0.0) for f in range(5) for s in range(40)],
+                                "frame long, slot long, x double, y double")
+    pts, salts = C._dealt_points(det, "frame", "slot", 1000)
+    pts.count()
+    step = C.frame_lloyd_step(pts, salts, C.frame_initial_centers(pts, 3, 7))
+    step.collect()
+    plan = step._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # the kept points feed the join directly: no exchange right above their scan
+    lines = plan.split("\n")
+    for i, line in enumerate(lines):
+        if "InMemoryTableScan" in line:
+            assert not any("Exchange hashpartitioning(frame" in x and "_salt" in x for x in lines[max(0, i - 4):i])
+    assert plan.count("array_min") <= 2
+    pts.unpersist()
+
+
+def test_frame_kmeans_flag(spark):
+    det = spark.createDataFrame([(f, s, float(s * s), 0.0) for f in range(3) for s in range(3 + 10 * f)],
+                                "frame long, slot long, x double, y double")
+    few = C.frame_kmeans(det, k=3, passes=1, seed=7, tol=0.0, with_flag=True).toPandas()
+    many = C.frame_kmeans(det, k=3, passes=40, seed=7, tol=1e-9, with_flag=True).toPandas()
+    assert few[few.frame == 0].converged.all() and not few[few.frame == 2].converged.any()
+    assert many.converged.all()
+
+
+def test_is_nearest(spark):
+    df = pts_df(spark, blobs(8))
+    model = C.kmeans(df, k=3, seed=1)
+    a = C.cluster_assign(model, df)
+    assert a.filter(~C.is_nearest(model, ("x", "y"))).count() == 0
+    wrong = a.withColumn("prediction", (F.col("prediction") + 1) % 3)
+    assert wrong.filter(C.is_nearest(model, ("x", "y"))).count() == 0
+
+
 def test_frame_kmeans_matches_per_frame_numpy(spark):
     rnd = np.random.default_rng(3)
     rows = []
@@ -123,7 +193,7 @@ def test_frame_kmeans_matches_per_frame_numpy(spark):
     got = C.frame_kmeans(det, k=2, passes=3, seed=7).toPandas()
     for f in range(4):
         fr = [(s, x, y) for ff, s, x, y in rows if ff == f]
-        init = sorted(fr, key=lambda t: ((t[0] * 7919 + 7) % 104729, t[0]))[:2]
+        init = sorted(fr, key=lambda t: (md5_key(7, t[0]), t[0]))[:2]
         c = np.array([(x, y) for _, x, y in init])
         p = np.array([(x, y) for _, x, y in fr])
         for _ in range(3):

@@ -133,17 +133,33 @@ def test_tail_skip_follows_frame_count(spark):
     assert sorted(r.frame for r in la.collect()) == [0, 1, 2, 3, 4]
 
 
-@pytest.mark.parametrize("width", [1 << 16, 7, 2])
-def test_memory_features_equal_window_form(spark, width):
+@pytest.mark.parametrize("tracks,scale", [(4, 1), (1, 1), (150, 1), (4, 1_000_000_007)])
+def test_memory_features_equal_window_form(spark, tracks, scale):
     rnd = random.Random(3)
-    rows = [(rnd.randrange(4), i * 3 + rnd.randrange(2), rnd.random(), rnd.random()) for i in range(300)]
+    rows = [(rnd.randrange(tracks), (i * 3 + rnd.randrange(2)) * scale, None if rnd.random() < 0.05 else rnd.random(),
+             rnd.random()) for i in range(300)]
     df = spark.createDataFrame(rows, "track long, step long, x double, y double")
-    a = matching.memory_features(df, k=4, bucket_width=width).toPandas().sort_values(["track", "step"]) \
-        .reset_index(drop=True)
+    a = matching.memory_features(df, k=4).toPandas().sort_values(["track", "step"]).reset_index(drop=True)
     b = matching.memory_features_window(df, k=4).toPandas().sort_values(["track", "step"]).reset_index(drop=True)
     assert list(a.columns) == list(b.columns)
     assert a.equals(b)
-    assert len(a) == 300 - 4 * df.select("track").distinct().count()
+
+
+def test_memory_features_drop_rows_with_a_null_lag(spark):
+    rows = [(1, i, None if i == 2 else float(i), 0.0) for i in range(8)] + [(None, i, float(i), 0.0) for i in range(4)]
+    df = spark.createDataFrame(rows, "track long, step long, x double, y double")
+    want = [(None, 3), (1, 6), (1, 7)]
+    for f in (matching.memory_features, matching.memory_features_window):
+        assert sorted(((r.track, r.step) for r in f(df, k=3).collect()), key=str) == sorted(want, key=str)
+
+
+def test_row_index_keeps_null_keys(spark):
+    df = spark.createDataFrame([(1, 5), (1, None), (None, 3), (None, 7)], "g long, o long")
+    got = sorted(((r.g, r.o, r.rn) for r in row_index(df, ["g"], "o", "rn").collect()), key=str)
+    assert got == sorted([(1, None, 0), (1, 5, 1), (None, 3, 0), (None, 7, 1)], key=str)
+    keys = spark.createDataFrame([(3,), (None,), (3,), (1,)], "k long")
+    assert sorted(((r.k, r.i) for r in dense_index(keys, "k", "i").collect()), key=str) == \
+        sorted([(None, 0), (1, 1), (3, 2)], key=str)
 
 
 @pytest.mark.parametrize("width", [2, 7, 1 << 16])

@@ -25,9 +25,9 @@ def test_sum_samples_and_training_learns_addition(spark):
     df = mlp.sum_samples(spark, 1000, 0.0, 3.0, seed=12345)
     p = df.toPandas()
     assert ((p.a >= 0) & (p.a < 3)).all() and np.allclose(p.label, p.a + p.b)
-    net = mlp.fit_mlp(df, ("a", "b"), "label", layers=(2, 10, 1), epochs=200, lr=0.01,
-                      dropout=0.0, local_steps=20, batch_size=100)
-    assert net.losses[-1] < 0.2 * net.losses[0]
+    net = mlp.fit_mlp(df, ("a", "b"), "label", layers=(2, 10, 1), epochs=80, lr=0.05,
+                      dropout=0.0)
+    assert net.losses[-1] < 0.1 * net.losses[0]
     assert net.forward(np.array([[1.5, 1.5]]))[0] == pytest.approx(3.0, abs=0.4)
     scored = net.transform(df.limit(5)).toPandas()
     assert np.allclose(scored.prediction, net.forward(scored[["a", "b"]].to_numpy()))

@@ -159,3 +159,56 @@ def test_forecast_matches_numpy_recursion(spark, trans):
             cx, cy, vx, vy = cx + nvx * 3500.0 * 0.01, cy + nvy * 3500.0 * 0.01, nvx, nvy
             row = out[(out.agent == ag.agent) & (out.step == s)].iloc[0]
             assert (row.cx, row.cy, row.vx, row.vy) == pytest.approx((cx, cy, vx, vy))
+
+
+@pytest.mark.parametrize("fraction", [0.05, 0.72, 0.75, 0.95])
+def test_split_follows_the_fraction(spark, fraction):
+    df = spark.range(20_000).withColumn("key", F.col("id") * 3 + 2 ** 50)
+    train, test = RG.train_test_split(df, fraction, 42, "key")
+    assert abs(train.count() / 20_000 - fraction) < 0.01
+    assert train.count() + test.count() == 20_000
+
+
+def test_forecast_reads_only_its_own_folders(spark, trans, tmp_dir):
+    pair = RG.fit_pair("linear", trans)
+    agents = FC.initial_agents(spark, 5)
+    out = f"{tmp_dir}/paths"
+    assert FC.forecast(agents, pair, n_steps=12, dt=0.01, out_path=out, block=5).count() == 65
+    again = FC.forecast(agents, pair, n_steps=4, dt=0.01, out_path=out, block=5)
+    assert again.count() == 25 and again.agg(F.max("step")).first()[0] == 4
+
+
+def test_forecast_with_memory_shifts_the_velocities(spark):
+    from trailframe.operators import matching
+
+    tracks = spark.createDataFrame([(t, s, float((t * s * 7) % 11), float((t + s * s) % 5)) for t in range(1, 6) for s in range(40)],
+                                   "track long, step long, x double, y double")
+    mem = matching.memory_features(tracks, k=2)
+    feats = ("x1", "y1", "x2", "y2")
+    pair = RG.fit_pair("linear", mem, feats)
+    start = (0, 0.0, 0.0, 1.0, 2.0, 3.0, 4.0, 1.0, 2.0)
+    ag = spark.createDataFrame([start], "agent long, cx double, cy double, vx double, vy double, "
+                               "m_x1 double, m_y1 double, m_x2 double, m_y2 double")
+    got = FC.forecast(ag, pair, n_steps=5, dt=0.5, speed=2.0, block=2).orderBy("step").collect()
+    buf, c = [3.0, 4.0, 1.0, 2.0], [0.0, 0.0]
+    for r in got[1:]:
+        v = [float(np.dot(m.coefficients.toArray(), buf) + m.intercept) for m in pair.models.values()]
+        c = [c[0] + v[0], c[1] + v[1]]
+        buf = buf[2:] + v
+        assert (r.cx, r.cy, r.vx, r.vy) == pytest.approx((*c, *v))
+
+
+def test_model_report_with_the_net(spark, trans):
+    rep = RG.model_report(trans, kinds=("linear", "net"), seed=1, key=F.col("frame") * 100 + F.col("slot"),
+                          options={"net": {"layers": (2, 3, 1), "epochs": 3, "dropout": 0.0}}).toPandas()
+    assert list(rep.model) == ["linear", "net"] and (rep.rmse_x > 0).all()
+
+
+def test_model_report_from_two_files(spark, trans, tmp_dir):
+    from trailframe.plans import jobs
+    from trailframe.sources import text as TX
+
+    TX.write_transitions(trans, f"{tmp_dir}/x", f"{tmp_dir}/y")
+    rep = jobs.model_report_from_files(spark, f"{tmp_dir}/x", f"{tmp_dir}/y", kinds=("linear", "tree")).toPandas()
+    assert list(rep.model) == ["linear", "tree"]
+    assert rep[rep.model == "linear"].rmse_x[0] == pytest.approx(0.1, abs=0.03)

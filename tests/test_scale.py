@@ -58,7 +58,8 @@ def test_core_plans_have_no_single_partition_exchange(spark, tmp_dir):
         "transitions": matching.build_transitions(det, gate_limit=25.0, radius=12.0),
         "flow": grids.flow_field(det, radius=12.0, slow_limit=30.0),
         "heat": grids.heatmap(det, 100, 100),
-        "frame_kmeans_step": C.frame_lloyd_step(det, C.frame_initial_centers(det, 3, 7)),
+        "frame_kmeans_step": C.frame_lloyd_step(*C._dealt_points(det, "frame", "slot", 100),
+                                                C.frame_initial_centers(det, 3, 7)),
         "memory": matching.memory_features(det.select(F.col("frame").alias("step"), F.col("slot").alias("track"),
                                                       "x", "y")),
     }

@@ -56,6 +56,72 @@ def test_extract_detections_job(spark, tmp_dir):
     assert back.count() == 4
 
 
+def test_range_globs_cover_the_range_and_nothing_else():
+    import fnmatch
+
+    for start, stop in [(0, 1), (7, 23), (95, 1210), (123, 124), (0, 10_000), (999_990, 1_000_010), (5, 5)]:
+        globs = FR.range_globs(start, stop)
+        lo, hi = max(0, start - 50), stop + 50
+        for i in range(lo, hi):
+            hit = sum(fnmatch.fnmatch(f"{i:07d}", g) for g in globs)
+            assert hit == (start <= i < stop), (start, stop, i, globs)
+
+
+def test_a_range_reads_only_its_files(spark, tmp_dir):
+    prefix, _ = _frames(tmp_dir, ("grey",) * 5)
+    fr = FR.read_frames(spark, tmp_dir, start=2, stop=4)
+    assert sorted(os.path.basename(f) for f in fr.inputFiles()) == ["ants-0000002.png", "ants-0000003.png"]
+    assert sorted(r.frame for r in fr.select("frame").collect()) == [2, 3]
+
+
+def test_skipped_frames_are_reported(spark, tmp_dir):
+    prefix, arrays = _frames(tmp_dir, ("grey", "rgb"))
+    write_png(os.path.join(tmp_dir, "cover.png"), arrays[1])
+    with open(FR.frame_path(prefix, 3), "wb") as f:
+        f.write(b"not a picture")
+    assert sorted(r.frame for r in FR.read_frames(spark, tmp_dir).collect()) == [1, 2]
+    got = {(os.path.basename(r.origin), r.reason) for r in FR.skipped_frames(spark, tmp_dir).collect()}
+    assert got == {("cover.png", "no number"), ("ants-0000003.png", "undecodable")}
+    with pytest.raises(Exception, match="undecodable frame"):
+        FR.read_frames(spark, tmp_dir, on_invalid="error").collect()
+    with pytest.raises(Exception, match="undecodable frame"):
+        jobs.extract_detections(spark, tmp_dir, k=2, passes=1).collect()
+    assert jobs.extract_detections(spark, tmp_dir, k=2, passes=1, on_invalid="drop").count() == 4
+
+
+def test_detections_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f, 9, 11, 1, bytearray(rng.integers(0, 60, 99, dtype=np.uint8).tobytes())) for f in range(4)]
+    img = spark.createDataFrame(rows, "frame long, height int, width int, nChannels int, data binary")
+    a, b = (sorted((r.frame, r.slot, round(r.x, 9), round(r.y, 9)) for r in
+                   jobs.detect(img.repartition(n), k=5, passes=3).collect()) for n in (1, 6))
+    assert a == b and len(a) == 20
+
+
+def test_text_lines_keep_frame_numbers(spark, tmp_dir):
+    det = spark.createDataFrame([(0, 0, 1.0, 1.0), (1, 0, 2.0, 2.0), (3, 0, 4.0, 4.0)],
+                                "frame long, slot long, x double, y double")
+    out = os.path.join(tmp_dir, "gaps")
+    TX.write_center_lines(det, out, fmt="text")
+    assert sorted(tuple(r) for r in TX.read_center_lines(spark, out).collect()) == sorted(tuple(r) for r in det.collect())
+    with pytest.raises(Exception):
+        TX.write_center_lines(det, out, fmt="text")
+    with pytest.raises(ValueError):
+        TX.write_center_lines(det, out, fmt="text", mode="append")
+
+
+def test_job_refuses_to_double_its_output(spark, tmp_dir):
+    frames = os.path.join(tmp_dir, "frames")
+    os.makedirs(frames)
+    _frames(frames, ("grey",))
+    out = os.path.join(tmp_dir, "det")
+    jobs.extract_detections(spark, frames, out_path=out, k=2, passes=1)
+    with pytest.raises(Exception):
+        jobs.extract_detections(spark, frames, out_path=out, k=2, passes=1)
+    jobs.extract_detections(spark, frames, out_path=out, k=2, passes=1, mode="overwrite")
+    assert TX.read_detections(spark, out).count() == 2
+
+
 def test_frame_path():
     assert FR.frame_path("/d/ants-", 1) == "/d/ants-0000001.png"
     assert FR.frame_path("/d/ants-", 123456789) == "/d/ants-3456789.png"

@@ -27,12 +27,26 @@ from pyspark.sql import functions as F
 from trailframe.operators.indexing import dense_index, row_index
 from trailframe.session import ensure_checkpoint_dir
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+_WRITTEN: dict[tuple, str] = {}
 
 
-def written(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
-    """Materialize a derived table once per application as Parquet under the
-    checkpoint folder and read it back.
+def _state(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> tuple:
+    """Name, length and time of every file of the source tables."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    out = []
+    for name in tables:
+        p = path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = p.getFileSystem(conf)
+        found = fs.listStatus(p) if fs.getFileStatus(p).isDirectory() else [fs.getFileStatus(p)]
+        out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found]
+    return tuple(sorted(out))
+
+
+def written(spark: SparkSession, name: str, sf_dir: str, build, tables: tuple[str, ...] = ("events",)) -> DataFrame:
+    """Materialize a table derived from ``tables`` once per application as
+    Parquet under the checkpoint folder and read it back; changed source
+    files are derived anew.
 
     The detection table is the central table every matching and grid query
     starts from; deriving it (two numberings over the events) once and
@@ -40,7 +54,7 @@ def written(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
     upstream product, and it gives later plans a plain Parquet scan with
     column pruning and statistics.
     """
-    key = (spark.sparkContext.applicationId, name, sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, name, _state(spark, sf_dir, tables))
     if key not in _WRITTEN:
         import uuid
 
@@ -72,7 +86,8 @@ def derive_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
                          numeric=lambda h: F.datediff(F.to_date(h), F.lit("1970-01-01").cast("date")) * 24
                          + F.hour(h))
     slotted = row_index(ev, ["hour"], "event_id", "slot")
-    return slotted.join(frames, "hour").select("frame", "slot", "x", "y")
+    return (slotted.join(frames, slotted["hour"].eqNullSafe(frames["hour"]))
+            .select("frame", "slot", "x", "y"))
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:

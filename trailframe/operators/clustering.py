@@ -3,14 +3,14 @@
 Centres are small (k rows, or k rows per frame) and points are large.  The
 point side is never shuffled for an assignment:
 
-* global centres (Lloyd, similar-size k-means) are inlined into the
-  projection as literals, ``array_min(array(struct(d2, cid), ...))``; each
-  pass is one scan with a partial ``groupBy(cid)`` aggregate, and only the k
-  new centres come back to the driver;
-* per-frame centres (M7) are one array of k structs per frame, joined to the
-  points on ``frame`` (AQE broadcasts that table while it is under the size
-  threshold, else it is a shuffle join with skew splitting), and the centre
-  table is checkpointed every pass so the plan does not grow.
+* global centres (Lloyd, similar-size k-means) are one constant array in the
+  projection (a point's squared distances are one array of numbers); each pass
+  is one scan with a partial ``groupBy(cid)`` aggregate, and only the k new
+  centres come back to the driver;
+* per-frame centres (M7) are one array of k structs per frame.  The points
+  are partitioned once by frame and a salt that cuts large frames, and kept;
+  every pass joins the centre arrays to them there, so no pass moves a
+  point, and the centre table is checkpointed so the plan does not grow.
 
 Ties between equally distant centres go to the lowest centre id, matching
 the reference's stable sort.
@@ -18,6 +18,7 @@ the reference's stable sort.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -29,39 +30,29 @@ from trailframe.session import cut_lineage
 
 Center = tuple[int, float, float]
 
-# Above this many centres the assignment uses a higher-order function over
-# one literal array instead of an unrolled expression (plan size).
-UNROLL_LIMIT = 128
-
 
 # ------------------------------------------------------------------ ordering
 
-def hash_order(key: Column | str, seed: int, method: str = "mod") -> Column:
-    """Deterministic pseudo-random sort key for sampling without ``rand()``.
-
-    ``"mod"``: ``(key*7919 + seed) mod 104729`` (reproducible in any SQL
-    engine; ties broken by the key); ``"xxhash"``: ``xxhash64(key, seed)``.
-    """
+def hash_order(key: Column | str, seed: int) -> Column:
+    """Deterministic pseudo-random sort key for sampling without ``rand()``:
+    the hex text of ``md5("<seed>:<key>")``.  128 bits, no arithmetic on the
+    key (so no overflow at any size), and the same in any SQL engine."""
     k = F.col(key) if isinstance(key, str) else key
-    if method == "mod":
-        return F.pmod(k * F.lit(7919) + F.lit(int(seed)), F.lit(104729))
-    if method == "xxhash":
-        return F.xxhash64(k, F.lit(int(seed)))
-    raise ValueError("method must be 'mod' or 'xxhash'")
+    return F.md5(F.concat(F.lit(f"{int(seed)}:"), k.cast("string")))
 
 
-def random_rows(df: DataFrame, n: int, seed: int, key: str = "id", method: str = "mod") -> DataFrame:
+def random_rows(df: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
     """L1: ``n`` pseudo-random rows (``orderBy(hash).limit(n)``, a bounded
     top-n; stable under repartitioning, unlike ``rand()``)."""
-    return (df.withColumn("_h", hash_order(key, seed, method))
+    return (df.withColumn("_h", hash_order(key, seed))
             .orderBy("_h", key).limit(int(n)).drop("_h"))
 
 
 def random_member(assigned: DataFrame, seed: int, key: str = "id", cid: str = "cid",
-                  cols: Sequence[str] = ("x", "y"), method: str = "mod") -> DataFrame:
+                  cols: Sequence[str] = ("x", "y")) -> DataFrame:
     """L2: one pseudo-random member per cluster, all clusters in one
     aggregation (``min_by`` aggregates partially before the shuffle)."""
-    order = F.struct(hash_order(key, seed, method).alias("h"), F.col(key).alias("k"))
+    order = F.struct(hash_order(key, seed).alias("h"), F.col(key).alias("k"))
     m = F.min_by(F.struct(F.col(key), *[F.col(c) for c in cols]), order)
     return assigned.groupBy(cid).agg(m.alias("_m")).select(cid, "_m.*")
 
@@ -75,42 +66,40 @@ def _d2(x: Column, y: Column, cx, cy) -> Column:
 
 
 def nearest_expr(centers: Sequence[Center], x: str = "x", y: str = "y") -> Column:
-    """J3 as one expression: ``struct(d2, cid)`` of the nearest centre."""
+    """J3 as one expression: ``struct(d2, cid)`` of the nearest centre.
+
+    The centres are three constant arrays, folded from their JSON text, so
+    the plan does not grow with k; the squared distances are one array of
+    plain numbers per point, in the order of the ids, so the first place of
+    the least one is the lowest id."""
     if not centers:
         raise ValueError("no centres")
-    xc, yc = F.col(x), F.col(y)
-    if len(centers) <= UNROLL_LIMIT:
-        items = [F.struct(_d2(xc, yc, F.lit(float(cx)), F.lit(float(cy))).alias("d2"),
-                          F.lit(int(c)).alias("cid")) for c, cx, cy in centers]
-        return F.array_min(F.array(*items))
-    arr = F.array(*[F.struct(F.lit(int(c)).alias("cid"), F.lit(float(cx)).alias("cx"),
-                             F.lit(float(cy)).alias("cy")) for c, cx, cy in centers])
-    return F.array_min(F.transform(arr, lambda c: F.struct(
-        _d2(xc, yc, c["cx"], c["cy"]).alias("d2"), c["cid"].alias("cid"))))
+    cid, cx, cy = zip(*sorted((int(c), float(px), float(py)) for c, px, py in centers))
+    ids, xs, ys = (F.from_json(F.lit(json.dumps(v)), f"array<{t}>")
+                   for v, t in ((cid, "int"), (cx, "double"), (cy, "double")))
+    d2 = F.zip_with(xs, ys, lambda a, b: _d2(F.col(x), F.col(y), a, b))
+    # the array is bound to a name, so it is computed once
+    return F.transform(F.array(d2), lambda d: F.struct(
+        F.array_min(d).alias("d2"),
+        F.element_at(ids, F.array_position(d, F.array_min(d)).cast("int")).alias("cid")))[0]
 
 
 def assign_nearest(points: DataFrame, centers: Sequence[Center] | DataFrame,
-                   x: str = "x", y: str = "y", out: str = "cid", max_centers: int = 100_000) -> DataFrame:
+                   x: str = "x", y: str = "y", out: str = "cid") -> DataFrame:
     """Add the id of the nearest centre (and ``d2``, the squared distance).
 
-    ``centers`` is a list of ``(cid, x, y)`` or a small DataFrame with those
-    columns; a DataFrame is collected only after its row count is checked
-    against ``max_centers``.
+    ``centers`` is a list of ``(cid, x, y)`` or a DataFrame with those
+    columns, whose k rows are read first.  k is a parameter of the
+    clustering, not of the data; the centres reach every task as one value
+    and the points are not shuffled.
     """
     if isinstance(centers, DataFrame):
-        centers = collect_centers(centers, max_centers)
+        centers = [tuple(r) for r in centers.select("cid", "x", "y").collect()]
     best = nearest_expr(centers, x, y)
     return points.withColumn("_best", best).withColumn(out, F.col("_best.cid")) \
         .withColumn("d2", F.col("_best.d2")).drop("_best")
 
 
-def collect_centers(centers: DataFrame, max_centers: int = 100_000) -> list[Center]:
-    n = centers.count()
-    if n > max_centers:
-        raise ValueError(f"{n} centres exceed the limit of {max_centers}")
-    return [(int(r[0]), float(r[1]), float(r[2])) for r in centers.select("cid", "x", "y").collect()]
-
-
 # --------------------------------------------------------------- aggregates
 
 def centroids(assigned: DataFrame, cid: str = "cid") -> DataFrame:
@@ -251,44 +240,66 @@ def lloyd(points: DataFrame, init: Sequence[Center], max_iter: int = 20, tol: fl
     return LloydResult(centers, it, converged, hist, sizes)
 
 
-def initial_centers(points: DataFrame, k: int, seed: int, key: str = "id", method: str = "mod") -> list[Center]:
-    rows = random_rows(points.select(key, "x", "y"), k, seed, key, method).collect()
+def initial_centers(points: DataFrame, k: int, seed: int, key: str = "id") -> list[Center]:
+    rows = random_rows(points.select(key, "x", "y"), k, seed, key).collect()
     return [(i, float(r["x"]), float(r["y"])) for i, r in enumerate(rows)]
 
 
 # ---------------------------------------------------- per-frame Lloyd (M7)
 
 def frame_initial_centers(points: DataFrame, k: int, seed: int, frame: str = "frame",
-                          key: str = "slot", method: str = "mod") -> DataFrame:
+                          key: str = "slot") -> DataFrame:
     """k hash-picked points per frame as ``(frame, cid, x, y)``.  The rank
     filter is a window group limit: each map task keeps its own top k per
     frame before the shuffle, so a hot frame ships k rows per task."""
-    w = Window.partitionBy(frame).orderBy(hash_order(key, seed, method), F.col(key))
+    w = Window.partitionBy(frame).orderBy(hash_order(key, seed), F.col(key))
     return (points.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
             .select(frame, (F.col("_rn") - 1).cast("int").alias("cid"), "x", "y"))
 
 
-def frame_assign(points: DataFrame, centers: DataFrame, frame: str = "frame",
-                 broadcast_centers: bool = False) -> DataFrame:
-    """J3 per frame: join each point to its frame's array of centres.
-
-    ``broadcast_centers`` is set by callers that have checked the size of
-    the centre table (frames x k rows); otherwise the planner decides."""
-    arr = centers.groupBy(frame).agg(F.collect_list(F.struct("cid", F.col("x").alias("cx"),
-                                                             F.col("y").alias("cy"))).alias("_c"))
-    if broadcast_centers:
-        arr = F.broadcast(arr)
+def frame_assign(points: DataFrame, centers: DataFrame, on: Sequence[str] = ("frame",)) -> DataFrame:
+    """J3 per frame: join each point to its frame's array of centres
+    ``(<on>, _c)``; whether that is broadcast is the planner's decision."""
     xc, yc = F.col("x"), F.col("y")
     best = F.array_min(F.transform("_c", lambda c: F.struct(
         _d2(xc, yc, c["cx"], c["cy"]).alias("d2"), c["cid"].alias("cid"))))
-    return (points.join(arr, frame).withColumn("_b", best)
-            .withColumn("cid", F.col("_b.cid")).withColumn("d2", F.col("_b.d2")).drop("_b", "_c"))
-
-
-def frame_lloyd_step(points: DataFrame, centers: DataFrame, frame: str = "frame",
-                     on_empty: str = "keep", broadcast_centers: bool = False) -> DataFrame:
-    a = frame_assign(points, centers, frame, broadcast_centers)
-    agg = a.groupBy(frame, "cid").agg(F.avg("x").alias("nx"), F.avg("y").alias("ny"))
+    # cid is not nullable, so no null test (a second argmin) is inferred from it
+    return (points.join(centers, list(on)).withColumn("_b", best)
+            .withColumn("cid", F.coalesce(F.col("_b.cid"), F.lit(-1)))
+            .withColumn("d2", F.col("_b.d2")).drop("_b", "_c"))
+
+
+def center_arrays(centers: DataFrame, frame: str = "frame") -> DataFrame:
+    """One array of k centres per frame: ``(frame, _c)``."""
+    return centers.groupBy(frame).agg(F.collect_list(F.struct("cid", F.col("x").alias("cx"),
+                                                              F.col("y").alias("cy"))).alias("_c"))
+
+
+def _dealt_points(points: DataFrame, frame: str, key: str, rows_per_part: int) -> tuple[DataFrame, DataFrame]:
+    """The points partitioned by ``(frame, _salt)`` and the number of salts
+    of every frame: a frame of more than ``rows_per_part`` points is cut
+    into as many parts as it needs, whatever share of all rows it holds."""
+    salts = cut_lineage(points.groupBy(frame).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(int(rows_per_part))).cast("int").alias("_salts")))
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = (points.join(salts, frame)
+             .withColumn("_salt", F.pmod(F.xxhash64(key), F.col("_salts")).cast("int")).drop("_salts")
+             .repartition(parts, frame, "_salt"))
+    return dealt.persist(), salts
+
+
+def frame_lloyd_step(dealt: DataFrame, salts: DataFrame, centers: DataFrame, frame: str = "frame",
+                     on_empty: str = "keep") -> DataFrame:
+    """One pass over the dealt points.  The centre arrays go to the points'
+    partitions; sums are taken there per (frame, salt, cid), and only these
+    are shuffled."""
+    arrays = (center_arrays(centers, frame).join(salts, frame)
+              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts"))
+    a = frame_assign(dealt, arrays, (frame, "_salt"))
+    part = a.groupBy(frame, "_salt", "cid").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"),
+                                                F.count(F.lit(1)).alias("n"))
+    agg = part.groupBy(frame, "cid").agg((F.sum("sx") / F.sum("n")).alias("nx"),
+                                         (F.sum("sy") / F.sum("n")).alias("ny"))
     if on_empty == "drop":
         return agg.select(frame, "cid", F.col("nx").alias("x"), F.col("ny").alias("y"))
     return (centers.join(agg, [frame, "cid"], "left")
@@ -297,69 +308,36 @@ def frame_lloyd_step(points: DataFrame, centers: DataFrame, frame: str = "frame"
 
 def frame_kmeans(points: DataFrame, k: int = 20, passes: int = 20, seed: int = 7,
                  frame: str = "frame", key: str = "slot", on_empty: str = "keep",
-                 checkpoint_every: int = 1, max_broadcast_centers: int = 2_000_000,
-                 tol: float | None = None) -> DataFrame:
+                 tol: float | None = None, rows_per_part: int = 1 << 18,
+                 with_flag: bool = False) -> DataFrame:
     """M7: one k-means per frame, all frames in one plan per pass.
 
-    Returns ``(frame, cid, x, y)`` after ``passes`` Lloyd passes from
-    hash-picked initial centres.  The centre table (k rows per frame) is
-    checkpointed every ``checkpoint_every`` passes.  It is broadcast to the
-    points only when frames x k is at most ``max_broadcast_centers``
-    (counted once); a larger table is joined on ``frame`` by the planner.
-    With ``tol``, a frame stops once none of its centres moved more than
-    ``tol`` in x or y, and its points leave the later passes; without it
-    exactly ``passes`` passes run for every frame.
-    """
-    pts = points.select(frame, key, "x", "y").persist()
+    Returns ``(frame, cid, x, y)`` after at most ``passes`` Lloyd passes from
+    hash-picked initial centres.  With ``tol`` the passes end once no centre
+    of any frame moved more than ``tol`` in x or y; ``with_flag`` adds
+    ``converged``, true for a frame whose last pass stayed within ``tol``
+    (0 if not given)."""
+    limit = 0.0 if tol is None else float(tol)
+    pts, salts = _dealt_points(points.select(frame, key, "x", "y"), frame, key, rows_per_part)
     try:
-        n_frames = pts.select(frame).distinct().count()
-        small = n_frames * k <= max_broadcast_centers
-        centers = frame_initial_centers(pts, k, seed, frame, key)
-        if tol is not None:
-            return _frame_kmeans_freezing(pts, centers, passes, tol, frame, on_empty, small)
-        for i in range(passes):
-            centers = frame_lloyd_step(pts, centers, frame, on_empty, broadcast_centers=small)
-            if checkpoint_every and (i + 1) % checkpoint_every == 0:
-                centers = cut_lineage(centers)
-        if passes == 0 or not checkpoint_every or passes % checkpoint_every:
-            centers = cut_lineage(centers)
+        centers = cut_lineage(frame_initial_centers(pts, k, seed, frame, key)
+                              .withColumn("_moved", F.lit(True)))
+        for _ in range(passes):
+            old = centers.drop("_moved")
+            new = frame_lloyd_step(pts, salts, old, frame, on_empty)
+            o = old.select(frame, "cid", F.col("x").alias("ox"), F.col("y").alias("oy"))
+            centers = cut_lineage(new.join(o, [frame, "cid"]).select(
+                frame, "cid", "x", "y",
+                (F.greatest(F.abs(F.col("x") - F.col("ox")), F.abs(F.col("y") - F.col("oy")))
+                 > F.lit(limit)).alias("_moved")))
+            if tol is not None and centers.where("_moved").isEmpty():
+                break
     finally:
         pts.unpersist()
-    return centers
-
-
-def _max_shift(old: DataFrame, new: DataFrame, frame: str) -> float:
-    o = old.select(frame, "cid", F.col("x").alias("ox"), F.col("y").alias("oy"))
-    d = new.join(o, [frame, "cid"]).select(
-        F.greatest(F.abs(F.col("x") - F.col("ox")), F.abs(F.col("y") - F.col("oy"))).alias("d"))
-    m = d.agg(F.max("d")).first()[0]
-    return float(m) if m is not None else 0.0
-
-
-def _frame_kmeans_freezing(pts: DataFrame, centers: DataFrame, passes: int, tol: float, frame: str,
-                           on_empty: str, small: bool) -> DataFrame:
-    """Per-frame convergence: a frame whose centres all moved at most
-    ``tol`` is frozen and its points drop out of later passes (the join
-    with the centre arrays keeps only moving frames)."""
-    active = cut_lineage(centers)
-    frozen = None
-    for _ in range(passes):
-        new = frame_lloyd_step(pts, active, frame, on_empty, broadcast_centers=small)
-        o = active.select(frame, "cid", F.col("x").alias("ox"), F.col("y").alias("oy"))
-        shift = (new.join(o, [frame, "cid"])
-                 .groupBy(frame)
-                 .agg(F.max(F.greatest(F.abs(F.col("x") - F.col("ox")),
-                                       F.abs(F.col("y") - F.col("oy")))).alias("_d")))
-        flagged = cut_lineage(new.join(shift, frame, "left")
-                              .withColumn("_done", F.coalesce(F.col("_d") <= F.lit(float(tol)), F.lit(True)))
-                              .drop("_d"))
-        done = flagged.where("_done").drop("_done")
-        frozen = done if frozen is None else frozen.unionByName(done)
-        active = flagged.where(~F.col("_done")).drop("_done")
-        if active.isEmpty():
-            break
-    out = active if frozen is None else frozen.unionByName(active)
-    return cut_lineage(out)
+    if not with_flag:
+        return centers.drop("_moved")
+    flag = centers.groupBy(frame).agg((~F.max("_moved")).alias("converged"))
+    return centers.drop("_moved").join(flag, frame)
 
 
 # ------------------------------------------------ similar-size k-means (M8)
@@ -456,6 +434,8 @@ def similar_size_kmeans(points: DataFrame, k: int = 20, breakpoint: float = 2.0,
             if s < breakpoint:
                 converged = True
                 break
+            if rounds == max_rounds:
+                break  # the result is always a clustering that Lloyd has settled
             moved = split_oversized(pts, centers, sizes, tolerance, seed + rounds, victim, key)
             if moved == centers:
                 break
@@ -487,6 +467,16 @@ def cluster_assign(model, df: DataFrame, cols: Sequence[str] = ("x", "y")) -> Da
     return model.transform(data).drop("features")
 
 
+def is_nearest(model, cols: Sequence[str], prediction: str = "prediction", eps: float = 1e-6) -> Column:
+    """Whether the assigned centre is a nearest one (within ``eps`` of the
+    least squared distance); a check on M9 that needs no second model."""
+    text = json.dumps([[float(v) for v in c] for c in model.clusterCenters()])
+    point = F.array(*[F.col(c).cast("double") for c in cols])
+    d2 = F.transform(F.from_json(F.lit(text), "array<array<double>>"), lambda c: F.aggregate(
+        F.zip_with(point, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    return F.transform(F.array(d2), lambda d: d[F.col(prediction)] <= F.array_min(d) + F.lit(float(eps)))[0]
+
+
 def cluster_centers(model, spark) -> DataFrame:
     """The fitted centres as ``(cid, c0, c1, ...)`` (may be fewer than k)."""
     cs = model.clusterCenters()

@@ -38,6 +38,11 @@ def forecast(agents: DataFrame, pair: ModelPair, n_steps: int, dt: float, speed:
     models read the same input), then moves with the NEW velocity:
     ``c += v_new * speed * dt``.
 
+    A pair of ``2k`` features works on a memory of the k newest velocities
+    (``x1, y1`` oldest .. ``xk, yk`` newest): agents then bring the columns
+    ``m_x1, m_y1, .., m_xk, m_yk`` besides, each step predicts from them and
+    shifts the new velocity in.
+
     An agent's path depends on nothing but its own row, so ``block`` steps
     are one chained projection (no shuffle): each step scores the previous
     velocities and appends its state to a per-row trajectory array, which is
@@ -45,26 +50,29 @@ def forecast(agents: DataFrame, pair: ModelPair, n_steps: int, dt: float, speed:
     of a Parquet table (a fresh folder under the checkpoint folder unless
     ``out_path`` is given).  The next block starts from the last step read
     back from the previous block's folder, so plans stay bounded and a lost
-    executor costs at most one block.
+    executor costs at most one block.  Only the folders that this call wrote
+    are read, whatever else ``out_path`` holds.
     """
     from trailframe.sources.text import scratch_path
 
     if n_steps < 0 or block < 1:
         raise ValueError("n_steps must be >= 0 and block >= 1")
     spark = agents.sparkSession
-    out = out_path or scratch_path(spark, "forecast")
+    out = (out_path or scratch_path(spark, "forecast")).rstrip("/")
     lx, ly = list(pair.models)[:2]
+    memory = len(pair.features) // 2
     state = ["cx", "cy", "vx", "vy"]
+    state += [f"m_{a}{i}" for i in range(1, memory + 1) for a in ("x", "y")] if memory > 1 else []
 
     def point(step):
         return F.struct(F.lit(step).alias("step"), *[F.col(c).alias(c) for c in state])
 
     cur = agents.select(*key, *state)
     first = 0
-    linear = pair.kind == "linear" and len(pair.features) == 2
+    folders = []
     while True:
         last = min(first + block, n_steps)
-        if linear:
+        if pair.kind == "linear" and memory == 1:
             traj = _linear_fold(pair, point(first), first, last, speed, dt)
             if first > 0:
                 traj = F.slice(traj, 2, last - first)
@@ -73,20 +81,24 @@ def forecast(agents: DataFrame, pair: ModelPair, n_steps: int, dt: float, speed:
             df = cur.withColumn("_traj", F.array(point(first)) if first == 0 else
                                 F.array().cast(f"array<struct<step:int,{','.join(c + ':double' for c in state)}>>"))
             for s in range(first + 1, last + 1):
-                scored = pair.predict(df.withColumn("x", F.col("vx")).withColumn("y", F.col("vy")))
+                inputs = (dict(zip(pair.features, state[4:])) if memory > 1
+                          else dict(zip(pair.features, ("vx", "vy"))))
+                scored = pair.predict(df.withColumns({f: F.col(c) for f, c in inputs.items()}))
                 nvx, nvy = F.col(f"pred_{lx}"), F.col(f"pred_{ly}")
+                shifted = [F.col(c).alias(m) for m, c in zip(state[4:], state[6:])]
+                shifted += [nvx.alias(f"m_x{memory}"), nvy.alias(f"m_y{memory}")] if memory > 1 else []
                 df = scored.select(*key, advance("cx", nvx, speed, dt).alias("cx"),
                                    advance("cy", nvy, speed, dt).alias("cy"),
-                                   nvx.alias("vx"), nvy.alias("vy"), "_traj")
+                                   nvx.alias("vx"), nvy.alias("vy"), *shifted, "_traj")
                 df = df.withColumn("_traj", F.concat("_traj", F.array(point(s))))
         rows = df.select(*key, F.explode("_traj").alias("_p")).select(*key, "_p.*")
-        block_dir = f"{out}/block={first}"
-        rows.write.mode("overwrite").parquet(block_dir)
+        folders.append(f"{out}/block={first}")
+        rows.write.mode("overwrite").parquet(folders[-1])
         if last >= n_steps:
             break
         first = last
-        cur = spark.read.parquet(block_dir).where(F.col("step") == F.lit(last)).select(*key, *state)
-    return spark.read.parquet(out).select(*key, F.col("step").cast("int").alias("step"), *state)
+        cur = spark.read.parquet(folders[-1]).where(F.col("step") == F.lit(last)).select(*key, *state)
+    return spark.read.parquet(*folders).select(*key, F.col("step").cast("int").alias("step"), *state[:4])
 
 
 def _linear_fold(pair: ModelPair, start, first: int, last: int, speed: float, dt: float):

@@ -53,28 +53,44 @@ def out_of_bounds(det: DataFrame, width: int = 720, height: int = 480) -> DataFr
     return det.where(~_in_bounds(cx, cy, width, height)).agg(F.count(F.lit(1)).alias("dropped"))
 
 
-def heatmap_extent(grid: DataFrame, width: int = 720, height: int = 480) -> DataFrame:
+def heatmap_extent(grid: DataFrame, width: int | None = 720, height: int | None = 480) -> DataFrame:
     """A2: ``(min_visits, max_visits)`` over the DENSE grid, computed from the
-    sparse one: the minimum is 0 as soon as one cell is empty."""
-    cells = int(width) * int(height)
+    sparse one: the minimum is 0 as soon as one cell is empty.  Without a
+    width or height the grid is the bounding box of the visited cells."""
+    def side(given, c):
+        return F.lit(int(given)) if given is not None else F.max(c).cast("long") - F.min(c) + 1
+
     return grid.agg(
-        F.when(F.count(F.lit(1)) < F.lit(cells), F.lit(0).cast("long"))
+        F.when(F.count(F.lit(1)) < side(width, "cx") * side(height, "cy"), F.lit(0).cast("long"))
         .otherwise(F.min("visits")).alias("min_visits"),
         F.max("visits").alias("max_visits"))
 
 
-def heatmap_colors(grid: DataFrame, width: int = 720, height: int = 480) -> DataFrame:
+# The stops of the heat map's gradient are the minimum and the
+# sum of minimum and maximum divided by these (integer division).
+STOP_DIVISORS = (4, 3)
+
+
+def _let(value, body):
+    """``body(value)`` with ``value`` evaluated once, however often the body
+    names it (a projection would be collapsed and its expression repeated)."""
+    return F.transform(F.array(value), body)[0]
+
+
+def heatmap_colors(grid: DataFrame, width: int | None = 720, height: int | None = 480) -> DataFrame:
     """P13 applied to a heat map: stops at ``min``, ``(min+max)/4`` and
-    ``(min+max)/3`` (integer division) with blue, green, red.  The stops are
-    scalar subqueries over the extent, so the plan stays lazy."""
-    ext = heatmap_extent(grid, width, height)
-    lo = ext.select("min_visits").scalar()
-    s = ext.select(F.col("min_visits") + F.col("max_visits")).scalar()
-    q = (s / F.lit(4)).cast("long")
-    t = (s / F.lit(3)).cast("long")
-    packed = S.color_ramp("visits", [(lo, S.BLUE_ARGB), (q, S.GREEN_ARGB), (t, S.RED_ARGB)])
-    r, g, b = S.rgb_channels(packed)
-    return grid.select("cx", "cy", "visits", r.alias("r"), g.alias("g"), b.alias("b"))
+    ``(min+max)/3`` (integer division) with blue, green, red.  The three
+    stops are one scalar subquery over the extent, the packed colour is
+    computed once per cell and then split."""
+    lo, both = F.col("min_visits"), F.col("min_visits") + F.col("max_visits")
+    q, t = (F.floor(both / F.lit(d)).cast("long") for d in STOP_DIVISORS)
+    stops = heatmap_extent(grid, width, height).select(
+        F.struct(lo.alias("lo"), q.alias("q"), t.alias("t")).alias("s")).scalar()
+    packed = S.color_ramp("visits", [(F.col("s.lo"), S.BLUE_ARGB), (F.col("s.q"), S.GREEN_ARGB),
+                                     (F.col("s.t"), S.RED_ARGB)])
+    rgb = _let(F.col("p"), lambda p: F.struct(*[c.alias(n) for n, c in zip("rgb", S.rgb_channels(p))]))
+    out = grid.withColumn("s", stops).select("cx", "cy", "visits", packed.alias("p"))
+    return out.select("cx", "cy", "visits", rgb.alias("c")).select("cx", "cy", "visits", "c.r", "c.g", "c.b")
 
 
 def displacements(det: DataFrame, radius: float = 100.0, tail_skip: int = 5) -> DataFrame:
@@ -89,13 +105,16 @@ def displacements(det: DataFrame, radius: float = 100.0, tail_skip: int = 5) ->
 
 def flow_field(det: DataFrame, bin_size: int = 15, radius: float = 100.0,
                slow_limit: float = 0.3, absolute: bool = False, tail_skip: int = 5,
-               width: int | None = None, height: int | None = None) -> DataFrame:
+               width: int | None = None, height: int | None = None, dense: bool = False) -> DataFrame:
     """A3: per ``bin_size`` square, the sum of small displacements and its
     unit vector ``(bin_x, bin_y, n, sum_vx, sum_vy, ux, uy)``.
 
     ``ux, uy`` are NULL for a zero sum.  Bins outside the frame are dropped
-    when ``width``/``height`` are given.
+    when ``width``/``height`` are given; ``dense=True`` then returns every
+    bin of the frame, those without a move with zero count and sums.
     """
+    if dense and (width is None or height is None):
+        raise ValueError("the dense field needs width and height")
     v = displacements(det, radius=radius, tail_skip=tail_skip)
     v = v.where(S.slow_only("vx", "vy", slow_limit, absolute))
     bx, by = S.bin_index("x", bin_size), S.bin_index("y", bin_size)
@@ -105,6 +124,10 @@ def flow_field(det: DataFrame, bin_size: int = 15, radius: float = 100.0,
          .where(_in_bounds(F.col("bin_x"), F.col("bin_y"), nbx, nby))
          .groupBy("bin_x", "bin_y")
          .agg(F.count(F.lit(1)).alias("n"), F.sum("vx").alias("sum_vx"), F.sum("vy").alias("sum_vy")))
+    if dense:
+        bins = det.sparkSession.range(nbx * nby).select(
+            (F.col("id") / F.lit(nby)).cast("int").alias("bin_x"), (F.col("id") % F.lit(nby)).cast("int").alias("bin_y"))
+        g = bins.join(g, ["bin_x", "bin_y"], "left").na.fill({"n": 0, "sum_vx": 0.0, "sum_vy": 0.0})
     ux, uy = S.unit_vector("sum_vx", "sum_vy")
     return g.select("bin_x", "bin_y", "n", "sum_vx", "sum_vy", ux.alias("ux"), uy.alias("uy"))
 

@@ -29,13 +29,13 @@ def _range_offsets(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 
 def row_index(df: DataFrame, groups: Sequence[str], order: str, out: str,
-              bucket_width: int = 1 << 16, keep_range: str | None = None) -> DataFrame:
+              bucket_width: int = 1 << 16) -> DataFrame:
     """0-based ``row_number`` within ``groups`` ordered by numeric ``order``.
 
     Rows with equal ``order`` inside a group are numbered in arbitrary order,
-    exactly like ``row_number``.  ``bucket_width`` bounds the rows one task
-    numbers when ``order`` is a unique integer key.  ``keep_range`` names a
-    column that keeps the range id (rows stay partitioned by it).
+    exactly like ``row_number``; NULL order values come first, a NULL group
+    is a group.  ``bucket_width`` bounds the rows one task numbers when
+    ``order`` is a unique integer key.
     """
     groups = list(groups)
     d = df.withColumn(_B, F.floor(F.col(order) / F.lit(bucket_width)))
@@ -43,12 +43,16 @@ def row_index(df: DataFrame, groups: Sequence[str], order: str, out: str,
     # range sizes come from the ranked rows, which are already partitioned
     # by (groups, range): no second shuffle of the facts
     counts = ranked.groupBy(*groups, _B).agg(F.max(_R).alias(_N))
-    offsets = _range_offsets(counts, groups)
-    res = (ranked.join(offsets, [*groups, _B])
-           .withColumn(out, (F.col(_OFF) + F.col(_R) - 1).cast("long")))
-    if keep_range:
-        res = res.withColumnRenamed(_B, keep_range)
-    return res.drop(_B, _R, _OFF)
+    # NULL groups and NULL order values are a group and a range (the first)
+    # of their own, so the join treats two NULLs as equal
+    keys = [*groups, _B]
+    offsets = _range_offsets(counts, groups).select(*[F.col(c).alias(f"{c}_o") for c in keys], _OFF)
+    cond = F.lit(True)
+    for c in keys:
+        cond = cond & ranked[c].eqNullSafe(offsets[f"{c}_o"])
+    return (ranked.join(offsets, cond)
+            .withColumn(out, (F.col(_OFF) + F.col(_R) - 1).cast("long"))
+            .drop(_B, _R, _OFF, *[f"{c}_o" for c in keys]))
 
 
 def dense_index(df: DataFrame, key: str, out: str, bucket_width: int = 4096,
@@ -58,7 +62,8 @@ def dense_index(df: DataFrame, key: str, out: str, bucket_width: int = 4096,
     ``numeric(col)`` maps the key column to a long that orders like the key
     (default: the key itself); distinct keys are cut into ranges of
     ``bucket_width`` by that value.  Join the result back onto the facts on ``key``; it has
-    one row per distinct key, so AQE broadcasts it when it is small enough.
+    one row per distinct key, so AQE broadcasts it when it is small enough
+    (with ``eqNullSafe`` where the key may be NULL: that row comes first).
     """
     keys = df.select(F.col(key).alias("_tf_key")).distinct()
     num = numeric(F.col("_tf_key")) if numeric is not None else F.col("_tf_key")

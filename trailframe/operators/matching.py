@@ -13,12 +13,10 @@ per-frame product:
   before the join (a copy can never beat its lower-slot twin), so a pile of
   identical coordinates joins as one row;
 * the best candidate per detection is ``min(struct(dist, slot, x, y))``,
-  which aggregates partially before its shuffle;
-* the join is a left join; pairs at or beyond ``radius`` are dropped before
-  the aggregation except those of the point's own cell, so a detection
-  without a close candidate reaches the aggregation as an
-  infinite-distance sentinel and no second join back onto the facts is
-  needed.
+  which aggregates partially before its shuffle; pairs at or beyond
+  ``radius`` never reach it;
+* one infinite-distance row per detection goes into the same aggregation
+  for the misses, so no join back onto the facts is needed.
 
 A hot ``(frame, cell)`` key is split by AQE's skew-join handling (the query
 side is split, the candidate side replicated).
@@ -31,8 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailframe.operators.indexing import row_index
-from trailframe.session import cut_lineage
+from trailframe.session import materialize
 
 _MISS = ("origin", "zero_delta", "null", "drop")
 
@@ -68,25 +65,16 @@ def match_next_frame(det: DataFrame, radius: float = 100.0, on_miss: str = "null
     query = (pts.withColumn("o", F.explode(offsets))
              .select("frame", "slot", "x", "y",
                      (_cell("x", side) + F.col("o.dx")).alias("cx"),
-                     (_cell("y", side) + F.col("o.dy")).alias("cy"),
-                     ((F.col("o.dx") == 0) & (F.col("o.dy") == 0)).alias("home")))
+                     (_cell("y", side) + F.col("o.dy")).alias("cy")))
 
     dx = F.col("x") - F.col("nx")
     dy = F.col("y") - F.col("ny")
-    dist = F.sqrt(dx * dx + dy * dy)
+    near = (query.join(cand, ["frame", "cx", "cy"]).withColumn("dist", F.sqrt(dx * dx + dy * dy))
+            .where(F.col("dist") < F.lit(float(radius)))
+            .select("frame", "slot", "x", "y", F.struct("dist", "nslot", "nx", "ny").alias("m")))
     miss = F.struct(F.lit(float("inf")).alias("dist"), F.lit(None).cast("long").alias("nslot"),
                     F.lit(None).cast("double").alias("nx"), F.lit(None).cast("double").alias("ny"))
-    # left join: a query row whose cell holds no candidate survives with
-    # NULLs and turns into the miss sentinel, so every detection reaches the
-    # aggregation and no join back onto the facts is needed
-    # rows farther than the radius are dropped before the aggregation, except
-    # those of the point's own cell, which carry the miss when nothing is near
-    pairs = (query.join(cand, ["frame", "cx", "cy"], "left")
-             .withColumn("dist", dist)
-             .where((F.col("dist") < F.lit(float(radius))) | F.col("home"))
-             .select("frame", "slot", "x", "y",
-                     F.when(F.col("dist") < F.lit(float(radius)),
-                            F.struct("dist", "nslot", "nx", "ny")).otherwise(miss).alias("m")))
+    pairs = near.union(pts.select("frame", "slot", "x", "y", miss.alias("m")))
     best = (pairs.groupBy("frame", "slot", "x", "y").agg(F.min("m").alias("m"))
             .select("frame", "slot", "x", "y", "m.*"))
     hit = F.col("nslot").isNotNull()
@@ -127,29 +115,40 @@ def lookahead(matched: DataFrame, hops: int = 2, chain: bool = False,
     src = det if det is not None else matched
     n = frame_count(src)
     m = matched.select("frame", "slot", "x", "y", "nx", "ny")
+    if not chain:
+        return _same_slot_hops(m, hops).where(F.col("frame") < n - F.lit(tail_skip))
     out = (m.where(F.col("frame") < n - F.lit(tail_skip))
            .select("frame", "slot", F.col("x").alias("ox0"), F.col("y").alias("oy0"),
                    F.col("nx").alias("nx0"), F.col("ny").alias("ny0")))
     for h in range(1, hops):
-        if not chain:
-            nxt = m.select((F.col("frame") - h).alias("frame"), "slot",
-                           F.col("x").alias(f"ox{h}"), F.col("y").alias(f"oy{h}"),
-                           F.col("nx").alias(f"nx{h}"), F.col("ny").alias(f"ny{h}"))
-            out = out.join(nxt, ["frame", "slot"])
-        else:
-            # follow the match: the hop-h start is the matched point of hop h-1,
-            # found in frame i+h by its coordinates (lowest slot on copies)
-            nxt = (m.groupBy("frame", "x", "y")
-                   .agg(F.min(F.struct("slot", "nx", "ny")).alias("s"))
-                   .select((F.col("frame") - h).alias("frame"),
-                           F.col("x").alias(f"ox{h}"), F.col("y").alias(f"oy{h}"),
-                           F.col("s.nx").alias(f"nx{h}"), F.col("s.ny").alias(f"ny{h}")))
-            out = out.join(nxt, (out["frame"] == nxt["frame"])
-                           & (out[f"nx{h - 1}"] == nxt[f"ox{h}"])
-                           & (out[f"ny{h - 1}"] == nxt[f"oy{h}"])).drop(nxt["frame"])
+        # follow the match: the hop-h start is the matched point of hop h-1,
+        # found in frame i+h by its coordinates (lowest slot on copies)
+        nxt = (m.groupBy("frame", "x", "y")
+               .agg(F.min(F.struct("slot", "nx", "ny")).alias("s"))
+               .select((F.col("frame") - h).alias("frame"),
+                       F.col("x").alias(f"ox{h}"), F.col("y").alias(f"oy{h}"),
+                       F.col("s.nx").alias(f"nx{h}"), F.col("s.ny").alias(f"ny{h}")))
+        out = out.join(nxt, (out["frame"] == nxt["frame"])
+                       & (out[f"nx{h - 1}"] == nxt[f"ox{h}"])
+                       & (out[f"ny{h - 1}"] == nxt[f"oy{h}"])).drop(nxt["frame"])
     return out
 
 
+def _same_slot_hops(m: DataFrame, hops: int) -> DataFrame:
+    """Hops by equal slot: every matched row is emitted once per hop under
+    the key ``(frame - h, slot)`` of the row it serves, and one aggregation
+    lays the hops side by side (one shuffle, the match runs once)."""
+    cols = ("x", "y", "nx", "ny")
+    rows = (m.withColumn("_h", F.explode(F.array(*[F.lit(h) for h in range(hops)])))
+            .withColumn("frame", F.col("frame") - F.col("_h")).where(F.col("frame") >= 0))
+    aggs = []
+    for h in range(hops):
+        for c, name in zip(cols, ("ox", "oy", "nx", "ny")):
+            aggs.append(F.max(F.when(F.col("_h") == h, F.col(c))).alias(f"{name}{h}"))
+    wide = rows.groupBy("frame", "slot").agg(F.bit_or(F.expr("shiftleft(1, _h)")).alias("_seen"), *aggs)
+    return wide.where(F.col("_seen") == F.lit((1 << hops) - 1)).drop("_seen")
+
+
 def gate(la: DataFrame, hops: int, limit: float = 0.5) -> DataFrame:
     """Q2 gate: drop a row when two consecutive looked-up points differ by
     more than ``limit`` in x or in y (NULL positions never pass)."""
@@ -176,11 +175,10 @@ def build_transitions(det: DataFrame, hops: int = 2, gate_limit: float = 0.5,
     if mode not in ("delta", "position"):
         raise ValueError("mode must be 'delta' or 'position'")
     matched = match_next_frame(det, radius=radius, on_miss=on_miss)
-    if hops > 1:
-        # the lookahead joins the matched table with itself; the frame filter
-        # is pushed into one side only, so without a cut the match would run
-        # once per side
-        matched = cut_lineage(matched)
+    if hops > 1 and chain:
+        # the chained lookahead joins the matched table with itself; without
+        # a cut the match would run once per side
+        matched = materialize(matched, "matched")
     la = gate(lookahead(matched, hops=hops, chain=chain, det=det, tail_skip=tail_skip), hops, gate_limit)
     if on_miss == "null":
         la = la.where(F.col(f"nx{hops - 1}").isNotNull() & F.col(f"ny{hops - 1}").isNotNull())
@@ -200,45 +198,48 @@ def build_transitions(det: DataFrame, hops: int = 2, gate_limit: float = 0.5,
 
 
 def memory_features(tracks: DataFrame, k: int = 4, cols=("x", "y"),
-                    track: str = "track", step: str = "step", bucket_width: int = 1 << 16) -> DataFrame:
+                    track: str = "track", step: str = "step") -> DataFrame:
     """For every step with k earlier steps on its track, the k earlier
     values of each column (``x1`` oldest .. ``xk`` newest) and the current
-    values as labels ``next_<col>``.
-
-    No window ever holds a whole track.  Steps are numbered with
-    :func:`row_index`, whose ranges of ``bucket_width`` steps are each one
-    window partition; ``lag`` inside that window gives every row whose k
-    predecessors lie in the same range.  Only the first k rows of a range
-    reach back across its start: they are completed by a small join against
-    the first and last k rows of every range (at most 2k rows per range).
-    The two parts are unioned, so the facts are shuffled once.
+    values as labels ``next_<col>``.  Rows with a NULL among the k earlier
+    values are dropped.
+
+    No window holds a whole track.  The rows are range-partitioned by
+    ``(track, step)`` into parts of about equal numbers of ROWS, whatever
+    the ids are and however long one track is, and written once (range
+    bounds are sampled, so they must not be drawn twice).  Lags are taken
+    inside each part.  A part boundary cuts at most one track; only the
+    first k rows of such a track in each part reach back, and they are
+    completed from the first and last k rows of its parts (at most 2k rows
+    per part).
     """
     cols = list(cols)
-    base = tracks.select(track, step, *cols)
-    d = row_index(base, [track], step, "_seq", bucket_width=bucket_width, keep_range="_rng")
-    part = Window.partitionBy(track, "_rng")
-    w = part.orderBy("_seq")
-    lag_name = {(c, i): f"_l_{c}_{i}" for c in cols for i in range(1, k + 1)}
-    d = (d.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(part))
-         .withColumns({n: F.lag(c, i).over(w) for (c, i), n in lag_name.items()}))
-
-    inner = d.where(F.col("_r") > k)
-    edge = F.col("_r") <= k
-    src = (d.where(edge | (F.col("_n") - F.col("_r") < k))
-           .select(track, F.col("_seq").alias("_src"), *[F.col(c).alias(f"_s_{c}") for c in cols]))
-    heads = (d.where(edge).select(track, step, "_seq", *cols)
-             .withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(k))))
-             .withColumn("_src", F.col("_seq") - F.col("_i")))
-    filled = (heads.join(src, [track, "_src"], "left")
-              .groupBy(track, step, "_seq", *cols)
-              .agg(*[F.max(F.when(F.col("_i") == i, F.col(f"_s_{c}"))).alias(n)
-                     for (c, i), n in lag_name.items()]))
-
-    keep = [track, step, "_seq", *cols, *lag_name.values()]
-    both = inner.select(*keep).unionByName(filled.select(*keep))
-    feats = [F.col(lag_name[(c, k + 1 - j)]).alias(f"{c}{j}") for j in range(1, k + 1) for c in cols]
-    return (both.where(F.col("_seq") >= k)
-            .select(track, step, *feats, *[F.col(c).alias(f"next_{c}") for c in cols]))
+    dealt = materialize(
+        tracks.select(track, step, *cols).repartitionByRange(track, step)
+        .withColumn("_part", F.spark_partition_id()), "tracks")
+    inside = Window.partitionBy("_part", track)
+    w = inside.orderBy(step)
+    names = {(c, i): f"_l_{c}_{i}" for c in cols for i in range(1, k + 1)}
+    lags = {n: F.lag(c, i).over(w) for (c, i), n in names.items()}
+    d = dealt.withColumn("_r", F.row_number().over(w)).withColumns(lags)
+    whole = d.where(F.col("_r") > k)
+
+    cut = (dealt.groupBy(track).agg(F.min("_part").alias("_a"), F.max("_part").alias("_b"))
+           .where("_a < _b").select(F.col(track).alias("_cut")))
+    edges = (dealt.join(cut, dealt[track].eqNullSafe(F.col("_cut"))).drop("_cut")
+             .withColumn("_r", F.row_number().over(w))
+             .withColumn("_z", F.row_number().over(inside.orderBy(F.desc(step))))
+             .where((F.col("_r") <= k) | (F.col("_z") <= k)).drop("_z"))
+    # the rows in front of a head row are all among the edges of its track
+    over = Window.partitionBy(track).orderBy(step)
+    heads = (edges.withColumn("_q", F.row_number().over(over))
+             .withColumns({n: F.lag(c, i).over(over) for (c, i), n in names.items()})
+             .where((F.col("_r") <= k) & (F.col("_q") > k)))
+
+    feats = [F.col(names[(c, k + 1 - j)]).alias(f"{c}{j}") for j in range(1, k + 1) for c in cols]
+    keep = [track, step, *feats, *[F.col(c).alias(f"next_{c}") for c in cols]]
+    out = whole.select(*keep).unionByName(heads.select(*keep))
+    return out.na.drop("any", subset=[f"{c}{j}" for j in range(1, k + 1) for c in cols])
 
 
 def memory_features_window(tracks: DataFrame, k: int = 4, cols=("x", "y"),
@@ -252,5 +253,5 @@ def memory_features_window(tracks: DataFrame, k: int = 4, cols=("x", "y"),
         for c in cols:
             sel.append(F.lag(c, k + 1 - i).over(w).alias(f"{c}{i}"))
     sel += [F.col(c).alias(f"next_{c}") for c in cols]
-    out = tracks.select(*sel)
-    return out.where(F.col(f"{cols[0]}1").isNotNull())
+    out = tracks.select(*sel, F.row_number().over(w).alias("_r")).where(F.col("_r") > k).drop("_r")
+    return out.na.drop("any", subset=[f"{c}{i}" for i in range(1, k + 1) for c in cols])

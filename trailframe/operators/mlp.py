@@ -1,17 +1,12 @@
 """Feed-forward regression net trained data-parallel on Spark.
 
 Spark ML has a multilayer perceptron classifier only, so the regressor is
-trained here: the weights (a few hundred doubles) are broadcast, every
-partition computes on its own rows with numpy inside ``mapInPandas``, one
-row per partition comes back, the driver combines them and takes the
-optimizer step.  Two schedules:
-
-* ``local_steps=1``: synchronous full-batch gradient descent; the combined
-  gradient is exactly the full-data gradient, so the result does not
-  depend on the partitioning;
-* ``local_steps=s > 1``: every partition runs ``s`` epochs of mini-batch
-  steps from the broadcast weights, and the driver averages the weights
-  weighted by rows (one Spark job per ``s`` epochs).
+trained here by synchronous full-batch gradient descent: the weights (a few
+hundred doubles) are broadcast, every partition computes the gradient sum of
+its rows with numpy inside ``mapInPandas``, the sums are added up on the
+executors (one group per weight), and one gradient reaches the driver, which
+takes the optimizer step.  The combined gradient is the full-data gradient,
+so the result does not depend on the partitioning.
 
 Network as in the reference: tanh hidden layers, identity output, squared
 error, Xavier initialisation, Nesterov momentum, dropout on the inputs of
@@ -129,8 +124,7 @@ def _masks(rng, weights, n, dropout, dropout_layers):
     return ms
 
 
-def _partition_fn(bc, layers, features, label, dropout, dropout_layers, seed, round_no,
-                  local_steps, lr, momentum, batch_size):
+def _partition_fn(bc, layers, features, label, dropout, dropout_layers, seed, round_no):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -138,39 +132,18 @@ def _partition_fn(bc, layers, features, label, dropout, dropout_layers, seed, ro
         rng = np.random.default_rng([seed, round_no, pid])
         flat = np.asarray(bc.value)
         weights = _unflatten(flat, layers)
-        if local_steps <= 1:
-            total = np.zeros_like(flat)
-            n, loss = 0, 0.0
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                x = pdf[list(features)].to_numpy(dtype=np.float64)
-                y = pdf[label].to_numpy(dtype=np.float64)
-                g, lo = _grad(weights, x, y, _masks(rng, weights, len(y), dropout, dropout_layers))
-                total += _flatten(g)
-                n += len(y)
-                loss += lo
-            yield pd.DataFrame({"n": [n], "loss": [loss], "v": [total.tolist()]})
-            return
-        parts = [pdf for pdf in batches if len(pdf)]
-        if not parts:
-            yield pd.DataFrame({"n": [0], "loss": [0.0], "v": [np.zeros_like(flat).tolist()]})
-            return
-        data = pd.concat(parts, ignore_index=True)
-        x_all = data[list(features)].to_numpy(dtype=np.float64)
-        y_all = data[label].to_numpy(dtype=np.float64)
-        vel = [(np.zeros_like(w), np.zeros_like(b)) for w, b in weights]
-        loss = 0.0
-        for _ in range(local_steps):
-            order = rng.permutation(len(y_all))
-            loss = 0.0
-            for s in range(0, len(order), batch_size):
-                idx = order[s:s + batch_size]
-                g, lo = _grad(weights, x_all[idx], y_all[idx],
-                              _masks(rng, weights, len(idx), dropout, dropout_layers))
-                loss += lo
-                weights, vel = _nesterov(weights, vel, g, len(idx), lr, momentum)
-        yield pd.DataFrame({"n": [len(y_all)], "loss": [loss], "v": [(_flatten(weights) * len(y_all)).tolist()]})
+        # the gradient sum, then the loss sum and the number of rows
+        total = np.zeros(len(flat) + 2)
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = pdf[list(features)].to_numpy(dtype=np.float64)
+            y = pdf[label].to_numpy(dtype=np.float64)
+            g, lo = _grad(weights, x, y, _masks(rng, weights, len(y), dropout, dropout_layers))
+            total[:-2] += _flatten(g)
+            total[-2] += lo
+            total[-1] += len(y)
+        yield pd.DataFrame({"pos": np.arange(len(total)), "v": total})
     return run
 
 
@@ -186,14 +159,13 @@ def _nesterov(weights, vel, grads, n, lr, momentum):
 
 def fit_mlp(df: DataFrame, features: Sequence[str], label: str, layers: Sequence[int] | None = None,
             epochs: int = 200, lr: float = 0.01, momentum: float = 0.9, dropout: float = 0.5,
-            dropout_layers: Sequence[int] = DEFAULT_DROPOUT_LAYERS, seed: int = 12345,
-            local_steps: int = 1, batch_size: int = 100) -> MLP:
+            dropout_layers: Sequence[int] = DEFAULT_DROPOUT_LAYERS, seed: int = 12345) -> MLP:
     """Train a regression net on ``features -> label``.
 
     ``layers`` defaults to the reference's 2-4-8-16-8-4-2-1 shape scaled to
-    the number of features.  ``epochs`` passes over the data in
-    ``epochs / local_steps`` Spark jobs.  The input is persisted for the
-    duration of the fit.
+    the number of features.  One Spark job per epoch; one row per weight
+    reaches the driver, whatever the number of partitions.  The input is
+    persisted for the duration of the fit.
     """
     k = len(features)
     layers = tuple(layers) if layers else (k, 2 * k, 4 * k, 8 * k, 4 * k, 2 * k, k, 1)
@@ -207,25 +179,18 @@ def fit_mlp(df: DataFrame, features: Sequence[str], label: str, layers: Sequence
     spark = df.sparkSession
     ship_package(spark)
     losses: list[float] = []
-    rounds = max(1, -(-int(epochs) // max(1, local_steps)))
     try:
-        for r in range(rounds):
-            flat = _flatten(weights)
-            bc = spark.sparkContext.broadcast(flat)
-            fn = _partition_fn(bc, layers, tuple(features), label, dropout, dl, seed, r,
-                               local_steps, lr, momentum, batch_size)
-            rows = data.mapInPandas(fn, "n long, loss double, v array<double>").collect()
+        for r in range(max(1, int(epochs))):
+            bc = spark.sparkContext.broadcast(_flatten(weights))
+            fn = _partition_fn(bc, layers, tuple(features), label, dropout, dl, seed, r)
+            rows = (data.mapInPandas(fn, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v"))
+                    .orderBy("pos").collect())
             bc.unpersist()
-            n = sum(int(x["n"]) for x in rows)
-            if n == 0:
+            total = np.array([x["v"] for x in rows])
+            if not len(total) or total[-1] == 0:
                 raise ValueError("no training rows")
-            total = np.sum([np.asarray(x["v"]) for x in rows], axis=0)
-            losses.append(sum(float(x["loss"]) for x in rows) / n)
-            if local_steps <= 1:
-                grads = _unflatten(total, layers)
-                weights, vel = _nesterov(weights, vel, grads, n, lr, momentum)
-            else:
-                weights = _unflatten(total / n, layers)
+            losses.append(float(total[-2] / total[-1]))
+            weights, vel = _nesterov(weights, vel, _unflatten(total[:-2], layers), total[-1], lr, momentum)
     finally:
         data.unpersist()
     return MLP(layers, weights, tuple(features), label, losses)

@@ -55,11 +55,16 @@ def index_categories(df: DataFrame, col: str = "features", out: str = "indexed",
 
 # ------------------------------------------------------------------ split
 
-def hash_split_flag(key: Column, seed: int, fraction: float = 0.7, buckets: int = 10) -> Column:
-    """True for training rows: ``((key*7919 + seed) mod 104729) mod buckets
-    < fraction*buckets``.  Same rows on every run and every partitioning."""
-    h = F.pmod(key * F.lit(7919) + F.lit(int(seed)), F.lit(104729))
-    return (h % F.lit(int(buckets))) < F.lit(int(round(fraction * buckets)))
+#: values the split hash can take: 15 hex digits of an md5
+SPLIT_RANGE = 1 << 60
+
+
+def hash_split_flag(key: Column, seed: int, fraction: float = 0.7) -> Column:
+    """True for training rows: the first 15 hex digits of
+    ``md5("<seed>:<key>")`` as a number below ``fraction * 2**60``.  Same
+    rows on every run and every partitioning, any fraction."""
+    h = F.md5(F.concat(F.lit(f"{int(seed)}:"), key.cast("string")))
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("long") < F.lit(int(fraction * SPLIT_RANGE))
 
 
 def train_test_split(df: DataFrame, fraction: float = 0.7, seed: int = 42,
@@ -96,13 +101,17 @@ def _linear(label: str, pred: str, seed: int):
                                        labelCol=label, predictionCol=pred)
 
 
-def _tree_pipeline(est_cls, label: str, pred: str, seed: int, max_categories: int = 4, **kw):
-    """M3 + M4: ``VectorIndexer(maxCategories)`` then the tree estimator.
-    The indexed column is named per label so two pipelines can score one
-    DataFrame."""
+def _tree_pipeline(est_cls, label: str, pred: str, seed: int, max_categories: int = 4,
+                   indexed: str | None = None, **kw):
+    """M3 + M4: ``VectorIndexer(maxCategories)`` then the tree estimator; the
+    indexed column is named per label so two pipelines can score one
+    DataFrame.  With ``indexed`` that column is taken as it is (indexed
+    before, once for several fits)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorIndexer
 
+    if indexed:
+        return est_cls(featuresCol=indexed, labelCol=label, predictionCol=pred, seed=seed, **kw)
     col = f"indexed_{label}"
     idx = VectorIndexer(inputCol="features", outputCol=col, maxCategories=max_categories,
                         handleInvalid="keep")
@@ -183,7 +192,7 @@ class ModelPair:
         out = df if "features" in df.columns else assemble(df, self.features)
         for m in self.models.values():
             out = m.transform(out)
-        drop = [c for c in out.columns if (c == "features" or c.startswith("indexed_")) and c not in df.columns]
+        drop = [c for c in out.columns if (c == "features" or c.startswith("indexed")) and c not in df.columns]
         return out.drop(*drop)
 
     def _linear_expr(self, model):
@@ -213,22 +222,49 @@ def evaluate_pair(pair: ModelPair, test: DataFrame, labels: Sequence[str] = LABE
                 [f"rmse_{lab.replace('next_', '')}" for lab in labels])
 
 
+TREES = ("tree", "forest", "gbt")
+
+
 def model_report(transitions: DataFrame, kinds: Sequence[str] = ("linear", "tree", "forest", "gbt", "isotonic"),
                  features: Sequence[str] = ("x", "y"), train_fraction: float = 0.7, seed: int = 42,
-                 key: Column | None = None, as_coded: bool = False) -> DataFrame:
+                 key: Column | None = None, as_coded: bool = False,
+                 options: dict[str, dict] | None = None) -> DataFrame:
     """Every model kind on both labels, one ``(model, rmse_x,
-    rmse_y)`` table.  ``as_coded=True`` trains on the 30 % part and scores
-    on the 70 % part, as the reference's swapped unpacking does."""
+    rmse_y)`` table; ``"net"`` (M16) is a kind too.  ``as_coded=True`` trains
+    on the 30 % part and scores on the 70 % part, as the reference's swapped
+    unpacking does.  ``options`` holds keyword arguments per kind.
+
+    The rows are split, assembled and indexed once and kept for all fits."""
     spark = transitions.sparkSession
-    data = transitions.persist()
+    options = options or {}
+    train, test = train_test_split(transitions, train_fraction, seed, key)
+    if as_coded:
+        train, test = test, train
+    train, test = (assemble(d.select(*features, *LABELS), features) for d in (train, test))
+    train = train.persist()
+    if set(kinds) & set(TREES):
+        index = index_categories(train, out="indexed")
+        train.unpersist()
+        train, test = index.transform(train).persist(), index.transform(test)
+    test = test.persist()
     try:
-        train, test = train_test_split(data, train_fraction, seed, key)
-        if as_coded:
-            train, test = test, train
-
         def run(kind: str):
-            pair = fit_pair(kind, train, features, seed=seed, parallel=True)
-            r = evaluate_pair(pair, test).first()
+            kw = dict(options.get(kind, {}))
+            if kind == "net":
+                from trailframe.operators.mlp import fit_mlp
+
+                out = test
+                for lab in LABELS:
+                    out = fit_mlp(train, features, lab, **kw).transform(out, f"pred_{lab}")
+            else:
+                if kind in TREES:
+                    kw["indexed"] = "indexed"
+                with ThreadPoolExecutor(max_workers=len(LABELS)) as pool:
+                    models = list(pool.map(lambda lab: fit(kind, train, lab, seed, **kw), LABELS))
+                out = test
+                for m in models:
+                    out = m.transform(out)
+            r = rmse(out, [(f"pred_{lab}", lab) for lab in LABELS], ["rmse_x", "rmse_y"]).first()
             return kind, float(r["rmse_x"]), float(r["rmse_y"])
 
         # every kind and both labels are fitted at the same time: the fits
@@ -236,5 +272,6 @@ def model_report(transitions: DataFrame, kinds: Sequence[str] = ("linear", "tree
         with ThreadPoolExecutor(max_workers=len(kinds)) as pool:
             rows = list(pool.map(run, kinds))
     finally:
-        data.unpersist()
+        train.unpersist()
+        test.unpersist()
     return spark.createDataFrame(rows, "model string, rmse_x double, rmse_y double")

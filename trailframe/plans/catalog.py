@@ -30,8 +30,11 @@ GRID_CELLS = 720 * 480
 
 HEAT = f"""heat as (
   select cast(trunc(x) as int) cx, cast(trunc(y) as int) cy, count(*) visits
-  from events_xy where trunc(x) >= 0 and trunc(x) < 720 and trunc(y) >= 0 and trunc(y) < 480
-  group by 1, 2)"""
+  from events_xy group by 1, 2)"""
+
+#: smallest count over the bounding box of the visited cells
+BOX_MIN = """case when count(*) < (max(cx)::bigint - min(cx) + 1) * (max(cy)::bigint - min(cy) + 1)
+  then 0 else min(visits) end"""
 
 EVENTS_XY = "events_xy as (select cast(user_id as double) x, value y from events)"
 
@@ -81,15 +84,29 @@ def q_memory_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_heatmap(spark: SparkSession, sf: str) -> DataFrame:
-    return grids.heatmap(fx.positions(spark, sf), width=720, height=480)
+    return grids.heatmap(fx.positions(spark, sf), width=None, height=None)
 
 
 def q_heatmap_extent(spark: SparkSession, sf: str) -> DataFrame:
-    return grids.heatmap_extent(grids.heatmap(fx.positions(spark, sf)), 720, 480)
+    return grids.heatmap_extent(q_heatmap(spark, sf), None, None)
 
 
 def q_heatmap_colors(spark: SparkSession, sf: str) -> DataFrame:
-    return grids.heatmap_colors(grids.heatmap(fx.positions(spark, sf)), 720, 480)
+    return grids.heatmap_colors(q_heatmap(spark, sf), None, None)
+
+
+def q_heatmap_dense(spark: SparkSession, sf: str) -> DataFrame:
+    return grids.heatmap(fx.positions(spark, sf), width=720, height=480, dense=True)
+
+
+def q_heatmap_dropped(spark: SparkSession, sf: str) -> DataFrame:
+    return grids.out_of_bounds(fx.positions(spark, sf), 720, 480)
+
+
+def q_flow_field_dense(spark: SparkSession, sf: str) -> DataFrame:
+    ff = grids.flow_field(fx.detections(spark, sf), bin_size=15, radius=100.0, slow_limit=30.0,
+                          width=720, height=480, dense=True)
+    return ff.select("bin_x", "bin_y", "n", *[_r(c).alias(c) for c in ("sum_vx", "sum_vy", "ux", "uy")])
 
 
 def q_flow_field(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,6 +144,9 @@ QUERIES = {
     "heatmap": q_heatmap,
     "heatmap_extent": q_heatmap_extent,
     "heatmap_colors": q_heatmap_colors,
+    "heatmap_dense": q_heatmap_dense,
+    "heatmap_dropped": q_heatmap_dropped,
+    "flow_field_dense": q_flow_field_dense,
     "flow_field": q_flow_field,
     "glyph_segments": q_glyph_segments,
     "dark_pixels": q_dark_pixels,
@@ -160,12 +180,23 @@ where h0.frame < {NFRAMES} - 5""",
     lag(value, 2) over w x3, lag(minute(ts)::double, 2) over w y3,
     lag(value, 1) over w x4, lag(minute(ts)::double, 1) over w y4,
     value next_x, minute(ts)::double next_y
-  from events window w as (partition by user_id order by event_id)) where x1 is not null""",
+  from events window w as (partition by user_id order by event_id))
+where x1 is not null and x2 is not null and x3 is not null and x4 is not null
+  and y1 is not null and y2 is not null and y3 is not null and y4 is not null""",
     "heatmap": f"with {EVENTS_XY}, {HEAT} select * from heat",
     "heatmap_extent": f"""with {EVENTS_XY}, {HEAT}
-select case when count(*) < {GRID_CELLS} then 0 else min(visits) end min_visits, max(visits) max_visits from heat""",
+select {BOX_MIN} min_visits, max(visits) max_visits from heat""",
+    "heatmap_dense": f"""with {EVENTS_XY}, {HEAT},
+grid as (select (i // 480)::int cx, (i % 480)::int cy from range({GRID_CELLS}) t(i))
+select cx, cy, coalesce(visits, 0) visits from grid left join heat using (cx, cy)""",
+    "heatmap_dropped": f"""with {EVENTS_XY} select count(*) dropped from events_xy
+where not (trunc(x) >= 0 and trunc(x) < 720 and trunc(y) >= 0 and trunc(y) < 480)""",
+    "flow_field_dense": f"""with {DET}, {BEST}, {MATCHED}, {FLOW},
+bins as (select (i // 32)::int bin_x, (i % 32)::int bin_y from range(48 * 32) t(i))
+select bin_x, bin_y, coalesce(n, 0) n, round(coalesce(sx, 0), 6) sum_vx, round(coalesce(sy, 0), 6) sum_vy,
+       round(ux, 6) ux, round(uy, 6) uy from bins left join ff using (bin_x, bin_y)""",
     "heatmap_colors": f"""with {EVENTS_XY}, {HEAT},
-e as (select case when count(*) < {GRID_CELLS} then 0 else min(visits) end lo, max(visits) hi from heat),
+e as (select {BOX_MIN} lo, max(visits) hi from heat),
 s as (select lo, (lo + hi) // 4 q, (lo + hi) // 3 t from e),
 p as (select h.*, s.*, (visits - lo)::double / nullif(q - lo, 0) t0,
              (visits - q)::double / nullif(t - q, 0) t1 from heat h, s)

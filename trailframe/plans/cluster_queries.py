@@ -1,7 +1,7 @@
 """Registered clustering queries (J3, M5-M10, A4-A7, A10, L1, L2) and SQL.
 
 Points are the ``points`` fixture (all embeddings).  Initial centres are
-the first 8 points by ``(id*7919 + 7) mod 104729, id``.
+the first 8 points by ``md5("7:<id>")``.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ K = 8
 SEED = 7
 PICK_SEED = 11
 PASSES = 5
+BREAK = 2.0
+FRAME_K, FRAME_PASSES, FRAME_TOL = 20, 10, 1e-6
 
 
 def _centers_df(spark: SparkSession, centers) -> DataFrame:
@@ -91,8 +93,17 @@ def q_random_member(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_frame_kmeans(spark: SparkSession, sf: str) -> DataFrame:
     det = fx.detections(spark, sf)
-    cs = C.frame_kmeans(det, k=3, passes=2, seed=SEED, key="slot")
-    return cs.select("frame", "cid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    cs = C.frame_kmeans(det, k=FRAME_K, passes=FRAME_PASSES, seed=SEED, key="slot", tol=FRAME_TOL, with_flag=True)
+    return cs.select("frame", "cid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "converged")
+
+
+def q_assign_nearest_2000(spark: SparkSession, sf: str) -> DataFrame:
+    """J3 at the reference's number of centres, over every line item."""
+    li = fx.table(spark, sf, "lineitem")
+    x, y = F.col("l_partkey") % 720, F.col("l_suppkey") % 480
+    pts = li.select((x * 480 + y).alias("id"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+    cs = C.initial_centers(pts.distinct(), 2000, SEED)
+    return C.assign_nearest(pts, cs).select("id", F.col("cid").cast("long").alias("cid"), "d2")
 
 
 def q_similar_size_round(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,15 +118,22 @@ def q_similar_size_round(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_similar_size_kmeans(spark: SparkSession, sf: str) -> DataFrame:
     pts = fx.points(spark, sf)
-    res = C.similar_size_kmeans(pts, k=K, breakpoint=2.0, tolerance=1.0, seed=SEED, max_rounds=5, max_iter=20)
-    return C.assign_nearest(pts, res.centers).groupBy("cid").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y"))
+    res = C.similar_size_kmeans(pts, k=K, breakpoint=BREAK, tolerance=1.0, seed=SEED, max_rounds=2, max_iter=PASSES)
+    rows = [(int(c), float(x), float(y), int(res.sizes.get(c, 0)), bool(res.converged), float(res.imbalance))
+            for c, x, y in res.centers]
+    df = spark.createDataFrame(rows, "cid long, x double, y double, n long, converged boolean, imbalance double")
+    return df.select("cid", "n", "converged", *[F.round(c, 6).alias(c) for c in ("x", "y", "imbalance")])
 
 
 def q_kmeans_assign(spark: SparkSession, sf: str) -> DataFrame:
+    """M5 and M9 as checks that hold for any good k-means result: every point
+    goes to a nearest centre, and k clusters cost less than one."""
     pts = fx.points(spark, sf)
     model = C.kmeans(pts, k=K, seed=1)
-    return C.cluster_assign(model, pts).select("id", "prediction")
+    one = pts.agg((F.var_pop("x") + F.var_pop("y")) * F.count(F.lit(1))).first()[0]
+    cheaper = bool(model.summary.trainingCost < one)
+    return C.cluster_assign(model, pts).select("id", C.is_nearest(model, ("x", "y")).alias("nearest"),
+                                               F.lit(cheaper).alias("cheaper"))
 
 
 QUERIES = {
@@ -130,6 +148,7 @@ QUERIES = {
     "similar_size_round": q_similar_size_round,
     "similar_size_kmeans": q_similar_size_kmeans,
     "kmeans_assign": q_kmeans_assign,
+    "assign_nearest_2000": q_assign_nearest_2000,
 }
 
 
@@ -139,24 +158,39 @@ PTS = """pts as (select vec_id id, 360 + 720 * embedding[1]::double x, 240 + 480
         from embeddings)"""
 
 C0 = f"""c0 as (select * from (
-  select (row_number() over (order by (id * 7919 + {SEED}) % 104729, id) - 1)::bigint c, x, y from pts)
+  select (row_number() over (order by md5('{SEED}:' || id::varchar), id) - 1)::bigint c, x, y from pts)
   where c < {K})"""
 
 
-def _lloyd_ctes(n: int, by: str = "") -> str:
+def _lloyd_ctes(n: int, by: str = "", a: str = "a", c: str = "c") -> str:
     """CTEs a0..a{n-1}, c1..c{n}; empty clusters keep their centre."""
     parts = []
     g = f"{by}, " if by else ""
     using = f"using ({by})" if by else "on true"
     for i in range(n):
         d2 = "(p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y)"
-        parts.append(f"""a{i} as (select {'p.' + by + ', ' if by else ''}p.id, p.x, p.y, arg_min(c.c, ({d2}, c.c)) c
-  from pts p join c{i} c {using} group by all)""")
-        parts.append(f"""c{i + 1} as (select {'c.' + by + ', ' if by else ''}c.c, coalesce(m.x, c.x) x, coalesce(m.y, c.y) y
-  from c{i} c left join (select {g}c, avg(x) x, avg(y) y from a{i} group by all) m using ({g}c))""")
+        parts.append(f"""{a}{i} as materialized (select {'p.' + by + ', ' if by else ''}p.id, p.x, p.y, arg_min(c.c, ({d2}, c.c)) c
+  from pts p join {c}{i} c {using} group by all)""")
+        parts.append(f"""{c}{i + 1} as materialized (select {'c.' + by + ', ' if by else ''}c.c, coalesce(m.x, c.x) x, coalesce(m.y, c.y) y
+  from {c}{i} c left join (select {g}c, avg(x) x, avg(y) y from {a}{i} group by all) m using ({g}c))""")
     return ",\n".join(parts)
 
 
+def _moved_ctes(n: int, seed: int) -> str:
+    """Sizes of the assignment to c{n}, then d0: c{n} with the centres of
+    small clusters moved onto members of oversized ones."""
+    return f"""f1 as materialized (select p.id, p.x, p.y,
+  arg_min(c.c, ((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y), c.c)) c from pts p, c{n} c group by all),
+z1 as (select c, count(*) n from f1 group by 1),
+s1 as materialized (select mu, (select sum((mu - n) * (mu - n)) from z1) / t s from (select avg(n) mu, sum(n) t from z1)),
+donor as (select c, row_number() over (order by n desc, c) r from z1, s1 where n > mu + s * 1.0 and s >= {BREAK}),
+victim as (select c, row_number() over (order by coalesce(n, 0), c) r from c{n} left join z1 using (c)
+  where c not in (select c from donor)),
+pick as (select c, arg_min({{'x': x, 'y': y}}, (md5('{seed}:' || id::varchar), id)) p from f1 group by 1),
+d0 as materialized (select k.c, coalesce(pick.p.x, k.x) x, coalesce(pick.p.y, k.y) y
+  from c{n} k left join victim v on v.c = k.c left join donor d on d.r = v.r left join pick on pick.c = d.c)"""
+
+
 SIZES = "z as (select c, count(*) n from a4 group by 1)"
 STATS = "m as (select avg(n) mu, sum(n) t, count(*) k from z)"
 
@@ -166,11 +200,11 @@ FRAME_PTS = """pts as (
   from (select date_trunc('hour', ts) h, event_id, cast(user_id as double) x, value y from events))"""
 
 FRAME_C0 = f"""c0 as (select * from (
-  select frame, (row_number() over (partition by frame order by (id * 7919 + {SEED}) % 104729, id) - 1)::int c, x, y
-  from pts) where c < 3)"""
+  select frame, (row_number() over (partition by frame order by md5('{SEED}:' || id::varchar), id) - 1)::int c, x, y
+  from pts) where c < {FRAME_K})"""
 
 SQL = {
-    "random_rows": f"""with {PTS} select id, x, y from pts order by (id * 7919 + {SEED}) % 104729, id limit {K}""",
+    "random_rows": f"""with {PTS} select id, x, y from pts order by md5('{SEED}:' || id::varchar), id limit {K}""",
     "assign_nearest": f"""with {PTS}, {C0}
 select p.id, arg_min(c.c, ((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y), c.c)) cid,
        round(min((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y)), 6) d2
@@ -185,10 +219,33 @@ from z, m group by k""",
 d as (select p.id, min((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y)) d2 from pts p, c{PASSES} c group by 1)
 select round(sum(d2), 4) cost, round(sqrt(sum(d2) / count(*)), 6) cost_distance, count(*) n from d""",
     "random_member": f"""with {PTS}, {C0}, {_lloyd_ctes(PASSES)},
-r as (select c, arg_min({{'id': id, 'x': x, 'y': y}}, ((id * 7919 + {PICK_SEED}) % 104729, id)) p from a4 group by 1)
+r as (select c, arg_min({{'id': id, 'x': x, 'y': y}}, (md5('{PICK_SEED}:' || id::varchar), id)) p from a4 group by 1)
 select c cid, p.id id, p.x x, p.y y from r""",
-    "frame_kmeans": f"""with {FRAME_PTS}, {FRAME_C0}, {_lloyd_ctes(2, by='frame')}
-select frame, c cid, round(x, 6) x, round(y, 6) y from c2""",
+    "frame_kmeans": f"""with {FRAME_PTS}, {FRAME_C0}, {_lloyd_ctes(FRAME_PASSES, by='frame')}
+select n.frame, n.c cid, round(n.x, 6) x, round(n.y, 6) y,
+  max(greatest(abs(n.x - o.x), abs(n.y - o.y))) over (partition by n.frame) <= {FRAME_TOL} converged
+from c{FRAME_PASSES} n join c{FRAME_PASSES - 1} o using (frame, c)""",
+    "assign_nearest_2000": f"""with p as (select l_partkey % 720 * 480 + l_suppkey % 480 id,
+  (l_partkey % 720)::double x, (l_suppkey % 480)::double y from lineitem),
+q as (select distinct id, x, y from p),
+u as (select (row_number() over (order by md5('{SEED}:' || id::varchar), id) - 1)::bigint c, x, y from q
+  qualify row_number() over (order by md5('{SEED}:' || id::varchar), id) <= 2000),
+n as (select q.id, arg_min(u.c, ((q.x - u.x) * (q.x - u.x) + (q.y - u.y) * (q.y - u.y), u.c)) cid,
+  min((q.x - u.x) * (q.x - u.x) + (q.y - u.y) * (q.y - u.y)) d2 from q, u group by all)
+select id, cid, d2 from p join n using (id)""",
+    "similar_size_kmeans": f"""with {PTS}, {C0}, {_lloyd_ctes(PASSES)}, {_moved_ctes(PASSES, SEED + 1)},
+{_lloyd_ctes(PASSES, a='b', c='d')},
+f2 as materialized (select p.id, arg_min(c.c, ((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y), c.c)) c
+  from pts p, d{PASSES} c group by all),
+z2 as (select c, count(*) n from f2 group by 1),
+s2 as (select (select sum((mu - n) * (mu - n)) from z2) / t s from (select avg(n) mu, sum(n) t from z2)),
+stay as (select count(*) = 0 stays from donor)
+select c cid, coalesce(n, 0) n, s < {BREAK} converged, round(x, 6) x, round(y, 6) y, round(s, 6) imbalance
+from c{PASSES} left join z1 using (c), s1, stay where stays
+union all
+select c, coalesce(n, 0), s < {BREAK}, round(x, 6), round(y, 6), round(s, 6)
+from d{PASSES} left join z2 using (c), s2, stay where not stays""",
+    "kmeans_assign": f"""with {PTS} select id, true nearest, true cheaper from pts""",
     "similar_size_round": f"""with {PTS}, {C0}, {_lloyd_ctes(3)},
 z as (select c.c, coalesce(s.n, 0) n from c2 c left join (select c, count(*) n from a2 group by 1) s using (c)),
 zs as (select * from z where n > 0),
@@ -196,7 +253,7 @@ m as (select avg(n) mu, sum(n) t from zs),
 im as (select mu, (select sum((mu - n) * (mu - n)) from zs) / t s from m),
 donor as (select c, row_number() over (order by n desc, c) r from zs, im where n > mu + s * 0.5),
 victim as (select c, row_number() over (order by n, c) r from z where c not in (select c from donor)),
-pick as (select c, arg_min({{'x': x, 'y': y}}, ((id * 7919 + {PICK_SEED}) % 104729, id)) p from a2 group by 1)
+pick as (select c, arg_min({{'x': x, 'y': y}}, (md5('{PICK_SEED}:' || id::varchar), id)) p from a2 group by 1)
 select k.c cid, round(coalesce(pick.p.x, k.x), 6) x, round(coalesce(pick.p.y, k.y), 6) y
 from c3 k left join victim v on v.c = k.c left join donor d on d.r = v.r left join pick on pick.c = d.c""",
 }

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailframe.functions import scalar as S
 from trailframe.operators import clustering as C
 from trailframe.operators import grids, matching
 from trailframe.operators import regression as RG
@@ -18,25 +20,34 @@ from trailframe.sources import text as TX
 def extract_detections(spark: SparkSession, frames_path: str, out_path: str | None = None,
                        start: int | None = None, stop: int | None = None, k: int = 20,
                        passes: int = 20, threshold: float = 220.0, seed: int = 7,
-                       tol: float | None = None) -> DataFrame:
+                       tol: float | None = None, on_invalid: str = "error",
+                       mode: str = "errorifexists") -> DataFrame:
     """Q1: frames -> dark pixels -> k-means per frame -> detections.
 
     All frames are clustered together, one plan per Lloyd pass (the
-    reference runs a separate fit per frame from the driver): ``passes``
-    passes, or with ``tol`` a frame whose centres moved at most ``tol`` is
-    frozen and leaves the later passes (pays off when passes are expensive;
-    on small inputs the extra per-pass bookkeeping costs more than it saves).
-    Centre ids become slots.  With ``out_path`` the detections are appended as Parquet.
+    reference runs a separate fit per frame from the driver): at most
+    ``passes`` passes, or with ``tol`` until no centre moved more than that.
+    Centre ids become slots.  A missing frame would break the links to its
+    neighbours, so a frame that does not decode stops the job unless
+    ``on_invalid="drop"`` (:func:`frames.skipped_frames` lists them).  With
+    ``out_path`` the detections are written as Parquet; a second run into the
+    same folder needs ``mode="overwrite"`` (or ``"append"`` for other frames).
     """
-    px = FR.pixels(FR.read_frames(spark, frames_path, start, stop), threshold)
-    px = px.select("frame", "x", "y", F.monotonically_increasing_id().alias("pid"))
-    centers = C.frame_kmeans(px, k=k, passes=passes, seed=seed, key="pid", tol=tol)
-    det = centers.select("frame", F.col("cid").cast("long").alias("slot"), "x", "y")
+    frames = FR.read_frames(spark, frames_path, start, stop, on_invalid=on_invalid)
+    det = detect(frames, k, passes, threshold, seed, tol)
     if out_path:
-        TX.write_center_lines(det, out_path, fmt="parquet")
+        TX.write_center_lines(det, out_path, fmt="parquet", mode=mode)
     return det
 
 
+def detect(frames: DataFrame, k: int = 20, passes: int = 20, threshold: float = 220.0, seed: int = 7,
+           tol: float | None = None) -> DataFrame:
+    """Q1 on decoded frames: ``(frame, slot, x, y)``."""
+    px = FR.with_pixel_id(FR.pixels(frames, threshold))
+    centers = C.frame_kmeans(px, k=k, passes=passes, seed=seed, key="pid", tol=tol)
+    return centers.select("frame", F.col("cid").cast("long").alias("slot"), "x", "y")
+
+
 def build_transitions(det: DataFrame, x_path: str | None = None, y_path: str | None = None,
                       **kw) -> DataFrame:
     """Q2: detections -> matched -> lookahead -> gate -> transition rows
@@ -53,6 +64,38 @@ def model_report(tr: DataFrame, seed: int = 42, key=None, as_coded: bool = False
     return RG.model_report(tr, kinds=kinds, seed=seed, key=key, as_coded=as_coded)
 
 
+def model_report_from_files(spark: SparkSession, x_path: str, y_path: str, seed: int = 42,
+                            features: Sequence[str] = ("x", "y"),
+                            kinds: Sequence[str] = ("linear", "tree", "forest", "gbt", "isotonic")) -> DataFrame:
+    """Q3 from the two transition files: the x models are fitted and scored
+    on the rows of one file, the y models on those of the other, split by a
+    hash of the row's values; ``(model, rmse_x, rmse_y)``."""
+    schema = TX.transition_schema(len(features), max(1, len(features) // 2))
+    parts = {}
+    for label, path in zip(RG.LABELS, (x_path, y_path)):
+        rows = TX.read_transitions(spark, path, schema).withColumnRenamed("n", label)
+        # millionths of the values as text: the same in every engine
+        k = F.concat_ws(",", *[F.round(F.col(c) * 1_000_000).cast("long").cast("string") for c in (*features, label)])
+        train, test = RG.train_test_split(rows, 0.7, seed, k)
+        parts[label] = (RG.assemble(train, features).persist(), RG.assemble(test, features).persist())
+    try:
+        def run(job):
+            kind, label = job
+            train, test = parts[label]
+            scored = RG.fit(kind, train, label, seed).transform(test)
+            return float(RG.rmse(scored, [(f"pred_{label}", label)], ["r"]).first()["r"])
+
+        jobs = [(kind, label) for kind in kinds for label in RG.LABELS]
+        with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+            got = dict(zip(jobs, pool.map(run, jobs)))
+    finally:
+        for pair in parts.values():
+            for d in pair:
+                d.unpersist()
+    rows = [(kind, *[got[(kind, label)] for label in RG.LABELS]) for kind in kinds]
+    return spark.createDataFrame(rows, "model string, rmse_x double, rmse_y double")
+
+
 def heatmap(det: DataFrame, width: int = 720, height: int = 480, dense: bool = False) -> dict[str, DataFrame]:
     """Q4: visit grid, its extent and its colours."""
     grid = grids.heatmap(det, width, height, dense=dense)
@@ -67,6 +110,7 @@ def flow_field(det: DataFrame, bin_size: int = 15, **kw) -> dict[str, DataFrame]
     return {"field": ff, "segments": grids.glyph_segments(ff, bin_size)}
 
 
+# The survey's columns that are kept.
 SURVEY_COLUMNS = ("GENHLTH", "PHYSHLTH", "MENTHLTH", "POORHLTH", "EDUCA", "SEX", "MARITAL", "EMPLOY1")
 
 
@@ -89,23 +133,28 @@ def survey_segments(spark: SparkSession, path: str, cols: Sequence[str] = SURVEY
     assigned = model.transform(vec)
     cost = float(model.summary.trainingCost)
     n = assigned.count()
-    return {"model": model, "assigned": assigned.select("features", "prediction"),
+    return {"model": model, "assigned": assigned.select("features", "normFeatures", "prediction"),
             "cost": cost, "cost_distance": (cost / n) ** 0.5 if n else float("nan"),
             "centers": [list(map(float, c)) for c in model.clusterCenters()]}
 
 
-def station_clusters(spark: SparkSession, path: str, k: int = 2000, seed: int = 1) -> DataFrame:
+# Colour stops of the station clusters' ids.
+STATION_STOPS = ((0.0, S.BLUE_ARGB), (1000.0, S.RED_ARGB), (2000.0, S.GREEN_ARGB))
+
+
+def station_clusters(spark: SparkSession, path: str, k: int = 2000, seed: int = 1,
+                     with_check: bool = False) -> DataFrame:
     """Q7: fixed-width stations -> k-means on (lat, lon) ->
     ``(lon, lat, prediction, r, g, b)``; the colour of a cluster id comes
-    from the three-stop ramp 0 -> blue, 1000 -> red, 2000 -> green (P13)."""
-    from trailframe.functions import scalar as S
-
+    from the three-stop ramp 0 -> blue, 1000 -> red, 2000 -> green (P13);
+    ``with_check`` adds ``nearest``, whether no centre is nearer."""
     st = TX.read_stations(spark, path).where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     model = C.kmeans(st, k=k, seed=seed, cols=("lat", "lon"))
-    out = C.cluster_assign(model, st, cols=("lat", "lon")).select("lon", "lat", "prediction")
-    packed = S.color_ramp("prediction", [(0.0, S.BLUE_ARGB), (1000.0, S.RED_ARGB), (2000.0, S.GREEN_ARGB)])
+    out = C.cluster_assign(model, st, cols=("lat", "lon"))
+    packed = S.color_ramp("prediction", STATION_STOPS)
     r, g, b = S.rgb_channels(packed)
-    return out.select("lon", "lat", "prediction", r.alias("r"), g.alias("g"), b.alias("b"))
+    more = [C.is_nearest(model, ("lat", "lon")).alias("nearest")] if with_check else []
+    return out.select("lon", "lat", "prediction", r.alias("r"), g.alias("g"), b.alias("b"), *more)
 
 
 def balanced_clusters(points: DataFrame, k: int = 20, breakpoint: float = 2.0, tolerance: float = 1.0,

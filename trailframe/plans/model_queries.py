@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from trailframe import fixtures as fx
 from trailframe.operators import forecast as FC
-from trailframe.operators import matching
+from trailframe.operators import matching, mlp
 from trailframe.operators import regression as RG
 from trailframe.plans.sql_common import BEST, DET, MATCHED, NFRAMES
 
@@ -47,10 +47,10 @@ def q_fit_linear(spark: SparkSession, sf: str) -> DataFrame:
     return cf.select(*[_r4(c) for c in cf.columns])
 
 
-def _per_value(spark, sf, kind, fixture, feature_cols, label, key):
+def _per_value(spark, sf, kind, fixture, feature_cols, label, key, **kw):
     df = fixture(spark, sf)
     data = RG.assemble(df, feature_cols)
-    model = RG.fit(kind, data, label, seed=SPLIT_SEED)
+    model = RG.fit(kind, data, label, seed=SPLIT_SEED, **kw)
     pred = f"pred_{label}"
     return (model.transform(data).select(F.col(key).alias("x"), F.col(pred).alias("prediction"))
             .distinct().select("x", F.round("prediction", 4).alias("prediction")))
@@ -65,7 +65,9 @@ def q_fit_gbt(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_fit_forest(spark: SparkSession, sf: str) -> DataFrame:
-    return _per_value(spark, sf, "forest", fx.categorical, ["x"], "label", "x")
+    # without resampling every tree of the forest is the same exact tree
+    return _per_value(spark, sf, "forest", fx.categorical, ["x"], "label", "x",
+                      bootstrap=False, featureSubsetStrategy="all", numTrees=5)
 
 
 def q_fit_isotonic(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,7 +91,8 @@ def q_train_test_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
     v = RG.l2_normalize(fx.vectors(spark, sf), "embedding", "unit")
-    return v.select("id", F.round(F.col("unit")[0], 6).alias("e0"), F.round(F.col("unit")[1], 6).alias("e1"))
+    return (v.select("id", F.posexplode("unit").alias("pos", "e"))
+            .select("id", F.col("pos").cast("long").alias("pos"), (F.round("e", 6) + F.lit(0.0)).alias("e")))
 
 
 def q_evaluate_linear(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,7 +104,50 @@ def q_evaluate_linear(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_model_report(spark: SparkSession, sf: str) -> DataFrame:
-    return RG.model_report(transitions(spark, sf), key=split_key(), seed=SPLIT_SEED)
+    """M19 on one categorical feature, the direction of the x displacement,
+    where every kind of model has a closed form."""
+    tr = transitions(spark, sf).withColumn("side", (F.signum("x") + F.lit(1.0)))
+    rep = RG.model_report(tr, features=("side",), key=split_key(), seed=SPLIT_SEED,
+                          options={"forest": {"bootstrap": False, "featureSubsetStrategy": "all", "numTrees": 5}})
+    return rep.select("model", _r4("rmse_x"), _r4("rmse_y"))
+
+
+def q_model_report_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Q3 from the two transition files."""
+    from trailframe.plans import jobs
+    from trailframe.sources import text as TX
+
+    xp, yp = TX.scratch_path(spark, "tx"), TX.scratch_path(spark, "ty")
+    TX.write_transitions(transitions(spark, sf), xp, yp)
+    rep = jobs.model_report_from_files(spark, xp, yp, seed=SPLIT_SEED, kinds=("linear",))
+    return rep.select("model", _r4("rmse_x"), _r4("rmse_y"))
+
+
+MEMORY = ("x1", "y1", "x2", "y2")
+
+
+def _memory(spark: SparkSession, sf: str) -> DataFrame:
+    return matching.memory_features(fx.tracks(spark, sf), k=2)
+
+
+def q_memory_fit_linear(spark: SparkSession, sf: str) -> DataFrame:
+    """Linear models on memory features (W3 into M11)."""
+    pair = RG.fit_pair("linear", _memory(spark, sf), MEMORY)
+    rows = [(lab, float(m.intercept), *[float(c) for c in m.coefficients]) for lab, m in pair.models.items()]
+    df = spark.createDataFrame(rows, "label string, intercept double, x1 double, y1 double, x2 double, y2 double")
+    return df.select("label", *[_r4(c) for c in ("intercept", *MEMORY)])
+
+
+def q_memory_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """M20 with a memory of two steps: every row of the features moves on."""
+    mem = _memory(spark, sf)
+    pair = RG.fit_pair("linear", mem, MEMORY)
+    agents = mem.select("track", "step", F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"),
+                        F.col("next_x").alias("vx"), F.col("next_y").alias("vy"),
+                        F.col("x2").alias("m_x1"), F.col("y2").alias("m_y1"),
+                        F.col("next_x").alias("m_x2"), F.col("next_y").alias("m_y2")).withColumnRenamed("step", "origin")
+    f = FC.forecast(agents, pair, n_steps=3, dt=1.0, speed=1.0, key=("track", "origin"), block=2)
+    return f.select("track", "origin", "step", *[_r4(c) for c in ("cx", "cy", "vx", "vy")])
 
 
 def q_forecast_paths(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,20 +160,23 @@ def q_forecast_paths(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("frame", "slot", "step", *[_r4(c) for c in ("cx", "cy", "vx", "vy")])
 
 
+NET_EPOCHS, NET_RATE, NET_MOMENTUM = 3, 0.001, 0.9
+
+
 def q_fit_mlp(spark: SparkSession, sf: str) -> DataFrame:
-    """M16 on the transitions: one net per label, test-row predictions."""
+    """M16 on the transitions: one 2-2-1 net per label, test-row predictions
+    after a few full-batch epochs."""
     from concurrent.futures import ThreadPoolExecutor
 
-    from trailframe.operators import mlp
-
     tr = transitions(spark, sf)
     train, test = RG.train_test_split(tr, 0.7, SPLIT_SEED, split_key())
     with ThreadPoolExecutor(max_workers=2) as pool:
-        nets = list(pool.map(lambda lab: mlp.fit_mlp(train, ("x", "y"), lab, epochs=200, local_steps=20),
+        nets = list(pool.map(lambda lab: mlp.fit_mlp(train, ("x", "y"), lab, layers=(2, 2, 1), epochs=NET_EPOCHS,
+                                                     lr=NET_RATE, momentum=NET_MOMENTUM, dropout=0.0),
                              ("next_x", "next_y")))
     out = nets[0].transform(test, "pred_next_x")
     out = nets[1].transform(out, "pred_next_y")
-    return out.select("frame", "slot", "next_x", "next_y", "pred_next_x", "pred_next_y")
+    return out.select("frame", "slot", *[_r4(c) for c in ("pred_next_x", "pred_next_y")])
 
 
 QUERIES = {
@@ -143,17 +192,25 @@ QUERIES = {
     "evaluate_linear": q_evaluate_linear,
     "model_report": q_model_report,
     "forecast_paths": q_forecast_paths,
+    "model_report_files": q_model_report_files,
+    "memory_fit_linear": q_memory_fit_linear,
+    "memory_forecast": q_memory_forecast,
 }
 
 
 # ------------------------------------------------------------------------ SQL
 
+def _split(key: str, fraction: float = 0.7) -> str:
+    return (f"('0x' || substr(md5('{SPLIT_SEED}:' || ({key})::varchar), 1, 15))::bigint "
+            f"< {int(fraction * RG.SPLIT_RANGE)}")
+
+
 TRANS = f"""{DET}, {BEST}, {MATCHED},
 tr as (select a.frame, a.slot, a.bx - a.x x, a.by_ - a.y y, b.bx - b.x next_x, b.by_ - b.y next_y
   from mt a join mt b on b.frame = a.frame + 1 and b.slot = a.slot
   where a.frame < {NFRAMES} - 5 and a.nslot is not null and b.nslot is not null
     and abs(b.bx - a.bx) <= {GATE} and abs(b.by_ - a.by_) <= {GATE}),
-sp as (select *, ((frame * 1000003 + slot) * 7919 + {SPLIT_SEED}) % 104729 % 10 < 7 is_train from tr)"""
+sp as (select *, {_split('frame * 1000003 + slot')} is_train from tr)"""
 
 
 def _coef(name: str, y: str, where: str = "") -> str:
@@ -164,6 +221,104 @@ def _coef(name: str, y: str, where: str = "") -> str:
     return f"{name} as ({body})"
 
 
+def _net_ctes(tag: str, label: str) -> str:
+    """Full-batch Nesterov epochs of a 2-2-1 tanh net as CTEs ``{tag}0`` ..;
+    a row holds the nine weights and their velocities."""
+    (w1, b1), (w2, b2) = mlp.xavier((2, 2, 1), 12345)
+    start = [w1[0, 0], w1[0, 1], w1[1, 0], w1[1, 1], b1[0], b1[1], w2[0, 0], w2[1, 0], b2[0]]
+    w = ["a", "b", "c", "d", "e", "f", "g", "h", "i"]
+    parts = [f"{tag}0 as materialized (select " + ", ".join(
+        f"{float(v)!r}::double {n}, 0::double v{n}" for n, v in zip(w, start)) + ")"]
+    for k in range(NET_EPOCHS):
+        parts.append(f"""{tag}h{k} as (select x, y, g, h, tanh(x * a + y * c + e) p, tanh(x * b + y * d + f) q, i, {label} t
+  from sp, {tag}{k} where is_train)""")
+        parts.append(f"""{tag}e{k} as (select *, (p * g + q * h + i) - t r from {tag}h{k})""")
+        parts.append(f"""{tag}g{k} as materialized (select sum(x * r * g * (1 - p * p)) / count(*) a, sum(x * r * h * (1 - q * q)) / count(*) b,
+  sum(y * r * g * (1 - p * p)) / count(*) c, sum(y * r * h * (1 - q * q)) / count(*) d,
+  sum(r * g * (1 - p * p)) / count(*) e, sum(r * h * (1 - q * q)) / count(*) f,
+  sum(p * r) / count(*) g, sum(q * r) / count(*) h, sum(r) / count(*) i from {tag}e{k})""")
+        m, lr = NET_MOMENTUM, NET_RATE
+        parts.append(f"{tag}{k + 1} as materialized (select " + ", ".join(
+            f"o.{n} - {m} * o.v{n} + (1 + {m}) * ({m} * o.v{n} - {lr} * s.{n}) {n}, "
+            f"({m} * o.v{n} - {lr} * s.{n}) v{n}" for n in w) + f" from {tag}{k} o, {tag}g{k} s)")
+    return ",\n".join(parts)
+
+
+def _net_out(tag: str) -> str:
+    n = f"{tag}{NET_EPOCHS}"
+    return (f"round(tanh(x * {n}.a + y * {n}.c + {n}.e) * {n}.g + tanh(x * {n}.b + y * {n}.d + {n}.f) * {n}.h "
+            f"+ {n}.i, 4)")
+
+
+def _least_squares(tag: str, src: str, y: str, xs=MEMORY) -> str:
+    """Coefficients of ``y`` on ``xs`` (one row ``{tag}``): the centred
+    features are made orthogonal one after the other, then solved back."""
+    n = len(xs)
+    parts = [f"{tag}c as (select " + ", ".join(f"{x} - avg({x}) over () u{i}" for i, x in enumerate(xs))
+             + f", {y} - avg({y}) over () t from {src})"]
+    prev = f"{tag}c"
+    for j in range(1, n):
+        cur = f"{tag}o{j}"
+        proj = ", ".join(f"sum(u{j} * u{i}) / sum(u{i} * u{i}) r{j}_{i}" for i in range(j))
+        parts.append(f"{cur}p as materialized (select {proj} from {prev})")
+        resid = f"u{j}" + "".join(f" - r{j}_{i} * u{i}" for i in range(j))
+        keep = [f"u{i}" for i in range(n) if i != j]
+        parts.append(f"{cur} as materialized (select {', '.join(keep)}, {resid} u{j}, t from {prev}, {cur}p)")
+        prev = cur
+    # the residual of u_j is already orthogonal to the earlier ones, so the
+    # projections taken one by one are those of the original feature
+    parts.append(f"{tag}g as (select " + ", ".join(f"sum(t * u{i}) / sum(u{i} * u{i}) g{i}" for i in range(n))
+                 + f" from {prev})")
+    src_cols = ", ".join([f"{tag}g"] + [f"{tag}o{j}p" for j in range(1, n)])
+    sel, prev = None, None
+    for j in range(n - 1, -1, -1):
+        expr = f"g{j}" + "".join(f" - r{k}_{j} * k{k}" for k in range(j + 1, n))
+        if prev is None:
+            parts.append(f"{tag}k{j} as (select *, {expr} k{j} from {src_cols})")
+        else:
+            parts.append(f"{tag}k{j} as (select *, {expr} k{j} from {prev})")
+        prev = f"{tag}k{j}"
+    means = ", ".join(f"avg({x}) m{i}" for i, x in enumerate(xs))
+    parts.append(f"{tag} as materialized (select " + ", ".join(f"k{i}" for i in range(n)) + ", mt"
+                 + "".join(f" - k{i} * m{i}" for i in range(n))
+                 + f" k from {prev}, (select {means}, avg({y}) mt from {src}))")
+    return ",\n".join(parts)
+
+
+MEM = """mem as materialized (select * from (select user_id track, event_id origin,
+    lag(value, 2) over w x1, lag(minute(ts)::double, 2) over w y1,
+    lag(value, 1) over w x2, lag(minute(ts)::double, 1) over w y2, value next_x, minute(ts)::double next_y
+  from events window w as (partition by user_id order by event_id))
+  where x1 is not null and y1 is not null and x2 is not null and y2 is not null)"""
+
+# group means, the straight line and the monotone fit of three groups
+REPORT = """tr3 as (select *, sign(x) + 1.0 side from sp),
+gm as (select side, count(*) w, avg(next_x) mx, avg(next_y) my, sum(next_x) sx, sum(next_y) sy
+  from tr3 where is_train group by 1),
+ln as (select regr_slope(next_x, side) bx, regr_intercept(next_x, side) ax,
+  regr_slope(next_y, side) by_, regr_intercept(next_y, side) ay from tr3 where is_train),
+iv as (select a.side lo, b.side hi, sum(c.sx) / sum(c.w) vx, sum(c.sy) / sum(c.w) vy
+  from gm a join gm b on a.side <= b.side join gm c on c.side between a.side and b.side group by 1, 2),
+ih as (select g.side, iv.lo, min(vx) vx, min(vy) vy from gm g join iv on lo <= g.side and hi >= g.side group by 1, 2),
+iso as (select side, max(vx) ix, max(vy) iy from ih group by 1),
+te as (select t.*, mx, my, ix, iy, ax + bx * side lx, ay + by_ * side ly
+  from tr3 t join gm using (side) join iso using (side), ln where not is_train)"""
+
+
+def _rmse(px: str, py: str) -> str:
+    return (f"round(sqrt(avg(({px} - next_x) ** 2)), 4) rmse_x, round(sqrt(avg(({py} - next_y) ** 2)), 4) rmse_y")
+
+
+def _file_split(label: str) -> str:
+    cols = " || ',' || ".join(f"round({c} * 1000000)::bigint::varchar" for c in ("x", "y", label))
+    return f"({_split(cols)})"
+
+
+def _file_ctes(tag: str, label: str) -> str:
+    return (f"{tag}r as (select x, y, {label}, {_file_split(label)} is_train from tr),\n"
+            + _least_squares(tag, f"(select * from {tag}r where is_train)", label, ("x", "y")))
+
+
 SQL = {
     "fit_linear": """select round(avg_y - b1 * avg_x1 - b2 * avg_x2, 4) intercept, round(b1, 4) coef_l_quantity,
        round(b2, 4) coef_l_discount from (
@@ -175,6 +330,34 @@ SQL = {
 from lineitem group by 1""",
     "fit_gbt": """select (l_linenumber % 4)::double x, round(avg(l_extendedprice), 4) prediction
 from lineitem group by 1""",
+    "fit_forest": """select (l_linenumber % 4)::double x, round(avg(l_extendedprice), 4) prediction
+from lineitem group by 1""",
+    "fit_mlp": f"""with {TRANS},
+{_net_ctes('nx', 'next_x')},
+{_net_ctes('ny', 'next_y')}
+select frame, slot, {_net_out('nx')} pred_next_x, {_net_out('ny')} pred_next_y
+from sp, nx{NET_EPOCHS}, ny{NET_EPOCHS} where not is_train""",
+    "model_report": f"""with {TRANS}, {REPORT}
+select 'linear' model, {_rmse('lx', 'ly')} from te
+union all select 'tree', {_rmse('mx', 'my')} from te
+union all select 'forest', {_rmse('mx', 'my')} from te
+union all select 'gbt', {_rmse('mx', 'my')} from te
+union all select 'isotonic', {_rmse('ix', 'iy')} from te""",
+    "model_report_files": f"""with {TRANS}, {_file_ctes('fx', 'next_x')}, {_file_ctes('fy', 'next_y')}
+select 'linear' model,
+  (select round(sqrt(avg((fx.k0 * x + fx.k1 * y + fx.k - next_x) ** 2)), 4) from fxr, fx where not is_train) rmse_x,
+  (select round(sqrt(avg((fy.k0 * x + fy.k1 * y + fy.k - next_y) ** 2)), 4) from fyr, fy where not is_train) rmse_y""",
+    "memory_fit_linear": f"""with {MEM}, {_least_squares('lx', 'mem', 'next_x')}, {_least_squares('ly', 'mem', 'next_y')}
+select 'next_x' label, round(k, 4) intercept, round(k0, 4) x1, round(k1, 4) y1, round(k2, 4) x2, round(k3, 4) y2 from lx
+union all select 'next_y', round(k, 4), round(k0, 4), round(k1, 4), round(k2, 4), round(k3, 4) from ly""",
+    "memory_forecast": f"""with recursive {MEM}, {_least_squares('lx', 'mem', 'next_x')}, {_least_squares('ly', 'mem', 'next_y')},
+f(track, origin, step, cx, cy, vx, vy, px, py) as (
+  select track, origin, 0, 0.0::double, 0.0::double, next_x, next_y, x2, y2 from mem
+  union all
+  select track, origin, step + 1, cx + nx, cy + ny, nx, ny, vx, vy from (
+    select f.*, ((((lx.k0 * px) + lx.k1 * py) + lx.k2 * vx) + lx.k3 * vy) + lx.k nx,
+           ((((ly.k0 * px) + ly.k1 * py) + ly.k2 * vx) + ly.k3 * vy) + ly.k ny from f, lx, ly where step < 3))
+select track, origin, step, round(cx, 4) cx, round(cy, 4) cy, round(vx, 4) vx, round(vy, 4) vy from f""",
     "fit_isotonic": """with g as (select l_quantity x, count(*) w, sum(l_extendedprice) s from lineitem group by 1),
 pre as (select x, sum(w) over (order by x) cw, sum(s) over (order by x) cs from g),
 iv as (select a.x lo, b.x hi, (b.cs - a.cs + ga.s) / (b.cw - a.cw + ga.w) v
@@ -183,11 +366,10 @@ mn as (select p.x, iv.lo, min(iv.v) m from g p join iv on iv.lo <= p.x and iv.hi
 select x, round(max(m), 4) prediction from mn group by 1""",
     "index_categories": """select distinct (l_linenumber % 4)::double x,
        (dense_rank() over (order by l_linenumber % 4) - 1)::double idx from lineitem""",
-    "train_test_split": f"""select event_id, (event_id * 7919 + {SPLIT_SEED}) % 104729 % 10 < 7 is_train from events""",
-    "l2_normalize": """select vec_id id,
-  round(embedding[1]::double / sqrt(list_sum(list_transform(embedding, lambda v: v::double * v::double))), 6) e0,
-  round(embedding[2]::double / sqrt(list_sum(list_transform(embedding, lambda v: v::double * v::double))), 6) e1
-from embeddings""",
+    "train_test_split": f"""select event_id, {_split('event_id')} is_train from events""",
+    "l2_normalize": """select vec_id id, pos - 1 pos, round(embedding[pos]::double / n, 6) + 0.0 e
+from (select vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda v: v::double * v::double))) n,
+             unnest(generate_series(1, len(embedding))) pos from embeddings)""",
     "evaluate_linear": f"""with {TRANS}, {_coef('cx', 'next_x', 'is_train')}, {_coef('cy', 'next_y', 'is_train')}
 select round(sqrt(avg(((cx.b1 * x + cx.b2 * y) + cx.i - next_x) ** 2)), 4) rmse_x,
        round(sqrt(avg(((cy.b1 * x + cy.b2 * y) + cy.i - next_y) ** 2)), 4) rmse_y

@@ -32,24 +32,71 @@ def frame_path(prefix: str, i: int) -> str:
     return f"{prefix}{s}.png"
 
 
+def range_globs(start: int, stop: int) -> list[str]:
+    """Patterns of the 7-digit names of the numbers ``start <= i < stop``:
+    shared leading digits, one digit range, free trailing digits.  Their
+    number depends on the digits only, never on the size of the range."""
+    out = []
+    lo, hi = max(0, int(start)), min(int(stop), 10_000_000)
+    while lo < hi:
+        size = 1
+        while size < 1_000_000 and lo % (size * 10) == 0 and lo + size * 10 <= hi:
+            size *= 10
+        last = lo // size % 10
+        top = min(9, last + (hi - lo) // size - 1)
+        free = len(str(size)) - 1
+        head = f"{lo // size:0{7 - free}d}"[:-1]
+        out.append(f"{head}[{last}-{top}]{'?' * free}")
+        lo += (top - last + 1) * size
+    return out
+
+
 def read_frames(spark: SparkSession, path: str, start: int | None = None, stop: int | None = None,
-                pattern: str = FRAME_RE) -> DataFrame:
+                pattern: str = FRAME_RE, on_invalid: str = "drop", padded: bool = True) -> DataFrame:
     """``(frame, origin, height, width, nChannels, mode, data)`` for the
     frames with ``start <= frame < stop``.
 
-    The range is a filter on the number parsed from the file name; narrow
-    ranges are cheaper when ``path`` is a glob that names them.
-    """
-    img = spark.read.format("image").option("dropInvalid", True).load(path)
+    With both ends given and ``padded`` names (S2: seven digits), the range
+    becomes a pattern on file names, so other files are listed but neither
+    read nor decoded.  Files without a number are left out; a numbered file
+    that does not decode is left out (``on_invalid="drop"``, see
+    :func:`skipped_frames` for what that was) or stops the job
+    (``"error"``)."""
+    if on_invalid not in ("drop", "error"):
+        raise ValueError("on_invalid must be 'drop' or 'error'")
+    df = _decoded(spark, path, start, stop, pattern, padded).where(F.col("frame").isNotNull())
+    bad = F.col("height") <= 0
+    if on_invalid == "drop":
+        return df.where(~bad)
+    stop_here = F.raise_error(F.concat(F.lit("undecodable frame: "), F.col("origin"))).cast("int")
+    return df.withColumn("height", F.when(bad, stop_here).otherwise(F.col("height")))
+
+
+def skipped_frames(spark: SparkSession, path: str, start: int | None = None, stop: int | None = None,
+                   pattern: str = FRAME_RE, padded: bool = True) -> DataFrame:
+    """``(origin, reason)`` of the files that :func:`read_frames` leaves out:
+    ``"no number"`` or ``"undecodable"``."""
+    df = _decoded(spark, path, start, stop, pattern, padded)
+    reason = F.when(F.col("frame").isNull(), "no number").when(F.col("height") <= 0, "undecodable")
+    return df.select("origin", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def _decoded(spark, path, start, stop, pattern, padded) -> DataFrame:
+    reader = spark.read.format("image").option("dropInvalid", False)
+    if padded and start is not None and stop is not None:
+        globs = range_globs(start, stop)
+        reader = reader.option("pathGlobFilter", "*{" + ",".join(globs) + "}.png" if globs else "")
+    img = reader.load(path)
+    number = F.nullif(F.regexp_extract("image.origin", pattern, 1), F.lit(""))
     df = img.select(
-        F.regexp_extract("image.origin", pattern, 1).cast("long").alias("frame"),
+        number.try_cast("long").alias("frame"),
         F.col("image.origin").alias("origin"), F.col("image.height").alias("height"),
         F.col("image.width").alias("width"), F.col("image.nChannels").alias("nChannels"),
         F.col("image.mode").alias("mode"), F.col("image.data").alias("data"))
     if start is not None:
-        df = df.where(F.col("frame") >= F.lit(int(start)))
+        df = df.where(F.col("frame").isNull() | (F.col("frame") >= F.lit(int(start))))
     if stop is not None:
-        df = df.where(F.col("frame") < F.lit(int(stop)))
+        df = df.where(F.col("frame").isNull() | (F.col("frame") < F.lit(int(stop))))
     return df
 
 
@@ -64,8 +111,14 @@ def _gray(arr: np.ndarray, channels: int) -> np.ndarray:
     return 255.0 - ((r + g) + b) / 3.0
 
 
+#: pixels of several small frames go out together, about this many at a time
+FLUSH = 1 << 16
+
+
 def _dark_pixels(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        n = 0
         for pdf in batches:
             for frame, h, w, c, data in zip(pdf["frame"], pdf["height"], pdf["width"],
                                             pdf["nChannels"], pdf["data"]):
@@ -74,12 +127,21 @@ def _dark_pixels(threshold: float):
                 arr = np.frombuffer(data, dtype=np.uint8).reshape(int(h), int(w), int(c))
                 v = _gray(arr, int(c))
                 ys, xs = np.nonzero(v > threshold)
-                yield pd.DataFrame({"frame": np.full(len(xs), frame, dtype=np.int64),
-                                    "x": xs.astype(np.float64), "y": ys.astype(np.float64),
-                                    "v": v[ys, xs]})
+                held.append((np.full(len(xs), frame, dtype=np.int64), xs.astype(np.float64),
+                             ys.astype(np.float64), v[ys, xs]))
+                n += len(xs)
+                if n >= FLUSH:
+                    yield _table(held)
+                    held, n = [], 0
+        if held:
+            yield _table(held)
     return run
 
 
+def _table(held: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(("frame", "x", "y", "v"), (np.concatenate(c) for c in zip(*held)))))
+
+
 def pixels(frames: DataFrame, threshold: float = 220.0) -> DataFrame:
     """S3 + P1-P3: ``(frame, x, y, v)`` of the pixels with inverted grey
     ``v > threshold`` (x = column, y = row)."""
@@ -88,6 +150,14 @@ def pixels(frames: DataFrame, threshold: float = 220.0) -> DataFrame:
     return cols.mapInPandas(_dark_pixels(float(threshold)), PIXEL_SCHEMA)
 
 
+def with_pixel_id(px: DataFrame) -> DataFrame:
+    """``(frame, x, y, pid)``: a pixel's id is its place in the frame
+    (``y * 2**24 + x``), so starting points picked by a hash of it do not
+    depend on how the rows are partitioned."""
+    return px.select("frame", "x", "y",
+                     (F.col("y").cast("long") * F.lit(1 << 24) + F.col("x").cast("long")).alias("pid"))
+
+
 def all_pixels(frames: DataFrame) -> DataFrame:
     """S3 without a threshold (every pixel); mostly for tests."""
     return pixels(frames, threshold=-1.0)

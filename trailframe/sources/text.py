@@ -7,11 +7,10 @@
 * stations: fixed-width text;
 * daily measures: CSV with ``yyyyMMdd`` dates.
 
-Line numbers need the order of lines across the whole input, which only an
-RDD exposes (``zipWithIndex``: one small job counts the lines of each
-partition, then every line is numbered where it is).  The files of a
-directory are read in name order, so part files written from a sorted
-DataFrame come back in order.
+Lines are numbered by file name, block of the file and place in the block:
+each block's lines are numbered where they are, and only the table of block
+sizes is summed up.  Part files written from a sorted DataFrame come back in
+order.
 """
 
 from __future__ import annotations
@@ -19,11 +18,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailframe.session import ensure_checkpoint_dir
+from trailframe.session import ensure_checkpoint_dir, materialize
 
 # Column ranges of the fixed-width station file, as
 # (name, start, end) with 0-based start and exclusive end.
@@ -40,33 +39,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/trailframe-scratch/{name}-{uuid.uuid4().hex}"
 
 
-def _sorted_files(spark: SparkSession, path: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    statuses = fs.globStatus(p) or []
-    out = []
-    for st in statuses:
-        if st.isDirectory():
-            for ch in fs.listStatus(st.getPath()):
-                n = ch.getPath().getName()
-                if ch.isFile() and not n.startswith(("_", ".")):
-                    out.append(ch.getPath().toString())
-        else:
-            out.append(st.getPath().toString())
-    return sorted(out)
-
-
 def numbered_lines(spark: SparkSession, path: str, out: str = "line_no") -> DataFrame:
     """``(line_no, value)`` with 0-based line numbers across the files of
-    ``path`` in name order."""
-    files = _sorted_files(spark, path)
-    if not files:
-        raise FileNotFoundError(path)
-    rdd = spark.sparkContext.textFile(",".join(files)).zipWithIndex()
-    schema = T.StructType([T.StructField("value", T.StringType()), T.StructField(out, T.LongType())])
-    return spark.createDataFrame(rdd, schema).select(out, "value")
+    ``path`` in name order.  A block of a file is one scan task's stretch of
+    lines, read in order, so its lines are ranked by the row id of the scan;
+    the running total runs over one row per block."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
+        F.monotonically_increasing_id().alias("_m"))
+    ranked = lines.withColumn("_r", F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_m")))
+    sizes = ranked.groupBy("_f", "_b").agg(F.max("_r").alias("_n"))
+    before = sizes.select("_f", "_b", (F.sum("_n").over(Window.orderBy("_f", "_b")) - F.col("_n")).alias("_before"))
+    return (ranked.join(before, ["_f", "_b"])
+            .select((F.col("_before") + F.col("_r") - 1).cast("long").alias(out), "value"))
 
 
 # --------------------------------------------------------------- centre lines
@@ -88,21 +73,29 @@ def read_center_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def center_lines(det: DataFrame) -> DataFrame:
-    """``(frame, value)``: one text line per frame, points in slot order.
-    A frame's points are gathered into its line, so a frame is one row."""
+    """``(frame, value)``: one text line per frame from 0 to the last one,
+    points in slot order; a frame without points is an empty line.  A frame's
+    points are gathered into its line, so a frame is one row."""
     pt = F.concat(F.lit("("), F.col("x").cast("string"), F.lit(","), F.col("y").cast("string"), F.lit(")"))
     g = det.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("slot", pt.alias("s")))).alias("p"))
-    return g.select("frame", F.concat_ws(";", F.transform("p", lambda e: e["s"])).alias("value"))
+    lines = g.select("frame", F.concat_ws(";", F.transform("p", lambda e: e["s"])).alias("value"))
+    last = det.agg(F.max("frame")).first()[0]
+    every = det.sparkSession.range(0 if last is None else int(last) + 1).withColumnRenamed("id", "frame")
+    return every.join(lines, "frame", "left").select("frame", F.coalesce("value", F.lit("")).alias("value"))
 
 
-def write_center_lines(det: DataFrame, path: str, fmt: str = "parquet", mode: str = "append",
+def write_center_lines(det: DataFrame, path: str, fmt: str = "parquet", mode: str | None = None,
                        frames_per_folder: int = 1000) -> None:
     """S6.  ``fmt="parquet"`` (default): ``(frame, slot, x, y)`` appended,
     partitioned by ``frame div frames_per_folder`` so frame ranges prune
     folders.  ``fmt="text"``: centre lines sorted by frame (range
-    partitioned, part files in frame order) so :func:`read_center_lines`
-    numbers them back.  Frames must be numbered densely from 0 for the text
-    form to keep their numbers."""
+    partitioned, part files in frame order, an empty line for a frame without
+    points) so :func:`read_center_lines` numbers them back.  A text line's
+    number is its place, so text is never appended to; ``mode`` is then
+    ``"errorifexists"`` unless given."""
+    if fmt == "text" and mode == "append":
+        raise ValueError("centre lines are numbered by place: append to the parquet form, or write a new folder")
+    mode = mode or ("append" if fmt == "parquet" else "errorifexists")
     if fmt == "parquet":
         (det.select("frame", "slot", "x", "y")
          .withColumn("frame_block", (F.col("frame") / F.lit(int(frames_per_folder))).cast("long"))
@@ -151,7 +144,9 @@ def read_transitions(spark: SparkSession, path: str, schema: T.StructType | None
 
 def write_transitions(tr: DataFrame, x_path: str, y_path: str, features: Sequence[str] = ("x", "y"),
                       mode: str = "overwrite") -> None:
-    """The two files of the reference: features + next x, features + next y."""
+    """The two files of the reference: features + next x, features + next
+    y.  The rows are computed once."""
+    tr = materialize(tr.select(*features, "next_x", "next_y"), "transitions")
     tr.select(*features, F.col("next_x").alias("n")).write.mode(mode).csv(x_path)
     tr.select(*features, F.col("next_y").alias("n")).write.mode(mode).csv(y_path)
 

@@ -33,13 +33,14 @@ def _schema():
 
 def frame_stream(spark: SparkSession, frames_dir: str, max_files_per_trigger: int | None = None,
                  pattern: str = FR.FRAME_RE) -> DataFrame:
-    """Streaming ``(frame, height, width, nChannels, mode, data)`` of new frame files."""
-    r = spark.readStream.format("image").schema(_schema()).option("dropInvalid", True)
+    """Streaming ``(frame, origin, height, width, nChannels, mode, data)`` of new frame files."""
+    r = spark.readStream.format("image").schema(_schema()).option("dropInvalid", False)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", int(max_files_per_trigger))
     img = r.load(frames_dir)
+    number = F.nullif(F.regexp_extract("image.origin", pattern, 1), F.lit(""))
     return img.select(
-        F.regexp_extract("image.origin", pattern, 1).cast("long").alias("frame"),
+        number.try_cast("long").alias("frame"), F.col("image.origin").alias("origin"),
         F.col("image.height").alias("height"), F.col("image.width").alias("width"),
         F.col("image.nChannels").alias("nChannels"), F.col("image.mode").alias("mode"),
         F.col("image.data").alias("data"))
@@ -59,8 +60,13 @@ def extract_detections_stream(spark: SparkSession, frames_dir: str, out_path: st
     stream = frame_stream(spark, frames_dir, max_files_per_trigger)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        px = FR.pixels(batch, threshold)
-        px = px.select("frame", "x", "y", F.monotonically_increasing_id().alias("pid"))
+        # files without a number or that do not decode are kept aside by
+        # batch, not lost without a trace
+        fit = F.col("frame").isNotNull() & (F.col("height") > 0)
+        (batch.where(~fit).select("origin").write.mode("overwrite")
+         .text(f"{out_path.rstrip('/')}-skipped/batch={int(batch_id)}"))
+        px = FR.pixels(batch.where(fit), threshold)
+        px = FR.with_pixel_id(px)
         centers = C.frame_kmeans(px, k=k, passes=passes, seed=seed, key="pid")
         det = centers.select("frame", F.col("cid").cast("long").alias("slot"), "x", "y")
         # one folder per micro-batch, overwritten if the batch is re-run
