@@ -6,10 +6,14 @@ coordinate that gives all rows one length, queries get 0 there).  Each of
 ``orderings`` random projections to ``dims`` coordinates is cut into cells
 by quantiles, shifted, and run through along a Hilbert curve.  Spark sorts
 rows and queries along every curve by range partitions; positions are the
-ranks, so runs of ``bucket`` positions have a bounded number of rows however
+ranks, so a bucket, a run of positions, has a bounded number of rows however
 many keys are equal.  A query takes the buckets within ``window`` positions
 of its own on every curve, each bucket gives its best ``k``, and these are
 merged and ranked by the exact inner product of the original vectors.
+Buckets are as long as the window, between ``MIN_BUCKET`` and
+``MAX_BUCKET`` rows, so a query meets about three per curve; the queries that
+meet a bucket come in chunks of ``CHUNK`` buckets' positions, so a task's
+group is bounded on both sides.
 
 The window is measured, not guessed: for a bounded sample of audit queries
 the exact neighbours are found by brute force in blocks, and the window is
@@ -39,7 +43,8 @@ K = 20
 ORDERINGS = 8
 DIMS = 4
 BITS = 8
-BUCKET = 2048
+MIN_BUCKET, MAX_BUCKET = 2048, 65_536
+CHUNK = 4
 SAMPLE = 20_000
 AUDIT = 200
 TARGET = 0.96
@@ -214,7 +219,7 @@ def measured_window(rows: DataFrame, ranks: DataFrame, k: int, audit: int, targe
 
 
 def nearest(embeddings: DataFrame, is_query: Column, k: int = K, orderings: int = ORDERINGS, dims: int = DIMS,
-            bits: int = BITS, bucket: int = BUCKET, window: int | None = None, sample_rows: int = SAMPLE,
+            bits: int = BITS, bucket: int | None = None, window: int | None = None, sample_rows: int = SAMPLE,
             audit: int = AUDIT, target: float = TARGET, id_col: str = "vec_id",
             vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows found of
@@ -237,10 +242,19 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = K, orderings: int
     ranks = materialize(positions(rows, Curves(sample, longest, orderings, dims, bits), orderings), "positions")
     w = measured_window(rows, ranks, k, audit, target) if window is None else window
 
-    body = (ranks.filter("not query").select("o", F.floor(F.col("pos") / bucket).alias("b"), "vec_id", "query")
+    size = bucket or min(MAX_BUCKET, max(MIN_BUCKET, w))
+    c = F.col
+
+    def runs(first, last, length):
+        return F.explode(F.sequence(F.floor(F.greatest(first, F.lit(0)) / length), F.floor(last / length)))
+
+    b = F.floor(c("pos") / size)
+    body = (ranks.filter("not query")
+            .select("o", b.alias("b"), runs(b * size - w, b * size + (size - 1 + w), CHUNK * size).alias("chunk"),
+                    "vec_id", "query")
             .unionByName(ranks.filter("query").select(
-                "o", F.explode(F.sequence(F.floor((F.greatest(F.col("pos") - w, F.lit(0))) / bucket),
-                                          F.floor((F.col("pos") + w) / bucket))).alias("b"), "vec_id", "query"))
+                "o", runs(c("pos") - w, c("pos") + w, size).alias("b"), F.floor(c("pos") / (CHUNK * size)).alias("chunk"),
+                "vec_id", "query"))
             .join(rows.select("vec_id", "v"), "vec_id"))
 
     def search(t: pa.Table) -> pa.Table:
@@ -252,5 +266,5 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = K, orderings: int
             out = _best(ids[is_q], v[is_q], ids[~is_q], v[~is_q], k)
         return pa.table({"query_id": out[0], "vec_id": out[1], "score": out[2]})
 
-    found = body.groupBy("o", "b").applyInArrow(search, "query_id long, vec_id long, score double")
+    found = body.groupBy("o", "b", "chunk").applyInArrow(search, "query_id long, vec_id long, score double")
     return _top(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
