@@ -19,10 +19,17 @@ from pyspark.sql import functions as F
 from trailframe.session import cut_lineage, ensure_checkpoint_dir, ship_package
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Checkpoint folder and code for the Python workers."""
+    """Checkpoint folder, code for the Python workers, and Arrow batches of
+    2,000 rows where the session has Spark's default of 10,000 (a batch of
+    whole texts is held in memory on both sides)."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "2000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

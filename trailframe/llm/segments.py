@@ -20,8 +20,8 @@ import numpy as np
 
 #: a space with white space on both sides or between white space and the end
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
-#: entries a worker keeps before it starts anew
-MAX_ENTRIES = 500_000
+#: entries of one generation of a worker's cache (it holds two)
+MAX_ENTRIES = 125_000
 
 _WORKERS: dict[str, SegmentEncoder] = {}
 
@@ -35,6 +35,44 @@ def cacheable(spec: dict) -> bool:
             and not any(t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec.get("added_tokens", [])))
 
 
+class Generations:
+    """A cache of bounded size: entries that are used again move on to the
+    young generation, the others go with the old one."""
+
+    def __init__(self, size: int, table: dict | None = None):
+        self.size = size
+        self.table = table or {}
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def look_up(self, keys: list, make) -> list:
+        """Values of all keys; ``make`` gives those of a list of new keys."""
+        values = list(map(self.young.get, keys))
+        if None not in values:
+            return values
+        lost = [i for i, v in enumerate(values) if v is None]
+        got: dict = {}
+        new = []
+        for k in dict.fromkeys([keys[i] for i in lost]):
+            v = self.table.get(k)
+            if v is None:
+                v = self.old.get(k)
+            if v is None:
+                new.append(k)
+            else:
+                got[k] = v
+        for a in range(0, len(new), 4096):
+            part = new[a:a + 4096]
+            got.update(zip(part, make(part)))
+        for i in lost:
+            values[i] = got[keys[i]]
+        if len(self.young) + len(got) > self.size:
+            self.old, self.young = self.young, {}
+        if len(got) <= self.size:
+            self.young.update(got)
+        return values
+
+
 class SegmentEncoder:
     """``encode(texts)`` gives, for each text, the value of its ids: their
     little-endian 32-bit bytes, or their number (``count=True``)."""
@@ -51,10 +89,8 @@ class SegmentEncoder:
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.cut = cacheable(spec)
         self.count = count
-        self.frequent = frequent or {}
-        self.max_entries = max_entries
-        self.later: dict[str, object] = dict(self.frequent)
-        self.first: dict[str, object] = {}
+        self.later = Generations(max_entries, frequent)
+        self.first = Generations(max_entries // 8)
 
     def library(self, texts: list[str]) -> list:
         out = self.tok.encode_batch_fast(texts, add_special_tokens=False)
@@ -65,24 +101,6 @@ class SegmentEncoder:
     def whole(self, t: str) -> bool:
         return not self.cut or UNSAFE.search(t) is not None or any(a in t for a in self.added)
 
-    def _fill(self, cache: dict, pieces: list[str], prefix: str, values: list) -> None:
-        lost = [i for i, v in enumerate(values) if v is None]
-        if not lost:
-            return
-        new = list(dict.fromkeys(pieces[i] for i in lost))
-        if len(cache) + len(new) > self.max_entries + len(self.frequent):
-            cache.clear()
-            if prefix:
-                cache.update(self.frequent)
-        got: dict[str, object] = {}
-        for a in range(0, len(new), 4096):
-            part = new[a:a + 4096]
-            got.update(zip(part, self.library([prefix + p for p in part])))
-        if len(got) <= self.max_entries:
-            cache.update(got)
-        for i in lost:
-            values[i] = got[pieces[i]]
-
     def encode(self, texts: list[str | None]) -> list:
         out: list = [None] * len(texts)
         firsts, pieces, at, which, full = [], [], [0], [], []
@@ -101,11 +119,8 @@ class SegmentEncoder:
             for i, v in zip(full, self.library([texts[i] for i in full])):
                 out[i] = v
         if which:
-            head = list(map(self.first.get, firsts))
-            self._fill(self.first, firsts, "", head)
-            tail = list(map(self.later.get, pieces))
-            if None in tail:
-                self._fill(self.later, pieces, " ", tail)
+            head = self.first.look_up(firsts, self.library)
+            tail = self.later.look_up(pieces, lambda new: self.library([" " + p for p in new]))
             for k, i in enumerate(which):
                 part = tail[at[k]:at[k + 1]]
                 out[i] = head[k] + sum(part) if self.count else head[k] + b"".join(part)

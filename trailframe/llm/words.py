@@ -84,7 +84,7 @@ def windows(h: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return mix((total[size:] - total[:-size]) * inv[:n])
 
 
-def batches(texts, limit: int = 1 << 20):
+def batches(texts, limit: int = 1 << 18):
     """Slices of an Arrow text column (null: empty) of about ``limit`` bytes,
     as ``(first, [bytes])``; a longer text is a slice of its own."""
     first, part, size = 0, [], 0
