@@ -11,13 +11,18 @@ verified on whole sets.
 * The order comes from a count sketch over all documents (``SKETCH``
   counters; its size is fixed, it is broadcast, and it decides speed only).
 * Equal sets are one class (its smallest id stands for it).
-* Lists are first searched as stars (each entry against the first of its
-  size range), which links large groups of near copies in linear time.  The
-  lists that still hold more than one component are then searched in full:
-  entries outside the most frequent component of the list against all, so a
-  pair is left out only when its members are already linked.
-* Sets are made again from the texts for the documents in candidate pairs
-  only, found in the scan with a Bloom filter of fixed size and joined
+* Lists are first searched as stars: each entry against the most central one
+  of its size range, the one with the largest share of its first n-grams in
+  lists at all.  In a group of near copies that is the text they were made
+  from, so the group is linked in linear time.  The lists that still hold
+  more than one component are then searched in full: entries outside the
+  component of the list's most central entry against all, so a pair is left
+  out only when its members are already linked.
+* Each set has a parity bitmap of ``PARITY`` bits.  Two sets differ in at
+  least as many n-grams as their bitmaps differ in bits, so pairs whose
+  bitmaps differ too much go before any set is moved.
+* Sets are made again from the texts for the documents in the pairs that are
+  left only, found in the scan with a Bloom filter of fixed size and joined
   exactly.
 
 Cases: null text and text without words has 0 n-grams and links with
@@ -37,8 +42,9 @@ from pyspark.sql import functions as F
 from trailframe.llm import words as W
 from trailframe.llm.common import (bloom_hits, bloom_words, connected_components, drop_scratch, materialize)
 
-SKETCH = 18
+SKETCH = 20
 CHUNK = 4096
+PARITY = 1024
 BLOOM_BITS = 24
 
 
@@ -73,7 +79,7 @@ def count_sketch(docs: DataFrame, n: int, log2_size: int = SKETCH) -> np.ndarray
                 if hs:
                     counts += np.bincount((np.concatenate(hs) & mask).astype(np.int64), minlength=size)
         step = min(CHUNK, size)
-        rows = [(i, counts[i * step:(i + 1) * step].astype("<u4").tobytes()) for i in range(size // step)]
+        rows = [(i, _packed(counts[i * step:(i + 1) * step])) for i in range(size // step)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()),
                                           pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "c"])
 
@@ -81,7 +87,7 @@ def count_sketch(docs: DataFrame, n: int, log2_size: int = SKETCH) -> np.ndarray
         sums: dict[int, np.ndarray] = {}
         for batch in it:
             for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                v = np.frombuffer(c, dtype="<u4").astype("<u8")
+                v = np.frombuffer(c, dtype=f"<u{len(c) // min(CHUNK, size)}").astype("<u8")
                 sums[i] = sums[i] + v if i in sums else v
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()),
                                           pa.array([v.tobytes() for v in sums.values()], pa.binary())],
@@ -93,12 +99,26 @@ def count_sketch(docs: DataFrame, n: int, log2_size: int = SKETCH) -> np.ndarray
     step = min(CHUNK, size)
     for i, c in zip(got.column("chunk").to_pylist(), got.column("c").to_pylist()):
         out[i * step:(i + 1) * step] = np.frombuffer(c, dtype="<u8")
-    return out
+    # only the order of the counters matters, so they may be saturated
+    return np.minimum(out, np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters in the fewest bytes that hold the largest."""
+    top = int(counts.max())
+    return counts.astype("<u1" if top < 256 else "<u2" if top < 65536 else "<u4").tobytes()
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """Whether an even or odd number of the set's members fall on each bit."""
+    odd = (np.bincount((s >> W.U(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
 
 
 def signatures(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    """``doc_id, n, f1, f2`` (digest of the set), ``g`` (digest of prefix and
-    size) and ``prefix``; the prefix stands once per group and task."""
+    """``doc_id, n, f1, f2`` (digest of the set), ``bits`` (its parity
+    bitmap), ``g`` (digest of prefix and size) and ``prefix``; the prefix
+    stands once per group and task."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     mask = W.U(sketch.size - 1)
 
@@ -108,13 +128,14 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray)
         for batch in it:
             ids = batch.column(0)
             for first, part in W.batches(batch.column(1)):
-                size, f1, f2, g, prefix = [], [], [], [], []
+                size, f1, f2, bits, g, prefix = [], [], [], [], [], []
                 for s in shingle_sets(part, n):
                     k = s.size
                     size.append(k)
                     if not k:
-                        f1.append(0), f2.append(0), g.append(0), prefix.append(None)
+                        f1.append(0), f2.append(0), bits.append(None), g.append(0), prefix.append(None)
                         continue
+                    bits.append(parity(s))
                     f1.append(int(_signed(W.mix(s).sum(keepdims=True))[0]))
                     f2.append(int(_signed(W.mix(s ^ W.U(W.SEEDS[1])).sum(keepdims=True))[0]))
                     p = k - -(-num * k // den) + 1
@@ -126,11 +147,12 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray)
                     sent.add(gid)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, len(part)), pa.array(size, pa.int32()), pa.array(f1, pa.int64()),
-                     pa.array(f2, pa.int64()), pa.array(g, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "f1", "f2", "g", "prefix"])
+                     pa.array(f2, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(g, pa.int64()),
+                     pa.array(prefix, pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "f1", "f2", "bits", "g", "prefix"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n int, f1 long, f2 long, g long, prefix array<long>")
+        run, "doc_id long, n int, f1 long, f2 long, bits array<long>, g long, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -167,8 +189,30 @@ def _reach(p1: Column, n1: Column, p2: Column, n2: Column, num: int, den: int) -
     return (num + den) * most >= num * (n1 + n2)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _promising(found: DataFrame, one: str, two: str, num: int, den: int) -> DataFrame:
+    """Pairs ``(one, two)`` from one row per n-gram that both prefixes hold,
+    with positions ``p, p2`` and sizes ``n, n2``.  No common n-gram lies
+    before the first one; beyond the last one at most the rest is common."""
+    c = F.col
+    pairs = found.groupBy(one, two).agg(
+        F.count(F.lit(1)).alias("c"), F.min("p").alias("a"), F.min("p2").alias("a2"), F.max("p").alias("z"),
+        F.max("p2").alias("z2"), F.first("n").alias("n"), F.first("n2").alias("n2"))
+    most = F.least(1 + F.least(c("n") - c("a") - 1, c("n2") - c("a2") - 1),
+                   c("c") + F.least(c("n") - c("z") - 1, c("n2") - c("z2") - 1))
+    return pairs.filter((num + den) * most >= num * (c("n") + c("n2"))).select(one, two)
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, sig: DataFrame, classes: DataFrame, n: int, num: int,
+              den: int) -> DataFrame:
     """Links ``(a, b)`` among candidate pairs ``(x, y)`` of class ids."""
+    one = sig.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
+    two = one.withColumnsRenamed({"x": "y", "nx": "ny", "bx": "by"})
+    apart = F.aggregate(F.zip_with("bx", "by", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
+    # common members are at most half of what both sets hold beyond the difference
+    pairs = materialize(
+        pairs.join(one, "x").join(two, "y")
+        .filter((num + den) * (F.col("nx") + F.col("ny") - apart) >= 2 * num * (F.col("nx") + F.col("ny")))
+        .select("x", "y").distinct(), "pairs")
     wanted = pairs.select("x").union(pairs.select(F.col("y").alias("x"))).distinct()
     keys = wanted.join(classes.select(F.col("rep").alias("x"), "f1"), "x")
     sets = materialize(
@@ -181,6 +225,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, num
              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     links = materialize(links, "links")
     drop_scratch(sets)
+    drop_scratch(pairs)
     return links
 
 
@@ -191,34 +236,39 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
     the smallest id reachable."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = count_sketch(src, n)
-    sig = materialize(signatures(src, n, num, den, sketch), "signatures")
+    made = materialize(signatures(src, n, num, den, sketch), "prefixes")
+    sig = materialize(made.drop("prefix"), "signatures")
     classes = materialize(
         sig.filter("n > 0 and doc_id is not null").groupBy("f1", "f2", "n", "g")
         .agg(F.min("doc_id").alias("rep")), "classes")
     # inverted lists of groups; lists of one group go
     w = Window.partitionBy("token")
-    lists = (sig.filter("prefix is not null and doc_id is not null")
+    lists = (made.filter("prefix is not null and doc_id is not null")
              .select("g", "n", F.posexplode("prefix").alias("p", "token"))
              .select("token", "g", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("p")).alias("np")))
     live = materialize(
         lists.withColumns({"lo": F.min("g").over(w), "hi": F.max("g").over(w)}).filter("lo <> hi")
         .select("token", "g", F.shiftright("np", 32).cast("int").alias("n"),
                 F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("p")).distinct(), "lists")
+    drop_scratch(made)
     groups = classes.groupBy("g").agg(F.min("rep").alias("gid"))
 
-    # stars: each entry of a list against the first of its size range
-    band = F.floor(F.log(F.col("n")) / np.log(1.25)).alias("band")
-    hubs = (live.groupBy("token", band).agg(F.min(F.struct("g", "n", "p")).alias("h"))
-            .select("token", "band", F.col("h.g").alias("hg"), F.col("h.n").alias("hn"), F.col("h.p").alias("hp")))
-    stars = (live.withColumn("band", band).join(hubs, ["token", "band"])
-             .filter((F.col("g") != F.col("hg")) & _alike(F.col("n"), F.col("hn"), num, den)
-                     & _reach(F.col("p"), F.col("n"), F.col("hp"), F.col("hn"), num, den))
+    # stars: each entry of a list against the most central of its size range
+    c = F.col
+    length = c("n") - F.ceil(c("n") * num / F.lit(den)) + 1
+    central = live.groupBy("g").agg((F.count(F.lit(1)) / F.first(length)).alias("central"))
+    near = Window.partitionBy("token", F.floor(F.log("n") / np.log(1.25)))
+    hub = F.min(F.struct((-c("central")).alias("k"), "g", "n", "p")).over(near)
+    stars = (live.join(central, "g").withColumn("h", hub)
+             .select("g", "n", "p", c("h.g").alias("hg"), c("h.n").alias("n2"), c("h.p").alias("p2"))
+             .filter((c("g") != c("hg")) & _alike(c("n"), c("n2"), num, den)
+                     & _reach(c("p"), c("n"), c("p2"), c("n2"), num, den))
              .select("g", "hg").distinct())
     first = (stars.join(groups.select("g", F.col("gid").alias("x")), "g")
              .join(groups.select(F.col("g").alias("hg"), F.col("gid").alias("y")), "hg").select("x", "y")
              .union(classes.join(groups, "g").filter("rep <> gid").select(F.col("rep").alias("x"),
                                                                           F.col("gid").alias("y"))))
-    links = _verified(src, materialize(first.filter("x <> y"), "pairs"), classes, n, num, den)
+    links = _verified(src, first.filter("x <> y"), sig, classes, n, num, den)
     label = connected_components(links)
 
     # the lists that still hold several components
@@ -226,22 +276,25 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
         classes.join(label.withColumnRenamed("node", "rep"), "rep", "left")
         .select("rep", "g", F.coalesce("component", "rep").alias("label")), "labels")
     of_group = named.groupBy("g").agg(F.min("label").alias("lmin"), F.max("label").alias("lmax"))
-    entry = live.join(of_group, "g")
-    mixed = (entry.groupBy("token").agg(F.min("lmin").alias("lo"), F.max("lmax").alias("hi"))
-             .filter("lo <> hi").select("token"))
-    open_ = materialize(entry.join(mixed, "token"), "open")
-    major = (open_.filter("lmin = lmax").groupBy("token", "lmin").count()
-             .groupBy("token").agg(F.max_by("lmin", F.struct("count", "lmin")).alias("major")))
-    few = (open_.join(major, "token", "left")
-           .filter("major is null or lmin <> major or lmax <> major")
-           .select("token", *[F.col(c).alias(f"{c}2") for c in ("g", "n", "p", "lmin", "lmax")]))
-    c = F.col
-    group_pairs = (few.join(open_, "token")
-                   .filter((c("g") != c("g2"))
-                           & ((c("lmin") != c("lmin2")) | (c("lmax") != c("lmax2")) | (c("lmin") != c("lmax")))
-                           & _alike(c("n"), c("n2"), num, den)
-                           & _reach(c("p"), c("n"), c("p2"), c("n2"), num, den))
-                   .select(F.least("g", "g2").alias("g"), F.greatest("g", "g2").alias("g2")).distinct())
+    # of each list, the component of its most central entry stays among itself
+    main = F.min(F.struct((-c("central")).alias("k"), "g", "lmin")).over(w)
+    open_ = materialize(
+        live.join(of_group.join(central, "g"), "g")
+        .withColumns({"lo": F.min("lmin").over(w), "hi": F.max("lmax").over(w), "main": main}).filter("lo <> hi")
+        .select("token", "g", "n", "p", "lmin", "lmax",
+                ((c("lmin") != c("main.lmin")) | (c("lmax") != c("main.lmin"))).alias("few")), "open")
+    few = open_.filter("few").select("token", *[c(x).alias(f"{x}2") for x in ("g", "n", "p", "lmin", "lmax")])
+    # two entries outside that component meet once, in the order of their digests
+    found = (few.join(open_, "token")
+             .filter((c("g") != c("g2")) & (~c("few") | (c("g") < c("g2")))
+                     & ((c("lmin") != c("lmin2")) | (c("lmax") != c("lmax2")) | (c("lmin") != c("lmax")))
+                     & _alike(c("n"), c("n2"), num, den) & _reach(c("p"), c("n"), c("p2"), c("n2"), num, den)))
+    side = c("g") < c("g2")
+    group_pairs = _promising(found.select(
+        F.least("g", "g2").alias("g"), F.greatest("g", "g2").alias("g2"),
+        F.when(side, c("p")).otherwise(c("p2")).alias("p"), F.when(side, c("p2")).otherwise(c("p")).alias("p2"),
+        F.when(side, c("n")).otherwise(c("n2")).alias("n"), F.when(side, c("n2")).otherwise(c("n")).alias("n2")),
+        "g", "g2", num, den)
     member = named.select("g", c("rep").alias("x"), c("label").alias("lx"))
     other = named.select(c("g").alias("g2"), c("rep").alias("y"), c("label").alias("ly"))
     split = of_group.filter("lmin <> lmax").select("g", c("g").alias("g2"))
@@ -249,7 +302,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
         group_pairs.union(split).join(member, "g").join(other, "g2").filter("lx <> ly and x <> y")
         .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
     if not second.isEmpty():
-        more = _verified(src, second, classes, n, num, den)
+        more = _verified(src, second, sig, classes, n, num, den)
         name = named.select("rep", "label")
         bridge = (more.join(name.withColumnsRenamed({"rep": "a", "label": "la"}), "a")
                   .join(name.withColumnsRenamed({"rep": "b", "label": "lb"}), "b")
