@@ -85,6 +85,17 @@ def test_jaccard_edge_cases(spark):
     assert jaccard.jaccard_groups(df.limit(0)).count() == 0
 
 
+def test_jaccard_null_id_copy_before_a_near_copy(spark):
+    base = [f"w{k}" for k in range(100)]
+    near = base[:50] + ["x"] + base[51:]
+    df = spark.createDataFrame([(None, " ".join(base)), (1, " ".join(base)), (2, " ".join(near))],
+                               "doc_id long, text string").coalesce(1)
+    groups = jaccard.jaccard_groups(df)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in groups.collect()), key=str)
+    assert got == sorted([(None, 96, None), (1, 96, 1), (2, 96, 1)], key=str)
+    assert sorted((r.doc_id for r in jaccard.keep_one(df, groups).collect()), key=str) == [1, None]
+
+
 def test_jaccard_query(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op7_ngram_jaccard(spark, SF).collect()}

@@ -118,7 +118,8 @@ def parity(s: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
     """``doc_id, n, f1, f2`` (digest of the set), ``bits`` (its parity
     bitmap), ``g`` (digest of prefix and size) and ``prefix``; the prefix
-    stands once per group and task."""
+    stands once per group and task, with a document that has an id (rows
+    without one are in no list)."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     mask = W.U(sketch.size - 1)
 
@@ -129,7 +130,8 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray)
             ids = batch.column(0)
             for first, part in W.batches(batch.column(1)):
                 size, f1, f2, bits, g, prefix = [], [], [], [], [], []
-                for s in shingle_sets(part, n):
+                named = ids.slice(first, len(part)).is_valid().to_pylist()
+                for s, has_id in zip(shingle_sets(part, n), named):
                     k = s.size
                     size.append(k)
                     if not k:
@@ -143,8 +145,11 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray)
                     pre = s[order]
                     gid = int(_signed(W.mix(W.mix(pre).sum(keepdims=True) + W.U(k)))[0])
                     g.append(gid)
-                    prefix.append(None if gid in sent else _signed(pre))
-                    sent.add(gid)
+                    if has_id and gid not in sent:
+                        prefix.append(_signed(pre))
+                        sent.add(gid)
+                    else:
+                        prefix.append(None)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, len(part)), pa.array(size, pa.int32()), pa.array(f1, pa.int64()),
                      pa.array(f2, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(g, pa.int64()),
