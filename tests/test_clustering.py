@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailframe.operators import clustering as C
+from trailframe.plans import cluster_queries
 
 
 def pts_df(spark, pts):
@@ -269,3 +270,33 @@ def test_frame_kmeans_early_stop_gives_the_converged_centres(spark):
     assert [(r.frame, r.cid) for r in full] == [(r.frame, r.cid) for r in early]
     for a, b in zip(full, early):
         assert a.x == pytest.approx(b.x) and a.y == pytest.approx(b.y)
+
+
+def test_frame_kmeans_query_runs_until_settled(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    rows = [(f, s, float(x), float(y)) for f in range(3) for s, (x, y) in enumerate(rnd.uniform(0, 700, (400, 2)))]
+    det = spark.createDataFrame(rows, "frame long, slot long, x double, y double")
+    monkeypatch.setattr(cluster_queries.fx, "detections", lambda spark, sf: det)
+    got = cluster_queries.q_frame_kmeans(spark, "").toPandas()
+    assert got.converged.all()
+    passes = []
+    for f in range(3):
+        fr = [(s, x, y) for ff, s, x, y in rows if ff == f]
+        p = np.array([(x, y) for _, x, y in fr])
+        c = np.array([(x, y) for _, x, y in sorted(fr, key=lambda t: (md5_key(7, t[0]), t[0]))[:20]])
+        for n in range(1, 1000):
+            a = ((p[:, None] - c[None]) ** 2).sum(-1).argmin(1)
+            new = np.array([p[a == j].mean(0) if (a == j).any() else c[j] for j in range(20)])
+            moved, c = np.abs(new - c).max(), new
+            if moved <= 1e-6:
+                break
+        passes.append(n)
+        assert np.allclose(got[got.frame == f].sort_values("cid")[["x", "y"]].to_numpy(), c, atol=2e-6)
+    assert max(passes) > cluster_queries.FRAME_PASSES
+
+
+def test_frame_kmeans_bound_raises(spark):
+    det = spark.createDataFrame([(0, s, float(s * s), 0.0) for s in range(40)],
+                                "frame long, slot long, x double, y double")
+    with pytest.raises(RuntimeError):
+        C.frame_kmeans(det, k=3, passes=1, seed=7, tol=1e-9, settle=True)

@@ -309,14 +309,17 @@ def frame_lloyd_step(dealt: DataFrame, salts: DataFrame, centers: DataFrame, fra
 def frame_kmeans(points: DataFrame, k: int = 20, passes: int = 20, seed: int = 7,
                  frame: str = "frame", key: str = "slot", on_empty: str = "keep",
                  tol: float | None = None, rows_per_part: int = 1 << 18,
-                 with_flag: bool = False) -> DataFrame:
+                 with_flag: bool = False, settle: bool = False) -> DataFrame:
     """M7: one k-means per frame, all frames in one plan per pass.
 
     Returns ``(frame, cid, x, y)`` after at most ``passes`` Lloyd passes from
     hash-picked initial centres.  With ``tol`` the passes end once no centre
     of any frame moved more than ``tol`` in x or y; ``with_flag`` adds
     ``converged``, true for a frame whose last pass stayed within ``tol``
-    (0 if not given)."""
+    (0 if not given).  With ``settle`` (which needs ``tol``) ``passes`` is a
+    bound that raises when centres still move, it never cuts."""
+    if settle and tol is None:
+        raise ValueError("settle needs tol")
     limit = 0.0 if tol is None else float(tol)
     pts, salts = _dealt_points(points.select(frame, key, "x", "y"), frame, key, rows_per_part)
     try:
@@ -332,6 +335,9 @@ def frame_kmeans(points: DataFrame, k: int = 20, passes: int = 20, seed: int = 7
                  > F.lit(limit)).alias("_moved")))
             if tol is not None and centers.where("_moved").isEmpty():
                 break
+        else:
+            if settle:
+                raise RuntimeError(f"frame k-means did not settle in {passes} passes")
     finally:
         pts.unpersist()
     if not with_flag:

@@ -19,6 +19,8 @@ PICK_SEED = 11
 PASSES = 5
 BREAK = 2.0
 FRAME_K, FRAME_PASSES, FRAME_TOL = 20, 10, 1e-6
+#: the query runs until FRAME_TOL is met and raises at this many passes; only its SQL unrolls FRAME_PASSES
+FRAME_BOUND = 1000
 
 
 def _centers_df(spark: SparkSession, centers) -> DataFrame:
@@ -93,7 +95,8 @@ def q_random_member(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_frame_kmeans(spark: SparkSession, sf: str) -> DataFrame:
     det = fx.detections(spark, sf)
-    cs = C.frame_kmeans(det, k=FRAME_K, passes=FRAME_PASSES, seed=SEED, key="slot", tol=FRAME_TOL, with_flag=True)
+    cs = C.frame_kmeans(det, k=FRAME_K, passes=FRAME_BOUND, seed=SEED, key="slot", tol=FRAME_TOL, with_flag=True,
+                        settle=True)
     return cs.select("frame", "cid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "converged")
 
 
