@@ -269,6 +269,26 @@ def test_near_duplicates(spark, max_shard):
     assert neardup.recall(df, found, queries=200) >= 0.95
 
 
+def test_near_duplicates_raise_the_overlap(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(400):  # pairs just above the threshold, over many shards
+        x, y = rng.normal(size=(2, 16))
+        x /= np.sqrt(x @ x)
+        y -= (y @ x) * x
+        y /= np.sqrt(y @ y)
+        rows += [(2 * i, x.tolist(), 0), (2 * i + 1, (0.982 * x + np.sqrt(1 - 0.982 ** 2) * y).tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    true = set(brute_links(rows))
+    vectors = neardup.prepared(df, "vec_id", "embedding", "label")
+    once = neardup.searched(vectors, 0.98, 1, 8, neardup.MAX_SHARD, neardup.MAX_CENTROIDS, neardup.SAMPLE, neardup.BEAM)
+    assert once.count() < neardup.RECALL * len(true)
+    got = neardup.near_duplicates(df, overlap=1, shard=8).collect()
+    assert neardup.RECALL * len(true) <= sum(r.n_links for r in got) / 2 <= len(true)
+    counts = {r.vec_id: r.n for r in neardup.true_degrees(vectors, 0.98, 10_000).collect()}
+    assert counts == {i: sum(i in p for p in true) for i in {x for p in true for x in p}}
+
+
 def test_near_duplicates_edge_cases(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert neardup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
