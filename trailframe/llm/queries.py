@@ -7,8 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailframe.llm import (ann, chat, jaccard, langid, neardup, packing, quality, sentencepiece_codec, substring,
-                            token_counts)
+from trailframe.llm import (ann, chat, jaccard, langid, lexical, neardup, packing, pii, quality,
+                            sentencepiece_codec, spelling, substring, token_counts)
 from trailframe.llm.common import crc_mod, prepare, table
 
 
@@ -69,10 +69,29 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    spans, _ = pii.personal_data(table(spark, sf_dir, "documents"))
+    return pii.digests(spans)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_near_duplicates, op3_token_counts, op4_sentencepiece, op5_chat_format, op6_language_id,
-    op7_ngram_jaccard, op8_packing, op9_nearest, op10_substring_dedup)}
+    op7_ngram_jaccard, op8_packing, op9_nearest, op10_substring_dedup, op11_personal_data,
+    op12_ranked_search, op13_spelling_variants)}
 
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _ESC = chat.CONTROL_BODIES.replace("'", "''")
 SQL = {
     "op5_chat_format": rf"""
@@ -90,4 +109,19 @@ select conv_id, count(*) n_turns,
   cast(sum(length(ex) + case when pr is distinct from r or k = 1 then {len(chat.TURN + chat.TEXT + chat.END)} + length(er)
            else {len(chat.PART)} end) as bigint) formatted_chars
 from e group by conv_id""",
+    "op12_ranked_search": f"""
+with d as (select row_number() over () r, doc_id, regexp_extract_all(translate(text, {_AZ}), '{_TERM}') t
+           from documents where text is not null),
+d2 as (select r, doc_id, t, cast(len(t) as bigint) n from d where len(t) > 0),
+s as (select cast(count(*) as bigint) nd, cast(sum(n) as bigint) l from d2),
+tf as (select r, term, cast(count(*) as bigint) tf from (select r, unnest(t) term from d2) group by all),
+q as (select distinct item_id, unnest(regexp_extract_all(translate(text, {_AZ}), '{_TERM}')) term
+      from benchmark where text is not null),
+w as (select term, cast(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) as bigint) w
+      from tf, s where term in (select term from q) group by term, nd),
+p as (select item_id, r, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l)))) as bigint) score
+      from q join w using (term) join tf using (term) join d2 using (r), s group by item_id, r),
+k as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) rank
+      from p join d2 using (r) where score > 0)
+select item_id, cast(rank as int) rank, doc_id, score from k where rank <= 50""",
 }
