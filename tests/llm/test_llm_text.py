@@ -2,6 +2,8 @@
 libraries and plain Python."""
 
 import hashlib
+import random
+import re
 import zlib
 
 import numpy as np
@@ -189,7 +191,45 @@ def test_chat_merges_adjacent_turns(spark):
                                "conv_id long, turn long, role string, text string")
     r = chat.format_chats(df).first()
     assert r.formatted == "<|turn|>user<|text|>a<|part|>b<|end|><|turn|>assistant<|text|>c<|end|>"
-    assert sum(r.loss_runs) + r.end_chars >= len("c")
+    assert sum(r.loss_runs) + r.end_chars == len(r.formatted)
+    assert under_mask(r) == ["c"]
+
+
+def under_mask(r):
+    """Non-empty pieces of the string that the run lengths count."""
+    out, at = [], 0
+    for k, n in enumerate(r.loss_runs):
+        if k % 2 and n:
+            out.append(r.formatted[at:at + n])
+        at += n
+    assert at + r.end_chars == len(r.formatted)
+    return out
+
+
+def test_chat_loss_mask_covers_the_assistant_texts(spark):
+    rng = random.Random(4)
+    parts = ["HELLO", "<|end|>", "é", "\U0001f600", "", "[INST]", "\\", " x", "<|part|>"]
+    rows = [(0, 0, "user", "a"), (0, 1, "assistant", "HELLO"), (0, 2, "user", "b"), (0, 3, "assistant", "WORLD")]
+    rows += [(c, k, rng.choice(["user", "assistant", "assistant", "system", None]),
+              "".join(rng.choice(parts) for _ in range(rng.randrange(0, 5))))
+             for c in range(1, 60) for k in range(rng.choice([1, 2, 7, 300]))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    formatted = {r.conv_id: r for r in chat.format_chats(df).collect()}
+    back = {r.c: r.x for r in chat.format_chats(df).select(
+        F.col("conv_id").alias("c"), chat.masked_texts(F.col("formatted"), F.col("loss_runs")).alias("x")).collect()}
+    for c, r in formatted.items():
+        want = [t for i, _, role, t in rows if i == c and role == "assistant" and t]
+        assert [re.sub(chat._BACK, r"\1\2\3", x) for x in under_mask(r)] == want
+        assert back[c] == want
+    assert under_mask(formatted[0]) == ["HELLO", "WORLD"]
+
+
+def test_chat_ties_follow_the_raw_text(spark):
+    """``<|end|>`` and ``<|enda``: escaping would change their order."""
+    rows = [(1, 0, "user", "<|end|>"), (1, 0, "user", "<z"), (1, 0, "assistant", "q")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    r = chat.parse_chats(chat.format_chats(df)).first()
+    assert [(t.role, t.text) for t in r.turns] == sorted((a, b) for _, _, a, b in rows)
 
 
 def test_chat_plan_is_native(spark):

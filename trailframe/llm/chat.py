@@ -11,8 +11,9 @@ each, and one more where backslashes already stand there, so no control
 string is left inside a text and ``unescape`` gives the text back exactly.
 
 The loss mask is a run-length list: numbers of characters that take turns
-in not counting and counting.  It covers the assistant texts and nothing
-else; both it and the joined string are built in time linear in the turns.
+in not counting and counting, ``end_chars`` more at the end.  It covers the
+assistant texts and nothing else, and with ``end_chars`` its runs add up to
+the length of the string; the digests read the loss text through it.
 
 Cases: null text is empty; a null role is the empty role; null turns come
 first, ties are ordered by role and text; repeated rows stay; rows with a
@@ -25,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailframe.llm.arrays import bind, starts
+
 TURN, TEXT, PART, END = "<|turn|>", "<|text|>", "<|part|>", "<|end|>"
 
 #: bodies of the control strings that are escaped, without the first character
@@ -47,8 +50,8 @@ def format_chats(conversations: DataFrame, conv: str = "conv_id", turn: str = "t
     none = F.lit("")
     turns = conversations.select(
         F.col(conv).alias("conv_id"),
-        F.struct(F.col(turn).alias("turn"), escape(F.coalesce(F.col(role), none)).alias("role"),
-                 escape(F.coalesce(F.col(text), none)).alias("text"),
+        F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), none).alias("role"),
+                 F.coalesce(F.col(text), none).alias("text"),
                  F.coalesce(F.col(role).isin(*loss_roles), F.lit(False)).alias("loss")).alias("t"))
     t = (turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
          .withColumn("n", F.size("t")))
@@ -56,21 +59,40 @@ def format_chats(conversations: DataFrame, conv: str = "conv_id", turn: str = "t
     t = t.withColumn("starts", F.expr(
         "filter(sequence(0, n - 1), i -> i = 0 or t[i].role <> t[i - 1].role)")).withColumn(
         "ends", F.expr("concat(slice(starts, 2, size(starts)), array(n))"))
-    blocks = t.select("conv_id", F.expr(
-        "transform(starts, (s, i) -> named_struct('role', t[s].role, 'loss', t[s].loss, "
-        "'texts', transform(slice(t, s + 1, ends[i] - s), x -> x.text)))").alias("blocks"))
+    role_of = F.transform("starts", lambda s: escape(F.col("t")[s]["role"]))
+    texts = F.transform("t", lambda x: escape(x["text"]))
+    blocks = t.withColumns({"roles": role_of, "escaped": texts}).select("conv_id", F.expr(
+        "transform(starts, (s, i) -> named_struct('role', roles[i], 'loss', t[s].loss, "
+        "'texts', slice(escaped, s + 1, ends[i] - s)))").alias("blocks"))
     head, mid, tail = len(TURN), len(TEXT), len(END)
+
+    def runs(b, j):  # (characters outside, characters inside) for every text
+        # in front of a block's first text: the end of the block before and its own head
+        first = F.length(b["role"]) + (head + mid) + F.when(j > 0, tail).otherwise(0)
+
+        def run(x, i):
+            gap = F.when(i == 0, first).otherwise(len(PART)).cast("long")
+            n = F.length(x).cast("long")
+            return F.when(b["loss"], F.array(gap, n)).otherwise(F.array(gap + n, F.lit(0).cast("long")))
+
+        return F.flatten(F.transform(b["texts"], run))
+
     return blocks.select(
         "conv_id",
         F.array_join(F.transform("blocks", lambda b: F.concat(
             F.lit(TURN), b["role"], F.lit(TEXT), F.array_join(b["texts"], PART), F.lit(END))), "").alias("formatted"),
-        # (characters outside, characters inside) for every text, then the rest
-        F.flatten(F.transform("blocks", lambda b: F.flatten(F.transform(b["texts"], lambda x, i: F.when(
-            b["loss"], F.array(F.when(i == 0, F.length(b["role"]) + head + mid).otherwise(len(PART)).cast("long"),
-                               F.length(x).cast("long")))
-            .otherwise(F.array(F.when(i == 0, F.length(b["role"]) + head + mid).otherwise(len(PART)).cast("long")
-                               + F.length(x), F.lit(0).cast("long"))))))).alias("loss_runs"),
-        F.lit(tail).alias("end_chars"))
+        F.flatten(F.transform("blocks", runs)).alias("loss_runs"), F.lit(tail).alias("end_chars"))
+
+
+def masked_texts(formatted: Column, loss_runs: Column) -> Column:
+    """The texts under the loss mask, cut out of the formatted string by the
+    mask's own offsets, unescaped.  Characters are four bytes each there, so
+    a cut does not walk through the string."""
+    wide = F.encode(formatted, "UTF-32")
+    places = F.filter(F.sequence(F.lit(0), F.size(loss_runs) - 1), lambda i: (i % 2 == 1) & (loss_runs[i] > 0))
+    at = starts(F.transform(loss_runs, lambda x: x.cast("int")))
+    return bind(F.struct(wide.alias("w"), at.alias("at")), lambda v: F.transform(places, lambda i: unescape(F.decode(
+        F.substring(v["w"], v["at"][i] * 4 + 1, loss_runs[i].cast("int") * 4), "UTF-32"))))
 
 
 def parse_chats(formatted: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -88,19 +110,15 @@ def parse_chats(formatted: DataFrame, loss_roles: tuple[str, ...] = ("assistant"
 
 def digests(conversations: DataFrame) -> DataFrame:
     """Format, read back, and digest: ``conv_id, n_turns, turns_sha256,
-    loss_chars, loss_sha256, formatted_chars``.  Text under the mask is taken
-    where the mask has a counting run; a run whose length is not that of the
-    text it should cover stops the query."""
+    loss_chars, loss_sha256, formatted_chars``.  Turns are parsed from the
+    string, the loss text is cut out of it by the mask."""
     got = parse_chats(format_chats(conversations))
     nl = F.lit("\n")
-    masked = F.expr("filter(transform(turns, (x, i) -> "
-                    "case when loss_runs[2 * i + 1] > 0 then "
-                    "case when loss_runs[2 * i + 1] = x.chars then x.text "
-                    "else raise_error('loss mask and text differ') end end), y -> y is not null)")
     got = got.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("turns", lambda x: F.concat(x["role"], nl, x["text"], nl)), "").alias("all"),
-        F.array_join(masked, "").alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+        F.array_join(masked_texts(F.col("formatted"), F.col("loss_runs")), "").alias("loss"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
     return got.select("conv_id", "n_turns", F.sha2(F.encode("all", "UTF-8"), 256).alias("turns_sha256"),
                       F.length("loss").cast("long").alias("loss_chars"),
                       F.sha2(F.encode("loss", "UTF-8"), 256).alias("loss_sha256"), "formatted_chars")

@@ -38,6 +38,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailframe.llm.arrays import bind, starts
 from trailframe.llm.common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -85,12 +86,6 @@ VOTES = 6
 #: presumed rates of the votes -1, 0, 1 on what is personal data
 PRESUMED = (0.15, 0.25, 0.6)
 FEATURES = 9
-BLOCK = 128
-
-
-def _bind(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _piece(text: Column, kind: int) -> Column:
@@ -113,25 +108,6 @@ def _pieces(text: Column, kind: str) -> Column:
     return F.when(text.rlike(need), cut(text, STRICT[kind], loose, 2)).otherwise(loose(text))
 
 
-def _running(lens: Column, first: Column) -> Column:
-    """Sums of the earlier entries, from ``first`` on."""
-    start = F.struct(first.cast("int").alias("at"), F.array().cast("array<int>").alias("o"))
-    return F.aggregate(lens, start, lambda s, x: F.struct(
-        (s["at"] + x).alias("at"), F.concat(s["o"], F.array(s["at"])).alias("o")), lambda s: s["o"])
-
-
-def _starts(pieces: Column) -> Column:
-    """Where each piece starts: running sums inside blocks of ``BLOCK``, then
-    over the blocks."""
-    def from_lens(lens):
-        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / BLOCK).cast("int")),
-                            lambda b: F.slice(lens, b * BLOCK + 1, F.lit(BLOCK)))
-        return _bind(parts, lambda p: F.flatten(F.zip_with(
-            p, _running(F.transform(p, lambda x: F.aggregate(x, F.lit(0), lambda s, v: s + v)), F.lit(0)), _running)))
-
-    return _bind(F.transform(pieces, lambda p: F.char_length(p["s"])), from_lens)
-
-
 def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
@@ -177,22 +153,22 @@ def _judged(kind: str, c: Column) -> Column:
 
 def _candidates(text: Column, kind: str) -> Column:
     def spans(p):
-        def one(starts):
+        def one(at):
             places = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: p[i]["t"] > 0)
-            return F.transform(places, lambda i: _judged_at(p, starts, i))
-        return F.when(F.size(p) > 1, _bind(_starts(p), one)).otherwise(
+            return F.transform(places, lambda i: _judged_at(p, at, i))
+        return F.when(F.size(p) > 1, bind(starts(F.transform(p, lambda x: F.char_length(x["s"]))), one)).otherwise(
             F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean,votes:int,bits:int>>"))
 
-    def _judged_at(p, starts, i):
+    def _judged_at(p, at, i):
         none = F.lit("")
         c = F.struct(
-            p[i]["s"].alias("s"), p[i]["t"].alias("t"), starts[i].alias("start"),
-            (starts[i] + F.char_length(p[i]["s"])).alias("end"),
+            p[i]["s"].alias("s"), p[i]["t"].alias("t"), at[i].alias("start"),
+            (at[i] + F.char_length(p[i]["s"])).alias("end"),
             F.when(i > 0, F.right(F.get(p, i - 1)["s"], F.lit(LEFT))).otherwise(none).alias("left"),
             F.coalesce(F.left(F.get(p, i + 1)["s"], F.lit(1)), none).alias("right"))
-        return _bind(c, lambda x: _judged(kind, x))
+        return bind(c, lambda x: _judged(kind, x))
 
-    return _bind(_pieces(text, kind), spans)
+    return bind(_pieces(text, kind), spans)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
