@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 import corpus_pipeline
 from test_llm_pairs import brute_jaccard, brute_substring
-from trailframe.llm import langid, quality, queries
+from trailframe.llm import langid, quality, queries, token_counts
 from trailframe.llm.common import hash_sample, table
+from trailframe.llm.segments import read_tokenizer
 
 SF, MID = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -86,6 +87,32 @@ def test_hash_sample_is_spread(spark):
     assert (np.histogram(ids, bins=10, range=(0, 200_000))[0] > 130).all()
 
 
+def test_fits_scan_in_parallel(spark, monkeypatch):
+    """Only samples go to one task, behind an exchange; no scan is one task."""
+    plans = []
+    docs = table(spark, SF, "documents")
+    real = type(docs).mapInArrow
+
+    def seen(self, *a, **k):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return real(self, *a, **k)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", seen)
+    quality.fit(docs, table(spark, SF, "labels"))
+    langid.fit(docs)
+    token_counts.frequent_lengths(docs, read_tokenizer(None, "byte_bpe_50k.json"))
+    assert len(plans) >= 4 and not any("Coalesce" in p for p in plans)
+    assert sum("Exchange SinglePartition" in p or "RoundRobinPartitioning(1)" in p for p in plans) == 3
+
+
+def test_language_stage_without_languages(spark):
+    """Nothing to learn from: only documents without a letter go."""
+    rows = [(i, t, None, "x", 1) for i, t in enumerate(["one two", "", None, "12 34 !!", "é", "中文"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.language_stage(spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 4, 5] and kept.columns == docs.columns
+
+
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     docs = table(spark, MID, "documents").withColumn("score", F.lit(1))

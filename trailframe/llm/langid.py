@@ -14,8 +14,9 @@ fit is one task on the bounded sample; the weights (buckets x languages)
 are broadcast; predicting is one pass over the scan without a shuffle.
 
 Cases: null text and text without a letter are ``und`` with score 0; rows
-with a null language or a null id are predicted, not learned from; repeated
-rows get equal results; without any row to learn from everything is
+with a null language or a null id are predicted, not learned from; the
+weights, their broadcast and the plan grow with the number of distinct
+languages (a few hundred at most are meant); repeated rows get equal results; without any row to learn from everything is
 ``und``; an empty table gives no rows; columns named like the new ones are
 replaced, others are kept.
 """
@@ -117,6 +118,11 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows whose text holds a letter."""
+    return docs.filter(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+
+
 def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
     """Documents that hold each bucket, and documents with a letter, over all
     rows; every task sends one row per bucket it has met at most."""
@@ -158,7 +164,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     cuts = F.create_map(*[F.lit(v) for c in classes
                           for v in (c, int(min(1.0, rows_per_class / counts[c]) * (1 << 62)))])
     sample = (known.filter(F.pmod(F.xxhash64(F.lit(13), F.col(id_col)), F.lit(1 << 62)) < cuts[F.col(lang_col)])
-              .select(F.col(id_col).alias("i"), F.col(lang_col).alias("y"), F.col(text_col).alias("t")).coalesce(1))
+              .select(F.col(id_col).alias("i"), F.col(lang_col).alias("y"), F.col(text_col).alias("t")).repartition(1))
 
     def run(it):
         names, weight = shared.value

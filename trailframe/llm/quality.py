@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = known.filter(F.pmod(F.xxhash64(F.lit(11), "id_"), F.lit(1 << 62))
                           < F.when(F.col("y_") == 0, F.lit(cut[0])).otherwise(F.lit(cut[1])))
     sample = (docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
-              .join(F.broadcast(chosen), "id_").select("id_", "y_", "text_").coalesce(1))
+              .join(F.broadcast(chosen), "id_").select("id_", "y_", "text_").repartition(1))
 
     def run(it):
         rows = sorted((i, y, t or "") for b in it

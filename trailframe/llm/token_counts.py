@@ -31,9 +31,10 @@ LIMIT = 1024
 def frequent_lengths(src: DataFrame, spec_json: str, table_size: int = TABLE_SIZE,
                      sample_rows: int = SAMPLE_ROWS) -> dict[str, int]:
     """``{segment: tokens}`` of the most frequent segments of a bounded
-    sample; counted and encoded in one task, at most ``table_size`` rows
+    sample; the table is scanned in parallel, only the sample goes to one
+    task, which counts and encodes it, and at most ``table_size`` rows
     reach the driver."""
-    sample = hash_sample(src, "doc_id", sample_rows).select("text").coalesce(1)
+    sample = hash_sample(src, "doc_id", sample_rows).select("text").repartition(1)
 
     def run(it):
         enc = SegmentEncoder(spec_json, count=True)
