@@ -7,7 +7,8 @@ the last return the columns of ``documents``.
 1. quality: documents that the compression classifier predicts as bad go
    (fitted on the labels of the same folder);
 2. language: documents without a letter and documents whose best language
-   has a probability below ``MIN_LANG_SCORE`` go;
+   has a probability below ``MIN_LANG_SCORE`` go (where no row has a language
+   to learn from, only documents without a letter);
 3. near duplicates: of every group linked by word 5-grams of Jaccard
    similarity 0.8 or more, the document with the smallest id stays;
 4. repeats: words in 50-word windows that also start in a document of
@@ -47,6 +48,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     model = langid.fit(docs.filter(crc_mod("doc_id", 4) != 2))
+    if not model["classes"]:
+        return langid.with_letters(docs)
     found = langid.predict(docs, model, names=OWN[:2])
     return found.filter((F.col(OWN[0]) != langid.UND) & (F.col(OWN[1]) >= MIN_LANG_SCORE)).drop(*OWN)
 
