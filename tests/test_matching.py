@@ -237,3 +237,97 @@ def test_match_property_equals_brute_force(spark, pts, radius, cell):
     got = {(r.frame, r.slot): r.nslot for r in matching.match_next_frame(det, radius, "null", cell).collect()}
     want = brute_match(rows, radius)
     assert got == {k: (None if w is None else w[1]) for k, w in want.items()}
+
+
+@pytest.mark.parametrize("seed,radius", [(1, 10.0), (2, 25.0), (3, 1000.0), (4, 0.05)])
+def test_tree_equals_brute_force(spark, seed, radius):
+    """Also with piles of copies, a dense knot and points far from it."""
+    rows = random_det(seed, frames=4, per=60)
+    rnd = random.Random(seed)
+    for f in range(4):
+        knot = [(30 + rnd.gauss(0, 1e-4), 30 + rnd.gauss(0, 1e-4)) for _ in range(80)] + [(5.0, 5.0)] * 40
+        rows += [(f, 1000 + k, x, y) for k, (x, y) in enumerate(knot)]
+    rows += [(1, 5000, -1e6, 3.0), (2, 5000, -1e6 - 1e-3, 3.0), (7, 1, 0.0, 0.0)]
+    det = spark.createDataFrame(rows, DET_SCHEMA)
+    got = {(r.frame, r.slot): r for r in matching.match_next_frame(det, radius, "null", method="tree").collect()}
+    want = brute_match(rows, radius)
+    assert set(got) == set(want)
+    for k, w in want.items():
+        g = got[k]
+        assert (g.dist, g.nslot, g.nx, g.ny) == ((None,) * 4 if w is None else (pytest.approx(w[0], rel=1e-12), *w[1:]))
+
+
+def test_tree_odd_rows(spark):
+    rows = [(0, 0, None, 1.0), (0, 1, float("nan"), 1.0), (0, 2, 1.0, 1.0), (1, 0, None, None), (1, 1, 1.0, 2.0), (None, 3, 1.0, 1.0)]
+    det = spark.createDataFrame(rows, DET_SCHEMA)
+    got = {(r.frame, r.slot): r.nslot for r in matching.match_next_frame(det, 10.0, "null", method="tree").collect()}
+    assert got == {(0, 0): None, (0, 1): None, (0, 2): 1, (1, 0): None, (1, 1): None, (None, 3): None}
+    assert matching.match_next_frame(det.limit(0), 10.0, method="tree").count() == 0
+
+
+def test_tree_in_a_dense_frame(spark):
+    """A hundred thousand points inside one radius, half of them on a thin
+    line: exact, and few candidates a point."""
+    from trailframe.operators import cell_tree
+    n = 50_000
+    det = spark.range(2 * n).select(
+        (F.col("id") % 2).alias("frame"), F.floor(F.col("id") / 2).alias("slot"),
+        (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(1 << 14)).alias("x"),
+        F.when(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(2)) == 0, F.lit(30.0))
+        .otherwise(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(1 << 20)) / F.lit(1 << 14)).alias("y"))
+    pairs = cell_tree.nearest_pairs(det, 100.0).toPandas()
+    assert len(pairs) <= 50 * n
+    best = pairs.groupby("slot").dist.min()
+    assert len(best) == n
+    pts = det.toPandas()
+    a, b = pts[pts.frame == 0].set_index("slot"), pts[pts.frame == 1]
+    bx, by = b.x.to_numpy(), b.y.to_numpy()
+    for s in range(0, n, 211):
+        d = (bx - a.x[s]) ** 2 + (by - a.y[s]) ** 2
+        assert best[s] == math.sqrt(d.min())
+
+
+def walk(rows, starts, hops):
+    """Positions of chained hops, row by row."""
+    step = {}
+    for f, s, x, y, nx, ny in sorted(rows, key=lambda r: (r[0], r[1])):
+        if nx is not None:
+            step.setdefault((f, x, y), (nx, ny))
+    out = {}
+    for f, s, x, y, nx, ny in starts:
+        path = [(nx, ny)]
+        while len(path) < hops and path[-1] is not None:
+            path.append(step.get((f + len(path), *path[-1])))
+        if None not in path and nx is not None:
+            out[(f, s)] = path
+    return out
+
+
+@pytest.mark.parametrize("hops", [1, 2, 3, 4, 5, 7, 8, 9, 16, 17, 21])
+def test_chained_paths_equal_a_walk(spark, hops):
+    rnd = random.Random(hops)
+    pos = {f: [(float(rnd.randrange(6)), float(rnd.randrange(6))) for _ in range(8)] for f in range(30)}
+    rows = [(f, s, *p, *(rnd.choice(pos[f + 1]) if f < 29 and rnd.random() < 0.98 else (None, None)))
+            for f in pos for s, p in enumerate(pos[f])]
+    m = spark.createDataFrame(rows, "frame long, slot long, x double, y double, nx double, ny double")
+    got = {(r.frame, r.slot): [tuple(p) for p in r.path]
+           for r in matching.chained_paths(m, m.where("nx is not null"), hops).collect()}
+    want = walk(rows, rows, hops)
+    assert got == want and len(want) > 0
+
+
+def test_chained_lookahead_joins_few_times(spark, monkeypatch):
+    """32 hops: four doublings and two lookups."""
+    joins = []
+    real = type(spark.range(1)).join
+
+    def seen(self, *a, **k):
+        joins.append(1)
+        return real(self, *a, **k)
+
+    rows = [(f, s, float(s), 0.0, float(s), 0.0) for f in range(40) for s in range(3)]
+    m = spark.createDataFrame(rows, "frame long, slot long, x double, y double, nx double, ny double")
+    monkeypatch.setattr(type(m), "join", seen)
+    la = matching.lookahead(m, hops=32, chain=True, tail_skip=5)
+    assert len(joins) == 6
+    assert la.count() == 3 * 9 and la.columns[-2:] == ["nx31", "ny31"]

@@ -90,6 +90,18 @@ def derive_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("frame", "slot", "x", "y"))
 
 
+def dense_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(frame, slot, x, y)`` of every line item: seven frames (the line
+    numbers), each with a large share of the rows inside a square of 100, so
+    that nearly all lie within one radius of each other."""
+    li = table(spark, sf_dir, "lineitem")
+    cents = F.floor(F.col("l_extendedprice") * 100).cast("long")
+    return li.select((F.col("l_linenumber") - 1).cast("long").alias("frame"),
+                     ((F.col("l_orderkey").cast("long") * 1000000 + F.col("l_partkey")) * 100000
+                      + F.col("l_suppkey")).alias("slot"), (cents % 9973 / F.lit(100.0)).alias("x"),
+                     (F.col("l_partkey").cast("long") * 7919 % 9967 / F.lit(100.0)).alias("y"))
+
+
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(x, y)`` of every detection, without frame numbering (grids need
     no order, so they skip the numbering joins)."""

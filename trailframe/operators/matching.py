@@ -29,6 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailframe.operators import cell_tree
 from trailframe.session import materialize
 
 _MISS = ("origin", "zero_delta", "null", "drop")
@@ -39,19 +40,54 @@ def _cell(c, side: float):
 
 
 def match_next_frame(det: DataFrame, radius: float = 100.0, on_miss: str = "null",
-                     cell: float | None = None) -> DataFrame:
+                     cell: float | None = None, method: str = "grid") -> DataFrame:
     """J1.  ``det(frame, slot, x, y)`` -> ``(frame, slot, x, y, nslot, nx, ny, dist)``.
 
     ``on_miss``: ``"origin"`` gives (0, 0) as in the transitions builder,
     ``"zero_delta"`` gives the point itself (zero displacement) as in the
     flow field, ``"null"`` leaves NULLs, ``"drop"`` removes the row.
+
+    ``method="grid"`` joins neighbouring cells; its pairs grow with the
+    square of the points within one radius.  ``method="tree"`` goes through
+    the adaptive cell tree of :mod:`trailframe.operators.cell_tree`: the same
+    rows, a few candidates a point however dense a frame is, more joins.
     """
     if on_miss not in _MISS:
         raise ValueError(f"on_miss must be one of {_MISS}")
+    pts = det.select("frame", "slot", "x", "y")
+    if method == "tree":
+        near = cell_tree.nearest_pairs(pts, radius)
+    elif method == "grid":
+        near = _grid_pairs(pts, radius, cell)
+    else:
+        raise ValueError("method must be 'grid' or 'tree'")
+    near = near.select("frame", "slot", "x", "y", F.struct("dist", "nslot", "nx", "ny").alias("m"))
+    miss = F.struct(F.lit(float("inf")).alias("dist"), F.lit(None).cast("long").alias("nslot"),
+                    F.lit(None).cast("double").alias("nx"), F.lit(None).cast("double").alias("ny"))
+    pairs = near.union(pts.select("frame", "slot", "x", "y", miss.alias("m")))
+    best = (pairs.groupBy("frame", "slot", "x", "y").agg(F.min("m").alias("m"))
+            .select("frame", "slot", "x", "y", "m.*"))
+    hit = F.col("nslot").isNotNull()
+    if on_miss == "drop":
+        return best.where(hit)
+    if on_miss == "null":
+        return best.withColumn("dist", F.when(hit, F.col("dist")))
+    if on_miss == "origin":
+        fill_x, fill_y = F.lit(0.0), F.lit(0.0)
+    else:
+        fill_x, fill_y = F.col("x"), F.col("y")
+    return best.select("frame", "slot", "x", "y", "nslot",
+                       F.when(hit, F.col("nx")).otherwise(fill_x).alias("nx"),
+                       F.when(hit, F.col("ny")).otherwise(fill_y).alias("ny"),
+                       F.when(hit, F.col("dist")).alias("dist"))
+
+
+def _grid_pairs(pts: DataFrame, radius: float, cell: float | None) -> DataFrame:
+    """Every detection with the candidates of the next frame closer than
+    ``radius``, through a join of neighbouring cells."""
     side = float(cell if cell is not None else radius)
     if side <= 0:
         raise ValueError("cell side must be positive")
-    pts = det.select("frame", "slot", "x", "y")
 
     cand = (pts.select((F.col("frame") - 1).alias("frame"), F.col("slot").alias("nslot"),
                        F.col("x").alias("nx"), F.col("y").alias("ny"))
@@ -69,27 +105,9 @@ def match_next_frame(det: DataFrame, radius: float = 100.0, on_miss: str = "null
 
     dx = F.col("x") - F.col("nx")
     dy = F.col("y") - F.col("ny")
-    near = (query.join(cand, ["frame", "cx", "cy"]).withColumn("dist", F.sqrt(dx * dx + dy * dy))
+    return (query.join(cand, ["frame", "cx", "cy"]).withColumn("dist", F.sqrt(dx * dx + dy * dy))
             .where(F.col("dist") < F.lit(float(radius)))
-            .select("frame", "slot", "x", "y", F.struct("dist", "nslot", "nx", "ny").alias("m")))
-    miss = F.struct(F.lit(float("inf")).alias("dist"), F.lit(None).cast("long").alias("nslot"),
-                    F.lit(None).cast("double").alias("nx"), F.lit(None).cast("double").alias("ny"))
-    pairs = near.union(pts.select("frame", "slot", "x", "y", miss.alias("m")))
-    best = (pairs.groupBy("frame", "slot", "x", "y").agg(F.min("m").alias("m"))
-            .select("frame", "slot", "x", "y", "m.*"))
-    hit = F.col("nslot").isNotNull()
-    if on_miss == "drop":
-        return best.where(hit)
-    if on_miss == "null":
-        return best.withColumn("dist", F.when(hit, F.col("dist")))
-    if on_miss == "origin":
-        fill_x, fill_y = F.lit(0.0), F.lit(0.0)
-    else:
-        fill_x, fill_y = F.col("x"), F.col("y")
-    return best.select("frame", "slot", "x", "y", "nslot",
-                       F.when(hit, F.col("nx")).otherwise(fill_x).alias("nx"),
-                       F.when(hit, F.col("ny")).otherwise(fill_y).alias("ny"),
-                       F.when(hit, F.col("dist")).alias("dist"))
+            .select("frame", "slot", "x", "y", "dist", "nslot", "nx", "ny"))
 
 
 def frame_count(det: DataFrame) -> Column:
@@ -109,6 +127,9 @@ def lookahead(matched: DataFrame, hops: int = 2, chain: bool = False,
 
     Output: ``frame, slot, ox0, oy0, nx0, ny0, ..., ox{h-1}, oy{h-1}, nx{h-1}, ny{h-1}``
     where ``(ox, oy)`` is where hop h started and ``(nx, ny)`` its match.
+
+    Chained lookups of more than three hops double paths: see
+    :func:`chained_paths`.
     """
     if hops < 1:
         raise ValueError("hops must be >= 1")
@@ -117,6 +138,12 @@ def lookahead(matched: DataFrame, hops: int = 2, chain: bool = False,
     m = matched.select("frame", "slot", "x", "y", "nx", "ny")
     if not chain:
         return _same_slot_hops(m, hops).where(F.col("frame") < n - F.lit(tail_skip))
+    if hops > 3:
+        walked = chained_paths(m, m.where(F.col("frame") < n - F.lit(tail_skip)), hops)
+        return walked.select("frame", "slot", *[c for h in range(hops) for c in (
+            (F.col("x") if h == 0 else F.col("path")[h - 1]["x"]).alias(f"ox{h}"),
+            (F.col("y") if h == 0 else F.col("path")[h - 1]["y"]).alias(f"oy{h}"),
+            F.col("path")[h]["x"].alias(f"nx{h}"), F.col("path")[h]["y"].alias(f"ny{h}"))])
     out = (m.where(F.col("frame") < n - F.lit(tail_skip))
            .select("frame", "slot", F.col("x").alias("ox0"), F.col("y").alias("oy0"),
                    F.col("nx").alias("nx0"), F.col("ny").alias("ny0")))
@@ -134,6 +161,51 @@ def lookahead(matched: DataFrame, hops: int = 2, chain: bool = False,
     return out
 
 
+def chained_paths(matched: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """``frame, slot, x, y, path``: the ``hops`` positions (struct x, y) that
+    each row of ``starts(frame, slot, x, y, nx, ny)`` moves through; rows
+    whose path ends early are left out.
+
+    The first position is the row's own match.  The rest, ``l = hops - 1``
+    steps, is read off a table of paths of ``2**k`` steps from every point
+    of every frame, the largest such that is not longer: one lookup gives
+    the first ``2**k`` positions, a second one, from the position after ``l -
+    2**k`` steps, the last ``2**k``.  The table is built by joining it with
+    itself k times, so ``hops`` cost k + 2 joins, not ``hops``; it is written
+    at each doubling, so its plan does not double."""
+    rest = hops - 1
+    key = ["frame", "x", "y"]
+    point = F.struct(F.col("nx").alias("x"), F.col("ny").alias("y"))
+    first = starts.select("frame", "slot", "x", "y", F.array(point).alias("path"))
+    if rest == 0:
+        return first
+    paths = materialize(
+        matched.where(F.col("nx").isNotNull() & F.col("ny").isNotNull()).groupBy(*key)
+        .agg(F.min(F.struct("slot", "nx", "ny")).alias("s"))
+        .select(*key, F.array(F.struct(F.col("s.nx").alias("x"), F.col("s.ny").alias("y"))).alias("steps")), "paths1")
+
+    def walk(rows: DataFrame, after: int, size: int, done: str) -> DataFrame:
+        """``rows`` with the ``size`` steps that follow position ``after`` of
+        their path (an array column ``done``) as ``steps``."""
+        at = F.col(done)[after - 1]
+        return (rows.withColumns({"_f": F.col("frame") + after, "_x": at["x"], "_y": at["y"]})
+                .join(paths.select(F.col("frame").alias("_f"), F.col("x").alias("_x"), F.col("y").alias("_y"), "steps"),
+                      ["_f", "_x", "_y"]).drop("_f", "_x", "_y"))
+
+    size = 1
+    while 2 * size <= rest:
+        ahead = walk(paths.withColumnRenamed("steps", "head"), size, size, "head")
+        paths = materialize(ahead.select(*key, F.concat("head", "steps").alias("steps")), f"paths{2 * size}")
+        size *= 2
+    out = walk(first, 1, size, "path").select("frame", "slot", "x", "y", F.concat("path", "steps").alias("path"))
+    if rest > size:
+        # from the position after rest - size steps the table reaches the end
+        over = 2 * size - rest
+        out = (walk(out, 1 + rest - size, size, "path")
+               .withColumn("path", F.concat("path", F.slice("steps", over + 1, size))).drop("steps"))
+    return out.select("frame", "slot", "x", "y", "path")
+
+
 def _same_slot_hops(m: DataFrame, hops: int) -> DataFrame:
     """Hops by equal slot: every matched row is emitted once per hop under
     the key ``(frame - h, slot)`` of the row it serves, and one aggregation

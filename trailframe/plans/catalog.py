@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from trailframe import fixtures as fx
 from trailframe.functions import scalar as S
 from trailframe.operators import grids, matching
+from trailframe.session import materialize
 
 R6 = 6
+#: a radius that reaches every detection of a frame
+FAR = 10000.0
 
 
 def _r(c, n=R6):
@@ -60,6 +63,12 @@ def q_match_next_frame(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("frame", "slot", "nslot", "nx", "ny", _r("dist").alias("dist"))
 
 
+def q_match_next_frame_dense(spark: SparkSession, sf: str) -> DataFrame:
+    """J1 where a frame holds up to a quarter of all rows inside one radius."""
+    m = matching.match_next_frame(fx.dense_detections(spark, sf), radius=100.0, on_miss="null", method="tree")
+    return m.select("frame", "slot", "nslot", "nx", "ny", _r("dist").alias("dist"))
+
+
 def q_transitions(spark: SparkSession, sf: str) -> DataFrame:
     # gate 25 instead of 0.5: at the fixture's density almost no row passes 0.5
     return matching.build_transitions(fx.detections(spark, sf), hops=2, gate_limit=25.0,
@@ -79,6 +88,14 @@ def q_lookahead_chained(spark: SparkSession, sf: str) -> DataFrame:
     return la.select("frame", "slot", "nx0", "ny0", "nx1", "ny1", "nx2", "ny2")
 
 
+def q_lookahead_chained_32(spark: SparkSession, sf: str) -> DataFrame:
+    """J2 over 32 hops, any distance: five doublings of the path table."""
+    det = fx.detections(spark, sf)
+    m = matching.match_next_frame(det, radius=FAR, on_miss="drop", method="tree")
+    la = matching.lookahead(materialize(m, "matched"), hops=32, chain=True, det=det, tail_skip=5)
+    return la.select("frame", "slot", *[f"n{a}{h}" for h in (0, 15, 31) for a in "xy"])
+
+
 def q_memory_features(spark: SparkSession, sf: str) -> DataFrame:
     return matching.memory_features(fx.tracks(spark, sf), k=4, cols=("x", "y"))
 
@@ -137,9 +154,11 @@ def q_frame_names(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "detections": q_detections,
     "match_next_frame": q_match_next_frame,
+    "match_next_frame_dense": q_match_next_frame_dense,
     "transitions": q_transitions,
     "transitions_delta": q_transitions_delta,
     "lookahead_chained": q_lookahead_chained,
+    "lookahead_chained_32": q_lookahead_chained_32,
     "memory_features": q_memory_features,
     "heatmap": q_heatmap,
     "heatmap_extent": q_heatmap_extent,
@@ -158,6 +177,23 @@ SQL = {
     "detections": f"with {DET} select frame, slot, x, y from det",
     "match_next_frame": f"""with {DET}, {BEST}, {MATCHED}
 select frame, slot, nslot, coalesce(bx, 0.0) nx, coalesce(by_, 0.0) ny, round(dist, 6) dist from mt""",
+    # points closer than 1 through unit cells, the rest against the whole next frame
+    "match_next_frame_dense": """with d as (select l_linenumber - 1 frame,
+  (l_orderkey * 1000000 + l_partkey) * 100000 + l_suppkey slot,
+  (cast(floor(l_extendedprice * 100) as bigint) % 9973) / 100.0::double x, (l_partkey * 7919 % 9967) / 100.0::double y
+  from lineitem),
+b as materialized (select frame - 1 frame, x nx, y ny, min(slot) nslot, floor(x) i, floor(y) j from d group by all),
+o as (select cast(u as double) a, cast(v as double) c from range(-1, 2) s(u), range(-1, 2) t(v)),
+near as (select d.frame, d.slot, arg_min({'s': nslot, 'x': nx, 'y': ny}, (sqrt((x-nx)**2 + (y-ny)**2), nslot)) m,
+    min(sqrt((x-nx)**2 + (y-ny)**2)) dist
+  from d cross join o join b on b.frame = d.frame and b.i = floor(d.x) + o.a and b.j = floor(d.y) + o.c
+  where sqrt((x-nx)**2 + (y-ny)**2) < 1 group by 1, 2),
+rest as (select * from d anti join near using (frame, slot)),
+far as (select r.frame, r.slot, arg_min({'s': nslot, 'x': nx, 'y': ny}, (sqrt((x-nx)**2 + (y-ny)**2), nslot)) m,
+    min(sqrt((x-nx)**2 + (y-ny)**2)) dist
+  from rest r join b using (frame) where sqrt((x-nx)**2 + (y-ny)**2) < 100 group by 1, 2),
+best as (from near union all from far)
+select frame::bigint frame, slot, m.s nslot, m.x nx, m.y ny, round(dist, 6) dist from d left join best using (frame, slot)""",
     "transitions": TRANSITIONS_POSITION,
     "transitions_delta": f"""with {DET}, {BEST}, {MATCHED}
 select a.frame, a.slot, round(a.bx - a.x, 6) x, round(a.by_ - a.y, 6) y,
@@ -173,6 +209,15 @@ from hit h0
 join st h1 on h1.frame = h0.frame + 1 and h1.x = h0.bx and h1.y = h0.by_
 join st h2 on h2.frame = h0.frame + 2 and h2.x = h1.bx and h2.y = h1.by_
 where h0.frame < {NFRAMES} - 5""",
+    "lookahead_chained_32": f"""with recursive {DET}, {BEST.replace('< 100 ', f'< {FAR} ')}, {MATCHED},
+hit as materialized (select * from mt where nslot is not null),
+st as materialized (select frame, x, y, arg_min(bx, slot) bx, arg_min(by_, slot) by_ from hit group by 1, 2, 3),
+walk as (select frame, slot, 0 k, bx px, by_ py from hit where frame < {NFRAMES} - 5
+  union all select w.frame, w.slot, k + 1, s.bx, s.by_ from walk w join st s
+  on s.frame = w.frame + w.k + 1 and s.x = w.px and s.y = w.py where k < 31)
+select frame, slot, max(px) filter (k = 0) nx0, max(py) filter (k = 0) ny0, max(px) filter (k = 15) nx15,
+  max(py) filter (k = 15) ny15, max(px) filter (k = 31) nx31, max(py) filter (k = 31) ny31
+from walk group by 1, 2 having count(*) = 32""",
     "memory_features": """select * from (
   select user_id track, event_id step,
     lag(value, 4) over w x1, lag(minute(ts)::double, 4) over w y1,
