@@ -7,10 +7,10 @@ point side is never shuffled for an assignment:
   projection (a point's squared distances are one array of numbers); each pass
   is one scan with a partial ``groupBy(cid)`` aggregate, and only the k new
   centres come back to the driver;
-* per-frame centres (M7) are one array of k structs per frame.  The points
-  are partitioned once by frame and a salt that cuts large frames, and kept;
-  every pass joins the centre arrays to them there, so no pass moves a
-  point, and the centre table is checkpointed so the plan does not grow.
+* per-frame clustering (M7) takes all passes of a frame in one group where
+  the frame fits a task.  Larger frames are partitioned once by frame and a
+  salt, and kept; every pass joins one array of k centres per frame to them
+  there, so no pass moves a point; settled frames leave the iteration.
 
 Ties between equally distant centres go to the lowest centre id, matching
 the reference's stable sort.
@@ -23,8 +23,11 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trailframe.session import cut_lineage
 
@@ -306,40 +309,127 @@ def frame_lloyd_step(dealt: DataFrame, salts: DataFrame, centers: DataFrame, fra
             .select(frame, "cid", F.coalesce("nx", "x").alias("x"), F.coalesce("ny", "y").alias("y")))
 
 
-def frame_kmeans(points: DataFrame, k: int = 20, passes: int = 20, seed: int = 7,
-                 frame: str = "frame", key: str = "slot", on_empty: str = "keep",
-                 tol: float | None = None, rows_per_part: int = 1 << 18,
-                 with_flag: bool = False, settle: bool = False) -> DataFrame:
-    """M7: one k-means per frame, all frames in one plan per pass.
-
-    Returns ``(frame, cid, x, y)`` after at most ``passes`` Lloyd passes from
-    hash-picked initial centres.  With ``tol`` the passes end once no centre
-    of any frame moved more than ``tol`` in x or y; ``with_flag`` adds
-    ``converged``, true for a frame whose last pass stayed within ``tol``
-    (0 if not given).  With ``settle`` (which needs ``tol``) ``passes`` is a
-    bound that raises when centres still move, it never cuts."""
-    if settle and tol is None:
-        raise ValueError("settle needs tol")
+def _lloyd_numpy(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray, passes: int, tol: float | None,
+                 on_empty: str):
+    """Lloyd passes over one frame's points: ``(ids, x, y, moved)`` of the
+    centres, ids being places in the arrays given.  Ends at ``passes``, when
+    a pass changes nothing, or, with ``tol``, when no centre moved further."""
+    ids = np.arange(cx.size)
+    moved = np.ones(cx.size, dtype=bool)
+    rows = max(1, (1 << 22) // max(1, cx.size))
+    for _ in range(passes):
+        n, sx, sy = (np.zeros(ids.size) for _ in range(3))
+        for a in range(0, x.size, rows):
+            px, py = x[a:a + rows], y[a:a + rows]
+            dx, dy = px[:, None] - cx, py[:, None] - cy
+            near = (dx * dx + dy * dy).argmin(axis=1)  # ties: the lowest id
+            n += np.bincount(near, minlength=ids.size)
+            sx += np.bincount(near, weights=px, minlength=ids.size)
+            sy += np.bincount(near, weights=py, minlength=ids.size)
+        full = n > 0
+        if on_empty == "drop":
+            ids, cx, cy, n, sx, sy = (v[full] for v in (ids, cx, cy, n, sx, sy))
+            full = n > 0
+        nx, ny = np.where(full, sx / np.maximum(n, 1), cx), np.where(full, sy / np.maximum(n, 1), cy)
+        far = np.maximum(np.abs(nx - cx), np.abs(ny - cy))
+        moved = far > (tol or 0.0)
+        cx, cy = nx, ny
+        if not moved.any() and (tol is not None or not far.any()):
+            break
+    return ids, cx, cy, moved
+
+
+def _whole_frames(points: DataFrame, k: int, passes: int, seed: int, frame: str, key: str, on_empty: str,
+                  tol: float | None) -> DataFrame:
+    """M7 for frames that fit a task: all passes of a frame in one group."""
+    kind = points.schema[frame].dataType
+    schema = T.StructType([T.StructField(frame, kind), T.StructField("cid", T.IntegerType()),
+                           T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()),
+                           T.StructField("_moved", T.BooleanType())])
+
+    def run(t: pa.Table) -> pa.Table:
+        first = t.sort_by([("_h", "ascending"), (key, "ascending")]).slice(0, k)
+        cx, cy = (first.column(c).to_numpy().astype(np.float64) for c in ("x", "y"))
+        x, y = (t.column(c).to_numpy().astype(np.float64) for c in ("x", "y"))
+        ids, cx, cy, moved = _lloyd_numpy(x, y, cx, cy, passes, tol, on_empty)
+        of = t.column(frame).combine_chunks().take(pa.array(np.zeros(ids.size, dtype=np.int64)))
+        return pa.table([of, pa.array(ids, pa.int32()), pa.array(cx), pa.array(cy), pa.array(moved)], names=schema.names)
+
+    return (points.select(frame, key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"),
+                          hash_order(key, seed).alias("_h"))
+            .groupBy(frame).applyInArrow(run, schema))
+
+
+def _cut_frames(points: DataFrame, k: int, passes: int, seed: int, frame: str, key: str, on_empty: str,
+                tol: float | None, rows_per_part: int) -> DataFrame:
+    """M7 for frames of any size, cut over many tasks, as a delta iteration:
+    the centre table holds the frames that still move; a frame that has
+    settled leaves it, and once half of the frames have settled the points
+    left are dealt anew without theirs."""
     limit = 0.0 if tol is None else float(tol)
-    pts, salts = _dealt_points(points.select(frame, key, "x", "y"), frame, key, rows_per_part)
+    pts, salts = _dealt_points(points, frame, key, rows_per_part)
+    done: list[DataFrame] = []
     try:
-        centers = cut_lineage(frame_initial_centers(pts, k, seed, frame, key)
-                              .withColumn("_moved", F.lit(True)))
+        active = cut_lineage(frame_initial_centers(pts, k, seed, frame, key).withColumn("_moved", F.lit(True)))
+        dealt = left = active.select(frame).distinct().count()
         for _ in range(passes):
-            old = centers.drop("_moved")
+            if not left:
+                break
+            old = active.drop("_moved")
             new = frame_lloyd_step(pts, salts, old, frame, on_empty)
             o = old.select(frame, "cid", F.col("x").alias("ox"), F.col("y").alias("oy"))
-            centers = cut_lineage(new.join(o, [frame, "cid"]).select(
+            moved = cut_lineage(new.join(o, [frame, "cid"]).select(
                 frame, "cid", "x", "y",
                 (F.greatest(F.abs(F.col("x") - F.col("ox")), F.abs(F.col("y") - F.col("oy")))
                  > F.lit(limit)).alias("_moved")))
-            if tol is not None and centers.where("_moved").isEmpty():
-                break
-        else:
-            if settle:
-                raise RuntimeError(f"frame k-means did not settle in {passes} passes")
+            open_ = moved.where("_moved").select(frame).distinct()
+            active = cut_lineage(moved.join(open_, frame, "left_semi"))
+            done.append(moved.join(open_, frame, "left_anti"))
+            left = active.select(frame).distinct().count()
+            if left and 2 * left <= dealt:
+                rest = cut_lineage(pts.drop("_salt").join(active.select(frame).distinct(), frame, "left_semi"))
+                pts.unpersist()
+                pts, salts = _dealt_points(rest, frame, key, rows_per_part)
+                dealt = left
     finally:
         pts.unpersist()
+    out = active
+    for d in done:
+        out = out.unionByName(d)
+    return out
+
+
+def frame_kmeans(points: DataFrame, k: int = 20, passes: int = 20, seed: int = 7,
+                 frame: str = "frame", key: str = "slot", on_empty: str = "keep",
+                 tol: float | None = None, rows_per_part: int = 1 << 18,
+                 with_flag: bool = False, settle: bool = False) -> DataFrame:
+    """M7: one k-means per frame.
+
+    Returns ``(frame, cid, x, y)`` after at most ``passes`` Lloyd passes from
+    hash-picked initial centres.  With ``tol`` the passes of a frame end once
+    none of its centres moved more than ``tol`` in x or y; ``with_flag`` adds
+    ``converged``, true for a frame whose last pass stayed within ``tol``
+    (0 if not given).  With ``settle`` (which needs ``tol``) ``passes`` is a
+    bound that raises when centres still move, it never cuts.
+
+    A frame of at most ``rows_per_part`` points is one group, which takes all
+    its passes in one task; larger frames are cut over tasks and iterated
+    together, each until it has settled.  Rows without a frame or a position are left
+    out.
+    """
+    if settle and tol is None:
+        raise ValueError("settle needs tol")
+    if on_empty not in ("keep", "drop"):
+        raise ValueError("on_empty must be 'keep' or 'drop'")
+    points = points.select(frame, key, "x", "y").na.drop("any", subset=[frame, "x", "y"])
+    large = cut_lineage(points.groupBy(frame).count().where(F.col("count") > int(rows_per_part)).select(frame))
+    centers = _whole_frames(points.join(large, frame, "left_anti"), k, passes, seed, frame, key, on_empty, tol)
+    if not large.isEmpty():
+        centers = centers.unionByName(_cut_frames(points.join(large, frame, "left_semi"), k, passes, seed, frame, key,
+                                                  on_empty, tol, rows_per_part))
+    centers = cut_lineage(centers)
+    if settle and not centers.where("_moved").isEmpty():
+        raise RuntimeError(f"frame k-means did not settle in {passes} passes")
     if not with_flag:
         return centers.drop("_moved")
     flag = centers.groupBy(frame).agg((~F.max("_moved")).alias("converged"))
