@@ -154,6 +154,27 @@ def test_unigram_model_scores_and_fallback():
     assert all(g[1] for g in got) and all(g[2] for g in got)
 
 
+def test_ids_without_and_with_the_library():
+    """Ranks read off the tokenizer file give the library's ids; a vocabulary
+    whose ids do not follow its merges is left to the library."""
+    import json
+
+    spec = segments.read_tokenizer(None, "byte_bpe_50k.json")
+    tok = Tokenizer.from_str(spec)
+    texts = [t for t in ODD if t] + [" " * 5000 + "x", "a" * 3000, "1\u20092", "\x85\x1c \x85"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    enc = segments.IdEncoder(spec)
+    assert enc.fast is not None and enc.encode(texts) == want and enc.encode([None, ""]) == [b"", b""]
+    other = json.loads(spec)
+    a, b = (t for t, i in other["model"]["vocab"].items() if i in (300, 9000))
+    v = other["model"]["vocab"]
+    v[a], v[b] = v[b], v[a]
+    enc = segments.IdEncoder(json.dumps(other))
+    tok = Tokenizer.from_str(json.dumps(other))
+    want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert enc.fast is None and enc.encode(texts) == want
+
+
 def brute_chat(rows):
     out = {}
     for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):

@@ -50,3 +50,47 @@ def test_reference_shape_with_dropout_runs(spark):
     df = mlp.sum_samples(spark, 200, seed=1)
     net = mlp.fit_mlp(df, ("a", "b"), "label", epochs=4)
     assert net.layers == mlp.DEFAULT_LAYERS and len(net.losses) == 4
+
+
+def test_weights_are_equal_on_any_partitioning_and_in_one_job(spark):
+    """With dropout, to the last bit; and dropout does change the weights."""
+    df = mlp.sum_samples(spark, 500, seed=9)
+    runs = [mlp.fit_mlp(df.repartition(n), ("a", "b"), "label", epochs=4, mode=mode)
+            for n, mode in ((1, "jobs"), (8, "jobs"), (3, "barrier"))]
+    for r in runs[1:]:
+        assert r.losses == runs[0].losses
+        for (wa, ba), (wb, bb) in zip(runs[0].weights, r.weights):
+            assert (wa == wb).all() and (ba == bb).all()
+    dry = mlp.fit_mlp(df, ("a", "b"), "label", epochs=4, dropout=0.0)
+    assert dry.losses != runs[0].losses
+
+
+def test_training_equals_plain_numpy(spark):
+    df = mlp.sum_samples(spark, 300, seed=4)
+    net = mlp.fit_mlp(df, ("a", "b"), "label", layers=(2, 3, 1), epochs=6, dropout=0.0, lr=0.02)
+    p = df.toPandas()
+    x, y = p[["a", "b"]].to_numpy(), p.label.to_numpy()
+    w = mlp.xavier((2, 3, 1), 12345)
+    v = [(0 * a, 0 * b) for a, b in w]
+    for _ in range(6):
+        g, _ = mlp._grad(w, x, y, None)
+        w, v = mlp._nesterov(w, v, g, len(y), 0.02, 0.9)
+    for (wa, ba), (wb, bb) in zip(w, net.weights):
+        assert np.allclose(wa, wb) and np.allclose(ba, bb)
+
+
+def test_dropout_masks_keep_their_share():
+    rows = np.arange(20_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    w = mlp.xavier((2, 4, 8, 1), 1)
+    a, b = (mlp._masks(rows, e, 5, w, 0.25, (1, 2)) for e in (0, 1))
+    assert a[0] is None and a[1].shape == (20_000, 4) and a[2].shape == (20_000, 8)
+    assert abs((a[2] > 0).mean() - 0.75) < 0.01 and np.allclose(a[2][a[2] > 0], 1 / 0.75)
+    assert abs(np.corrcoef(a[2][:, 0], a[2][:, 1])[0, 1]) < 0.03 and (a[1] != b[1]).any()
+
+
+def test_no_rows_and_nulls(spark):
+    df = mlp.sum_samples(spark, 50)
+    with pytest.raises(Exception, match="no training rows"):
+        mlp.fit_mlp(df.limit(0), ("a", "b"), "label", epochs=1)
+    more = df.union(spark.createDataFrame([(None, 1.0, 1.0)], "a double, b double, label double"))
+    assert mlp.fit_mlp(more, ("a", "b"), "label", epochs=2).losses == mlp.fit_mlp(df, ("a", "b"), "label", epochs=2).losses

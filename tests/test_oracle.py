@@ -14,6 +14,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 #: the training-data queries are tested in tests/llm
 LLM = {n for n in E.queries() if n.startswith("op") and n[2:].split("_")[0].isdigit()} | {"pipeline"}
 
+#: recomputed in tests/test_full_queries.py
+NO_SQL = {"model_report_full", "model_report_files_full", "memory_fit_linear_4", "memory_forecast_4", "balanced_clusters",
+          "extract_detections_full"}
+
 
 @pytest.fixture(scope="module")
 def duck():
@@ -35,7 +39,7 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) - LLM <= set(E.oracle_sql())
+    assert set(E.queries()) - LLM - NO_SQL == set(E.oracle_sql()) - LLM
 
 
 def test_every_query_has_a_stable_schema(spark):

@@ -1,12 +1,17 @@
 """Feed-forward regression net trained data-parallel on Spark.
 
 Spark ML has a multilayer perceptron classifier only, so the regressor is
-trained here by synchronous full-batch gradient descent: the weights (a few
-hundred doubles) are broadcast, every partition computes the gradient sum of
-its rows with numpy inside ``mapInPandas``, the sums are added up on the
-executors (one group per weight), and one gradient reaches the driver, which
-takes the optimizer step.  The combined gradient is the full-data gradient,
-so the result does not depend on the partitioning.
+trained here by synchronous full-batch gradient descent.  Either every epoch
+is a job, whose tasks send gradient sums to the driver, or all epochs are one
+job: a barrier stage, whose tasks keep their rows in numpy, exchange the sums
+with ``allGather`` and each take the same optimizer step.  Spark lets a task
+wait a full second in each gather, so jobs are the default; the barrier pays
+where an epoch's rows take longer than that to read again.
+
+Rows are dealt into ``SHARDS`` shards by a hash of their values, sorted there,
+and summed shard by shard in a fixed order; dropout masks come from the same
+hash, the epoch and the unit.  Weights are therefore equal to the last bit
+however many partitions the rows lie in.
 
 Network as in the reference: tanh hidden layers, identity output, squared
 error, Xavier initialisation, Nesterov momentum, dropout on the inputs of
@@ -15,11 +20,13 @@ the middle layers.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +36,11 @@ from trailframe.session import ship_package
 DEFAULT_LAYERS = (2, 4, 8, 16, 8, 4, 2, 1)
 DEFAULT_DROPOUT_LAYERS = (1, 2, 3, 4, 5)
 
+#: shards that rows are dealt into, and summed by
+SHARDS = 64
+#: rows of a shard that go through the net at once
+CHUNK = 1 << 16
+
 
 @dataclass
 class MLP:
@@ -111,40 +123,142 @@ def _unflatten(vec: np.ndarray, layers: Sequence[int]):
     return out
 
 
-def _masks(rng, weights, n, dropout, dropout_layers):
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser."""
+    u = np.uint64
+    x = (x ^ (x >> u(30))) * u(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> u(27))) * u(0x94D049BB133111EB)
+    return x ^ (x >> u(31))
+
+
+def _masks(rows: np.ndarray, epoch: int, seed: int, weights, dropout: float, dropout_layers):
+    """Inverted dropout masks of rows with the hashes ``rows``: a unit stays
+    where a hash of row, seed, epoch, layer and unit is below the keep rate."""
     if not dropout:
         return None
     keep = 1.0 - dropout
-    ms = []
+    cut = np.uint64(min(int(keep * 2.0 ** 64), (1 << 64) - 1))
+    out = []
     for i, (w, _) in enumerate(weights):
-        if i in dropout_layers:
-            ms.append((rng.random((n, w.shape[0])) < keep) / keep)
-        else:
-            ms.append(None)
-    return ms
-
-
-def _partition_fn(bc, layers, features, label, dropout, dropout_layers, seed, round_no):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId() if TaskContext.get() else 0
-        rng = np.random.default_rng([seed, round_no, pid])
-        flat = np.asarray(bc.value)
-        weights = _unflatten(flat, layers)
-        # the gradient sum, then the loss sum and the number of rows
+        if i not in dropout_layers:
+            out.append(None)
+            continue
+        unit = np.array([(seed << 40) ^ (epoch << 20) ^ (i << 12) ^ j for j in range(w.shape[0])], dtype=np.uint64)
+        out.append((_mixed(rows[:, None] ^ _mixed(unit)[None, :]) < cut) / keep)
+    return out
+
+
+@dataclass
+class _Task:
+    """What a task needs to know of the training run."""
+    layers: tuple[int, ...]
+    start: np.ndarray
+    epochs: int
+    lr: float
+    momentum: float
+    dropout: float
+    dropout_layers: tuple[int, ...]
+    seed: int
+
+    def shards(self, batches: Iterator) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """``(shard, row hashes, inputs, labels)`` of the rows of a task,
+        sorted inside each shard."""
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return []
+        got = [np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in b.columns[2:]])
+               for b in batches]
+        shard = np.concatenate([b.column(0).to_numpy() for b in batches])
+        rows = np.concatenate([b.column(1).to_numpy() for b in batches]).view(np.uint64)
+        v = np.concatenate(got)
+        order = np.lexsort((*v.T, rows, shard))
+        shard, rows, v = shard[order], rows[order], v[order]
+        ids, first = np.unique(shard, return_index=True)
+        return [(int(s), r, x[:, :-1], x[:, -1]) for s, r, x in zip(ids, np.split(rows, first[1:]), np.split(v, first[1:]))]
+
+    def sums(self, shards, flat: np.ndarray, epoch: int) -> dict[int, np.ndarray]:
+        """Per shard: the gradient sum, the loss sum, the number of rows."""
+        weights = _unflatten(flat, self.layers)
+        out = {}
+        for s, rows, x, y in shards:
+            total = np.zeros(len(flat) + 2)
+            for a in range(0, len(y), CHUNK):
+                part = slice(a, a + CHUNK)
+                m = _masks(rows[part], epoch, self.seed, weights, self.dropout, self.dropout_layers)
+                g, lo = _grad(weights, x[part], y[part], m)
+                total[:-2] += _flatten(g)
+                total[-2] += lo
+                total[-1] += len(y[part])
+            out[s] = total
+        return out
+
+    def step(self, flat: np.ndarray, velocity: np.ndarray, sums: dict[int, np.ndarray]):
+        """New weights, new velocity and the loss, from the sums of all
+        shards added in order."""
         total = np.zeros(len(flat) + 2)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = pdf[list(features)].to_numpy(dtype=np.float64)
-            y = pdf[label].to_numpy(dtype=np.float64)
-            g, lo = _grad(weights, x, y, _masks(rng, weights, len(y), dropout, dropout_layers))
-            total[:-2] += _flatten(g)
-            total[-2] += lo
-            total[-1] += len(y)
-        yield pd.DataFrame({"pos": np.arange(len(total)), "v": total})
-    return run
+        for s in sorted(sums):
+            total += sums[s]
+        if total[-1] == 0:
+            raise ValueError("no training rows")
+        w, v = _nesterov(_unflatten(flat, self.layers), _unflatten(velocity, self.layers),
+                         _unflatten(total[:-2], self.layers), total[-1], self.lr, self.momentum)
+        return _flatten(w), _flatten(v), float(total[-2] / total[-1])
+
+
+def _gathered(parts: list[str], width: int) -> dict[int, np.ndarray]:
+    """Shard sums of all tasks from their messages."""
+    out = {}
+    for p in parts:
+        rows = np.frombuffer(base64.b64decode(p), dtype="<f8").reshape(-1, width + 1)
+        out.update({int(r[0]): r[1:] for r in rows})
+    return out
+
+
+def _message(sums: dict[int, np.ndarray]) -> str:
+    rows = [np.concatenate(([float(s)], v)) for s, v in sums.items()]
+    return base64.b64encode(np.concatenate(rows).astype("<f8").tobytes() if rows else b"").decode()
+
+
+def _train_in_barrier(data: DataFrame, task: _Task) -> tuple[np.ndarray, list[float]]:
+    """All epochs in one job; the first task returns the weights."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import BarrierTaskContext
+
+        ctx = BarrierTaskContext.get()
+        shards = task.shards(batches)
+        flat, velocity, losses = task.start, np.zeros_like(task.start), []
+        for epoch in range(task.epochs):
+            parts = ctx.allGather(_message(task.sums(shards, flat, epoch)))
+            flat, velocity, loss = task.step(flat, velocity, _gathered(parts, len(flat) + 2))
+            losses.append(loss)
+        if ctx.partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()]), pa.array([losses], pa.list_(pa.float64()))],
+                                             names=["weights", "losses"])
+
+    r = data.mapInArrow(run, "weights array<double>, losses array<double>", barrier=True).collect()[0]
+    return np.array(r["weights"]), list(r["losses"])
+
+
+def _train_in_jobs(data: DataFrame, task: _Task) -> tuple[np.ndarray, list[float]]:
+    """One job per epoch; at most ``SHARDS`` sums reach the driver."""
+    sc = data.sparkSession.sparkContext
+    data = data.persist()
+    flat, velocity, losses = task.start, np.zeros_like(task.start), []
+    try:
+        for epoch in range(task.epochs):
+            now = sc.broadcast(flat)
+
+            def run(batches, now=now, epoch=epoch):
+                sums = task.sums(task.shards(batches), now.value, epoch)
+                yield pa.RecordBatch.from_arrays([pa.array([_message(sums)])], names=["m"])
+
+            parts = [r["m"] for r in data.mapInArrow(run, "m string").collect()]
+            now.unpersist()
+            flat, velocity, loss = task.step(flat, velocity, _gathered(parts, len(flat) + 2))
+            losses.append(loss)
+    finally:
+        data.unpersist()
+    return flat, losses
 
 
 def _nesterov(weights, vel, grads, n, lr, momentum):
@@ -159,41 +273,35 @@ def _nesterov(weights, vel, grads, n, lr, momentum):
 
 def fit_mlp(df: DataFrame, features: Sequence[str], label: str, layers: Sequence[int] | None = None,
             epochs: int = 200, lr: float = 0.01, momentum: float = 0.9, dropout: float = 0.5,
-            dropout_layers: Sequence[int] = DEFAULT_DROPOUT_LAYERS, seed: int = 12345) -> MLP:
+            dropout_layers: Sequence[int] = DEFAULT_DROPOUT_LAYERS, seed: int = 12345, mode: str = "jobs") -> MLP:
     """Train a regression net on ``features -> label``.
 
     ``layers`` defaults to the reference's 2-4-8-16-8-4-2-1 shape scaled to
-    the number of features.  One Spark job per epoch; one row per weight
-    reaches the driver, whatever the number of partitions.  The input is
-    persisted for the duration of the fit.
+    the number of features.  ``mode``: ``"jobs"`` runs a job per epoch over
+    the rows, which are kept; ``"barrier"`` trains in one job, with as many
+    tasks as run at once (at most ``SHARDS``; a task keeps its rows in
+    memory; not with dynamic allocation).  Both give the same weights.  Rows with a NULL are left out; equal rows share
+    their dropout masks.
     """
+    if mode not in ("barrier", "jobs"):
+        raise ValueError("mode must be 'barrier' or 'jobs'")
     k = len(features)
     layers = tuple(layers) if layers else (k, 2 * k, 4 * k, 8 * k, 4 * k, 2 * k, k, 1)
     if layers[0] != k or layers[-1] != 1:
         raise ValueError("layers must start with the number of features and end with 1")
     dl = tuple(i for i in dropout_layers if i < len(layers) - 1)
-    weights = xavier(layers, seed)
-    vel = [(np.zeros_like(w), np.zeros_like(b)) for w, b in weights]
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in features],
-                     F.col(label).cast("double").alias(label)).persist()
     spark = df.sparkSession
     ship_package(spark)
-    losses: list[float] = []
-    try:
-        for r in range(max(1, int(epochs))):
-            bc = spark.sparkContext.broadcast(_flatten(weights))
-            fn = _partition_fn(bc, layers, tuple(features), label, dropout, dl, seed, r)
-            rows = (data.mapInPandas(fn, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v"))
-                    .orderBy("pos").collect())
-            bc.unpersist()
-            total = np.array([x["v"] for x in rows])
-            if not len(total) or total[-1] == 0:
-                raise ValueError("no training rows")
-            losses.append(float(total[-2] / total[-1]))
-            weights, vel = _nesterov(weights, vel, _unflatten(total[:-2], layers), total[-1], lr, momentum)
-    finally:
-        data.unpersist()
-    return MLP(layers, weights, tuple(features), label, losses)
+    sc = spark.sparkContext
+    names = [f"x{i}" for i in range(k)]
+    rows = df.select(*[F.col(c).cast("double").alias(n) for n, c in zip(names, features)],
+                     F.col(label).cast("double").alias("y")).na.drop()
+    row = F.xxhash64(*names, "y")
+    data = (rows.select(F.pmod(row, F.lit(SHARDS)).cast("int").alias("shard"), row.alias("row"), *names, "y")
+            .repartition(max(1, min(SHARDS, sc.defaultParallelism)), "shard"))
+    task = _Task(layers, _flatten(xavier(layers, seed)), max(1, int(epochs)), lr, momentum, dropout, dl, seed)
+    flat, losses = (_train_in_barrier if mode == "barrier" else _train_in_jobs)(data, task)
+    return MLP(layers, _unflatten(flat, layers), tuple(features), label, losses)
 
 
 def sum_samples(spark: SparkSession, n: int = 1000, lo: float = 0.0, hi: float = 3.0, seed: int = 12345) -> DataFrame:

@@ -254,8 +254,10 @@ def model_report(transitions: DataFrame, kinds: Sequence[str] = ("linear", "tree
                 from trailframe.operators.mlp import fit_mlp
 
                 out = test
-                for lab in LABELS:
-                    out = fit_mlp(train, features, lab, **kw).transform(out, f"pred_{lab}")
+                with ThreadPoolExecutor(max_workers=len(LABELS)) as pool:
+                    nets = list(pool.map(lambda lab: fit_mlp(train, features, lab, **kw), LABELS))
+                for lab, net in zip(LABELS, nets):
+                    out = net.transform(out, f"pred_{lab}")
             else:
                 if kind in TREES:
                     kw["indexed"] = "indexed"

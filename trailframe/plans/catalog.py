@@ -271,9 +271,9 @@ where v > 220""",
 
 
 def _merge():
-    from trailframe.plans import cluster_queries, io_queries, model_queries
+    from trailframe.plans import cluster_queries, full_queries, io_queries, model_queries
 
-    for mod in (cluster_queries, model_queries, io_queries):
+    for mod in (cluster_queries, model_queries, io_queries, full_queries):
         QUERIES.update(mod.QUERIES)
         SQL.update(mod.SQL)
 

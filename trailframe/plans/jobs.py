@@ -13,6 +13,7 @@ from trailframe.operators import clustering as C
 from trailframe.operators import grids, matching
 from trailframe.operators import regression as RG
 from trailframe.operators.forecast import forecast, initial_agents
+from trailframe.operators.mlp import fit_mlp
 from trailframe.sources import frames as FR
 from trailframe.sources import text as TX
 
@@ -69,7 +70,8 @@ def model_report_from_files(spark: SparkSession, x_path: str, y_path: str, seed:
                             kinds: Sequence[str] = ("linear", "tree", "forest", "gbt", "isotonic")) -> DataFrame:
     """Q3 from the two transition files: the x models are fitted and scored
     on the rows of one file, the y models on those of the other, split by a
-    hash of the row's values; ``(model, rmse_x, rmse_y)``."""
+    hash of the row's values; ``(model, rmse_x, rmse_y)``.  ``"net"`` (M16)
+    is a kind too."""
     schema = TX.transition_schema(len(features), max(1, len(features) // 2))
     parts = {}
     for label, path in zip(RG.LABELS, (x_path, y_path)):
@@ -82,7 +84,10 @@ def model_report_from_files(spark: SparkSession, x_path: str, y_path: str, seed:
         def run(job):
             kind, label = job
             train, test = parts[label]
-            scored = RG.fit(kind, train, label, seed).transform(test)
+            if kind == "net":
+                scored = fit_mlp(train, features, label).transform(test, f"pred_{label}")
+            else:
+                scored = RG.fit(kind, train, label, seed).transform(test)
             return float(RG.rmse(scored, [(f"pred_{label}", label)], ["r"]).first()["r"])
 
         jobs = [(kind, label) for kind in kinds for label in RG.LABELS]
