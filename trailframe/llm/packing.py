@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailframe.llm.segments import read_tokenizer, slices, worker_encoder
+from trailframe.llm.segments import read_tokenizer, slices, worker_ids
 
 SEQ_LEN = 1024
 
@@ -57,7 +57,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, seq_len: int = SEQ_LEN,
     tails = [np.asarray(piece_lengths(r, seq_len), dtype=np.int64) for r in range(seq_len)]
 
     def run(it):
-        enc = worker_encoder(key, spec.value)
+        enc = worker_ids(key, spec.value)
         for batch in it:
             ids_col, texts = batch.column(0), batch.column(1).to_pylist()
             for first, part in slices(texts):
