@@ -359,3 +359,26 @@ def test_nearest_query_recall(spark):
     for r in queries.op9_nearest(spark, SF).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert sum(len(got[q] & {i for i, _ in true[q]}) for q in true) >= 0.9 * sum(len(v) for v in true.values())
+
+
+def test_winnowed_blocks_cover_every_window():
+    """Each window with a shared block keeps one, the same in every text."""
+    rng = random.Random(6)
+    passage = [rng.choice("abc") + str(rng.randrange(9)) for _ in range(140)]
+    texts = [" ".join([f"x{rng.random()}" for _ in range(k)] + passage + [f"y{rng.random()}" for _ in range(60 - k)])
+             for k in range(0, 60, 7)] + ["short text", " ".join(["w"] * 200)]
+    r = substring.Rolled([t.encode() for t in texts], 50, 25)
+    all_at = r.at.copy()
+    r.keep(r.key % np.uint64(3) == 0)
+    kept = set(r.at.tolist())
+    r.winnow()
+    left = r.at.tolist()
+    assert set(left) < kept <= set(all_at.tolist())
+    for s in all_at.tolist():
+        if s + 50 <= r.doc.size and r.doc[s] == r.doc[s + 49] and kept & set(range(s, s + 26)):
+            assert set(left) & set(range(s, s + 26))
+    inner = []
+    for k, a in enumerate(r.bounds[:9].tolist()):
+        first = a + 7 * k  # where the passage starts; blocks whose windows all lie inside it
+        inner.append([p - first for p in left if first + 25 <= p <= first + 140 - 50])
+    assert all(x == inner[0] for x in inner) and 0 < len(inner[0]) < 20

@@ -9,7 +9,11 @@ lies in a window whose words also start in a document of smaller id.
 * Probe: every rolling block of every document against the filter.  Block
   keys met in two documents are shared; a window that occurs twice holds at
   least one shared block, since ``WINDOW >= 2 * BLOCK - 1``.
-* Extend: a hit is a shared block with up to ``WINDOW - BLOCK`` words on
+* Thin: of the shared blocks in each window only the one with the least key
+  stays, so a passage of many documents is a few hits in each of them.  The
+  choice depends on the window's words alone, so two documents that hold a
+  window keep the same block of it.
+* Extend: a hit is such a block with up to ``WINDOW - BLOCK`` words on
   either side, its context.  Hits with equal contexts agree in all their
   windows, so only the smallest id keeps them: the inner hits of long
   repeats end here, one row per block.  Where a block stands in several
@@ -84,6 +88,27 @@ class Rolled:
     def keep(self, mask):
         self.at, self.key = self.at[mask], self.key[mask]
 
+    def winnow(self, chunk: int = 1 << 16):
+        """Keeps, of each window, the least of the keys left (the first of
+        equal ones): every window that holds a key keeps one, and windows of
+        equal words keep the same one, whatever stands around them."""
+        if not self.at.size:
+            return
+        span, n = self.window - self.block + 1, self.doc.size
+        keys = np.full(n + span, np.iinfo(W.U).max, dtype=W.U)
+        keys[self.at] = self.key
+        held = np.zeros(n + span, dtype=np.int64)
+        held[self.at + 1] = 1
+        held = np.cumsum(held)
+        s = np.arange(max(0, n - self.window + 1))
+        s = s[(self.doc[s] == self.doc[s + self.window - 1]) & (held[s + span] > held[s])]
+        least = np.zeros(n, dtype=bool)
+        view = np.lib.stride_tricks.sliding_window_view(keys, span)
+        for a in range(0, s.size, chunk):
+            part = s[a:a + chunk]
+            least[part + view[part].argmin(axis=1)] = True
+        self.keep(least[self.at])
+
     def context(self):
         """Range and digest of the words around each block position."""
         side = self.window - self.block
@@ -166,6 +191,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
         for batch in it:
             for first, r in _rolled(batch, window, block):
                 r.keep(bloom_hits(filt, r.key))
+                r.winnow()
                 if not r.at.size:
                     continue
                 a, b, c = r.context()
