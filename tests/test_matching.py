@@ -266,10 +266,10 @@ def test_tree_odd_rows(spark):
 
 
 def test_tree_in_a_dense_frame(spark):
-    """A hundred thousand points inside one radius, half of them on a thin
+    """Forty thousand points inside one radius, half of them on a thin
     line: exact, and few candidates a point."""
     from trailframe.operators import cell_tree
-    n = 50_000
+    n = 20_000
     det = spark.range(2 * n).select(
         (F.col("id") % 2).alias("frame"), F.floor(F.col("id") / 2).alias("slot"),
         (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(1 << 14)).alias("x"),
@@ -282,7 +282,7 @@ def test_tree_in_a_dense_frame(spark):
     pts = det.toPandas()
     a, b = pts[pts.frame == 0].set_index("slot"), pts[pts.frame == 1]
     bx, by = b.x.to_numpy(), b.y.to_numpy()
-    for s in range(0, n, 211):
+    for s in range(0, n, 97):
         d = (bx - a.x[s]) ** 2 + (by - a.y[s]) ** 2
         assert best[s] == math.sqrt(d.min())
 
