@@ -184,16 +184,16 @@ select frame, slot, nslot, coalesce(bx, 0.0) nx, coalesce(by_, 0.0) ny, round(di
   from lineitem),
 b as materialized (select frame - 1 frame, x nx, y ny, min(slot) nslot, floor(x) i, floor(y) j from d group by all),
 o as (select cast(u as double) a, cast(v as double) c from range(-1, 2) s(u), range(-1, 2) t(v)),
-near as (select d.frame, d.slot, arg_min({'s': nslot, 'x': nx, 'y': ny}, (sqrt((x-nx)**2 + (y-ny)**2), nslot)) m,
+near as (select d.frame, d.slot, d.x, d.y, arg_min({'s': nslot, 'x': nx, 'y': ny}, (sqrt((x-nx)**2 + (y-ny)**2), nslot)) m,
     min(sqrt((x-nx)**2 + (y-ny)**2)) dist
   from d cross join o join b on b.frame = d.frame and b.i = floor(d.x) + o.a and b.j = floor(d.y) + o.c
-  where sqrt((x-nx)**2 + (y-ny)**2) < 1 group by 1, 2),
-rest as (select * from d anti join near using (frame, slot)),
-far as (select r.frame, r.slot, arg_min({'s': nslot, 'x': nx, 'y': ny}, (sqrt((x-nx)**2 + (y-ny)**2), nslot)) m,
+  where sqrt((x-nx)**2 + (y-ny)**2) < 1 group by 1, 2, 3, 4),
+rest as (select * from d anti join near using (frame, slot, x, y)),
+far as (select r.frame, r.slot, r.x, r.y, arg_min({'s': nslot, 'x': nx, 'y': ny}, (sqrt((x-nx)**2 + (y-ny)**2), nslot)) m,
     min(sqrt((x-nx)**2 + (y-ny)**2)) dist
-  from rest r join b using (frame) where sqrt((x-nx)**2 + (y-ny)**2) < 100 group by 1, 2),
+  from rest r join b using (frame) where sqrt((x-nx)**2 + (y-ny)**2) < 100 group by 1, 2, 3, 4),
 best as (from near union all from far)
-select frame::bigint frame, slot, m.s nslot, m.x nx, m.y ny, round(dist, 6) dist from d left join best using (frame, slot)""",
+select frame::bigint frame, slot, m.s nslot, m.x nx, m.y ny, round(dist, 6) dist from d left join best using (frame, slot, x, y)""",
     "transitions": TRANSITIONS_POSITION,
     "transitions_delta": f"""with {DET}, {BEST}, {MATCHED}
 select a.frame, a.slot, round(a.bx - a.x, 6) x, round(a.by_ - a.y, 6) y,
