@@ -18,6 +18,12 @@ verified on whole sets.
   more than one component are then searched in full: entries outside the
   component of the list's most central entry against all, so a pair is left
   out only when its members are already linked.
+* An n-gram of a prefix is live if its list holds another group.  Of two
+  sets, what the one whose prefix ends first in the order shares lies among
+  its live n-grams and its rest, so it can be alike only to sets up to a size
+  that follows from their number.  In the full search it goes to the size
+  classes of that range only: near copies with too many edits meet none of
+  the many sets of their own size.
 * Each set has a parity bitmap of ``PARITY`` bits.  Two sets differ in at
   least as many n-grams as their bitmaps differ in bits, so pairs whose
   bitmaps differ too much go before any set is moved.
@@ -46,6 +52,8 @@ SKETCH = 20
 CHUNK = 4096
 PARITY = 1024
 BLOOM_BITS = 24
+#: ratio of the sizes in a size class
+SIZE_CLASS = 1.1
 
 
 def shingle_sets(part: list[bytes], n: int):
@@ -117,9 +125,9 @@ def parity(s: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
     """``doc_id, n, f1, f2`` (digest of the set), ``bits`` (its parity
-    bitmap), ``g`` (digest of prefix and size) and ``prefix``; the prefix
-    stands once per group and task, with a document that has an id (rows
-    without one are in no list)."""
+    bitmap), ``g`` (digest of prefix and size), ``prefix`` and ``last`` (the
+    place of its end in the order); the prefix stands once per group and
+    task, with a document that has an id (rows without one are in no list)."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     mask = W.U(sketch.size - 1)
 
@@ -129,13 +137,13 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray)
         for batch in it:
             ids = batch.column(0)
             for first, part in W.batches(batch.column(1)):
-                size, f1, f2, bits, g, prefix = [], [], [], [], [], []
+                size, f1, f2, bits, g, prefix, last = [], [], [], [], [], [], []
                 named = ids.slice(first, len(part)).is_valid().to_pylist()
                 for s, has_id in zip(shingle_sets(part, n), named):
                     k = s.size
                     size.append(k)
                     if not k:
-                        f1.append(0), f2.append(0), bits.append(None), g.append(0), prefix.append(None)
+                        f1.append(0), f2.append(0), bits.append(None), g.append(0), prefix.append(None), last.append(None)
                         continue
                     bits.append(parity(s))
                     f1.append(int(_signed(W.mix(s).sum(keepdims=True))[0]))
@@ -145,6 +153,7 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray)
                     pre = s[order]
                     gid = int(_signed(W.mix(W.mix(pre).sum(keepdims=True) + W.U(k)))[0])
                     g.append(gid)
+                    last.append(int(freq[int(pre[-1] & mask)]).to_bytes(4, "big") + int(pre[-1]).to_bytes(8, "big"))
                     if has_id and gid not in sent:
                         prefix.append(_signed(pre))
                         sent.add(gid)
@@ -153,11 +162,11 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, len(part)), pa.array(size, pa.int32()), pa.array(f1, pa.int64()),
                      pa.array(f2, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(g, pa.int64()),
-                     pa.array(prefix, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "f1", "f2", "bits", "g", "prefix"])
+                     pa.array(prefix, pa.list_(pa.int64())), pa.array(last, pa.binary())],
+                    names=["doc_id", "n", "f1", "f2", "bits", "g", "prefix", "last"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n int, f1 long, f2 long, bits array<long>, g long, prefix array<long>")
+        run, "doc_id long, n int, f1 long, f2 long, bits array<long>, g long, prefix array<long>, last binary")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -188,10 +197,28 @@ def _alike(n1: Column, n2: Column, num: int, den: int) -> Column:
     return den * F.least(n1, n2) >= num * F.greatest(n1, n2)
 
 
-def _reach(p1: Column, n1: Column, p2: Column, n2: Column, num: int, den: int) -> Column:
-    """A common n-gram at these positions leaves room for enough of them."""
-    most = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
-    return (num + den) * most >= num * (n1 + n2)
+def _reach(one: dict[str, Column], two: dict[str, Column], num: int, den: int, *bounds: Column) -> Column:
+    """A common n-gram of two entries leaves room for enough of them: before
+    it the live n-grams, after it the rest of both sets (and other
+    ``bounds``)."""
+    rest = F.least(one["n"] - one["p"] - 1, two["n"] - two["p"] - 1, *bounds)
+    return (num + den) * (F.least(one["before"], two["before"]) + 1 + rest) >= num * (one["n"] + two["n"])
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.lit(float(np.log(SIZE_CLASS)))).cast("int")
+
+
+def _partner_classes(num: int, den: int) -> Column:
+    """Size classes of the sets that an entry ``(n, live)`` may be alike to
+    if its prefix ends first: at least ``num / den`` of its size, at most
+    what its live n-grams and its rest allow."""
+    n, live = F.col("n").cast("long"), F.col("live")
+    rest = F.expr(f"({num}L * n + {den - 1}) div {den} - 1")
+    low = F.expr(f"({num}L * n + {den - 1}) div {den}")
+    high = F.least(F.expr(f"{den}L * n div {num}"),
+                   F.floor((num + den) * (live + rest) / F.lit(num)) - n)
+    return F.when(high >= low, F.sequence(_size_class(low), _size_class(high))).otherwise(F.array().cast("array<int>"))
 
 
 def _promising(found: DataFrame, one: str, two: str, num: int, den: int) -> DataFrame:
@@ -242,7 +269,8 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = count_sketch(src, n)
     made = materialize(signatures(src, n, num, den, sketch), "prefixes")
-    sig = materialize(made.drop("prefix"), "signatures")
+    sig = materialize(made.drop("prefix", "last"), "signatures")
+    ends = materialize(made.filter("prefix is not null").groupBy("g").agg(F.min("last").alias("last")), "ends")
     classes = materialize(
         sig.filter("n > 0 and doc_id is not null").groupBy("f1", "f2", "n", "g")
         .agg(F.min("doc_id").alias("rep")), "classes")
@@ -251,24 +279,28 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
     lists = (made.filter("prefix is not null and doc_id is not null")
              .select("g", "n", F.posexplode("prefix").alias("p", "token"))
              .select("token", "g", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("p")).alias("np")))
+    # the live n-grams of a group: those with another group in their list
+    own = Window.partitionBy("g")
     live = materialize(
         lists.withColumns({"lo": F.min("g").over(w), "hi": F.max("g").over(w)}).filter("lo <> hi")
         .select("token", "g", F.shiftright("np", 32).cast("int").alias("n"),
-                F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("p")).distinct(), "lists")
+                F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("p")).distinct()
+        .withColumns({"live": F.count(F.lit(1)).over(own).cast("int"),
+                      "before": (F.row_number().over(own.orderBy("p")) - 1).cast("int")}), "lists")
     drop_scratch(made)
     groups = classes.groupBy("g").agg(F.min("rep").alias("gid"))
 
     # stars: each entry of a list against the most central of its size range
     c = F.col
-    length = c("n") - F.ceil(c("n") * num / F.lit(den)) + 1
-    central = live.groupBy("g").agg((F.count(F.lit(1)) / F.first(length)).alias("central"))
+    entry = ("g", "n", "p", "before")
+    length = c("n") - F.expr(f"({num}L * n + {den - 1}) div {den}") + 1
+    central = c("live") / length
     near = Window.partitionBy("token", F.floor(F.log("n") / np.log(1.25)))
-    hub = F.min(F.struct((-c("central")).alias("k"), "g", "n", "p")).over(near)
-    stars = (live.join(central, "g").withColumn("h", hub)
-             .select("g", "n", "p", c("h.g").alias("hg"), c("h.n").alias("n2"), c("h.p").alias("p2"))
-             .filter((c("g") != c("hg")) & _alike(c("n"), c("n2"), num, den)
-                     & _reach(c("p"), c("n"), c("p2"), c("n2"), num, den))
-             .select("g", "hg").distinct())
+    hub = F.min(F.struct((-central).alias("k"), *entry)).over(near)
+    stars = (live.withColumn("h", hub)
+             .filter((c("g") != c("h.g")) & _alike(c("n"), c("h.n"), num, den)
+                     & _reach({x: c(x) for x in entry}, {x: c(f"h.{x}") for x in entry}, num, den))
+             .select("g", c("h.g").alias("hg")).distinct())
     first = (stars.join(groups.select("g", F.col("gid").alias("x")), "g")
              .join(groups.select(F.col("g").alias("hg"), F.col("gid").alias("y")), "hg").select("x", "y")
              .union(classes.join(groups, "g").filter("rep <> gid").select(F.col("rep").alias("x"),
@@ -282,18 +314,27 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
         .select("rep", "g", F.coalesce("component", "rep").alias("label")), "labels")
     of_group = named.groupBy("g").agg(F.min("label").alias("lmin"), F.max("label").alias("lmax"))
     # of each list, the component of its most central entry stays among itself
-    main = F.min(F.struct((-c("central")).alias("k"), "g", "lmin")).over(w)
+    main = F.min(F.struct((-central).alias("k"), "g", "lmin")).over(w)
+    entry += ("lmin", "lmax", "last")
     open_ = materialize(
-        live.join(of_group.join(central, "g"), "g")
+        live.join(of_group.join(ends, "g"), "g")
         .withColumns({"lo": F.min("lmin").over(w), "hi": F.max("lmax").over(w), "main": main}).filter("lo <> hi")
-        .select("token", "g", "n", "p", "lmin", "lmax",
+        .select("token", *entry, "live",
                 ((c("lmin") != c("main.lmin")) | (c("lmax") != c("main.lmin"))).alias("few")), "open")
-    few = open_.filter("few").select("token", *[c(x).alias(f"{x}2") for x in ("g", "n", "p", "lmin", "lmax")])
-    # two entries outside that component meet once, in the order of their digests
-    found = (few.join(open_, "token")
-             .filter((c("g") != c("g2")) & (~c("few") | (c("g") < c("g2")))
+    # each entry under its size and whether it is outside that component; the
+    # one whose prefix ends first looks for its partners, at least one of them outside
+    stands = open_.select("token", _size_class(c("n")).alias("class"), "few", *[c(x).alias(f"{x}2") for x in entry])
+    looks = (open_.withColumn("class", F.explode(_partner_classes(num, den)))
+             .withColumnRenamed("few", "out")
+             .withColumn("few", F.explode(F.when(c("out"), F.array(F.lit(True), F.lit(False)))
+                                          .otherwise(F.array(F.lit(True))))))
+    # what the one whose prefix ends first shares after an n-gram is live or behind its prefix
+    after = F.expr(f"live - before - 2 + ({num}L * n + {den - 1}) div {den}")
+    found = (looks.join(stands, ["token", "class", "few"])
+             .filter((c("g") != c("g2")) & ((c("last") < c("last2")) | ((c("last") == c("last2")) & (c("g") < c("g2"))))
                      & ((c("lmin") != c("lmin2")) | (c("lmax") != c("lmax2")) | (c("lmin") != c("lmax")))
-                     & _alike(c("n"), c("n2"), num, den) & _reach(c("p"), c("n"), c("p2"), c("n2"), num, den)))
+                     & _alike(c("n"), c("n2"), num, den)
+                     & _reach({x: c(x) for x in entry}, {x: c(f"{x}2") for x in entry}, num, den, after)))
     side = c("g") < c("g2")
     group_pairs = _promising(found.select(
         F.least("g", "g2").alias("g"), F.greatest("g", "g2").alias("g2"),
