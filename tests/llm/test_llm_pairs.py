@@ -289,6 +289,29 @@ def test_near_duplicates_raise_the_overlap(spark):
     assert counts == {i: sum(i in p for p in true) for i in {x for p in true for x in p}}
 
 
+def test_near_duplicates_of_many_equal_vectors(spark):
+    rng = np.random.default_rng(6)
+    one, two = rng.normal(size=16), rng.normal(size=16)
+    near = one + 0.01 * rng.normal(size=16)
+    rows = [(i, one.tolist(), 1) for i in range(3000)] + [(3000 + i, near.tolist(), 1) for i in range(50)]
+    rows += [(4000, two.tolist(), 1), (4001, one.tolist(), 2), (4002, [-0.0, 1.0], 3), (4003, [0.0, 1.0], 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.near_duplicates(df).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == (3049, 0) for i in range(3050))
+    assert got[4000] == (0, 4000) and got[4001] == (0, 4001)
+    assert got[4002] == got[4003] == (1, 4002)
+
+
+def test_near_duplicates_of_almost_equal_vectors(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=16) + 1e-7 * rng.normal(size=(500, 16))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)],
+                               "vec_id long, embedding array<double>, label int").repartition(4)
+    got = [(r.n_links, r.component_id) for r in neardup.near_duplicates(df).collect()]
+    assert got == [(499, 0)] * 500
+
+
 def test_near_duplicates_edge_cases(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert neardup.near_duplicates(spark.createDataFrame([], schema)).count() == 0

@@ -15,6 +15,10 @@ Shards of more than ``max_shard`` vectors are cut into blocks, and every two
 blocks are a task, so no task holds more than two blocks and no pair of the
 shard is left out.
 
+Equal vectors of a label are one class, which its smallest id stands for in
+the graphs; a class of m members gives each of them m - 1 links and a row of
+the classes it is linked to, so copies are never expanded into pairs.
+
 Two vectors without a common shard are never compared, so the result is
 audited: the links of a bounded sample (``AUDIT`` vectors) are counted
 against all rows, and until ``RECALL`` of them is found, the overlap (then
@@ -23,7 +27,7 @@ is in every shard of its label and the search opens all it can reach; a
 recall still below raises.  ``recall`` gives the figure of any links.
 
 Cases: null labels, null, empty or zero vectors and vectors with null or
-non-finite numbers link with nothing; equal vectors are linked like others;
+non-finite numbers link with nothing; equal vectors are always linked;
 rows that share an id are one vector (the smallest by label and numbers) and
 each get its result; a null ``vec_id`` keeps its row, with no links and a
 null component; an empty table gives no rows; other columns are not read.
@@ -121,7 +125,16 @@ def robust_prune(v: np.ndarray, cand: np.ndarray, sim: np.ndarray, keep: int, al
     return out
 
 
-def range_search(v: np.ndarray, adj: np.ndarray, q: int, start: np.ndarray, reach: float, beam: int) -> np.ndarray:
+def opened(at: np.ndarray, flat: np.ndarray, front: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The unseen neighbours of ``front``, each once; the list of row ``i`` is
+    ``flat[at[i]:at[i + 1]]``."""
+    n = at[front + 1] - at[front]
+    new = flat[np.repeat(at[front] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    return np.unique(new[~seen[new]])
+
+
+def range_search(v: np.ndarray, at: np.ndarray, flat: np.ndarray, q: int, start: np.ndarray, reach: float,
+                 beam: int) -> np.ndarray:
     """Local numbers of the vectors found with similarity ``reach`` or more
     to vector ``q``: greedy beam first, then expansion through the range."""
     seen = np.zeros(len(v), dtype=bool)
@@ -135,9 +148,7 @@ def range_search(v: np.ndarray, adj: np.ndarray, q: int, start: np.ndarray, reac
         if not fresh.size:
             break
         spent[fresh] = True
-        new = np.unique(adj[found[fresh]])
-        new = new[new >= 0]
-        new = new[~seen[new]]
+        new = opened(at, flat, found[fresh], seen)
         if new.size:
             seen[new] = True
             found = np.concatenate((found, new))
@@ -147,9 +158,7 @@ def range_search(v: np.ndarray, adj: np.ndarray, q: int, start: np.ndarray, reac
     front = found[inside & ~spent]
     out = [found[inside]]
     while front.size:
-        new = np.unique(adj[front])
-        new = new[new >= 0]
-        new = new[~seen[new]]
+        new = opened(at, flat, front, seen)
         seen[new] = True
         front = new[v[new] @ x >= reach]
         out.append(front)
@@ -306,19 +315,17 @@ def searched(rows: DataFrame, threshold: float, overlap: int, shard: int, max_sh
         lists_ = []
         for x in local:
             x = np.array(x or [], dtype=np.int64)
-            at = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
-            lists_.append(at[ids[at] == x] if x.size else x)
-        width = max([1, *(len(x) for x in lists_)])
-        adj = np.full((len(ids), width), -1, dtype=np.int64)
-        for i, x in enumerate(lists_):
-            adj[i, :len(x)] = x
+            near = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
+            lists_.append(near[ids[near] == x] if x.size else x)
+        at = np.concatenate(([0], np.cumsum([len(x) for x in lists_]))).astype(np.int64)
+        flat = np.concatenate([np.zeros(0, dtype=np.int64), *lists_])
         medoid = int((v @ v.mean(axis=0)).argmax())
         norm = np.sqrt((raw * raw).sum(axis=1))
         m = len(ids)
         met = []
         for q in range(m):
             start = np.unique(np.append(lists_[q], (medoid, q)))
-            got = range_search(v, adj, q, start, threshold - SLACK, beam)
+            got = range_search(v, at, flat, q, start, threshold - SLACK, beam)
             got = got[got != q]
             met.append(np.minimum(got, q) * m + np.maximum(got, q))
         code = np.unique(np.concatenate(met)) if met else np.zeros(0, dtype=np.int64)
@@ -347,12 +354,20 @@ def prepared(embeddings: DataFrame, id_col: str, vec_col: str, label_col: str) -
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id",
                     vec_col: str = "embedding", label_col: str = "label", **options) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row."""
-    links = links_of(materialize(prepared(embeddings, id_col, vec_col, label_col), "vectors"), threshold, **options)
-    degree = (links.select(F.explode(F.array("a", "b")).alias("vec_id"))
-              .groupBy("vec_id").agg(F.count(F.lit(1)).alias("n_links")))
-    comp = connected_components(links.select("a", "b")).withColumnsRenamed({"node": "vec_id"})
-    out = (embeddings.select(F.col(id_col).cast("long").alias("vec_id"))
-           .join(degree, "vec_id", "left").join(comp, "vec_id", "left"))
+    vectors = materialize(prepared(embeddings, id_col, vec_col, label_col), "vectors")
+    classes = materialize(vectors.groupBy("label", "dim", "v").agg(
+        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
+    links = links_of(classes.select(F.col("rep").alias("vec_id"), "label", "dim", "v"), threshold, **options)
+    ends = links.select("a", "b").union(links.select("b", "a")).toDF("rep", "other")
+    degree = (ends.join(classes.select(F.col("rep").alias("other"), "members"), "other")
+              .groupBy("rep").agg(F.sum("members").alias("linked")))
+    comp = connected_components(links.select("a", "b")).withColumnsRenamed({"node": "rep"})
+    named = materialize(
+        classes.join(degree, "rep", "left").join(comp, "rep", "left")
+        .select("label", "v", (F.coalesce("linked", F.lit(0)) + F.col("members") - 1).alias("n_links"),
+                F.coalesce("component", "rep").alias("component")), "named")
+    found = vectors.join(named, ["label", "v"]).select("vec_id", "n_links", "component")
+    out = embeddings.select(F.col(id_col).cast("long").alias("vec_id")).join(found, "vec_id", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       F.coalesce("component", "vec_id").alias("component_id"),
                       F.coalesce(F.coalesce("component", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
