@@ -115,6 +115,31 @@ def test_large_group_of_near_copies_is_linear(spark):
     assert got == {0}
 
 
+def test_hot_lists_of_sets_around_the_threshold(spark):
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(140)]
+    rows = []
+
+    def edited(words, edits):
+        t = list(words)
+        for _ in range(edits):
+            k = rng.randrange(len(t))
+            t[k:k + 1] = rng.choice([[], [f"x{rng.randrange(10 ** 6)}"], [t[k], f"y{rng.randrange(10 ** 6)}"]])
+        return t
+
+    for _ in range(120):  # some are alike to the base, some only to each other
+        t = edited(base[:rng.choice([100, 120, 140])], rng.randrange(1, 9))
+        rows.append(t)
+        if rng.random() < 0.4:
+            rows.append(edited(t, rng.randrange(1, 5)))
+    rows = [(i, " ".join(t)) for i, t in enumerate(rows)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = brute_jaccard(rows)
+    assert got == want
+    assert 10 < len({c for _, c in want.values()}) < len(rows) - 10
+
+
 def brute_substring(rows, w=50):
     first = {}
     docs = {i: WORD.findall(t or "") for i, t in rows}
