@@ -4,7 +4,8 @@ Centres are small (k rows, or k rows per frame) and points are large.  The
 point side is never shuffled for an assignment:
 
 * global centres (Lloyd, similar-size k-means) are one constant array in the
-  projection (a point's squared distances are one array of numbers); each pass
+  projection (a point's squared distances are one array of numbers), or a tree
+  where they are many (:mod:`trailframe.operators.center_tree`); each pass
   is one scan with a partial ``groupBy(cid)`` aggregate, and only the k new
   centres come back to the driver;
 * per-frame clustering (M7) takes all passes of a frame in one group where
@@ -29,10 +30,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailframe.session import cut_lineage
+from trailframe.operators.center_tree import bounded_lloyd, nearest_udf
+from trailframe.session import cut_lineage, ship_package
 
 Center = tuple[int, float, float]
 
+#: from this many centres on they are searched through a tree
+TREE_FROM = 128
+
 
 # ------------------------------------------------------------------ ordering
 
@@ -88,9 +93,14 @@ def nearest_expr(centers: Sequence[Center], x: str = "x", y: str = "y") -> Colum
 
 
 def assign_nearest(points: DataFrame, centers: Sequence[Center] | DataFrame,
-                   x: str = "x", y: str = "y", out: str = "cid") -> DataFrame:
+                   x: str = "x", y: str = "y", out: str = "cid", method: str | None = None) -> DataFrame:
     """Add the id of the nearest centre (and ``d2``, the squared distance).
 
+    ``method="array"`` compares every point with every centre in one
+    expression, ``"tree"`` goes down a tree of the centres in Arrow batches;
+    the rows are the same, and the number of centres decides where none is
+    given.  A point with a NULL coordinate gets NULLs.
+
     ``centers`` is a list of ``(cid, x, y)`` or a DataFrame with those
     columns, whose k rows are read first.  k is a parameter of the
     clustering, not of the data; the centres reach every task as one value
@@ -98,7 +108,14 @@ def assign_nearest(points: DataFrame, centers: Sequence[Center] | DataFrame,
     """
     if isinstance(centers, DataFrame):
         centers = [tuple(r) for r in centers.select("cid", "x", "y").collect()]
-    best = nearest_expr(centers, x, y)
+    if method not in (None, "array", "tree"):
+        raise ValueError("method must be 'array' or 'tree'")
+    if method == "tree" or (method is None and len(centers) >= TREE_FROM):
+        ship_package(points.sparkSession)
+        px, py = F.col(x).cast("double"), F.col(y).cast("double")
+        best = F.when(px.isNotNull() & py.isNotNull(), nearest_udf(centers)(px, py))
+    else:
+        best = nearest_expr(centers, x, y)
     return points.withColumn("_best", best).withColumn(out, F.col("_best.cid")) \
         .withColumn("d2", F.col("_best.d2")).drop("_best")
 
@@ -177,10 +194,8 @@ def clustering_cost(points: DataFrame, centers: Sequence[Center], x: str = "x",
 def same_centers(new: Sequence[Center], old: Sequence[Center], tol: float = 0.0) -> bool:
     """Every new centre lies within ``tol`` of some old centre
     (containment, not order; ``tol=0`` is the reference's exact test)."""
-    for _, x, y in new:
-        if not any(abs(x - ox) <= tol and abs(y - oy) <= tol for _, ox, oy in old):
-            return False
-    return True
+    have = np.array([(x, y) for _, x, y in old], dtype=float).reshape(-1, 2)
+    return all(bool((np.abs(have - (x, y)) <= tol).all(axis=1).any()) for _, x, y in new)
 
 
 @dataclass
@@ -190,6 +205,8 @@ class LloydResult:
     converged: bool
     history: list[list[Center]] = field(default_factory=list)
     sizes: dict[int, int] = field(default_factory=dict)
+    #: with bounds: comparisons of points with centres and boxes, per pass
+    tests: list[int] = field(default_factory=list)
 
 
 def lloyd_pass(points: DataFrame, centers: Sequence[Center],
@@ -216,10 +233,23 @@ def lloyd_step(points: DataFrame, centers: Sequence[Center], on_empty: str = "ke
 
 
 def lloyd(points: DataFrame, init: Sequence[Center], max_iter: int = 20, tol: float = 0.0,
-          on_empty: str = "keep", persist: bool = True) -> LloydResult:
+          on_empty: str = "keep", persist: bool = True, method: str | None = None) -> LloydResult:
     """M6: plain Lloyd from given centres until the centre set repeats
     (within ``tol``) or ``max_iter`` passes.  Ids stay attached to centres.
-    ``sizes`` are those of the last assignment."""
+    ``sizes`` are those of the last assignment.
+
+    ``method="plain"`` assigns every point anew in each pass, ``"bounds"``
+    keeps bounds with the points, so most points are compared with no centre
+    or one (:func:`trailframe.operators.center_tree.bounded_lloyd`); the
+    number of centres decides where none is given."""
+    if method not in (None, "plain", "bounds"):
+        raise ValueError("method must be 'plain' or 'bounds'")
+    if on_empty not in ("keep", "drop"):
+        raise ValueError("on_empty must be 'keep' or 'drop'")
+    if method == "bounds" or (method is None and len(init) >= TREE_FROM):
+        hist, sizes, converged, tests = bounded_lloyd(
+            points, init, max_iter, lambda new, old: same_centers(new, old, tol), on_empty)
+        return LloydResult(hist[-1], len(hist) - 1, converged, hist, sizes, tests)
     pts = points.select("x", "y")
     if persist:
         pts = pts.persist()

@@ -101,15 +101,31 @@ def q_frame_kmeans(spark: SparkSession, sf: str) -> DataFrame:
     return cs.select("frame", "cid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "converged")
 
 
-def q_assign_nearest_2000(spark: SparkSession, sf: str) -> DataFrame:
-    """J3 at the reference's number of centres, over every line item."""
+MANY = 2000
+
+
+def _many(spark: SparkSession, sf: str):
     li = fx.table(spark, sf, "lineitem")
     x, y = F.col("l_partkey") % 720, F.col("l_suppkey") % 480
     pts = li.select((x * 480 + y).alias("id"), x.cast("double").alias("x"), y.cast("double").alias("y"))
-    cs = C.initial_centers(pts.distinct(), 2000, SEED)
+    return pts, C.initial_centers(pts.distinct(), MANY, SEED)
+
+
+def q_assign_nearest_2000(spark: SparkSession, sf: str) -> DataFrame:
+    """J3 at the reference's number of centres, over every line item."""
+    pts, cs = _many(spark, sf)
     return C.assign_nearest(pts, cs).select("id", F.col("cid").cast("long").alias("cid"), "d2")
 
 
+MANY_PASSES = 4
+
+
+def q_lloyd_2000(spark: SparkSession, sf: str) -> DataFrame:
+    """M6 at the reference's number of centres: four passes with bounds."""
+    pts, cs = _many(spark, sf)
+    return _centers_df(spark, C.lloyd(pts, cs, max_iter=MANY_PASSES, tol=-1.0).centers)
+
+
 def q_similar_size_round(spark: SparkSession, sf: str) -> DataFrame:
     pts, init = _init(spark, sf)
     p = pts.persist()
@@ -153,6 +169,7 @@ QUERIES = {
     "similar_size_kmeans": q_similar_size_kmeans,
     "kmeans_assign": q_kmeans_assign,
     "assign_nearest_2000": q_assign_nearest_2000,
+    "lloyd_2000": q_lloyd_2000,
 }
 
 
@@ -207,7 +224,22 @@ FRAME_C0 = f"""c0 as (select * from (
   select frame, (row_number() over (partition by frame order by md5('{SEED}:' || id::varchar), id) - 1)::int c, x, y
   from pts) where c < {FRAME_K})"""
 
+def _many_ctes(n: int) -> str:
+    """c0 .. c{n} of the many centres, over distinct points with weights."""
+    d2 = "(q.x - c.x) * (q.x - c.x) + (q.y - c.y) * (q.y - c.y)"
+    parts = [f"""q as materialized (select l_partkey % 720 * 480 + l_suppkey % 480 id, (l_partkey % 720)::double x,
+  (l_suppkey % 480)::double y, count(*) w from lineitem group by all),
+c0 as materialized (select (row_number() over (order by md5('{SEED}:' || id::varchar), id) - 1)::bigint c, x, y from q
+  qualify c < {MANY})"""]
+    for i in range(n):
+        parts.append(f"""a{i} as materialized (select q.x, q.y, q.w, arg_min(c.c, ({d2}, c.c)) c from q, c{i} c group by q.id, 1, 2, 3),
+c{i + 1} as materialized (select c.c, coalesce(m.x, c.x) x, coalesce(m.y, c.y) y from c{i} c
+  left join (select c, sum(x * w) / sum(w) x, sum(y * w) / sum(w) y from a{i} group by 1) m using (c))""")
+    return ",\n".join(parts)
+
+
 SQL = {
+    "lloyd_2000": f"with {_many_ctes(MANY_PASSES)} select c cid, round(x, 6) x, round(y, 6) y from c{MANY_PASSES}",
     "random_rows": f"""with {PTS} select id, x, y from pts order by md5('{SEED}:' || id::varchar), id limit {K}""",
     "assign_nearest": f"""with {PTS}, {C0}
 select p.id, arg_min(c.c, ((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y), c.c)) cid,
