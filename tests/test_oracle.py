@@ -16,7 +16,7 @@ LLM = {n for n in E.queries() if n.startswith("op") and n[2:].split("_")[0].isdi
 
 #: recomputed in tests/test_full_queries.py
 NO_SQL = {"model_report_full", "model_report_files_full", "memory_fit_linear_4", "memory_forecast_4", "balanced_clusters",
-          "extract_detections_full"}
+          "extract_detections_full", "forecast_forest", "forecast_net"}
 
 
 @pytest.fixture(scope="module")

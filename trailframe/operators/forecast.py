@@ -3,7 +3,8 @@
 The reference moves each simulated agent on the driver, one model call per
 agent per tick.  Here a step is one projection over the whole agent table:
 both models score the current velocities and the new velocities move the
-agents.  Blocks of steps are chained projections written to a
+agents.  Blocks of steps (one expression for linear models, one Arrow pass
+for trees and the net, chained projections otherwise) are written to a
 step-partitioned table; the next block reads the last step back.
 """
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailframe.functions.scalar import advance
+from trailframe.operators import rollout as RO
 from trailframe.operators.regression import ModelPair
 
 
@@ -43,10 +45,14 @@ def forecast(agents: DataFrame, pair: ModelPair, n_steps: int, dt: float, speed:
     ``m_x1, m_y1, .., m_xk, m_yk`` besides, each step predicts from them and
     shifts the new velocity in.
 
+    Trees, forests, GBT models and the net run all steps of a block in one
+    Arrow pass (:mod:`trailframe.operators.rollout`); an agent without a
+    velocity then has NULLs after step 0.
+
     An agent's path depends on nothing but its own row, so ``block`` steps
-    are one chained projection (no shuffle): each step scores the previous
-    velocities and appends its state to a per-row trajectory array, which is
-    exploded into rows and written to its own ``block=<first step>`` folder
+    are one pass (no shuffle): each step scores the previous
+    velocities and, for the other models, appends its state to a per-row
+    trajectory array, which is exploded into rows.  A block is written to its own ``block=<first step>`` folder
     of a Parquet table (a fresh folder under the checkpoint folder unless
     ``out_path`` is given).  The next block starts from the last step read
     back from the previous block's folder, so plans stay bounded and a lost
@@ -70,9 +76,13 @@ def forecast(agents: DataFrame, pair: ModelPair, n_steps: int, dt: float, speed:
     cur = agents.select(*key, *state)
     first = 0
     folders = []
+    score = RO.scorers(pair, spark) if pair.kind in RO.KINDS else None
     while True:
         last = min(first + block, n_steps)
-        if pair.kind == "linear" and memory == 1:
+        if score:
+            df = None
+            rows = RO.rollout(cur, pair, key, state, first, last, speed, dt, score)
+        elif pair.kind == "linear" and memory == 1:
             traj = _linear_fold(pair, point(first), first, last, speed, dt)
             if first > 0:
                 traj = F.slice(traj, 2, last - first)
@@ -91,7 +101,8 @@ def forecast(agents: DataFrame, pair: ModelPair, n_steps: int, dt: float, speed:
                                    advance("cy", nvy, speed, dt).alias("cy"),
                                    nvx.alias("vx"), nvy.alias("vy"), *shifted, "_traj")
                 df = df.withColumn("_traj", F.concat("_traj", F.array(point(s))))
-        rows = df.select(*key, F.explode("_traj").alias("_p")).select(*key, "_p.*")
+        if df is not None:
+            rows = df.select(*key, F.explode("_traj").alias("_p")).select(*key, "_p.*")
         folders.append(f"{out}/block={first}")
         rows.write.mode("overwrite").parquet(folders[-1])
         if last >= n_steps:

@@ -187,6 +187,10 @@ class ModelPair:
         scored with a column expression (``dot(coef, x) + intercept`` in the
         estimator's own order of operations), so no feature vector is built;
         other models go through their ``transform``."""
+        if self.kind == "net":
+            for lab, m in self.models.items():
+                df = m.transform(df, f"pred_{lab}")
+            return df
         if self.kind == "linear" and "features" not in df.columns:
             return df.withColumns({f"pred_{lab}": self._linear_expr(m) for lab, m in self.models.items()})
         out = df if "features" in df.columns else assemble(df, self.features)
@@ -205,13 +209,18 @@ class ModelPair:
 
 def fit_pair(kind: str, train: DataFrame, features: Sequence[str] = ("x", "y"),
              labels: Sequence[str] = LABELS, seed: int = 42, parallel: bool = True, **kw) -> ModelPair:
-    data = assemble(train, features)
-    if parallel and len(labels) > 1:
-        with ThreadPoolExecutor(max_workers=len(labels)) as pool:
-            futs = {lab: pool.submit(fit, kind, data, lab, seed, **kw) for lab in labels}
-            models = {lab: f.result() for lab, f in futs.items()}
-    else:
-        models = {lab: fit(kind, data, lab, seed, **kw) for lab in labels}
+    """Both models of one kind (M11-M15, ``"net"`` for M16) on the same rows."""
+    data = train if kind == "net" else assemble(train, features)
+
+    def one(lab: str):
+        if kind == "net":
+            from trailframe.operators.mlp import fit_mlp
+
+            return fit_mlp(data, features, lab, seed=seed, **kw)
+        return fit(kind, data, lab, seed, **kw)
+
+    with ThreadPoolExecutor(max_workers=len(labels) if parallel else 1) as pool:
+        models = dict(zip(labels, pool.map(one, labels)))
     return ModelPair(kind, tuple(features), models)
 
 

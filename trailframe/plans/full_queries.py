@@ -23,6 +23,7 @@ KINDS = ("linear", "tree", "forest", "gbt", "isotonic", "net")
 #: bounds that raise, they never cut
 SETTLE = 1000
 BALANCED_K, BALANCED_ROUNDS = 20, 10
+STEPS = 50
 
 
 def _r(name: str, digits: int = 4):
@@ -70,6 +71,22 @@ def q_memory_forecast_4(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("track", "origin", "step", *[_r(c) for c in ("cx", "cy", "vx", "vy")])
 
 
+def _forecast(spark: SparkSession, sf: str, kind: str, **kw) -> DataFrame:
+    pair = RG.fit_pair(kind, MQ.transitions(spark, sf), ("x", "y"), **kw)
+    f = FC.forecast(MQ.moving_agents(spark, sf), pair, n_steps=STEPS, dt=1.0, speed=1.0, key=("frame", "slot"), block=STEPS)
+    return f.select("frame", "slot", "step", *[_r(c) for c in ("cx", "cy", "vx", "vy")])
+
+
+def q_forecast_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """M20 with forests: every matched detection moves on for 50 steps."""
+    return _forecast(spark, sf, "forest")
+
+
+def q_forecast_net(spark: SparkSession, sf: str) -> DataFrame:
+    """M20 with the net of the model report."""
+    return _forecast(spark, sf, "net")
+
+
 def q_balanced_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Q8: the sizes and centres of similar-size k-means, run until balanced,
     until nothing is oversized or for ten rounds, next to plain k-means."""
@@ -152,6 +169,8 @@ QUERIES = {
     "model_report_files_full": q_model_report_files_full,
     "memory_fit_linear_4": q_memory_fit_linear_4,
     "memory_forecast_4": q_memory_forecast_4,
+    "forecast_forest": q_forecast_forest,
+    "forecast_net": q_forecast_net,
     "balanced_clusters": q_balanced_clusters,
     "extract_detections_full": q_extract_detections_full,
     "cluster_members": q_cluster_members,

@@ -151,15 +151,18 @@ def q_memory_forecast(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_forecast_paths(spark: SparkSession, sf: str) -> DataFrame:
-    det = fx.detections(spark, sf)
     pair = RG.fit_pair("linear", transitions(spark, sf), ("x", "y"))
-    m = matching.match_next_frame(det, on_miss="drop")
-    agents = m.select("frame", "slot", F.col("nx").alias("cx"), F.col("ny").alias("cy"),
-                      (F.col("nx") - F.col("x")).alias("vx"), (F.col("ny") - F.col("y")).alias("vy"))
-    f = FC.forecast(agents, pair, n_steps=STEPS, dt=1.0, speed=1.0, key=("frame", "slot"))
+    f = FC.forecast(moving_agents(spark, sf), pair, n_steps=STEPS, dt=1.0, speed=1.0, key=("frame", "slot"))
     return f.select("frame", "slot", "step", *[_r4(c) for c in ("cx", "cy", "vx", "vy")])
 
 
+def moving_agents(spark: SparkSession, sf: str) -> DataFrame:
+    """Every matched detection as an agent that goes on moving."""
+    m = matching.match_next_frame(fx.detections(spark, sf), on_miss="drop")
+    return m.select("frame", "slot", F.col("nx").alias("cx"), F.col("ny").alias("cy"),
+                    (F.col("nx") - F.col("x")).alias("vx"), (F.col("ny") - F.col("y")).alias("vy"))
+
+
 NET_EPOCHS, NET_RATE, NET_MOMENTUM = 3, 0.001, 0.9
 
 
