@@ -43,6 +43,39 @@ def test_hot_group_numbering_is_split(spark):
         assert [got[(g, o)] for o in keys] == list(range(len(keys)))
 
 
+def test_numbering_parts_follow_rows_not_values(spark):
+    """Sparse ids cost the same as dense ones, a hot group is split."""
+    from trailframe.operators import indexing
+
+    sizes = {}
+    for step in (1, 10 ** 9):
+        df = spark.range(20_000).select((F.col("id") % 3 > 0).cast("long").alias("g"), (F.col("id") * step).alias("o"))
+        got = indexing.row_index(df, ["g"], "o", "rn", bucket_width=1000)
+        want = {}
+        for g, o, rn in sorted(tuple(r) for r in got.collect()):
+            assert rn == want.get(g, 0)
+            want[g] = rn + 1
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        # the facts meet one join, no window; the only window is over the parts
+        assert plan.count("Window") == 1 and plan.count("Join") == 1
+        written = [f for f in got.inputFiles()]
+        rows = [r["count"] for r in spark.read.parquet(*written).groupBy(F.input_file_name()).count().collect()]
+        assert max(rows) < 2500 and sum(rows) == 20_000
+        sizes[step] = len(rows)
+    assert abs(sizes[1] - sizes[10 ** 9]) <= 2
+
+
+def test_numbering_splits_a_hot_value(spark):
+    """A third of the rows share one group and one ordering value."""
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).alias("o"), "id")
+    got = row_index(df, [], "o", "rn", bucket_width=500)
+    rows = sorted((r.rn, r.o) for r in got.collect())
+    assert [r[0] for r in rows] == list(range(9000))
+    assert [r[1] for r in rows] == sorted(r[1] for r in rows)
+    sizes = [r["count"] for r in spark.read.parquet(*got.inputFiles()).groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) < 1500
+
+
 def _plan(df):
     df.write.format("noop").mode("overwrite").save()
     return df._jdf.queryExecution().executedPlan().toString()

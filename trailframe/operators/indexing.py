@@ -3,65 +3,73 @@
 A plain ``row_number() over (partition by g order by o)`` runs each group in
 one task, and an unpartitioned window runs the whole table in one task.
 Both break when one group holds a large share of the rows.  The helpers here
-split every group into ranges of the (numeric) ordering column, number rows
-inside each range, and add the running count of the earlier ranges.  The
-only data that is ever seen as a whole by one task is the table of range
-counts, which has one row per non-empty range.
+sort the rows into parts of about equal numbers of ROWS (bounds from a sample
+of the rows, so neither large gaps in the ordering column nor a hot group
+matter), number them where they lie, and add the running count of the earlier
+parts of the group.  Every row is shuffled by that sort alone; the table of
+shifts has one row per group and part, and one task sees one group's parts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_B = "_tf_bucket"
-_R = "_tf_rank"
-_OFF = "_tf_offset"
-_N = "_tf_n"
-
+from trailframe.session import materialize
 
-def _range_offsets(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*groups).orderBy(_B) if groups else Window.orderBy(_B)
-    before = F.sum(_N).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return counts.select(*groups, _B, F.coalesce(before, F.lit(0)).cast("long").alias(_OFF))
+_PART = "_tf_part"
+_POS = "_tf_pos"
+_FIRST = "_tf_first"
+_SHIFT = "_tf_shift"
+_N = "_tf_n"
+_TIE = "_tf_tie"
 
 
 def row_index(df: DataFrame, groups: Sequence[str], order: str, out: str,
-              bucket_width: int = 1 << 16) -> DataFrame:
-    """0-based ``row_number`` within ``groups`` ordered by numeric ``order``.
+              bucket_width: int | None = None) -> DataFrame:
+    """0-based ``row_number`` within ``groups`` ordered by ``order``.
 
     Rows with equal ``order`` inside a group are numbered in arbitrary order,
-    exactly like ``row_number``; NULL order values come first, a NULL group
-    is a group.  ``bucket_width`` bounds the rows one task numbers when
-    ``order`` is a unique integer key.
+    exactly like ``row_number``, and may lie in several parts unless they are
+    copies in all columns; NULL order values come first, a NULL group is a
+    group.  There are as many parts as the session has shuffle partitions, or
+    parts of about ``bucket_width`` rows where it is given (that counts the
+    rows first).  The sorted rows are written once: bounds are sampled, so
+    they must not be drawn twice.
     """
     groups = list(groups)
-    d = df.withColumn(_B, F.floor(F.col(order) / F.lit(bucket_width)))
-    ranked = d.withColumn(_R, F.row_number().over(Window.partitionBy(*groups, _B).orderBy(order)))
-    # range sizes come from the ranked rows, which are already partitioned
-    # by (groups, range): no second shuffle of the facts
-    counts = ranked.groupBy(*groups, _B).agg(F.max(_R).alias(_N))
-    # NULL groups and NULL order values are a group and a range (the first)
-    # of their own, so the join treats two NULLs as equal
-    keys = [*groups, _B]
-    offsets = _range_offsets(counts, groups).select(*[F.col(c).alias(f"{c}_o") for c in keys], _OFF)
+    parts = [] if bucket_width is None else [max(1, math.ceil(df.count() / bucket_width))]
+    place = F.monotonically_increasing_id()  # the part, then 33 bits of place in it
+    dealt = materialize(
+        df.withColumn(_TIE, F.xxhash64(*[F.col(c) for c in df.columns]))
+        .repartitionByRange(*parts, *groups, order, _TIE).sortWithinPartitions(*groups, order)
+        .drop(_TIE).withColumn(_POS, place), "numbered")
+    dealt = (dealt.withColumn(_PART, F.shiftright(_POS, 33))
+             .withColumn(_POS, F.col(_POS).bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = dealt.groupBy(*groups, _PART).agg(F.count(F.lit(1)).alias(_N), F.min(_POS).alias(_FIRST))
+    w = Window.partitionBy(*groups).orderBy(_PART) if groups else Window.orderBy(_PART)
+    before = F.coalesce(F.sum(_N).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # NULL groups are a group of their own: the join treats two NULLs as equal
+    keys = [*groups, _PART]
+    shifts = counts.select(*[F.col(c).alias(f"{c}_o") for c in keys], (before - F.col(_FIRST)).alias(_SHIFT))
     cond = F.lit(True)
     for c in keys:
-        cond = cond & ranked[c].eqNullSafe(offsets[f"{c}_o"])
-    return (ranked.join(offsets, cond)
-            .withColumn(out, (F.col(_OFF) + F.col(_R) - 1).cast("long"))
-            .drop(_B, _R, _OFF, *[f"{c}_o" for c in keys]))
+        cond = cond & dealt[c].eqNullSafe(shifts[f"{c}_o"])
+    return (dealt.join(shifts, cond)
+            .withColumn(out, (F.col(_SHIFT) + F.col(_POS)).cast("long"))
+            .drop(_PART, _POS, _SHIFT, *[f"{c}_o" for c in keys]))
 
 
-def dense_index(df: DataFrame, key: str, out: str, bucket_width: int = 4096,
+def dense_index(df: DataFrame, key: str, out: str, bucket_width: int | None = None,
                 numeric=None) -> DataFrame:
     """Table ``(key, out)`` with ``out`` = 0-based dense rank of ``key``.
 
     ``numeric(col)`` maps the key column to a long that orders like the key
-    (default: the key itself); distinct keys are cut into ranges of
-    ``bucket_width`` by that value.  Join the result back onto the facts on ``key``; it has
+    (default: the key itself); distinct keys are cut into parts as in
+    :func:`row_index`.  Join the result back onto the facts on ``key``; it has
     one row per distinct key, so AQE broadcasts it when it is small enough
     (with ``eqNullSafe`` where the key may be NULL: that row comes first).
     """
