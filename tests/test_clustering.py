@@ -317,3 +317,47 @@ def test_cut_frames_equal_whole_frames(spark):
         assert a.keys() == b.keys() and {f for f, _ in a} == set(range(7))
         for k in a:
             assert (a[k].x, a[k].y) == pytest.approx((b[k].x, b[k].y)) and a[k].converged and b[k].converged
+
+
+def _plain_lloyd(x, y, k, passes, tol, on_empty):
+    ids, cx, cy = np.arange(min(k, x.size)), x[:k].copy(), y[:k].copy()
+    moved = np.ones(ids.size, dtype=bool)
+    for _ in range(passes):
+        near = ((x[:, None] - cx) ** 2 + (y[:, None] - cy) ** 2).argmin(axis=1)
+        n = np.bincount(near, minlength=ids.size)
+        keep = n > 0 if on_empty == "drop" else np.ones(ids.size, dtype=bool)
+        sx, sy = (np.bincount(near, weights=w, minlength=ids.size) for w in (x, y))
+        nx, ny = np.where(n > 0, sx / np.maximum(n, 1), cx), np.where(n > 0, sy / np.maximum(n, 1), cy)
+        ids, cx, cy, nx, ny = (v[keep] for v in (ids, cx, cy, nx, ny))
+        far = np.maximum(abs(nx - cx), abs(ny - cy))
+        moved, cx, cy = far > (tol or 0.0), nx, ny
+        if not moved.any():
+            break
+    return ids, cx, cy, moved
+
+
+@pytest.mark.parametrize("on_empty", ["keep", "drop"])
+@pytest.mark.parametrize("passes,tol", [(0, None), (3, None), (500, 1e-6), (500, 0.5)])
+def test_lloyd_forms_agree_with_all_distances(on_empty, passes, tol):
+    rng = np.random.default_rng(5)
+    frames = [rng.integers(0, 9, (2, n)).astype(float) for n in (1, 2, 3, 7, 40, 300)]
+    frames += [rng.normal(0, 30, (2, 5000)), np.stack([np.arange(900.0), np.zeros(900)])]
+    start = np.concatenate(([0], np.cumsum([f.shape[1] for f in frames])))
+    x, y = np.concatenate(frames, axis=1)
+    many = C._lloyd_many(x, y, start, 5, passes, tol, on_empty)
+    for i, (fx, fy) in enumerate(frames):
+        want = _plain_lloyd(fx, fy, 5, passes, tol, on_empty)
+        one = C._lloyd_numpy(fx, fy, fx[:5], fy[:5], passes, tol, on_empty)
+        for got in (one, tuple(v[many[0] == i] for v in many[1:])):
+            assert got[0].tolist() == want[0].tolist() and got[3].tolist() == want[3].tolist()
+            assert np.allclose(got[1], want[1], atol=1e-9) and np.allclose(got[2], want[2], atol=1e-9)
+
+
+def test_many_small_frames_share_a_python_call(spark):
+    # a group a frame costs a call a frame; 20,000 frames took minutes of task time
+    pts = spark.range(60000).select((F.col("id") % 20000).alias("frame"), F.col("id").alias("slot"),
+                                    (F.col("id") % 101).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    got = C.frame_kmeans(pts, k=2, passes=4)
+    assert got.count() == 40000
+    plan = C._whole_frames(pts, 2, 4, 7, "frame", "slot", "keep", None)._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
