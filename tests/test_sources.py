@@ -247,3 +247,22 @@ def test_numbered_lines_dense(spark, tmp_dir, n):
     got = [(r.line_no, r.value) for r in TX.numbered_lines(spark, d).orderBy("line_no").collect()]
     want = [f"{i}-{j}" for i in range(3) for j in range(n + i)]
     assert [v for _, v in got] == want and [k for k, _ in got] == list(range(len(want)))
+
+
+def test_small_images_are_unpacked_together(spark, monkeypatch):
+    """One array call for a block of images, with any sizes and channels."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(i, h, w, c, bytearray(rng.integers(0, 256, h * w * c).astype(np.uint8).tobytes()))
+            for i, (h, w, c) in enumerate([(1, 4, 3), (2, 3, 3), (0, 5, 3), (3, 2, 1), (1, 1, 4), (5, 7, 3)])]
+    df = spark.createDataFrame(rows, "frame long, height int, width int, nChannels int, data binary")
+    want = set()
+    for i, h, w, c, data in rows:
+        v = FR._gray(np.frombuffer(bytes(data), dtype=np.uint8).reshape(h, w, c), c)
+        want |= {(i, float(x), float(y), v[y, x]) for y in range(h) for x in range(w) if v[y, x] > 100}
+    assert {tuple(r) for r in FR.pixels(df, 100.0).collect()} == want
+    calls = []
+    monkeypatch.setattr(FR, "_gray", lambda a, c, f=FR._gray: calls.append(c) or f(a, c))
+    list(FR._dark_of([r[:4] + (bytes(r[4]),) for r in rows], 100.0))
+    assert calls == [1, 3, 4]

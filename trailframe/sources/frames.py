@@ -111,30 +111,44 @@ def _gray(arr: np.ndarray, channels: int) -> np.ndarray:
     return 255.0 - ((r + g) + b) / 3.0
 
 
-#: pixels of several small frames go out together, about this many at a time
+#: several small frames are worked on together, about this many pixels at a time
 FLUSH = 1 << 16
 
 
+def _dark_of(images: list[tuple], threshold: float) -> Iterator[tuple]:
+    """Frame, x, y and grey of the dark pixels of many images, those with as
+    many channels laid end to end."""
+    for c in sorted({i[3] for i in images}):
+        frame, h, w, _, data = zip(*(i for i in images if i[3] == c))
+        width = np.array(w)
+        size = np.array(h) * width
+        if any(len(d) != n * c for d, n in zip(data, size.tolist())):
+            raise ValueError("the bytes of an image do not fit its height, width and channels")
+        v = _gray(np.frombuffer(b"".join(data), dtype=np.uint8).reshape(1, -1, c), c)[0]
+        at = np.flatnonzero(v > threshold)
+        end = np.cumsum(size)
+        image = np.searchsorted(end, at, side="right")
+        place = at - (end - size)[image]
+        yield (np.array(frame, dtype=np.int64)[image], (place % width[image]).astype(np.float64),
+               (place // width[image]).astype(np.float64), v[at])
+
+
 def _dark_pixels(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
+        images: list[tuple] = []
         n = 0
         for pdf in batches:
             for frame, h, w, c, data in zip(pdf["frame"], pdf["height"], pdf["width"],
                                             pdf["nChannels"], pdf["data"]):
                 if data is None:
                     continue
-                arr = np.frombuffer(data, dtype=np.uint8).reshape(int(h), int(w), int(c))
-                v = _gray(arr, int(c))
-                ys, xs = np.nonzero(v > threshold)
-                held.append((np.full(len(xs), frame, dtype=np.int64), xs.astype(np.float64),
-                             ys.astype(np.float64), v[ys, xs]))
-                n += len(xs)
+                images.append((frame, int(h), int(w), int(c), data))
+                n += int(h) * int(w)
                 if n >= FLUSH:
-                    yield _table(held)
-                    held, n = [], 0
-        if held:
-            yield _table(held)
+                    yield _table(list(_dark_of(images, threshold)))
+                    images, n = [], 0
+        if images:
+            yield _table(list(_dark_of(images, threshold)))
     return run
 
 
