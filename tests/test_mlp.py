@@ -94,3 +94,27 @@ def test_no_rows_and_nulls(spark):
         mlp.fit_mlp(df.limit(0), ("a", "b"), "label", epochs=1)
     more = df.union(spark.createDataFrame([(None, 1.0, 1.0)], "a double, b double, label double"))
     assert mlp.fit_mlp(more, ("a", "b"), "label", epochs=2).losses == mlp.fit_mlp(df, ("a", "b"), "label", epochs=2).losses
+
+
+def test_a_task_holds_a_chunk_and_a_batch(monkeypatch):
+    """Rows are cut where the shard says, whatever the batches, and no task
+    gathers them all."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(mlp, "CHUNK", 100)
+    rng = np.random.default_rng(2)
+    shard = np.sort(rng.integers(0, 5, 2000)).astype(np.int32)
+    cols = [pa.array(shard), pa.array(rng.integers(-9, 9, 2000)), *[pa.array(v) for v in rng.normal(size=(3, 2000))]]
+    task = mlp._Task((2, 3, 1), mlp._flatten(mlp.xavier((2, 3, 1), 1)), 1, 0.1, 0.9, 0.5, (1,), 3)
+
+    def batches(n):
+        for a in range(0, 2000, n):
+            yield pa.RecordBatch.from_arrays([c[a:a + n] for c in cols], names=list("srxyz"))
+
+    sums = [task.sums(task.chunks(batches(n)), task.start, 0) for n in (7, 333, 2000)]
+    for s in sums[1:]:
+        assert set(s) == set(sums[0]) and all((s[k] == v).all() for k, v in sums[0].items())
+    assert sum(v[-1] for v in sums[0].values()) == 2000
+    taken = []
+    first = next(task.chunks(b for b in batches(50) if not taken.append(b)))
+    assert len(first[3]) <= 100 and len(taken) <= 4
