@@ -100,3 +100,19 @@ def test_queries_start_at_the_agents_and_follow_the_model(spark, query, kind, mo
     one = pair.predict(now.withColumnRenamed("vx", "x").withColumnRenamed("vy", "y")).toPandas().set_index(["frame", "slot"])
     first = got.xs(1, level="step")
     assert np.abs(first.vx - one.pred_next_x.reindex(first.index)).max() < 1e-3
+
+
+@pytest.mark.parametrize("kind", ["tree", "forest", "gbt"])
+def test_continuous_trees_are_looked_up_not_walked(spark, moves, kind, monkeypatch):
+    rows = moves.selectExpr("x", "x * 0.3 + y as y", "next_x", "next_y")
+    score = RO.scorers(RG.fit_pair(kind, rows, **OPTIONS[kind]), spark)[0]
+    flat = score.__self__
+    used, cuts, _ = flat.table
+    x = np.random.default_rng(8).normal(0, 4, (3000, 2))
+    for f, c in zip(used, cuts):  # the thresholds themselves and their neighbours
+        x = np.concatenate([x, *[np.insert(x[:len(c), 1 - f, None], f, v, axis=1)
+                                 for v in (c, np.nextafter(c, np.inf), np.nextafter(c, -np.inf))]])
+    x = np.concatenate([x, [[np.nan, 0.0], [0.0, np.nan], [np.inf, -np.inf], [-0.0, 0.0]]])
+    want = flat._walk(x)
+    monkeypatch.setattr(RO.FlatTrees, "_walk", None)
+    assert (score(x) == want).all()

@@ -9,6 +9,7 @@ The arrays hold the nodes of the model, never anything of the data.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,6 +21,10 @@ from trailframe.session import ship_package
 
 #: kinds of models that a task can score by itself
 KINDS = ("tree", "forest", "gbt", "net")
+#: cells between the thresholds that a model's predictions are written out for
+TABLE = 1 << 18
+#: rows that go down the trees at once
+WALK = 1 << 14
 
 
 class FlatTrees:
@@ -51,9 +56,37 @@ class FlatTrees:
                 self.lefts[i, a:] = 2 * len(left) > a
             elif left:
                 self.threshold[i] = left[0]
+        self.table = self._table()
+
+    def _table(self):
+        """Sorted thresholds of each feature and the prediction of every cell
+        between them, where the features are few enough; else None.  Within
+        a cell all rows go the same way through all trees."""
+        used = sorted(set(self.feature[self.feature >= 0].tolist()))
+        cuts = [np.unique(self.threshold[self.feature == f]) for f in used]
+        shape = [len(c) + 1 for c in cuts]
+        if self.categories or (self.categorical & (self.feature >= 0)).any() or math.prod(shape) > TABLE:
+            return None
+        # the upper end of a cell belongs to it; beyond the last threshold lies any larger value, and NaN
+        ends = np.meshgrid(*[np.append(c, np.nan) for c in cuts], indexing="ij")
+        x = np.zeros((math.prod(shape), max([0, *used]) + 1))
+        for f, e in zip(used, ends):
+            x[:, f] = e.ravel()
+        return used, cuts, np.concatenate([self._walk(x[a:a + WALK]) for a in range(0, len(x), WALK)])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Predictions of the rows of ``x``; a NaN goes right, as in Spark."""
+        if self.table is None:
+            return self._walk(x)
+        used, cuts, values = self.table
+        cell = np.zeros(len(x), dtype=np.int64)
+        for f, c in zip(used, cuts):
+            cell *= len(c) + 1
+            cell += np.searchsorted(c, x[:, f], side="left")
+        return values[cell]
+
+    def _walk(self, x: np.ndarray) -> np.ndarray:
+        """Predictions, node by node."""
         x = x.copy()
         for f, found in self.categories.items():
             x[:, f] = [found.get(v, len(found)) for v in (x[:, f] + 0.0).tolist()]
