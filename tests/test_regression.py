@@ -212,3 +212,14 @@ def test_model_report_from_two_files(spark, trans, tmp_dir):
     rep = jobs.model_report_from_files(spark, f"{tmp_dir}/x", f"{tmp_dir}/y", kinds=("linear", "tree")).toPandas()
     assert list(rep.model) == ["linear", "tree"]
     assert rep[rep.model == "linear"].rmse_x[0] == pytest.approx(0.1, abs=0.03)
+
+
+def test_tree_rows_come_in_bounded_parts(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(RG, "TREE_ROWS", 100)
+    rows = spark.range(200 * cores).select((F.col("id") % 4).cast("double").alias("x"), (F.col("id") % 4 * 2.0).alias("label"))
+    data = RG.assemble(rows.coalesce(1), ["x"])
+    assert RG._tree_parts(data).rdd.getNumPartitions() == 2 * cores
+    assert RG._tree_parts(data.limit(50)).rdd.getNumPartitions() == 1
+    got = RG.fit("tree", data, "label").transform(data).select("x", "pred_label").distinct().collect()
+    assert {(r.x, r.pred_label) for r in got} == {(float(i), 2.0 * i) for i in range(4)}
