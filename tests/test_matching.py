@@ -343,3 +343,43 @@ def test_chained_lookahead_broadcasts_no_facts(spark, tmp_dir):
                matching.lookahead(matching.match_next_frame(det, on_miss="drop"), hops=3, chain=True, det=det, tail_skip=1)):
         plan = df._jdf.queryExecution().sparkPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("radius", [10.0, 1000.0])
+def test_deep_tree_equals_the_grid(spark, radius, monkeypatch):
+    """Cells of a few points, piles of query points, repeated and missing slots."""
+    from trailframe.operators import cell_tree
+    monkeypatch.setattr(cell_tree, "CHUNK", 7)
+    rnd = random.Random(5)
+    rows = random_det(5, frames=3, per=40)
+    rows += [(f, rnd.choice([None, 3, 4, 900]), float(rnd.randrange(12)), float(rnd.randrange(12)))
+             for f in range(3) for _ in range(60)]
+    rows += [(0, 2000 + k, 20.0, 20.0) for k in range(30)] + [(1, 1, -4e5, 7.0), (0, 1, -4e5, 7.5), (0, 1, -4e5, 7.5)]
+    det = spark.createDataFrame(rows, DET_SCHEMA)
+    got = sorted(map(str, cell_tree.nearest(det, radius, block=4, leaf=2).collect()))
+    grid = matching.match_next_frame(det, radius, "null", cell=1000.0).select("frame", "slot", "x", "y", "dist", "nslot", "nx", "ny")
+    # the grid shows no distance to a point without a slot
+    want = sorted(map(str, grid.collect()))
+    got = [g if "nslot=None" not in g else g[:g.index("dist=")] + "dist=None, " + g[g.index("nslot="):] for g in got]
+    assert got == want
+
+
+def test_tree_writes_points_a_fixed_number_of_times(spark, monkeypatch):
+    """However deep the tree: no search state of every point at each level."""
+    from trailframe.operators import cell_tree
+    n, written = 20_000, []
+    real = cell_tree.materialize
+
+    def seen(df, name):
+        out = real(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(cell_tree, "materialize", seen)
+    det = spark.range(2 * n).select(
+        (F.col("id") % 2).alias("frame"), F.floor(F.col("id") / 2).alias("slot"),
+        (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(1 << 14)).alias("x"),
+        (F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(1 << 20)) / F.lit(1 << 14)).alias("y"))
+    assert matching.match_next_frame(det, 100.0, "drop", method="tree").count() == n
+    # candidates, homes and what was found: twice, twice and once each frame of n
+    assert sum(written) < 6 * n
