@@ -118,3 +118,31 @@ def test_a_task_holds_a_chunk_and_a_batch(monkeypatch):
     taken = []
     first = next(task.chunks(b for b in batches(50) if not taken.append(b)))
     assert len(first[3]) <= 100 and len(taken) <= 4
+
+
+def test_a_chunk_goes_through_the_net_in_blocks(monkeypatch):
+    """The layers see a block of rows at a time; sums, masks and scores are
+    those of all rows at once, to the last bit."""
+    rng = np.random.default_rng(4)
+    n = 2 * mlp.BLOCK + 77
+    rows, x, y = rng.integers(0, 1 << 63, n).astype(np.uint64), rng.normal(size=(n, 2)), rng.normal(size=n)
+    w = mlp.xavier(mlp.DEFAULT_LAYERS, 1)
+    for p in (0.5, 0.3):
+        for i, m in enumerate(mlp._masks(rows, 3, 9, w, p, (1, 2))[:3]):
+            if i:
+                unit = np.array([(9 << 40) ^ (3 << 20) ^ (i << 12) ^ j for j in range(m.shape[1])], dtype=np.uint64)
+                kept = mlp._mixed(rows[:, None] ^ mlp._mixed(unit)) < np.uint64(int((1 - p) * 2.0 ** 64))
+                assert (m == kept / (1 - p)).all()
+    for n in (1, mlp.BLOCK + 1, n):
+        task = mlp._Task(mlp.DEFAULT_LAYERS, mlp._flatten(w), 1, 0.1, 0.9, 0.5, mlp.DEFAULT_DROPOUT_LAYERS, 3)
+        net = mlp.MLP(mlp.DEFAULT_LAYERS, w, ("a", "b"), "y")
+        chunk = (0, rows[:n], x[:n], y[:n])
+        with monkeypatch.context() as m:
+            m.setattr(mlp, "BLOCK", 1 << 20)
+            want, whole = task.sums([chunk], task.start, 0)[0], net.forward(x[:n])
+        sizes, forward = [], mlp._forward
+        with monkeypatch.context() as m:
+            m.setattr(mlp, "_forward", lambda ws, bx, masks: sizes.append(len(bx)) or forward(ws, bx, masks))
+            got = task.sums([chunk], task.start, 0)[0]
+            assert (got == want).all() and (net.forward(x[:n]) == whole).all()
+        assert max(sizes) <= 1.5 * mlp.BLOCK and len(net.forward(x[:0])) == 0

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from trailframe.functions.scalar import rounded
 from trailframe.operators import forecast as FC
 from trailframe.operators import regression as RG
 from trailframe.operators import rollout as RO
@@ -116,3 +118,53 @@ def test_continuous_trees_are_looked_up_not_walked(spark, moves, kind, monkeypat
     want = flat._walk(x)
     monkeypatch.setattr(RO.FlatTrees, "_walk", None)
     assert (score(x) == want).all()
+
+
+@pytest.mark.parametrize("query,kind", [(Q.q_forecast_forest, "forest"), (Q.q_forecast_net, "net")])
+def test_queries_match_once_and_write_no_paths(spark, query, kind, monkeypatch, tmp_path):
+    """The match serves the training rows and the agents; 51 rows an agent
+    are not written before they are returned."""
+    import datetime
+
+    from trailframe.operators import matching
+
+    t0 = datetime.datetime(2024, 1, 1)
+    rng = np.random.default_rng(6)
+    rows = [(i, t0 + datetime.timedelta(hours=i // 20), int(u), float(v))
+            for i, (u, v) in enumerate(zip(rng.integers(0, 60, 200), rng.uniform(0, 60, 200)))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    calls, match = [], matching.match_next_frame
+    monkeypatch.setattr(matching, "match_next_frame", lambda *a, **kw: calls.append(a) or match(*a, **kw))
+    monkeypatch.setattr(Q, "STEPS", 4)
+    options = {"forest": {"numTrees": 3}, "net": {"epochs": 2}}[kind]
+    fit = RG.fit_pair
+    monkeypatch.setattr(RG, "fit_pair", lambda *a, **kw: fit(*a, **{**options, **kw}))
+    got = query(spark, str(tmp_path))
+    assert len(calls) == 1 and not any("forecast" in f for f in got.inputFiles())
+    agents = MQ.moving_agents(spark, str(tmp_path))
+    assert got.count() == 5 * agents.count() > 0
+    start = got.where("step = 0").join(agents.select("frame", "slot", *[F.round(c, 4).alias(f"a{c}") for c in ("cx", "cy", "vx", "vy")]),
+                                       ["frame", "slot"])
+    assert start.where("cx = acx and cy = acy and vx = avx and vy = avy").count() == agents.count()
+
+
+def test_unwritten_paths_equal_written_ones(spark, moves):
+    pair = RG.fit_pair("net", moves, epochs=2)
+    agents = FC.initial_agents(spark, 9, seed=2)
+    a, b = (FC.forecast(agents, pair, n_steps=6, dt=1.0, speed=1.0, block=6, write=w) for w in (True, False))
+    assert a.dtypes == b.dtypes and sorted(a.collect()) == sorted(b.collect())
+    for kw in ({"block": 3}, {"block": 6, "out_path": "/nowhere"}):
+        with pytest.raises(ValueError, match="write=False"):
+            FC.forecast(agents, pair, n_steps=6, dt=1.0, write=False, **kw)
+
+
+def test_rounding_equals_spark(spark):
+    """Also at halves, near them, for zeros, very large values, NaN and NULL."""
+    rng = np.random.default_rng(1)
+    halves = (rng.integers(-10 ** 9, 10 ** 9, 4000) * 2 + 1) / 20000
+    x = np.concatenate([rng.normal(0, 10.0 ** rng.integers(-6, 17, 8000)), halves, np.nextafter(halves, np.inf),
+                        np.nextafter(halves, -np.inf), [0.0, -0.0, -1e-5, 1e300, -1e300, np.inf, -np.inf, np.nan]])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    got = df.select(rounded("v").alias("a"), F.round("v", 4).alias("b")).collect()
+    bits = [[None if v is None else np.float64(v).tobytes() for v in r] for r in got]
+    assert len(bits) == len(x) + 1 and all(a == b for a, b in bits)

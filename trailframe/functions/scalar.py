@@ -33,6 +33,17 @@ def inverted_gray(r: Column, g: Column, b: Column) -> Column:
     return F.lit(255.0) - (r + g + b) / F.lit(3.0)
 
 
+def rounded(x: Column | str, digits: int = 4) -> Column:
+    """``F.round`` of a double.  Spark rounds through a decimal number; only
+    values close to the middle of two results, very large ones, infinities
+    and NaN need that, the rest is rounded as a whole number of units, which
+    divides to the same double."""
+    c = _c(x).cast("double")
+    t = c * F.lit(10.0 ** digits)
+    clear = (F.abs(t) < F.lit(2.0 ** 40)) & (F.abs(t - F.floor(t) - F.lit(0.5)) > F.lit(1e-3))
+    return F.when(clear, F.floor(t + F.lit(0.5)) / F.lit(10.0 ** digits)).otherwise(F.round(c, digits))
+
+
 def truncate_to_cell(x: Column | str) -> Column:
     """Double to int toward zero."""
     return _c(x).cast("int")

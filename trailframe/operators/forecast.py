@@ -33,7 +33,8 @@ def initial_agents(spark: SparkSession, n: int = 20, seed: int = 42) -> DataFram
 
 
 def forecast(agents: DataFrame, pair: ModelPair, n_steps: int, dt: float, speed: float = 3500.0,
-             key: tuple[str, ...] = ("agent",), out_path: str | None = None, block: int = 10) -> DataFrame:
+             key: tuple[str, ...] = ("agent",), out_path: str | None = None, block: int = 10,
+             write: bool = True) -> DataFrame:
     """``(key..., step, cx, cy, vx, vy)`` for steps 0..n_steps.
 
     Each step predicts the new velocity from the OLD velocity pair (both
@@ -58,13 +59,19 @@ def forecast(agents: DataFrame, pair: ModelPair, n_steps: int, dt: float, speed:
     back from the previous block's folder, so plans stay bounded and a lost
     executor costs at most one block.  Only the folders that this call wrote
     are read, whatever else ``out_path`` holds.
+
+    With ``write=False`` all steps must be one block, which is not written
+    but returned as a plan: its rows are made where they are used, once for
+    each use, and should start from agents that are cheap to read.
     """
     from trailframe.sources.text import scratch_path
 
     if n_steps < 0 or block < 1:
         raise ValueError("n_steps must be >= 0 and block >= 1")
+    if not write and (out_path or block < n_steps):
+        raise ValueError("write=False takes one block and no out_path")
     spark = agents.sparkSession
-    out = (out_path or scratch_path(spark, "forecast")).rstrip("/")
+    out = (out_path or scratch_path(spark, "forecast")).rstrip("/") if write else None
     lx, ly = list(pair.models)[:2]
     memory = len(pair.features) // 2
     state = ["cx", "cy", "vx", "vy"]
@@ -103,6 +110,8 @@ def forecast(agents: DataFrame, pair: ModelPair, n_steps: int, dt: float, speed:
                 df = df.withColumn("_traj", F.concat("_traj", F.array(point(s))))
         if df is not None:
             rows = df.select(*key, F.explode("_traj").alias("_p")).select(*key, "_p.*")
+        if not write:
+            return rows.select(*key, F.col("step").cast("int").alias("step"), *state[:4])
         folders.append(f"{out}/block={first}")
         rows.write.mode("overwrite").parquet(folders[-1])
         if last >= n_steps:

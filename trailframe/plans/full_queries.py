@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailframe import fixtures as fx
+from trailframe.functions.scalar import rounded
 from trailframe.operators import clustering as C
 from trailframe.operators import forecast as FC
 from trailframe.operators import matching
@@ -72,9 +73,11 @@ def q_memory_forecast_4(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _forecast(spark: SparkSession, sf: str, kind: str, **kw) -> DataFrame:
-    pair = RG.fit_pair(kind, MQ.transitions(spark, sf), ("x", "y"), **kw)
-    f = FC.forecast(MQ.moving_agents(spark, sf), pair, n_steps=STEPS, dt=1.0, speed=1.0, key=("frame", "slot"), block=STEPS)
-    return f.select("frame", "slot", "step", *[_r(c) for c in ("cx", "cy", "vx", "vy")])
+    m = MQ.matched(spark, sf)
+    pair = RG.fit_pair(kind, MQ.transitions(spark, sf, m), ("x", "y"), **kw)
+    f = FC.forecast(MQ.moving_agents(spark, sf, m), pair, n_steps=STEPS, dt=1.0, speed=1.0, key=("frame", "slot"), block=STEPS,
+                    write=False)
+    return f.select("frame", "slot", "step", *[rounded(c).alias(c) for c in ("cx", "cy", "vx", "vy")])
 
 
 def q_forecast_forest(spark: SparkSession, sf: str) -> DataFrame:
