@@ -223,3 +223,69 @@ def test_tree_rows_come_in_bounded_parts(spark, monkeypatch):
     assert RG._tree_parts(data.limit(50)).rdd.getNumPartitions() == 1
     got = RG.fit("tree", data, "label").transform(data).select("x", "pred_label").distinct().collect()
     assert {(r.x, r.pred_label) for r in got} == {(float(i), 2.0 * i) for i in range(4)}
+
+
+def _labelled(spark, n=3000):
+    """``n`` rows of 15 vectors, labels spread within each."""
+    rows = spark.range(n).select((F.col("id") % 3).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"),
+                                 (F.col("id") * 7919 % 101 + F.col("id") % 3 * 40 - F.col("id") % 5 * 9).cast("double").alias("label"))
+    return RG.assemble(rows, ["a", "b"])
+
+
+def _predictions(model, df):
+    return {(r.a, r.b): r.pred_label for r in model.transform(df).select("a", "b", "pred_label").distinct().collect()}
+
+
+@pytest.mark.parametrize("indexed", [None, "indexed"])
+def test_boosted_trees_read_rows_summed_up_by_vector(spark, monkeypatch, indexed):
+    df = _labelled(spark)
+    kw = {"maxIter": 6, "maxDepth": 3, "indexed": indexed}
+    if indexed:
+        df = RG.index_categories(df, out=indexed).transform(df)
+    whole = RG.estimator("gbt", "label", **kw).fit(df)
+    read = []
+    made = RG.estimator
+
+    def counted(*a, **k):
+        est = made(*a, **k)
+        return type("Counted", (), {"fit": lambda self, d: read.append(d.count()) or est.fit(d)})()
+
+    monkeypatch.setattr(RG, "estimator", counted)
+    model = RG.fit("gbt", df, "label", **kw)
+    assert read[0] <= 64 < df.count()
+    got, want = _predictions(model, df), _predictions(whole, df)
+    assert got.keys() == want.keys() and len(got) == 15
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=1e-9)
+    a, b = (m if indexed else m.stages[-1] for m in (model, whole))
+    assert [t.numNodes for t in a.trees][:1] == [t.numNodes for t in b.trees][:1]
+    assert a.featureImportances.toArray() == pytest.approx(b.featureImportances.toArray(), abs=1e-6)
+
+
+def test_vector_rows_keep_count_sum_and_squares(spark):
+    df = _labelled(spark)
+    sums = [F.sum("w"), F.sum(F.col("w") * F.col("label")), F.sum(F.col("w") * F.col("label") * F.col("label"))]
+    want = {r[0]: r[1:] for r in df.withColumn("w", F.lit(1.0)).groupBy("features").agg(*sums).collect()}
+    rows = RG._moment_rows(df.select("features", "label"), "features", "label", 32).withColumnRenamed("label_weight", "w")
+    got = {r[0]: r[1:] for r in rows.groupBy("features").agg(*sums).collect()}
+    assert got.keys() == want.keys() and rows.count() >= 32
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, rel=1e-12)
+
+
+def test_boosted_trees_read_all_rows_where_sums_do_not_do(spark, monkeypatch):
+    df = _labelled(spark).select("features", "label")
+    assert RG._moment_rows(df, "features", "label", 14) is None
+    assert RG._moment_rows(df.limit(500), "features", "label", 32) is None
+    # vectors that the first rows don't show
+    late = df.unionByName(RG.assemble(spark.range(40).select(F.col("id").cast("double").alias("a"), F.lit(0.5).alias("b"),
+                                                             F.lit(1.0).alias("label")), ["a", "b"]).select("features", "label"))
+    assert RG._moment_rows(late, "features", "label", 32) is None
+    for bad in (None, float("nan"), float("inf")):
+        odd = df.withColumn("label", F.when(F.col("label") != 0, F.col("label")).otherwise(F.lit(bad).cast("double")))
+        assert RG._moment_rows(odd, "features", "label", 32) is None
+    with pytest.raises(Exception, match="Null or NaN"):
+        RG.fit("gbt", df.withColumn("label", F.when(F.col("label") != 0, F.col("label"))), "label", maxIter=1)
+    monkeypatch.setattr(RG, "_moment_rows", lambda *a: pytest.fail("sums by vector"))
+    for kw in ({"subsamplingRate": 0.5}, {"lossType": "absolute"}, {"minInstancesPerNode": 5}):
+        RG.fit("gbt", df, "label", maxIter=1, **kw)
